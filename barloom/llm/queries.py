@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, mixing, packing, secrets, sharding, simhash, toxicity, warc
+from barloom.llm import fingerprints, lm, mixing, packing, secrets, sharding, simhash, toxicity, warc
 from barloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=24)
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash_near_dedup,
         op2_warc_archive,
+        op3_maxent_lm,
         op4_rendezvous_sharding,
         op5_mixture_packing,
         op7_secret_scan,
