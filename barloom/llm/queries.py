@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, lm, mixing, packing, secrets, sharding, simhash, toxicity, warc
+from barloom.llm import fingerprints, lm, mixing, packing, search, secrets, sharding, simhash, toxicity, warc
 from barloom.llm.common import table
 
 
@@ -33,6 +33,12 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the documents whose id is divisible by 50, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return search.search(docs, docs.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "text"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = lambda kind: F.size(F.filter("base", lambda p: p["kind"] == kind)).cast("long")
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_maxent_lm,
         op4_rendezvous_sharding,
         op5_mixture_packing,
+        op6_bm25_search,
         op7_secret_scan,
         op8_cube_mixing,
         op9_toxicity,
