@@ -12,7 +12,7 @@ short of are taken from a part of its last one or two documents.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,10 +89,11 @@ def flight(pi: np.ndarray, size: np.ndarray, rng: np.random.Generator, last: boo
 
 
 def _fly(level: int, last: bool, seed: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["tie", "doc_id", "size"], na_position="last", kind="stable")
-        rng = np.random.default_rng([seed, level, int(key[0]), int(key[1])])
-        return pdf.assign(pi=flight(pdf["pi"].to_numpy(), pdf["size"].to_numpy(), rng, last))
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("tie", "ascending"), ("doc_id", "ascending"), ("size", "ascending")])
+        rng = np.random.default_rng([seed, level, key[0].as_py(), key[1].as_py()])
+        pi = flight(table["pi"].to_numpy(), table["size"].to_numpy(), rng, last)
+        return table.set_column(table.schema.get_field_index("pi"), "pi", pa.array(pi))
 
     return run
 
@@ -117,7 +118,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     done, level = [], 0
     while True:
         last = blocks <= 1
-        flown = saved(rows.groupBy("rank", "block").applyInPandas(_fly(level, last, seed), rows.schema), f"mix-flight-{level}")
+        flown = saved(rows.groupBy("rank", "block").applyInArrow(_fly(level, last, seed), rows.schema), f"mix-flight-{level}")
         if last:
             done.append(flown)
             break

@@ -165,9 +165,11 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "skey"]
     schema = dealt.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "skey").schema
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["skey", "x"], kind="stable").reset_index(drop=True)
-        seq, off = round_robin(pdf, int(key[0]), parts, tokens, length)
-        return pdf.assign(sequence_id=(int(key[0]) << LOCAL_BITS) + seq, offset=off)[names]
-
-    return dealt.groupBy("part").applyInPandas(run, schema).withColumnRenamed("skey", "source_key")
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by([("skey", "ascending"), ("x", "ascending")])
+        part = int(key[0].as_py())
+        pdf = table.select(["skey", "x", "length", "source_tokens"]).to_pandas()
+        seq, off = round_robin(pdf, part, parts, tokens, length)
+        return table.select(names[:5]).append_column("sequence_id", pa.array((part << LOCAL_BITS) + seq)).append_column("offset", pa.array(off)).append_column("skey", table["skey"])
+
+    return dealt.groupBy("part").applyInArrow(run, schema).withColumnRenamed("skey", "source_key")

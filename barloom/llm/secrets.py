@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,18 +73,23 @@ def scanned(docs: DataFrame) -> DataFrame:
     """docs without text, plus base and weak parts and the SHA-256 of each text that has weak parts."""
     kept = [c for c in docs.columns if c not in ("text", "sha", "base", "weak")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            base = [base_parts(t or "") for t in pdf["text"]]
-            weak = [weak_parts(t or "", b) for t, b in zip(pdf["text"], base, strict=True)]
-            as_rows = lambda parts: [{"kind": k, "start": s, "end": e} for k, s, e in parts]
-            sha = [s if w else None for s, w in zip(pdf["sha"], weak, strict=True)]
-            yield pdf[kept].assign(sha=sha, base=[as_rows(p) for p in base], weak=[as_rows(p) for p in weak])
+    kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, weak = [], []
+            for t in batch.column("text"):
+                text = t.as_py() or ""
+                base.append(base_parts(text))
+                weak.append(weak_parts(text, base[-1]))
+            as_rows = lambda parts: pa.array([[{"kind": k, "start": s, "end": e} for k, s, e in p] for p in parts], kind)
+            sha = pa.array([s if w else None for s, w in zip(batch.column("sha").to_pylist(), weak, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sha, as_rows(base), as_rows(weak)], names=[*kept, "sha", "base", "weak"])
 
     schema = docs.select(*kept, F.lit("").alias("sha"), F.lit(None).cast(PARTS).alias("base"), F.lit(None).cast(PARTS).alias("weak")).schema
     for field in schema:
         field.nullable = True
-    return docs.select(*kept, "text", F.sha2(text_of().cast("binary"), 256).alias("sha")).mapInPandas(run, schema)
+    return docs.select(*kept, "text", F.sha2(text_of().cast("binary"), 256).alias("sha")).mapInArrow(run, schema)
 
 
 def linked(scans: DataFrame, scope: int = SCOPE) -> DataFrame:
@@ -128,11 +133,11 @@ def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> Dat
     columns = docs.columns
     spans = scan(docs.withColumn("_text", F.col("text")), scope)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             out = []
-            for text, parts in zip(pdf["_text"], pdf["parts"], strict=True):
-                if text is not None and len(parts):
+            for text, parts in zip(batch.column("_text").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+                if text is not None and parts:
                     pieces, at = [], 0
                     for p in parts:
                         if p["end"] > at:
@@ -140,6 +145,7 @@ def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> Dat
                             at = p["end"]
                     text = "".join([*pieces, text[at:]])
                 out.append(text)
-            yield pdf.assign(text=out)[columns]
+            columns_ = [pa.array(out, batch.column("_text").type) if c == "text" else batch.column(c) for c in columns]
+            yield pa.RecordBatch.from_arrays(columns_, names=columns)
 
-    return spans.mapInPandas(run, docs.schema)
+    return spans.mapInArrow(run, docs.schema)

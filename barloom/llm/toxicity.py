@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -282,13 +283,13 @@ def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None) -> Dat
     # the tables are bounded by the letters and by the training sample
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, cache = shared.value, {}
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for text in pdf["_text"]:
+            for text in batch.column("_text"):
                 values = []
-                for raw in raw_tokens(text):
+                for raw in raw_tokens(text.as_py()):
                     v = cache.get(raw)
                     if v is None:
                         if len(cache) >= CACHE:
@@ -298,10 +299,10 @@ def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None) -> Dat
                         values.append(v)
                 rows.append(shape(values))
             p = s.probability(np.array(rows, float).reshape(-1, 5))
-            yield pdf[kept].assign(score=p)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p)], names=[*kept, "score"])
 
     schema = docs.select(*kept, F.lit(0.0).alias("score")).schema
-    return docs.select(*kept, F.col("text").alias("_text")).mapInPandas(run, schema)
+    return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
