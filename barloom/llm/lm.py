@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import crc32_of_id, saved, words_of
 
-ENDINGS = 1024
+ENDINGS = 512
 CLASSES = 32
 TOP = 200_000
 ROWS, OWN_ROWS = 8192, 4096
@@ -42,10 +42,10 @@ BATCH = 8192
 BLOCKS = 64
 CACHE = 400_000
 
-# rows of the weight table: bias, classes at distances 1..NEAR, classes further back (shared),
-# class pairs (1, 2) and (1, 3), words at distances 1 and 2, word pairs
-_AT = np.cumsum([0, 1, NEAR * CLASSES, CLASSES, CLASSES**2, CLASSES**2, ROWS, ROWS, BIGRAMS]).tolist()
-FEATURES = _AT[-1]
+# rows of the weight table: bias, classes at distances 1..NEAR, classes further back (shared); then
+# hashed features: the pair of the last classes, words at distances 1 and 2 (a skip), the word pair
+_AT = np.cumsum([0, 1, NEAR * CLASSES, CLASSES, CLASSES**2, ROWS, ROWS, BIGRAMS]).tolist()
+DENSE, FEATURES = _AT[3], _AT[-1]
 
 
 def ending(word: bytes) -> int:
@@ -53,6 +53,26 @@ def ending(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[-2:]) % ENDINGS
 
 
+class Endings(dict):
+    """Buckets of word endings, as they come up; there are at most 65,792 endings."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = out = ending(key)
+        return out
+
+
+class Ids(dict):
+    """Ids of words: the top words' ranks, and what `Words` makes of others as they come up."""
+
+    def __init__(self, words: Words) -> None:
+        super().__init__((w, i) for i, w in enumerate(words.top))
+        self.words = words
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = out = len(self.words.top) + int(self.words.classes[ending(word)]) * ROWS + self.words._row(word)
+        return out
+
+
 def is_training():
     return F.pmod(crc32_of_id(), F.lit(10)) != 0
 
@@ -64,7 +84,7 @@ def counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["word", "ending", "pair", "n"]
         words, ends, pairs = Counter(), 0, np.zeros(ENDINGS**2, np.int64)
-        buckets: dict[bytes, int] = {}
+        buckets = Endings()
 
         def flush() -> pa.RecordBatch:
             keys = list(words)
@@ -77,13 +97,7 @@ def counts(docs: DataFrame) -> DataFrame:
                 ws = words_of(text.as_py())
                 words.update(ws)
                 ends += 1
-                e = np.empty(len(ws), np.int64)
-                for i, w in enumerate(ws):
-                    k = w[-2:]
-                    b = buckets.get(k)
-                    if b is None:
-                        b = buckets[k] = ending(w)
-                    e[i] = b
+                e = np.fromiter(map(buckets.__getitem__, [w[-2:] for w in ws]), np.int64, len(ws))
                 for d in (1, 2, 3):
                     if len(e) > d:
                         at, n = np.unique(e[d:] * ENDINGS + e[:-d], return_counts=True)
@@ -128,49 +142,38 @@ class Words:
     classes: np.ndarray  # of endings
 
     def __post_init__(self) -> None:
-        self.rank: dict[bytes, int] | None = None
+        self.table: Ids | None = None
 
     def __getstate__(self) -> tuple:
         return self.top, self.classes
 
     def __setstate__(self, state: tuple) -> None:
         self.top, self.classes = state
-        self.rank = None
+        self.table = None
 
     def _ready(self) -> None:
-        self.rank = {w: i for i, w in enumerate(self.top)}
-        n = len(self.top)
-        self.known = n
+        self.table, self.known = Ids(self), len(self.top)
         cls = np.array([0 if not w else self.classes[ending(w)] for w in self.top], np.int32)
         row = np.array([i if i < OWN_ROWS else self._row(w) for i, w in enumerate(self.top)], np.int32)
         # ids past the top words stand for (class, row)
         self.cls = np.r_[cls, np.repeat(np.arange(CLASSES, dtype=np.int32), ROWS)]
         self.row = np.r_[row, np.tile(np.arange(ROWS, dtype=np.int32), CLASSES)]
-        self.other: dict[bytes, int] = {}
 
     def _row(self, word: bytes) -> int:
         return OWN_ROWS + xxhash.xxh32_intdigest(word, 7) % (ROWS - OWN_ROWS)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """An id a word: its rank among the top words, else known + class * ROWS + row."""
-        if self.rank is None:
+        if self.table is None:
             self._ready()
-        if len(self.other) > CACHE:
-            self.other.clear()
-        out, rank, other = [], self.rank, self.other
-        for w in words:
-            i = rank.get(w)
-            if i is None:
-                i = other.get(w)
-                if i is None:
-                    i = other[w] = self.known + int(self.classes[ending(w)]) * ROWS + self._row(w)
-            out.append(i)
-        return np.array(out, np.int64)
-
-
-def contexts(cls: np.ndarray, row: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Feature rows of each token. starts: each token's place in its text; before the first word
-    stands the end's class and row 0's neighbour, the boundary."""
+        elif len(self.table) > self.known + CACHE:
+            self.table = Ids(self)
+        return np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
+
+
+def contexts(cls: np.ndarray, row: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token, the dense features (bias, classes before, as counts) and the rows of the hashed ones.
+    starts: each token's place in its text; before the first word stands the end's class and the last row."""
 
     def back(x: np.ndarray, k: int, edge: int) -> np.ndarray:
         out = np.full(len(x), edge, np.int64)
@@ -180,18 +183,21 @@ def contexts(cls: np.ndarray, row: np.ndarray, starts: np.ndarray) -> np.ndarray
 
     c = [back(cls, k, 0) for k in range(1, NEAR + FAR + 1)]
     w = [back(row, k, ROWS - 1) for k in (1, 2)]
-    cols = [np.zeros(len(cls), np.int64)]
-    cols += [_AT[1] + k * CLASSES + c[k] for k in range(NEAR)]
-    cols += [_AT[2] + c[k] for k in range(NEAR, NEAR + FAR)]
-    cols += [_AT[3] + c[0] * CLASSES + c[1], _AT[4] + c[0] * CLASSES + c[2]]
-    cols += [_AT[5] + w[0], _AT[6] + w[1], _AT[7] + (w[0] * 92821 + w[1] * 68917) % BIGRAMS]
-    return np.stack(cols, axis=1)
-
-
-def logits(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = weights[rows[:, 0]]
-    for k in range(1, rows.shape[1]):
-        out += weights[rows[:, k]]
+    dense, at = np.zeros((len(cls), DENSE), np.float32), np.arange(len(cls))
+    dense[:, 0] = 1
+    for k in range(NEAR):
+        dense[at, _AT[1] + k * CLASSES + c[k]] = 1
+    for k in range(NEAR, NEAR + FAR):
+        dense[at, _AT[2] + c[k]] += 1
+    rows = [_AT[3] + c[0] * CLASSES + c[1], _AT[4] + w[0], _AT[5] + w[1], _AT[6] + (w[0] * 92821 + w[1] * 68917) % BIGRAMS]
+    return dense, np.stack(rows)
+
+
+def logits(weights: np.ndarray, features: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    dense, rows = features
+    out = dense @ weights[:DENSE]
+    for r in rows:
+        out += weights[r]
     return out
 
 
@@ -216,31 +222,36 @@ def token_blocks(texts: Iterator, words: Words, batch: int) -> Iterator[tuple[np
         yield np.concatenate(ids), np.concatenate(places)
 
 
-def spans(ids: np.ndarray, places: np.ndarray, words: Words, step: int = BATCH) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first token, classes, feature rows) for runs of `step` tokens, with the context from before each run."""
+def spans(ids: np.ndarray, places: np.ndarray, words: Words, step: int = BATCH) -> Iterator[tuple[int, np.ndarray, tuple]]:
+    """(first token, classes, features) for runs of `step` tokens, with the context from before each run."""
     cls, row = words.cls[ids], words.row[ids]
     far = NEAR + FAR
     for a in range(0, len(ids), step):
         lo = max(0, a - far)
-        rows = contexts(cls[lo : a + step], row[lo : a + step], places[lo : a + step])[a - lo :]
-        yield a, cls[a : a + step], rows
+        dense, rows = contexts(cls[lo : a + step], row[lo : a + step], places[lo : a + step])
+        yield a, cls[a : a + step], (dense[a - lo :], rows[:, a - lo :])
 
 
 def updated(weights: np.ndarray, texts: Iterator, words: Words, rate: float = 0.3) -> tuple[np.ndarray, int]:
     """Minibatch AdaGrad over the texts; the change of the weights, and tokens seen."""
     w, seen, total = weights.copy(), np.full(weights.shape, 1e-2, np.float32), 0
+
+    def step(at, g: np.ndarray) -> None:
+        seen[at] += g * g
+        w[at] -= rate * g / np.sqrt(seen[at])
+
     for ids, places in token_blocks(texts, words, BATCH):
-        for _, cls, rows in spans(ids, places, words):
-            g = np.exp(log_softmax(logits(w, rows)))
+        for _, cls, features in spans(ids, places, words):
+            g = np.exp(log_softmax(logits(w, features)))
             g[np.arange(len(cls)), cls] -= 1
             g /= len(cls) ** 0.5
-            flat = rows.ravel()
-            order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
-            sums = np.add.reduceat(g[order // rows.shape[1]], first, axis=0)
-            at = flat[order][first]
-            seen[at] += sums * sums
-            w[at] -= rate * sums / np.sqrt(seen[at])
+            dense, rows = features
+            step(slice(0, DENSE), dense.T @ g)
+            for r in rows:  # fewer than 65,536 rows in all: the sort is by counting
+                order = np.argsort(r.astype(np.uint16), kind="stable")
+                sorted_ = r[order]
+                first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+                step(sorted_[first], np.add.reduceat(g[order], first, axis=0))
             total += len(cls)
     return w - weights, total
 
@@ -251,7 +262,7 @@ def trained(docs: DataFrame, words: Words, weights: np.ndarray, rounds: int) ->
     share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds))
     known = spark.sparkContext.broadcast(words)
     for r in range(rounds):
-        at = spark.sparkContext.broadcast(weights)
+        at = spark.sparkContext.broadcast(weights.astype(np.float32))
 
         def local(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
             change, n = updated(at.value, (t.as_py() for b in batches for t in b.column("text")), known.value)
@@ -291,17 +302,17 @@ def score(docs: DataFrame, rounds: int = 3, top: int = TOP) -> DataFrame:
     vocabulary = table.where("word IS NOT NULL").select("word", "ending", "n")
 
     pairs = np.zeros(ENDINGS**2)
-    for r in table.where("pair IS NOT NULL").select("pair", "n").toLocalIterator():  # at most ENDINGS**2
-        pairs[r["pair"]] = r["n"]
+    seen = table.where("pair IS NOT NULL").select("pair", "n").toArrow()  # at most ENDINGS**2 rows
+    pairs[seen["pair"].to_numpy()] = seen["n"].to_numpy()
     classes = cluster(pairs.reshape(ENDINGS, ENDINGS), CLASSES - 1)
     in_class = np.zeros((CLASSES, 2))  # tokens and distinct words
     for r in vocabulary.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         in_class[0 if r["ending"] < 0 else classes[r["ending"]]] += (r["n"], r["v"])
     n, v = int(in_class[:, 0].sum()), int(in_class[:, 1].sum())
 
-    most = vocabulary.where("ending >= 0").orderBy(F.desc("n"), "word").limit(top).collect()
+    most = vocabulary.where("ending >= 0").orderBy(F.desc("n"), "word").limit(top).select("word", "n").toArrow()
     ends = int(in_class[0, 0])
-    words = Words([b"", *(r["word"].encode() for r in most)], classes)
+    words = Words([b"", *(w.encode() for w in most["word"].to_pylist())], classes)
     start = np.zeros((FEATURES, CLASSES), np.float32)
     start[0] = np.log((in_class[:, 0] + SMOOTH) / (n + SMOOTH * CLASSES))
     weights = trained(train, words, start, rounds)
@@ -310,7 +321,7 @@ def score(docs: DataFrame, rounds: int = 3, top: int = TOP) -> DataFrame:
     per_token = np.log10(n + SMOOTH * (v + 1))
     per_class = np.log10(in_class[:, 0] + SMOOTH * (in_class[:, 1] + 1))
     per_class[0] = np.log10(ends + SMOOTH)  # the end is its class's only word
-    known = spark.sparkContext.broadcast((words, weights, np.log10(np.array([ends, *(r["n"] for r in most)]) + SMOOTH), ends > 0, per_class))
+    known = spark.sparkContext.broadcast((words, weights, np.log10(np.r_[ends, most["n"].to_numpy()] + SMOOTH), ends > 0, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights, logs, end_known, per_class = known.value
@@ -340,7 +351,7 @@ def score(docs: DataFrame, rounds: int = 3, top: int = TOP) -> DataFrame:
                 # the rest: words that only the counts know, if at all
                 rest_key, rest_word, rest_n = [], [], []
                 for j, ws in enumerate(lists):
-                    for w, m in Counter(w for w, i in zip(ws, ids[j].tolist()) if i >= words.known).items():
+                    for w, m in Counter([ws[i] for i in np.flatnonzero(ids[j] >= words.known).tolist()]).items():
                         rest_key.append(key + j)
                         rest_word.append(w)
                         rest_n.append(m)

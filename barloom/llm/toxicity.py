@@ -40,12 +40,17 @@ CODE[[ord(c) for c in LETTERS]] = np.arange(2, A)
 LETTER = {c: i + 2 for i, c in enumerate(LETTERS)}
 
 NOISY = re.compile(r"(.)\1\1|[^\W\d_][\W_]+[^\W\d_]|[^\W_]*[\d@$!|+(€£¡][^\W_]*")
+TRIPLE = re.compile(r"(.)\1\1")
+#: Marks around a word, and what is put after words as ornament.
+AROUND = ".,;:?\"'()[]{}<>&%#*~^`_-"
+ORNAMENT = re.compile(r"(?:!+|([@$|+])\1{2,})$")
 SPACED = re.compile(r"(?<!\S)[\w@$!](?:[ .\-_*][\w@$!]){3,}(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]+")
 SUBSTITUTE, DROP, SHORTEN, KEEP_MARK = -1.0, -0.5, -0.2, -6.0
 BEAM, READINGS = 24, 6
 
-POSITIVES, NEGATIVES = 4_000, 8_000
+POSITIVES, NEGATIVES = 2_000, 6_000
+LEAST_DOCS, LEAST_VALUE = 3, 1.5
 THRESHOLD = 0.7
 CACHE = 300_000
 
@@ -63,9 +68,10 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
                 if text:
                     code = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "replace"), np.uint32)
                     x = CODE[np.minimum(code, 0xFFFF)]
-                    x = x[np.r_[True, (x[1:] != 0) | (x[:-1] != 0)]]  # one edge between words
-                    x = np.repeat(x, np.where(x == 0, 2, 1))  # two edges before a word's first letter
-                    total += np.bincount((x[:-2] * A + x[1:-1]) * A + x[2:], minlength=A**3)
+                    a, b, c = x[:-2], x[1:-1], x[2:]
+                    # before a word's first letter stand two edges; runs of other characters count once
+                    at = (np.where(b == 0, 0, a) * A + b) * A + c
+                    total += np.bincount(at[(b != 0) | (c != 0)], minlength=A**3)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"trigram": at, "n": total[at]})
 
@@ -124,11 +130,17 @@ def readings(word: str, model: np.ndarray, most: int = READINGS) -> list[str]:
 
 def restored(word: str, model: np.ndarray) -> list[str]:
     """Plain parts of a raw lower-cased token, and its readings where it shows signs of noise."""
-    out = PLAIN.findall(word)
-    if (len(out) != 1 or len(out[0]) != len(word)) or NOISY.search(word):
-        core = word.strip(".,;:?\"'()[]{}<>&%#*~^`")
-        if 2 < len(core) <= 40 and NOISY.search(core):
-            out = out + readings(core, model)
+    core = word.strip(AROUND)
+    if core.isalpha() and not TRIPLE.search(core):
+        return [core]
+    out = PLAIN.findall(core)
+    plain = ORNAMENT.sub("", core)
+    if len(out) == 1 and plain == out[0] and not TRIPLE.search(plain):
+        return out
+    if 2 < len(core) <= 40 and NOISY.search(core):
+        out += readings(plain if len(plain) > 2 else core, model)
+        if plain != core:
+            out += readings(core, model)
     return out
 
 
@@ -172,9 +184,19 @@ class Scorer:
     scale: np.ndarray
     weights: np.ndarray
 
+    def __post_init__(self) -> None:
+        # a word whose first three and last four letters begin and end no feature needs no look-up of these
+        object.__setattr__(self, "heads", {f[1:4] for f in self.table if f[0] == "<"})
+        object.__setattr__(self, "tails", {f[-4:] for f in self.table if f[0] == ">"})
+
     def word(self, word: str) -> float:
-        get = self.table.get
-        return max((get(f, 0.0) for f in features(word)), default=0.0)
+        get, best = self.table.get, self.table.get("=" + word, 0.0)
+        n = min(len(word), 7)
+        if word[:3] in self.heads:
+            best = max([best, *(get("<" + word[:k], 0.0) for k in range(3, n))])
+        if word[-4:] in self.tails:
+            best = max([best, *(get(">" + word[-k:], 0.0) for k in range(4, n))])
+        return best
 
     def token(self, raw: str) -> float:
         return max((self.word(w) for w in restored(raw, self.model)), default=0.0)
@@ -236,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
         if n:
             yield pd.DataFrame({"f": list(n), "n": list(n.values())})
 
-    seen = sample.where("y = 1").select("words").mapInPandas(of_toxic, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where("n >= 2")
+    seen = sample.where("y = 1").select("words").mapInPandas(of_toxic, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
     known = {r["f"]: i for i, r in enumerate(seen.orderBy("f").collect())}  # bounded by the sample of toxic rows
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -259,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     def table(halves: list[int]) -> dict[str, float]:
         c, d = counts[:, :, halves].sum(axis=2), size[:, halves].sum(axis=1)
         v = log_odds(c[:, 1], c[:, 0], d[1], d[0])
-        return {names[i]: float(v[i]) for i in np.flatnonzero((v > 0.5) & (c[:, 1] >= 2))}
+        return {names[i]: float(v[i]) for i in np.flatnonzero((v > LEAST_VALUE) & (c[:, 1] >= 2))}
 
     other = [Scorer(model, table([1]), *nothing, np.zeros(6)), Scorer(model, table([0]), *nothing, np.zeros(6))]
 
