@@ -131,7 +131,8 @@ def as_text(parts: str):
 def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> DataFrame:
     """docs with every reported span replaced by the mark; texts without one are unchanged."""
     columns = docs.columns
-    spans = scan(docs.withColumn("_text", F.col("text")), scope)
+    own = [f"_{i}" for i in range(len(columns))]  # no name of docs meets one of the scan's
+    spans = scan(docs.toDF(*own).withColumn("text", F.col(own[columns.index("text")])).withColumn("_text", F.col("text")), scope)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,7 +146,7 @@ def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> Dat
                             at = p["end"]
                     text = "".join([*pieces, text[at:]])
                 out.append(text)
-            columns_ = [pa.array(out, batch.column("_text").type) if c == "text" else batch.column(c) for c in columns]
+            columns_ = [pa.array(out, batch.column("_text").type) if c == "text" else batch.column(o) for c, o in zip(columns, own, strict=True)]
             yield pa.RecordBatch.from_arrays(columns_, names=columns)
 
     return spans.mapInArrow(run, docs.schema)

@@ -235,13 +235,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negatives: int = NEGATIVES) -> Scorer:
     """Learn from labelled rows whose crc32(doc_id as text) mod 3 is not 1: `positives` toxic and
     `negatives` other ones at most, the bounds of the sample. The character model counts all texts
-    and no label. Without labels of both classes, every score is the share of toxic labels (0.5 without any)."""
+    and no label. Without labelled documents of both classes, every score is the share of toxic labels (0.5 without any)."""
     model = trigram_model(trigram_counts(docs))
     rows, totals = training_rows(docs, labels, positives, negatives)
     nothing = (np.zeros(5), np.ones(5))
+    share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
+    constant = Scorer(model, {}, *nothing, np.r_[np.zeros(5), math.log(share / (1 - share))])
     if not totals.get(0) or not totals.get(1):
-        share = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 1)
-        return Scorer(model, {}, *nothing, np.r_[np.zeros(5), math.log(share / (1 - share))])
+        return constant
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -291,6 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
             yield pd.DataFrame({"y": pdf["y"], **{f"x{i}": [r[i] for r in x] for i in range(5)}})
 
     seen_rows = sample.mapInPandas(shapes, "y int, " + ", ".join(f"x{i} double" for i in range(5))).collect()  # at most the sample
+    if len({r["y"] for r in seen_rows}) < 2:
+        return constant
     x, y = np.array([r[1:] for r in seen_rows], float), np.array([r["y"] for r in seen_rows], float)
     order = np.lexsort((*x.T, y))  # the sum's order is then the same in every run
     x, y = x[order], y[order]
@@ -299,8 +302,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
     return Scorer(model, table([0, 1]), mean, scale, regression((x - mean) / scale, y, w / w.mean()))
 
 
-def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None) -> DataFrame:
-    """docs' columns named in keep (doc_id alone by default) plus score, whole texts read in batches."""
+def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None, out: str = "score") -> DataFrame:
+    """docs' columns named in keep (doc_id alone by default) plus the score, whole texts read in batches."""
     kept = keep or ["doc_id"]
     # the tables are bounded by the letters and by the training sample
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
@@ -321,9 +324,9 @@ def score(docs: DataFrame, scorer: Scorer, keep: list[str] | None = None) -> Dat
                         values.append(v)
                 rows.append(shape(values))
             p = s.probability(np.array(rows, float).reshape(-1, 5))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p)], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(p)], names=[*kept, out])
 
-    schema = docs.select(*kept, F.lit(0.0).alias("score")).schema
+    schema = docs.select(*kept, F.lit(0.0).alias(out)).schema
     return docs.select(*kept, F.col("text").alias("_text")).mapInArrow(run, schema)
 
 
