@@ -23,8 +23,8 @@ def _sized(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored toxic at the operator's threshold go."""
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.drop("score"), scorer, [c for c in docs.columns if c != "score"])
-    return scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    scored = toxicity.score(docs, scorer, docs.columns, out="_toxicity")
+    return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
