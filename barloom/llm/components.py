@@ -7,7 +7,9 @@ written to the shared folder, which cuts lineage and survives a lost executor.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import saved
@@ -37,3 +39,31 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         before = now
         edges = saved(_star(_star(edges, large=True), large=False), "cc")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def bucket_components(vertices: DataFrame, keyed: Callable[[DataFrame, bool], DataFrame], payload: list[str], close: Callable[[list[Column], list[Column]], Column], confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """(node, root) of the graph that links nodes which share a key and are close; no bucket is expanded into its pairs.
+
+    keyed(vertices, few) gives vertices' columns and one row a key; with few, some of the keys may be
+    left out. First every node is compared with the first and the last node of its buckets, which joins
+    all but a few members of a large group into one component. Then only buckets that still hold several
+    components are searched: every member that is not of the bucket's least component against the members
+    of other components. A large group's component is the least one of nearly all its buckets, as the
+    least of its many node numbers is small, so the work stays near the number of members. What shares a
+    component is linked already; all other close pairs are found, so the components are exact."""
+    few = keyed(vertices, True)
+    own = F.struct("node", *payload)
+    ends = few.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.node < hi.node")
+    met = few.join(ends, "key").select("node", *payload, F.explode(F.array("lo", "hi")).alias("end"))
+    star = met.where((F.col("node") != F.col("end.node")) & close([F.col(c) for c in payload], [F.col("end")[c] for c in payload]))
+    star = saved(confirm(star.select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b")).distinct()), "cc-star")
+    named = vertices.join(connected_components(star), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+    every = keyed(saved(named, "cc-named"), False).select("key", "node", "comp", *payload)
+    mixed = every.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
+    rest = every.join(mixed, "key")
+    a = rest.where("comp != low").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), *[F.col(c).alias(f"{c}_a") for c in payload])
+    b = rest.select("key", "low", F.col("node").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias(f"{c}_b") for c in payload])
+    once = (F.col("comp_b") == F.col("low")) | (F.col("a") < F.col("b"))
+    pairs = a.join(b, "key").where((F.col("comp_a") != F.col("comp_b")) & once & close([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload]))
+    cross = saved(confirm(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "cc-cross")
+    return connected_components(star.unionByName(cross))

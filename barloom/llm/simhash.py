@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import saved, words_of
-from barloom.llm.components import connected_components
+from barloom.llm.components import bucket_components
 
 BITS = 64
 
@@ -90,12 +89,24 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def components(fps: DataFrame, distance: int = 4, m: int | None = None) -> DataFrame:
+    """(fp, root) of distinct fingerprints (column fp) under links of at most `distance` bits; roots themselves are left out."""
+    m = m or blocks_for(fps.count(), distance)
+    masks = block_masks(m)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("node").bitwiseAND(F.lit(_signed(sum(masks[b] for b in c))))) for i, c in enumerate(combinations(range(m), m - distance))])
+    # the fingerprint is the node; its copy is what pairs are checked on
+    vertices = fps.select(F.col("fp").alias("node"), F.col("fp").alias("bits"))
+    close = lambda x, y: F.bit_count(x[0].bitwiseXOR(y[0])) <= distance
+    return bucket_components(vertices, lambda v, few: v.select("*", F.explode(keys).alias("key")), ["bits"], close).withColumnRenamed("node", "fp")
+
+
 def links(fps: DataFrame, distance: int = 4, m: int | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct fingerprints (column fp) at most `distance` bits apart, once each."""
+    """Pairs (a, b), a < b, of distinct fingerprints (column fp) at most `distance` bits apart, once each.
+
+    For tables without large groups; `components` groups without listing pairs."""
     m = m or blocks_for(fps.count(), distance)
     share, masks = m - distance, block_masks(m)
     choices = list(combinations(range(m), share))
-    assert len(choices) == comb(m, share)
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(sum(masks[i] for i in c)))) for c in choices])
     keyed = fps.select("fp", F.posexplode(keys).alias("choice", "block"))
     a, b = keyed.select(F.col("fp").alias("a"), "choice", "block"), keyed.select(F.col("fp").alias("b"), "choice", "block")
@@ -128,9 +139,7 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, distance: int =
 def grouped(hashed: DataFrame, distance: int = 4) -> DataFrame:
     """hashed (doc_id, fp, ...) plus component_id."""
     vertices = saved(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-vertices")
-    found = saved(links(vertices.select("fp"), distance), "simhash-links")
-    roots = connected_components(found)
-    rooted = vertices.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = vertices.join(components(vertices.select("fp"), distance), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return hashed.join(named, "fp")
@@ -139,6 +148,9 @@ def grouped(hashed: DataFrame, distance: int = 4) -> DataFrame:
 # --- wide fingerprints: looser likeness than a few of 64 bits can tell -------------------------
 
 WIDE, KEY_BITS, KEYS = 512, 20, 100
+#: Bits that travel with each key and rule out nearly all chance meetings (five standard deviations
+#: over the limit's share of them pass), and how many keys the first, coarse linking takes.
+PROBE, FEW_KEYS = 128, 20
 #: Odd constants of a 64-bit mixer (public domain splitmix64).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -164,13 +176,26 @@ def key_places(bits: int, key_bits: int, keys: int) -> np.ndarray:
     return np.array(out[:keys])
 
 
+def _word(hexed: Column, i: int) -> Column:
+    """The i-th 8 bytes of hexadecimal text as a long."""
+    return F.conv(F.substring(hexed, 16 * i + 1, 16), 16, -10).cast("long")
+
+
+def _differing(x: Column, y: Column, n_bytes: int) -> Column:
+    """How many bits of two fingerprints in hexadecimal differ."""
+    out = F.lit(0)
+    for i in range(n_bytes // 8):
+        out = out + F.bit_count(_word(x, i).bitwiseXOR(_word(y, i)))
+    return out
+
+
 def wide_groups(docs: DataFrame, id_column: str, distance: int, words_per_shingle: int = 5, bits: int = WIDE, key_bits: int = KEY_BITS, keys: int = KEYS) -> DataFrame:
     """id, group: the least id reachable over links of at most `distance` of `bits` bits; docs: id, text.
 
     For a likeness of s between shingle sets a bit differs with probability arccos(2s / (1 + s)) / pi:
     0.15 at 0.8. A pair is found if it agrees on one of the keys, each key_bits bits: at 0.8 that
     misses one pair in 40, at 0.85 one in 700. Links are checked on all bits."""
-    places, powers, n = key_places(bits, key_bits, keys), 1 << np.arange(key_bits), bits // 8
+    n = bits // 8
     empty = bytes(n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,28 +203,34 @@ def wide_groups(docs: DataFrame, id_column: str, distance: int, words_per_shingl
             fps = [np.packbits(wide_bits(t.as_py(), words_per_shingle, bits), bitorder="little").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(fps, pa.binary())], names=[id_column, "fp"])
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data = b"".join(batch.column("fp").to_pylist())
-            b = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little").reshape(-1, bits)
-            k = np.stack([b[:, p] @ powers for p in places], axis=1) + (np.arange(keys) << key_bits)
-            at = pa.array(np.arange(0, (len(b) + 1) * keys, keys), pa.int32())
-            words = np.frombuffer(data, "<i8")
-            of = pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, bits // 64), pa.int32()), pa.array(words))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), of, pa.ListArray.from_arrays(at, pa.array(k.ravel(), pa.int64()))], names=["node", "bits", "keys"])
+    def keyed(vertices: DataFrame, few: bool) -> DataFrame:
+        kept = [c for c in vertices.columns if c != "fp"]
+        places, powers = key_places(bits, key_bits, keys)[: FEW_KEYS if few else keys], 1 << np.arange(key_bits)
+
+        def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                b = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8), bitorder="little").reshape(-1, bits)
+                k = np.stack([b[:, p] @ powers for p in places], axis=1) + (np.arange(len(places)) << key_bits)
+                at = pa.array(np.arange(0, (len(b) + 1) * len(places), len(places)), pa.int32())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(at, pa.array(k.ravel(), pa.int64()))], names=[*kept, "keys"])
+
+        schema = vertices.select(*kept, F.lit(None).cast("array<bigint>").alias("keys")).schema
+        return vertices.mapInArrow(keys_of, schema).select(*kept, F.explode("keys").alias("key"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        """On all bits."""
+        met = pairs.join(vertices.select(F.col("node").alias("a"), F.hex("fp").alias("x")), "a").join(vertices.select(F.col("node").alias("b"), F.hex("fp").alias("y")), "b")
+        return met.where(_differing(F.col("x"), F.col("y"), n) <= distance).select("a", "b")
 
     hashed = saved(docs.select(id_column, "text").mapInArrow(run, docs.select(id_column, F.lit(b"").alias("fp")).schema), "wide-fp")
-    # copies are one vertex, numbered by their least id
-    vertices = saved(hashed.where(F.col("fp") != F.lit(empty)).groupBy("fp").agg(F.min(id_column).alias("node")), "wide-vertices")
-    key = vertices.mapInArrow(keyed, "node long, bits array<bigint>, keys array<bigint>")
-    key = key.select("node", "bits", F.explode("keys").alias("key"))
-    a = key.select("key", F.col("node").alias("a"), F.col("bits").alias("x"))
-    b = key.select("key", F.col("node").alias("b"), F.col("bits").alias("y"))
-    differ = F.lit(0)
-    for i in range(bits // 64):
-        differ = differ + F.bit_count(F.get("x", i).bitwiseXOR(F.get("y", i)))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (differ <= distance)).select("a", "b")
-    roots = connected_components(pairs)
+    # copies are one vertex, numbered by their least id; its first PROBE bits travel with its keys
+    head = [_word(F.hex("fp"), i).alias(f"bits{i}") for i in range(PROBE // BITS)]
+    grouped_ = hashed.where(F.col("fp") != F.lit(empty)).groupBy("fp").agg(F.min(id_column).alias("node"))
+    vertices = saved(grouped_.select("node", "fp", *head), "wide-vertices")
+    share = distance / bits
+    most = PROBE * share + 5 * (PROBE * share * (1 - share)) ** 0.5
+    close = lambda x, y: sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y, strict=True)), F.lit(0)) <= most
+    roots = bucket_components(vertices, keyed, [f"bits{i}" for i in range(PROBE // BITS)], close, confirm)
     named = vertices.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("group"))
     # texts without words are copies of each other
     blank = hashed.where(F.col("fp") == F.lit(empty)).agg(F.min(id_column).alias("group")).withColumn("fp", F.lit(empty)).select("fp", "group")

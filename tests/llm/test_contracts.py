@@ -75,6 +75,17 @@ def test_pigeonhole_blocks_lose_no_pair(spark, m):
     assert len(found) == len(want) and {(r["a"], r["b"]) for r in found} == want
 
 
+@pytest.mark.parametrize("m", [5, 7, 10])
+def test_components_of_a_large_group_of_near_copies(spark, m):
+    rng = np.random.default_rng(m)
+    fps = {int(x) for x in rng.integers(0, 1 << 63, 80, dtype=np.int64)}
+    base = [0x0123456789ABCDEF, 0x0123456789ABCDEF ^ 0xFF]
+    fps |= {base[k % 2] ^ sum(1 << int(b) for b in rng.choice(62, rng.integers(1, 5), replace=False)) for k in range(300)}
+    want = components(sorted(fps), {f: f for f in fps}, 4)
+    found = {r["fp"]: r["root"] for r in simhash.components(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, m).collect()}
+    assert {f: found.get(f, f) for f in fps} == want
+
+
 def test_op2(spark):
     pages = duckdb.sql(f"SELECT page_id, coalesce(html, '') FROM '{SF}/pages.parquet'").fetchall()
     first = {}
