@@ -197,13 +197,23 @@ def logits(weights: np.ndarray, features: tuple[np.ndarray, np.ndarray]) -> np.n
     dense, rows = features
     out = dense @ weights[:DENSE]
     for r in rows:
-        out += weights[r]
+        out += weights.take(r, axis=0)
     return out
 
 
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def softmax(z: np.ndarray) -> np.ndarray:
+    """In place."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def log_shares(z: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """The log of column of[i]'s share in row i under a softmax."""
+    z -= z.max(axis=1, keepdims=True)
+    picked = z[np.arange(len(of)), of]
+    return picked - np.log(np.exp(z, out=z).sum(axis=1))
 
 
 def token_blocks(texts: Iterator, words: Words, batch: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -237,12 +247,15 @@ def updated(weights: np.ndarray, texts: Iterator, words: Words, rate: float = 0.
     w, seen, total = weights.copy(), np.full(weights.shape, 1e-2, np.float32), 0
 
     def step(at, g: np.ndarray) -> None:
-        seen[at] += g * g
-        w[at] -= rate * g / np.sqrt(seen[at])
+        s = seen[at] + g * g
+        seen[at] = s
+        g *= rate
+        g /= np.sqrt(s, out=s)
+        w[at] -= g
 
     for ids, places in token_blocks(texts, words, BATCH):
         for _, cls, features in spans(ids, places, words):
-            g = np.exp(log_softmax(logits(w, features)))
+            g = softmax(logits(w, features))
             g[np.arange(len(cls)), cls] -= 1
             g /= len(cls) ** 0.5
             dense, rows = features
@@ -251,7 +264,7 @@ def updated(weights: np.ndarray, texts: Iterator, words: Words, rate: float = 0.
                 order = np.argsort(r.astype(np.uint16), kind="stable")
                 sorted_ = r[order]
                 first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-                step(sorted_[first], np.add.reduceat(g[order], first, axis=0))
+                step(sorted_[first], np.add.reduceat(g.take(order, axis=0), first, axis=0))
             total += len(cls)
     return w - weights, total
 
@@ -342,7 +355,7 @@ def score(docs: DataFrame, rounds: int = 3, top: int = TOP) -> DataFrame:
                 cls = words.cls[flat]
                 p_class = np.empty(len(flat))
                 for a, c, f in spans(flat, places, words):
-                    p_class[a : a + len(c)] = log_softmax(logits(weights, f))[np.arange(len(c)), c]
+                    p_class[a : a + len(c)] = log_shares(logits(weights, f), c)
                 top = flat < words.known
                 log_c = np.where(top, logs[np.where(top, flat, 0)], 0.0)
                 total = lambda x: np.bincount(which, x, len(ids))  # noqa: E731, B023
