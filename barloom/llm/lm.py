@@ -85,6 +85,15 @@ def counts(docs: DataFrame) -> DataFrame:
         names = ["word", "ending", "pair", "n"]
         words, ends, pairs = Counter(), 0, np.zeros(ENDINGS**2, np.int64)
         buckets = Endings()
+        met: list[np.ndarray] = []
+        held = 0
+
+        def tally() -> None:
+            nonlocal held
+            if met:
+                pairs[:] += np.bincount(np.concatenate(met), minlength=ENDINGS**2)
+            met.clear()
+            held = 0
 
         def flush() -> pa.RecordBatch:
             keys = list(words)
@@ -99,13 +108,15 @@ def counts(docs: DataFrame) -> DataFrame:
                 ends += 1
                 e = np.fromiter(map(buckets.__getitem__, [w[-2:] for w in ws]), np.int64, len(ws))
                 for d in (1, 2, 3):
-                    if len(e) > d:
-                        at, n = np.unique(e[d:] * ENDINGS + e[:-d], return_counts=True)
-                        pairs[at] += n
+                    met.append(e[d:] * ENDINGS + e[:-d])
+                held += len(e)
+                if held > 1 << 18:
+                    tally()
                 if len(words) > CACHE:
                     yield flush()
         if words:
             yield flush()
+        tally()
         if ends:
             at = np.flatnonzero(pairs)
             n = len(at) + 1
@@ -171,8 +182,8 @@ class Words:
         return np.fromiter(map(self.table.__getitem__, words), np.int64, len(words))
 
 
-def contexts(cls: np.ndarray, row: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token, the dense features (bias, classes before, as counts) and the rows of the hashed ones.
+def contexts(cls: np.ndarray, row: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each token, the classes at the distances before it and the rows of its hashed features.
     starts: each token's place in its text; before the first word stands the end's class and the last row."""
 
     def back(x: np.ndarray, k: int, edge: int) -> np.ndarray:
@@ -183,20 +194,35 @@ def contexts(cls: np.ndarray, row: np.ndarray, starts: np.ndarray) -> tuple[np.n
 
     c = [back(cls, k, 0) for k in range(1, NEAR + FAR + 1)]
     w = [back(row, k, ROWS - 1) for k in (1, 2)]
-    dense, at = np.zeros((len(cls), DENSE), np.float32), np.arange(len(cls))
+    return c, np.stack([_AT[3] + c[0] * CLASSES + c[1], _AT[4] + w[0], _AT[5] + w[1], _AT[6] + (w[0] * 92821 + w[1] * 68917) % BIGRAMS])
+
+
+def dense_features(c: list[np.ndarray]) -> np.ndarray:
+    """Bias and classes before, as counts."""
+    dense, at = np.zeros((len(c[0]), DENSE), np.float32), np.arange(len(c[0]))
     dense[:, 0] = 1
     for k in range(NEAR):
         dense[at, _AT[1] + k * CLASSES + c[k]] = 1
     for k in range(NEAR, NEAR + FAR):
         dense[at, _AT[2] + c[k]] += 1
-    rows = [_AT[3] + c[0] * CLASSES + c[1], _AT[4] + w[0], _AT[5] + w[1], _AT[6] + (w[0] * 92821 + w[1] * 68917) % BIGRAMS]
-    return dense, np.stack(rows)
+    return dense
+
+
+def pair_tables(weights: np.ndarray) -> list[np.ndarray]:
+    """For the classes at distances (1, 2), (3, 4), ...: the summed weights of every pair of classes,
+    the first with the bias and the pair's own feature."""
+    of = [weights[a : a + CLASSES] for a in [*range(_AT[1], _AT[2], CLASSES), *[_AT[2]] * FAR]]
+    out = [(x[:, None] + y[None]).reshape(-1, CLASSES) for x, y in zip(of[::2], of[1::2], strict=True)]
+    out[0] += weights[0] + weights[_AT[3] : _AT[4]]
+    return out
 
 
-def logits(weights: np.ndarray, features: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    dense, rows = features
-    out = dense @ weights[:DENSE]
-    for r in rows:
+def logits(weights: np.ndarray, tables: list[np.ndarray], features: tuple[list[np.ndarray], np.ndarray]) -> np.ndarray:
+    c, rows = features
+    out = tables[0].take(c[0] * CLASSES + c[1], axis=0)
+    for k, t in enumerate(tables[1:], 1):
+        out += t.take(c[2 * k] * CLASSES + c[2 * k + 1], axis=0)
+    for r in rows[1:]:  # the first is in the first table
         out += weights.take(r, axis=0)
     return out
 
@@ -238,8 +264,8 @@ def spans(ids: np.ndarray, places: np.ndarray, words: Words, step: int = BATCH)
     far = NEAR + FAR
     for a in range(0, len(ids), step):
         lo = max(0, a - far)
-        dense, rows = contexts(cls[lo : a + step], row[lo : a + step], places[lo : a + step])
-        yield a, cls[a : a + step], (dense[a - lo :], rows[:, a - lo :])
+        c, rows = contexts(cls[lo : a + step], row[lo : a + step], places[lo : a + step])
+        yield a, cls[a : a + step], ([x[a - lo :] for x in c], rows[:, a - lo :])
 
 
 def updated(weights: np.ndarray, texts: Iterator, words: Words, rate: float = 0.3) -> tuple[np.ndarray, int]:
@@ -255,11 +281,11 @@ def updated(weights: np.ndarray, texts: Iterator, words: Words, rate: float = 0.
 
     for ids, places in token_blocks(texts, words, BATCH):
         for _, cls, features in spans(ids, places, words):
-            g = softmax(logits(w, features))
+            g = softmax(logits(w, pair_tables(w), features))
             g[np.arange(len(cls)), cls] -= 1
             g /= len(cls) ** 0.5
-            dense, rows = features
-            step(slice(0, DENSE), dense.T @ g)
+            c, rows = features
+            step(slice(0, DENSE), dense_features(c).T @ g)
             for r in rows:  # fewer than 65,536 rows in all: the sort is by counting
                 order = np.argsort(r.astype(np.uint16), kind="stable")
                 sorted_ = r[order]
@@ -338,6 +364,7 @@ def score(docs: DataFrame, rounds: int = 3, top: int = TOP) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights, logs, end_known, per_class = known.value
+        tables = pair_tables(weights)
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts, at = batch.column("text"), 0
@@ -355,7 +382,7 @@ def score(docs: DataFrame, rounds: int = 3, top: int = TOP) -> DataFrame:
                 cls = words.cls[flat]
                 p_class = np.empty(len(flat))
                 for a, c, f in spans(flat, places, words):
-                    p_class[a : a + len(c)] = log_shares(logits(weights, f), c)
+                    p_class[a : a + len(c)] = log_shares(logits(weights, tables, f), c)
                 top = flat < words.known
                 log_c = np.where(top, logs[np.where(top, flat, 0)], 0.0)
                 total = lambda x: np.bincount(which, x, len(ids))  # noqa: E731, B023
