@@ -371,3 +371,18 @@ def test_sql(spark, name):
     df = QUERIES[name](spark, SF)
     assert sorted(df.columns) == names
     assert sorted(tuple(shown(r[c]) for c in names) for r in df.collect()) == want
+
+
+def test_lm_forward_pass_by_tables_equals_the_dense_product():
+    rng = np.random.default_rng(0)
+    n = 500
+    cls, row = rng.integers(0, lm.CLASSES, n), rng.integers(0, lm.ROWS, n)
+    places = np.concatenate([np.arange(3), np.arange(n - 3)])
+    c, rows = lm.contexts(cls, row, places)
+    weights = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32)
+    z = lm.dense_features(c) @ weights[: lm.DENSE] + sum(weights[r] for r in rows)
+    np.testing.assert_allclose(lm.logits(weights, lm.pair_tables(weights), (c, rows)), z, atol=1e-4)
+    p = np.exp(z.astype(float))
+    p /= p.sum(axis=1, keepdims=True)
+    np.testing.assert_allclose(lm.log_shares(z.copy(), cls), np.log(p[np.arange(n), cls]), atol=1e-4)
+    np.testing.assert_allclose(lm.softmax(z.copy()), p, atol=1e-5)
