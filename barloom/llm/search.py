@@ -7,7 +7,7 @@ folder; every document is in one of them.
 Statistics. Document count, average length and document frequencies come from all shards, so
 scores of different shards compare.
 
-Search. Queries go out in bounded blocks. In a shard, a query's terms have upper bounds w *
+Search. Queries go out in blocks bounded by their number and that of their terms. In a shard, a query's terms have upper bounds w *
 (largest impact); if their sum stays under the query's threshold, the shard is done. Else
 only documents of essential terms (the others' bounds together stay under the threshold) in
 blocks of BLOCK documents whose summed block maxima reach the threshold are scored. The
@@ -93,9 +93,9 @@ def idf(df: Column, rows: int) -> Column:
     return F.log1p((F.lit(float(rows)) - df + 0.5) / (df + 0.5))
 
 
-def query_terms(queries: DataFrame, index: DataFrame, rows: int, most: int = TERMS) -> DataFrame:
+def query_terms(queries: DataFrame, index: DataFrame, rows: int, most: int | None = TERMS) -> DataFrame:
     """query (hash of id and text), query_id, term, weight: the `most` words of each whole text with the
-    largest tf * idf, ties by word. weight = idf."""
+    largest tf * idf, ties by word; all its distinct words if most is None. weight = idf."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,13 +112,15 @@ def query_terms(queries: DataFrame, index: DataFrame, rows: int, most: int = TER
     split = queries.mapInArrow(run, "query long, query_id long, word binary, term long, tf long")
     df = index.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"))
     rated = split.join(df, "term").withColumn("weight", idf(F.col("df"), rows))
+    if most is None:
+        return rated.select("query", "query_id", "term", "weight")
     best = Window.partitionBy("query").orderBy(F.desc(F.col("tf") * F.col("weight")), "word")
     return rated.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("query", "query_id", "term", "weight")
 
 
 @dataclass
 class Queries:
-    """A block of queries, as flat arrays sorted by query; bounded by its size times TERMS."""
+    """A block of queries, as flat arrays sorted by query; bounded by QUERY_BLOCK times TERMS terms."""
 
     ids: np.ndarray
     starts: np.ndarray
@@ -192,11 +194,12 @@ class Shard:
         return hits, scores[hits]
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = TERMS, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int | None = TERMS, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, doc_id, score: for each query row (query_id, text) the k best documents by BM25.
 
     Scores are rounded to DIGITS places; ties go to the lesser doc_id, nulls last. A query takes the
-    `terms` words of its whole text with the largest tf * idf, ties by word. Queries without words, and null texts, have no results; documents without
+    `terms` words of its whole text with the largest tf * idf, ties by word, or with terms=None all
+    distinct words of it. Queries without words, and null texts, have no results; documents without
     words are never found; repeated query rows are answered once, repeated documents found each;
     an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
@@ -204,8 +207,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = TERMS,
     shards, rows, words = index.agg(F.count("*"), F.sum("n"), F.sum("words")).first()
     mean_length = max(1.0, (words or 0) / max(1, rows or 1))
     asked = queries.select(F.xxhash64("query_id", "text").alias("query"), F.col("query_id").cast("long").alias("query_id"), "text").where("text IS NOT NULL").dropDuplicates(["query"])
-    blocks = -(-asked.count() // query_block) or 1
-    wanted = saved(query_terms(asked, index, rows or 0, terms).withColumn("part", F.pmod(F.xxhash64(F.lit(11), "query"), F.lit(blocks))), "search-queries")
+    wanted = saved(query_terms(asked, index, rows or 0, terms), "search-queries")
+    blocks = max(-(-asked.count() // query_block), -(-wanted.count() // (query_block * TERMS))) or 1
+    wanted = wanted.withColumn("part", F.pmod(F.xxhash64(F.lit(11), "query"), F.lit(blocks)))
     found = None
     for part in range(blocks):
         block = _answered(spark, index, wanted.where(F.col("part") == part), shards, mean_length, k)
@@ -214,9 +218,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = TERMS,
 
 
 def _answered(spark, index: DataFrame, wanted: DataFrame, shards: int, mean_length: float, k: int) -> DataFrame:
-    # a block's terms: at most about query_block x terms rows of three numbers
-    rows = wanted.select("query", "term", "weight").orderBy("query", F.desc("weight"), "term").toPandas()
+    # a block's terms: at most about query_block x TERMS rows of three numbers
+    rows = wanted.select("query", "term", "weight").orderBy("query", F.desc("weight"), "term").toArrow()
     q, t, w = (rows[c].to_numpy() for c in ("query", "term", "weight"))
+    del rows
     ids, starts = np.unique(q, return_index=True)
     distinct, place = np.unique(t, return_inverse=True)
     block = Queries(ids, np.r_[starts, len(q)], place, w, np.zeros(len(ids)))
@@ -243,9 +248,11 @@ def _answered(spark, index: DataFrame, wanted: DataFrame, shards: int, mean_leng
         wave = index.where((order >= low) & (order < high)).select("doc_ids", "null_ids", "lengths", "terms", "df", "docs", "tf").mapInArrow(run, "query long, doc_id long, score double")
         hits = wave if hits is None else hits.unionByName(wave)
         hits = saved(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "search-hits")
+        least.destroy()  # the wave's rows are in a table
         low, size = high, size * 4
         if low < 1 << 30:
             at = hits.groupBy("query").agg(F.min("score").alias("s"), F.count("*").alias("n")).where(F.col("n") >= k).toPandas()  # one row a query of the block
             block.least[np.searchsorted(block.ids, at["query"].to_numpy())] = at["s"].to_numpy()
+    shared.destroy()
     named = wanted.select("query", "query_id").distinct()
     return hits.withColumn("rank", F.row_number().over(best)).join(named, "query").select("query_id", "rank", "doc_id", "score")
