@@ -1,11 +1,13 @@
 r"""Secret scans: patterns on whole texts, then linking of multipart credentials.
 
 Every text is scanned for strong parts (assigned secrets, access identifiers, long hex) and
-for weak ones: endpoints, user names, and bare strings of 32 to 64 base64 characters. A weak
+for weak ones: endpoints, user names, and bare strings of 32 and more base64 characters. A weak
 part alone is noise; it is reported only where a part that completes it stands in the same
-scope: the same document, within `SCOPE` code points. An interval join finds those pairs:
-parts are dealt to bins of SCOPE code points, each access part goes to its own bin and both
-neighbours, and the exact distance is checked.
+scope: the same document, with a gap of at most `SCOPE` code points from the end of one to
+the start of the other, however long they are. An interval join finds those pairs: a weak
+part overlaps none that it can meet, so the gap lies between a start and an end; weak parts
+are dealt to the bins (of SCOPE code points) of both, all parts to the bins of both and their
+neighbours, and the exact gap is checked.
 
     identifier (access, user)  +  secret (assign, hex, bare)  +  endpoint (any two roles)
 
@@ -30,9 +32,9 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Runs shorter than 24 can only fail, and a longer run is one match either way.
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts, reported only in company.
-ENDPOINT = re.compile(r"\b(?:https?|s3|gs|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,200}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b", re.ASCII)
-USER = re.compile(r"""\b(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,64})""", re.IGNORECASE | re.ASCII)
-BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,64}={0,2}(?![A-Za-z0-9+/_=-])")
+ENDPOINT = re.compile(r"\b(?:https?|s3|gs|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b", re.ASCII)
+USER = re.compile(r"""\b(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
+BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = ["assign", "access", "hex", "endpoint", "user", "bare"]
 ROLE = {"assign": "secret", "access": "identifier", "hex": "secret", "endpoint": "endpoint", "user": "identifier", "bare": "secret"}
 STRONG = 3
@@ -97,10 +99,11 @@ def linked(scans: DataFrame, scope: int = SCOPE) -> DataFrame:
     texts = scans.where("sha IS NOT NULL").groupBy("sha").agg(F.first("base").alias("base"), F.first("weak").alias("weak"))
     part = texts.select("sha", F.explode(F.concat("base", "weak")).alias("p")).select("sha", "p.*")
     part = part.withColumn("role", F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("kind") + 1))
-    part = part.withColumn("bin", F.floor(F.col("start") / scope).cast("int"))
-    weak = part.where(F.col("kind") >= STRONG)
-    near = part.select("sha", F.col("role").alias("role2"), F.col("start").alias("start2"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    met = weak.join(near, ["sha", "bin"]).where((F.col("role") != F.col("role2")) & (F.abs(F.col("start") - F.col("start2")) <= scope))
+    bins = lambda *steps: F.explode(F.array_distinct(F.array(*[F.floor(F.col(c) / scope).cast("int") + k for c in ("start", "end") for k in steps]))).alias("bin")
+    weak = part.where(F.col("kind") >= STRONG).select("*", bins(0))
+    near = part.select("sha", F.col("role").alias("role2"), F.col("start").alias("start2"), F.col("end").alias("end2"), bins(-1, 0, 1))
+    gap = F.greatest("start", "start2") - F.least("end", "end2")
+    met = weak.join(near, ["sha", "bin"]).where((F.col("role") != F.col("role2")) & (gap <= scope))
     # an endpoint or a user name needs a secret; a bare string needs either of them
     met = met.where((F.col("role2") == "secret") | (F.col("role") == "secret"))
     return met.groupBy("sha").agg(F.collect_set(F.struct("kind", "start", "end")).alias("found"))

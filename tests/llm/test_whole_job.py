@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from barloom.llm import search
+from barloom.llm import search, secrets
 from barloom.llm.queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -50,3 +50,37 @@ def test_whole_text_query_matches_sql(spark):
     got = [tuple(r) for r in QUERIES["op6_bm25_whole_text"](spark, SF).select("query_id", "rank", "doc_id", "score").collect()]
     assert [r[:3] for r in sorted(got)] == [r[:3] for r in sorted(want)]
     assert [r[3] for r in sorted(got)] == pytest.approx([r[3] for r in sorted(want)], abs=1e-5)
+
+
+KEY88 = "aB3+" * 21 + "xY=="
+URL = "https://host.example/" + "long/" * 80 + "tail"
+USER80 = "u" * 80
+SECRET = "password=" + "Zz9" * 300
+FILL = " .," * 130 + " "  # under 400 code points
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds", "left"),
+    [
+        (f"AKIA{'A1' * 8} at https://host.example/x {KEY88}", ["access", "endpoint", "bare"], ["aB3"]),
+        (f"AKIA{'A1' * 8} {'aB3/' * 200}", ["access", "bare"], ["aB3"]),
+        (f"{URL} password=hunter2hunter2", ["endpoint", "assign"], ["long", "tail"]),
+        (f"user={USER80} password=hunter2hunter2", ["user", "assign"], ["uu"]),
+        (f"{SECRET} https://host.example/path", ["assign", "endpoint"], ["example"]),
+        (f"{SECRET}{FILL}user=someone", ["assign", "user"], ["someone"]),
+        (f"{URL}{FILL}{SECRET}", ["endpoint", "assign"], ["long"]),
+    ],
+)
+def test_secrets_of_any_length(spark, text, kinds, left):
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    parts = secrets.scan(docs).first()["parts"]
+    assert [secrets.KINDS[p["kind"]] for p in parts] == kinds
+    out = secrets.redacted(docs).first()["text"]
+    assert not any(x in out for x in left)
+
+
+def test_secrets_out_of_scope_stay_apart(spark):
+    texts = [f"{SECRET}{'~' * n} user=someone" for n in (0, 399, 400, 1200)]  # the gap is n and a space
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [len(r["parts"]) for r in secrets.scan(docs).orderBy("doc_id").collect()]
+    assert got == [2, 2, 1, 1]
