@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.regime import Hmm, densities
+from barloom.sources.shared import shared_dir
 
 
 def stream_bars(ticks: DataFrame, interval: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -42,13 +44,36 @@ def stream_filter(rows: DataFrame, h: Hmm, columns: list[str]) -> DataFrame:
     return rows.groupBy("symbol").applyInPandasWithState(run, schema, "a array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
-def bars_once(spark: SparkSession, sf_dir: str, symbols: int, name: str) -> DataFrame:
-    """The bars that a stream over the events table closes when it has read all of it."""
-    path = f"{sf_dir}/events.parquet"
+#: Later than any tick: moves the watermark past the last windows once all ticks are read.
+CLOSING = "2500-01-01 00:00:00"
+
+
+def bars_once(spark: SparkSession, sf_dir: str, symbols: int) -> DataFrame:
+    """The bars of a stream over the events table, all of them closed, as a table in the shared folder.
+
+    A closing tick without a symbol comes in with the events; its own window stays open, and what other windows
+    hold is written by the file sink, so nothing passes through the driver."""
+    path, folder = f"{sf_dir}/events.parquet", f"{shared_dir(spark)}/stream-bars-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    folder, _, leaf = path.rpartition("/")
-    e = spark.readStream.schema(schema).option("pathGlobFilter", leaf).parquet(folder)
+    closing = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.lit(CLOSING).cast(f.dataType).alias("ts") for f in schema])
+    closing.write.parquet(f"{folder}/closing")
+    parent, _, leaf = path.rpartition("/")
+    e = spark.readStream.schema(schema).option("pathGlobFilter", leaf).parquet(parent) if not leaf_is_folder(spark, path) else spark.readStream.schema(schema).parquet(path)
+    e = e.unionByName(spark.readStream.schema(schema).parquet(f"{folder}/closing"))
     ticks = e.select(F.concat(F.lit("S"), (F.col("user_id") % symbols).cast("string")).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("tick"), F.col("value").alias("price"), (1 + F.col("event_id") % 10).alias("size"), F.col("event_type").isin("click", "purchase").alias("is_buy"))
-    q = stream_bars(ticks).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    bars = stream_bars(ticks)
+    q = bars.writeStream.format("parquet").option("path", f"{folder}/bars").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(bars.schema).parquet(f"{folder}/bars").where("symbol IS NOT NULL")
+
+
+def leaf_is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether the table is a folder of files, as Spark's writers make, or one file."""
+    return not spark.read.parquet(path).inputFiles()[0].rstrip("/").endswith(path.rpartition("/")[2])
+
+
+def session_bars(ticks: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Trading sessions of a symbol: ticks no further apart than `gap`; closed once the watermark is past them."""
+    g = ticks.withWatermark("ts", late).groupBy("symbol", F.session_window("ts", gap).alias("w"))
+    s = g.agg(F.count("*").alias("num_trades"), F.sum("size").cast("double").alias("volume"), F.min("price").alias("low"), F.max("price").alias("high"))
+    return s.select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "num_trades", "volume", "low", "high")
