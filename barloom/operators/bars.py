@@ -67,8 +67,10 @@ def price_features(bars: DataFrame, n: int = 14, vwap_n: int = 24) -> DataFrame:
     b = positioned(bars).withColumns({
         "log_return": positive_log(c("close")) - positive_log(before),
         "true_range": F.greatest(c("high") - c("low"), F.abs(c("high") - before), F.abs(c("low") - before)),
-        "gk": F.greatest(0.5 * F.pow(F.ln(c("high") / c("low")), 2) - (2 * F.ln(F.lit(2.0)) - 1) * F.pow(F.ln(c("close") / c("open")), 2), F.lit(0.0)),
+        "gk": 0.5 * F.pow(positive_log(c("high")) - positive_log(c("low")), 2) - (2 * F.ln(F.lit(2.0)) - 1) * F.pow(positive_log(c("close")) - positive_log(c("open")), 2),
     })
+    # greatest skips NULL: a bar with a price of zero has no range volatility
+    b = b.withColumn("gk", F.when(c("gk").isNotNull(), F.greatest(c("gk"), F.lit(0.0))))
     b = b.withColumns({
         f"realized_vol_{n}": w.deviation(c("log_return"), n),
         f"gk_vol_{n}": F.sqrt(w.mean(c("gk"), n)),
@@ -81,10 +83,12 @@ def price_features(bars: DataFrame, n: int = 14, vwap_n: int = 24) -> DataFrame:
     })
 
 
-def orderflow_features(flow: DataFrame, price: DataFrame, n: int = 24, pressures: tuple[int, ...] = (3, 6, 12)) -> DataFrame:
-    """Order-flow efficiency, absorption and divergence, with means over pressure windows and their spreads."""
+def orderflow_features(flow: DataFrame, n: int = 24, pressures: tuple[int, ...] = (3, 6, 12, 24)) -> DataFrame:
+    """Order-flow efficiency, absorption and divergence, with means over pressure windows and their spreads.
+
+    flow: bars with flow and price features, made one on the other, so that nothing is joined."""
     c = F.col
-    b = flow.join(price.select("symbol", "ts", "log_return", "realized_vol_14"), ["symbol", "ts"])
+    b = flow
     b = b.withColumns({
         "taker_imbalance": clip(2 * c("taker_buy_ratio") - 1, -1, 1),
         "normalized_return": clip(safe_div(c("log_return"), c("realized_vol_14"), 0.0), -10, 10),
@@ -103,8 +107,8 @@ def orderflow_features(flow: DataFrame, price: DataFrame, n: int = 24, pressures
     for k in pressures:
         wide |= {f"taker_imbalance_mean_{k}": w.mean(c("taker_imbalance"), k), f"cvd_pressure_{k}": w.total(c("cvd_norm"), k), f"absorption_pressure_{k}": w.mean(c("absorption_pressure"), k), f"cvd_price_divergence_{k}": w.mean(c("cvd_price_divergence"), k)}
     b = b.withColumns(wide)
-    fast, slow = pressures[-2], pressures[-1]
-    return b.withColumn(f"cvd_pressure_{slow}_minus_{fast}", c(f"cvd_pressure_{slow}") - c(f"cvd_pressure_{fast}"))
+    spread = lambda slow, fast: c(f"cvd_pressure_{slow}") - c(f"cvd_pressure_{fast}")
+    return b.withColumns({f"cvd_pressure_{slow}_minus_{fast}": spread(slow, fast) for fast, slow in zip(pressures, pressures[1:])})
 
 
 def stable(x, n: int, limit: float = 5.0, scale: float = 2.0) -> dict:
@@ -120,8 +124,10 @@ def interactions(source, context) -> dict:
     return {"signed": s * k, "high": s * side(k), "low": s * side(-k)}
 
 
-def intrahour(bars: DataFrame, expected: int = 4, least: int = 2) -> DataFrame:
-    """Shape of an hour's smaller bars: hours with fewer than `least` bars are dropped. One row an hour."""
+def intrahour(bars: DataFrame, expected: int = 4, least: int | None = None) -> DataFrame:
+    """Shape of an hour's smaller bars, one row an hour; hours with fewer than `least` bars (`expected`, if not
+    given) are dropped. A price move is the log return over the range as a share of the open, of the hour or of
+    its half; it is NULL without a range or a positive open."""
     c = F.col
     b = bars.withColumns({
         "hour": bucket("ts", 3600),
@@ -134,55 +140,96 @@ def intrahour(bars: DataFrame, expected: int = 4, least: int = 2) -> DataFrame:
         "imb": clip(2 * c("ratio") - 1, -1, 1),
         "cvd": c("taker_buy_base_vol") - F.greatest(c("volume") - c("taker_buy_base_vol"), F.lit(0.0)),
         "vpt": safe_div(c("volume"), c("num_trades")),
-    }).where(c("n") >= least)
-    b = b.withColumn("early", c("i") < F.greatest(F.lit(1), F.floor(c("n") / 2)))
-    late = ~c("early")
-    of = lambda cond, x: F.when(cond, c(x))
-    first, end = lambda x: F.min_by(x, "i"), lambda x: F.max_by(x, "i")
+    }).where(c("n") >= (expected if least is None else least))
+    b = b.withColumns({
+        "early": c("i") < F.greatest(F.lit(1), F.floor(c("n") / 2)),
+        "running": F.sum("cvd").over(hour.orderBy("ts").rowsBetween(w.W.unboundedPreceding, 0)),
+    })
+    halves = {"": F.lit(True), "_early": c("early"), "_late": ~c("early")}
+    of = lambda half, x: F.when(halves[half], c(x))
+    end = lambda x: F.max_by(x, "i")
     a = b.groupBy("symbol", c("hour").alias("ts")).agg(
         F.count("*").alias("bar_count"),
         F.avg("imb").alias("imb_mean"),
         end("imb").alias("imb_last"),
-        (F.avg(of(late, "imb")) - F.avg(of(c("early"), "imb"))).alias("imb_late_minus_early"),
+        (F.avg(of("_late", "imb")) - F.avg(of("_early", "imb"))).alias("imb_late_minus_early"),
         F.regr_slope("imb", c("i").cast("double")).alias("imb_slope"),
+        F.regr_slope("running", c("i").cast("double")).alias("cvd_slope"),
         (F.max("ratio") - F.min("ratio")).alias("buy_ratio_range"),
-        F.sum("cvd").alias("cvd"),
-        F.coalesce(F.sum(of(late, "cvd")), F.lit(0.0)).alias("cvd_late"),
-        F.coalesce(F.sum(of(c("early"), "cvd")), F.lit(0.0)).alias("cvd_early"),
-        F.sum("volume").alias("volume"),
         end("volume").alias("volume_last"),
-        F.sum(of(late, "volume")).alias("volume_late"),
-        F.sum("num_trades").alias("trades"),
         end("num_trades").alias("trades_last"),
+        end("taker_buy_base_vol").alias("buy_last"),
+        F.sum("taker_buy_base_vol").alias("buy"),
         end("vpt").alias("vpt_last"),
         F.avg("vpt").alias("vpt_mean"),
         F.max("vpt").alias("vpt_max"),
-        F.max("high").alias("high"),
-        F.min("low").alias("low"),
-        first("open").alias("open"),
-        end("close").alias("close"),
-        F.max_by("close", F.when(c("early"), c("i"))).alias("close_early"),
-        F.min_by("open", F.when(late, c("i"))).alias("open_late"),
-    )
-    span = c("high") - c("low") + 1e-12
-    move, late_move, early_move = (clip((x - y) / span, -1, 1) for x, y in ((c("close"), c("open")), (c("close"), c("open_late")), (c("close_early"), c("open"))))
-    flow, late_flow, early_flow = (safe_div(c(x), c("volume"), 0.0) for x in ("cvd", "cvd_late", "cvd_early"))
-    up = lambda x: F.greatest(x, F.lit(0.0))
+        *[x for k in halves for x in (
+            F.coalesce(F.sum(of(k, "cvd")), F.lit(0.0)).alias(f"cvd{k}"),
+            F.coalesce(F.sum(of(k, "volume")), F.lit(0.0)).alias(f"volume{k}"),
+            F.coalesce(F.sum(of(k, "num_trades")), F.lit(0)).alias(f"trades{k}"),
+            F.max(of(k, "high")).alias(f"high{k}"),
+            F.min(of(k, "low")).alias(f"low{k}"),
+            F.min_by("open", F.when(halves[k], c("i"))).alias(f"open{k}"),
+            F.max_by("close", F.when(halves[k], c("i"))).alias(f"close{k}"),
+        )],
+    )
+
+    def move(k: str):
+        span = safe_div(F.greatest(c(f"high{k}") - c(f"low{k}"), F.lit(0.0)), F.when(c(f"open{k}") > 0, c(f"open{k}")))
+        return F.when(span > 0, clip((positive_log(c(f"close{k}")) - positive_log(c(f"open{k}"))) / (span + 1e-12), -1, 1))
+
+    a = a.withColumns({f"move{k}": move(k) for k in halves} | {f"flow{k}": safe_div(c(f"cvd{k}"), c("volume")) for k in halves})
+    up = lambda x: F.when(x.isNotNull(), F.greatest(x, F.lit(0.0)))
+    buys = lambda k: up(c(f"flow{k}")) * up(-c(f"move{k}"))
+    sells = lambda k: up(-c(f"flow{k}")) * up(c(f"move{k}"))
+    reversal = lambda x: F.coalesce(F.when(c(f"{x}_early") != 0, up(-F.signum(c(f"{x}_early")) * c(f"{x}_late"))), F.lit(0.0))
+    less_one = lambda x, y: safe_div(x, y) - 1
+    per_trade = lambda k: safe_div(c(f"volume{k}"), c(f"trades{k}"))
+    share = lambda x: safe_div(x, c("volume"))
     return a.select(
         "symbol", "ts", "bar_count",
         (c("bar_count") / expected).alias("coverage"),
         "imb_mean", "imb_last", "imb_late_minus_early", "imb_slope", "buy_ratio_range",
-        flow.alias("cvd_pressure_norm"),
-        (late_flow - early_flow).alias("cvd_pressure_late_minus_early_norm"),
-        move.alias("price_move_norm"),
-        (F.signum(c("cvd")) * move).alias("flow_price_alignment"),
-        (up(flow) * up(-move)).alias("buy_absorption"),
-        (up(-flow) * up(move)).alias("sell_absorption"),
-        up(-F.signum(early_flow) * late_flow).alias("late_flow_reversal"),
-        up(-F.signum(early_move) * late_move).alias("late_price_reversal"),
-        safe_div(c("volume_last"), c("volume"), 0.0).alias("volume_share_last"),
-        safe_div(c("volume_late"), c("volume"), 0.0).alias("volume_share_late"),
-        safe_div(c("trades_last"), c("trades"), 0.0).alias("trade_share_last"),
-        (safe_div(c("vpt_last"), c("vpt_mean"), 1.0) - 1).alias("vpt_last_vs_hour"),
-        (safe_div(c("vpt_max"), c("vpt_mean"), 1.0) - 1).alias("large_trade_concentration"),
+        c("flow").alias("cvd_pressure_norm"),
+        (c("flow_late") - c("flow_early")).alias("cvd_pressure_late_minus_early_norm"),
+        share(c("cvd_slope")).alias("cvd_slope_norm"),
+        c("move").alias("price_move_norm"),
+        (F.signum(c("flow")) * c("move")).alias("flow_price_alignment"),
+        buys("").alias("buy_absorption"),
+        sells("").alias("sell_absorption"),
+        (buys("") - sells("")).alias("absorption_imbalance"),
+        buys("_late").alias("late_buy_absorption"),
+        sells("_late").alias("late_sell_absorption"),
+        (buys("_late") - sells("_late")).alias("late_absorption_imbalance"),
+        reversal("flow").alias("late_flow_reversal"),
+        reversal("move").alias("late_price_reversal"),
+        (F.signum(c("flow_late")) * c("move_late")).alias("late_flow_price_alignment"),
+        share(c("volume_last")).alias("volume_share_last"),
+        share(c("volume_late")).alias("volume_share_late"),
+        safe_div(c("trades_last"), c("trades")).alias("trade_share_last"),
+        less_one(c("vpt_last"), per_trade("")).alias("vpt_last_vs_hour"),
+        less_one(per_trade("_late"), per_trade("_early")).alias("vpt_late_vs_early"),
+        less_one(c("vpt_max"), c("vpt_mean")).alias("large_trade_concentration"),
+        safe_div(c("buy_last"), c("buy")).alias("buy_volume_share_last"),
+        share(up(c("imb_last")) * c("volume_last")).alias("aggressive_buy_burst"),
+        share(up(-c("imb_last")) * c("volume_last")).alias("aggressive_sell_burst"),
     )
+
+
+def stationary_features(bars: DataFrame, n: int = 24) -> DataFrame:
+    """Scale-free forms of a bar's features; bars with flow and price features, denoised columns where they are."""
+    c = F.col
+    log1p = lambda x: F.log1p(F.when(x.isNotNull(), F.greatest(x, F.lit(0.0))))
+    b = bars.withColumns({
+        "_volume": w.mean(c("volume"), n),
+        "volume_log_zscore": w.zscore(log1p(c("volume")), n),
+        "vol_per_trade_log_zscore": w.zscore(log1p(c("vol_per_trade")), n),
+        "atr_14_pct": safe_div(c("atr_14"), c("close")),
+    })
+    b = b.withColumns({"true_cvd_delta_norm": safe_div(c("true_cvd_delta"), c("_volume")), "cvd_cumulative_rate_norm": safe_div(c("cvd_cumulative_rate"), c("_volume"))})
+    if "close_denoised" in bars.columns:
+        x = positive_log(c("close_denoised"))
+        b = b.withColumn("close_denoised_log_return", x - F.lag(x).over(w.ordered()))
+    if "volume_denoised" in bars.columns:
+        b = b.withColumn("volume_denoised_log_zscore", w.zscore(log1p(c("volume_denoised")), n))
+    return b.drop("_volume")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import safe_div
+
 
 def triple_barrier(bars: DataFrame, atr: str, up: float = 2.0, down: float = 5.0, horizon: int = 10) -> DataFrame:
     """Long-only: the first of take-profit (close + up * atr), stop-loss (close - down * atr) and the
@@ -24,27 +28,55 @@ def triple_barrier(bars: DataFrame, atr: str, up: float = 2.0, down: float = 5.0
         "label": (F.col("hit_type") == "tp").cast("int"),
         "exit_bar": F.coalesce("_hit.pos", end["pos"]).cast("long"),
         "exit_ts": F.coalesce("_hit.ts", end["ts"]),
-        "tb_return": (exit_price - F.col("close")) / F.col("close"),
+        "tb_return": safe_div(exit_price - F.col("close"), F.col("close")),
     }).drop("_ahead", "_tp", "_sl", "_hit")
 
 
 def forward_return(bars: DataFrame, horizon: int = 10) -> DataFrame:
     ahead = F.lead("close", horizon).over(Window.partitionBy("symbol").orderBy("ts"))
-    return bars.withColumn(f"fwd_return_{horizon}h", ahead / F.col("close") - 1)
+    return bars.withColumn(f"fwd_return_{horizon}h", safe_div(ahead, F.col("close")) - 1)
+
+
+@dataclass(frozen=True)
+class Folds:
+    """Ranges of row numbers [lo, hi) of train, (purge), val, (embargo), test, moved on by step."""
+
+    train: int
+    val: int
+    test: int
+    step: int
+    purge: int = 24
+    embargo: int = 6
+
+    def ranges(self) -> list[tuple[str, int, int]]:
+        v, t = self.train + self.purge, self.train + self.purge + self.val + self.embargo
+        return [("train", 0, self.train), ("val", v, v + self.val), ("test", t, t + self.test)]
+
+    def number(self, rows: Column) -> Column:
+        """How many whole folds rows have."""
+        return F.greatest(F.floor((rows - self.ranges()[-1][2]) / self.step) + 1, F.lit(0)).cast("int")
+
+
+def walk_forward(bars: DataFrame, folds: Folds, key: str = "symbol") -> DataFrame:
+    """key, fold, role, lo, hi of every fold that a key's rows fill."""
+    n = bars.groupBy(key).agg(F.count("*").alias("rows")).withColumn("n", folds.number(F.col("rows"))).where("n > 0")
+    at = n.select(key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("fold"))
+    roles = F.array(*[F.struct(F.lit(role).alias("role"), (F.col("fold") * folds.step + lo).cast("long").alias("lo"), (F.col("fold") * folds.step + hi).cast("long").alias("hi")) for role, lo, hi in folds.ranges()])
+    return at.select(key, "fold", F.explode(roles).alias("x")).select(key, "fold", "x.*")
 
 
-def walk_forward(spark: SparkSession, rows: int, train: int, val: int, test: int, step: int, purge: int = 24, embargo: int = 6) -> DataFrame:
-    """fold, role, lo, hi: row ranges [lo, hi) of train, (purge), val, (embargo), test, moved on by step."""
-    need = train + purge + val + embargo + test
-    n = max(0, (rows - need) // step + 1)
-    v, t = train + purge, train + purge + val + embargo
-    return spark.range(n).select(
-        F.col("id").cast("int").alias("fold"),
-        F.explode(F.array(*[F.struct(F.lit(role).alias("role"), (F.col("id") * step + lo).alias("lo"), (F.col("id") * step + hi).alias("hi")) for role, lo, hi in (("train", 0, train), ("val", v, v + val), ("test", t, t + test))])).alias("x"),
-    ).select("fold", "x.*")
+def of_role(role: str):
+    return lambda fold: F.struct(fold.alias("fold"), F.lit(role).alias("role"))
 
 
-def with_folds(rows: DataFrame, folds: DataFrame) -> DataFrame:
-    """Each row (with pos) once for every fold and role that has it. Folds number far below rows: three
-    lines for each step, and each line is of fixed width."""
-    return rows.join(F.broadcast(folds), (F.col("pos") >= F.col("lo")) & (F.col("pos") < F.col("hi"))).drop("lo", "hi")
+def with_folds(rows: DataFrame, folds: Folds, key: str = "symbol") -> DataFrame:
+    """Each row (with pos, counted from 0 in its key) once for every fold and role that has it. The fold numbers of
+    a row follow from its position: nothing is joined, whatever the number of folds."""
+    last = folds.number(F.max("pos").over(Window.partitionBy(key)) + 1) - 1
+    r = rows.withColumn("_last", last)
+    spans = []
+    for role, lo, hi in folds.ranges():
+        first, end = F.greatest(F.floor((F.col("pos") - hi) / folds.step) + 1, F.lit(0)), F.least(F.floor((F.col("pos") - lo) / folds.step), F.col("_last"))
+        of = F.when(first <= end, F.sequence(first.cast("int"), end.cast("int"))).otherwise(F.array().cast("array<int>"))
+        spans.append(F.transform(of, of_role(role)))
+    return r.withColumn("_x", F.explode(F.concat(*spans))).withColumns({"fold": F.col("_x.fold"), "role": F.col("_x.role")}).drop("_x", "_last")

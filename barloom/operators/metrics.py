@@ -63,10 +63,11 @@ def constrained_f1(df: DataFrame, by: list[str], most_rate: float, least_precisi
 
 
 def ks(df: DataFrame, by: list[str], x: str, is_a: Column) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance of x between rows where is_a holds and the others."""
+    """Two-sample Kolmogorov-Smirnov distance of x between rows where is_a holds and the others; NULL without rows of both."""
     v = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.count_if(is_a).alias("a"), F.count_if(~is_a).alias("b"))
     up, whole = Window.partitionBy(*by).orderBy(x).rowsBetween(UP, 0), Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(up) / F.sum("a").over(whole) - F.sum("b").over(up) / F.sum("b").over(whole))
+    share = lambda c: F.try_divide(F.sum(c).over(up), F.sum(c).over(whole))
+    gap = F.abs(share("a") - share("b"))
     return v.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"))
 
 
@@ -79,7 +80,8 @@ def psi(df: DataFrame, by: list[str], x: str, is_expected: Column, bins: int = 1
     grid = edges.select(*by, F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))
     w_ = Window.partitionBy(*by)
     g = grid.join(n, [*by, "bin"], "left").fillna(0, ["e", "a"])
-    e, a = F.greatest(F.col("e") / F.sum("e").over(w_), F.lit(eps)), F.greatest(F.col("a") / F.sum("a").over(w_), F.lit(eps))
+    share = lambda c: F.greatest(F.coalesce(F.try_divide(F.col(c), F.sum(c).over(w_)), F.lit(0.0)), F.lit(eps))
+    e, a = share("e"), share("a")
     return g.withColumn("t", (a - e) * F.ln(a / e)).groupBy(*by).agg(F.sum("t").alias("psi"))
 
 
@@ -89,9 +91,16 @@ def calibration_bins(df: DataFrame, by: list[str], bins: int = 10, score: str =
     return df.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_prob"), F.avg(label).alias("rate"))
 
 
-def calibration_error(df: DataFrame, by: list[str], bins: int = 10, score: str = "prob_long", label: str = "label") -> DataFrame:
-    """Expected and maximum calibration error."""
-    c = calibration_bins(df, by, bins, score, label).withColumn("gap", F.abs(F.col("mean_prob") - F.col("rate")))
+def calibration_table(df: DataFrame, by: list[str], bins: int = 10, score: str = "prob_long", label: str = "label", tie: str = "row_pos") -> DataFrame:
+    """Equal-count bins of the first-come rank of the score: count, mean score and rate."""
+    whole = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
+    b = whole.withColumn("bin", w.quantile_bin([F.col(score), F.col(tie)], bins, by))
+    return b.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg(score).alias("mean_prob"), F.avg(label).alias("rate"))
+
+
+def calibration_error(df: DataFrame, by: list[str], bins: int = 10, score: str = "prob_long", label: str = "label", equal_count: bool = False) -> DataFrame:
+    """Expected and maximum calibration error, over bins of equal width or of equal count."""
+    c = (calibration_table if equal_count else calibration_bins)(df, by, bins, score, label).withColumn("gap", F.abs(F.col("mean_prob") - F.col("rate")))
     return c.groupBy(*by).agg((F.sum(F.col("gap") * F.col("n")) / F.sum("n")).alias("ece"), F.max("gap").alias("mce"))
 
 

@@ -6,6 +6,8 @@ never loops.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -16,8 +18,34 @@ from barloom.functions.scalars import flag
 from barloom.operators import metrics as m
 
 
+#: Families of feature names without their timeframe, by the first pattern that matches.
+FAMILIES = (
+    (r"^fut_.*funding", "futures_funding_context"),
+    (r"^fut_.*(toptrader|long_short|taker_long_short)", "futures_positioning_context"),
+    (r"^fut_(oi|.*_oi_)", "futures_open_interest_context"),
+    (r"^fut_", "futures_context"),
+    (r"^ih15_", "order_flow_intrahour"),
+    (r"_x_.*(rv14_rank|gk14_rank|atr14_rank)|(rv14_rank|gk14_rank|atr14_rank).*_x_", "flow_volatility_interaction"),
+    (r"^.*?(log_return|realized_vol|gk_vol|atr|adx|vwap|denoised|volume_log_zscore).*?_stable_", "volatility_structure_stable"),
+    (r"_stable_", "order_flow_v2_stable"),
+    (r"orderflow_efficiency|absorption_pressure|cvd_price_divergence|large_trade_pressure|cvd_pressure", "order_flow_v2_raw"),
+    (r"taker_imbalance|taker_buy_ratio_delta|taker_buy_ratio_zscore", "order_flow_v2_bounded"),
+    (r"true_cvd|cvd_cumulative|taker_buy_ratio|taker_sell_ratio|buy_sell_imbalance", "order_flow_tier1"),
+    (r"vpt|whale|vol_per_trade|large_trade_ratio", "whale"),
+    (r"log_return|realized_vol|gk_vol|atr|adx|vwap|denoised", "volatility_structure"),
+)
+
+
 def timeframe(name: Column) -> Column:
-    return F.when(name.startswith("4h_"), "4h").when(name.startswith("ih15_"), "15m").otherwise("1h")
+    own = F.regexp_replace(name, "^4h_", "")
+    return F.when(own.startswith("fut_"), "futures").when(own.startswith("ih15_"), "intrahour").when(name.startswith("4h_"), "4h").otherwise("1h")
+
+
+def family(name: Column) -> Column:
+    own, out = F.regexp_replace(name, "^4h_", ""), F.lit("other")
+    for pattern, kind in reversed(FAMILIES):
+        out = F.when(own.rlike(pattern), kind).otherwise(out)
+    return out
 
 
 def threshold_transfer(preds: DataFrame, by: list[str], most_rate: float, least_precision: float) -> DataFrame:
@@ -100,26 +128,126 @@ def tails(ic: DataFrame, worst: int = 5) -> DataFrame:
     return k.groupBy("profile").agg(F.avg(F.when(F.col("up") <= worst, x)).alias(f"worst_{worst}"), F.avg(F.when(F.col("up") <= F.ceil(0.2 * F.col("folds")), x)).alias("cvar_20"), F.count_if(x < 0).alias("negative"), F.avg(flag(x < 0)).alias("negative_fraction"))
 
 
+def unpivoted(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
+    """by, forward_return, feature, v: one row a feature, NaN and infinities missing."""
+    finite = lambda f: F.nullif(F.nullif(F.nullif(F.col(f"`{f}`").cast("double"), F.lit(float("nan"))), F.lit(float("inf"))), F.lit(float("-inf")))
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), finite(f).alias("v")) for f in features]))
+    return df.select(*by, "forward_return", each.alias("x")).select(*by, "forward_return", "x.*")
+
+
 def feature_ics(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
-    """Per key and feature: rank correlation with the return, mean and deviation; features unpivoted once."""
-    long = df.select(*by, "forward_return", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"`{f}`").cast("double").alias("v")) for f in features])).alias("x")).select(*by, "forward_return", "x.*")
+    """Per key and feature: rank correlation with the return, mean, deviation and count; features unpivoted once."""
     keys = [*by, "feature"]
-    ranked = long.withColumns({"_rx": w.average_rank("v", keys), "_ry": w.average_rank("forward_return", keys)})
+    ranked = unpivoted(df, by, features).where("v IS NOT NULL AND forward_return IS NOT NULL").withColumns({"_rx": w.average_rank("v", keys), "_ry": w.average_rank("forward_return", keys)})
     even = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    return ranked.groupBy(*keys).agg(F.coalesce(F.when(even, F.corr("_rx", "_ry")), F.lit(0.0)).alias("feature_ic"), F.avg("v").alias("mean_v"), F.stddev_pop("v").alias("std_v"))
-
-
-def feature_forensics(df: DataFrame, by: list[str], features: list[str], bad_ic: float = 0.0) -> DataFrame:
-    """Each bad fold's features against the good folds' means."""
-    j = feature_ics(df, by, features).join(m.rank_ic(df, by).select(*by, (F.col("rank_ic") < bad_ic).alias("bad")), by)
-    good = lambda c: F.avg(F.when(~F.col("bad"), F.col(c))).over(Window.partitionBy("profile", "feature"))
-    j = j.withColumns({"good_ic": good("feature_ic"), "good_mean": good("mean_v"), "good_std": good("std_v")}).where("bad")
-    pooled = F.sqrt((F.col("std_v") * F.col("std_v") + F.col("good_std") * F.col("good_std")) / 2)
-    return j.withColumns({
-        "delta_ic": F.col("feature_ic") - F.col("good_ic"),
-        "standardized_difference": F.try_divide(F.col("mean_v") - F.col("good_mean"), pooled),
-        "reversal": F.coalesce(F.signum("feature_ic") * F.signum("good_ic") < 0, F.lit(False)),
-    })
+    return ranked.groupBy(*keys).agg(F.coalesce(F.when(even, F.corr("_rx", "_ry")), F.lit(0.0)).alias("feature_ic"), F.avg("v").alias("mean_v"), F.stddev_pop("v").alias("std_v"), F.count("*").alias("n"))
+
+
+def fold_quality(ic: DataFrame, good_ic: float = 0.10, bad_ic: float = -0.08) -> DataFrame:
+    """profile, fold, rank_ic, quality: good, bad, or neutral between the two bounds."""
+    q = F.when(F.col("rank_ic") >= good_ic, "good").when(F.col("rank_ic") <= bad_ic, "bad").otherwise("neutral")
+    return ic.select("profile", "fold", "rank_ic", q.alias("quality"))
+
+
+def good_bad_summary(ic: DataFrame, good_ic: float = 0.10, bad_ic: float = -0.08) -> DataFrame:
+    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("quality") == kind, F.col("fold"))))
+    g = fold_quality(ic, good_ic, bad_ic).groupBy("profile").agg(of("good").alias("good"), of("bad").alias("bad"))
+    return g.select("profile", *[x for k in ("good", "bad") for x in (F.array_join(k, ",").alias(f"{k}_folds"), F.size(k).alias(f"{k}_fold_count"))])
+
+
+def feature_forensics(df: DataFrame, features: list[str], good_ic: float = 0.10, bad_ic: float = -0.08, least_ic: float = 0.02) -> DataFrame:
+    """Each bad fold's features beside those of all good folds' rows together.
+
+    Rows get one cohort each (the good rows of a profile, or a bad fold), so features are ranked once. The
+    deviation is that of both cohorts' rows together, from their counts, means and deviations."""
+    q = fold_quality(m.rank_ic(df, ["profile", "fold"]), good_ic, bad_ic).where("quality <> 'neutral'")
+    cohort = F.when(F.col("quality") == "bad", F.col("fold"))
+    x = feature_ics(df.join(q, ["profile", "fold"]).withColumn("cohort", cohort), ["profile", "cohort"], features).where("n >= 3")
+    good = x.where("cohort IS NULL").select("profile", "feature", *[F.col(c).alias(f"g_{c}") for c in ("feature_ic", "mean_v", "std_v", "n")])
+    bad = x.where("cohort IS NOT NULL").withColumnRenamed("cohort", "fold").join(q.where("quality = 'bad'").select("profile", "fold", "rank_ic"), ["profile", "fold"])
+    j = bad.join(good, ["profile", "feature"])
+    n, gap = F.col("n") + F.col("g_n"), F.col("mean_v") - F.col("g_mean_v")
+    pooled = F.sqrt((F.col("n") * F.pow("std_v", F.lit(2)) + F.col("g_n") * F.pow("g_std_v", F.lit(2))) / n + F.col("n") * F.col("g_n") * gap * gap / (n * n))
+    strong = (F.abs("feature_ic") >= least_ic) & (F.abs("g_feature_ic") >= least_ic)
+    return j.select(
+        "profile",
+        F.col("fold").alias("bad_fold"),
+        F.col("rank_ic").alias("bad_fold_rank_ic"),
+        "feature",
+        timeframe(F.col("feature")).alias("timeframe"),
+        family(F.col("feature")).alias("family"),
+        F.col("g_feature_ic").alias("good_feature_ic"),
+        F.col("feature_ic").alias("bad_feature_ic"),
+        (F.col("feature_ic") - F.col("g_feature_ic")).alias("delta_ic"),
+        (strong & (F.signum("feature_ic") != F.signum("g_feature_ic"))).alias("signal_reversal"),
+        F.col("g_mean_v").alias("good_mean"),
+        F.col("mean_v").alias("bad_mean"),
+        gap.alias("mean_diff"),
+        F.coalesce(F.try_divide(F.abs(gap), pooled), F.lit(0.0)).alias("abs_standardized_diff"),
+    )
+
+
+def top_names(by: Column, most: int = 5) -> Column:
+    """The features of the largest values, joined; equal values by name."""
+    pairs = F.array_sort(F.collect_list(F.struct((-F.round(by, 9)).alias("v"), F.col("feature").alias("name"))))
+    return F.array_join(F.transform(F.slice(pairs, 1, most), lambda x: x["name"]), ",")
+
+
+def group_forensics(forensics: DataFrame) -> DataFrame:
+    """Feature forensics by profile, bad fold, timeframe and family."""
+    return forensics.groupBy("profile", "bad_fold", "bad_fold_rank_ic", "timeframe", "family").agg(
+        F.countDistinct("feature").alias("feature_count"),
+        F.avg("good_feature_ic").alias("mean_good_feature_ic"),
+        F.avg("bad_feature_ic").alias("mean_bad_feature_ic"),
+        F.avg("delta_ic").alias("mean_delta_ic"),
+        F.avg(F.abs("delta_ic")).alias("mean_abs_delta_ic"),
+        F.avg(flag(F.col("signal_reversal"))).alias("signal_reversal_rate"),
+        F.avg("abs_standardized_diff").alias("mean_abs_standardized_diff"),
+        top_names(F.abs("delta_ic")).alias("top_delta_features"),
+        top_names(F.col("abs_standardized_diff")).alias("top_shifted_features"),
+    )
+
+
+def forensics_watchlist(forensics: DataFrame, by: list[str], least_folds: int, least_reversals: float, least_delta: float, action: str) -> DataFrame:
+    """What fails in several bad folds: recommended for action where signals reverse or drift often enough.
+
+    forensics: feature_forensics (by feature) or group_forensics (by family), with its per-row columns."""
+    per_group = "signal_reversal_rate" in forensics.columns
+    delta, absolute, reversed_ = ("mean_delta_ic", F.col("mean_abs_delta_ic"), F.col("signal_reversal_rate")) if per_group else ("delta_ic", F.abs("delta_ic"), flag(F.col("signal_reversal")))
+    shift = F.col("mean_abs_standardized_diff" if per_group else "abs_standardized_diff")
+    g = forensics.groupBy("profile", *by).agg(
+        F.countDistinct("bad_fold").alias("bad_fold_count"),
+        F.array_join(F.array_sort(F.collect_set("bad_fold")), ",").alias("bad_folds"),
+        F.avg(delta).alias("mean_delta_ic"),
+        F.avg(absolute).alias("mean_abs_delta_ic"),
+        F.avg(reversed_).alias("signal_reversal_rate"),
+        F.avg(shift).alias("mean_abs_standardized_diff"),
+    )
+    often = (F.col("bad_fold_count") >= least_folds) & ((F.col("signal_reversal_rate") >= least_reversals) | (F.col("mean_abs_delta_ic") >= least_delta))
+    return g.withColumn("recommended_action", F.when(often, action).otherwise("monitor"))
+
+
+def regime_by_fold(df: DataFrame, regimes: int, bad_ic: float = -0.08, threshold: float = 0.5) -> DataFrame:
+    """Every fold's rows by their likeliest regime: correlation, rates, return and F1 beside the fold's own correlation."""
+    t = df.withColumn("regime", m.dominant("regime_prob_", regimes))
+    by = ["profile", "fold", "regime"]
+    f1 = m.at_threshold("prob_long", "label", F.lit(threshold))["f1"]
+    g = t.groupBy(*by).agg(F.avg("label").alias("label_rate"), F.avg(flag(F.col("prob_long") >= threshold)).alias("pred_rate"), F.avg("forward_return").alias("mean_return"), f1.alias("f1"))
+    whole = m.rank_ic(df, ["profile", "fold"]).select("profile", "fold", F.col("rank_ic").alias("fold_rank_ic"), (F.col("rank_ic") <= bad_ic).alias("is_bad_fold"))
+    return m.rank_ic(t, by).join(g, by).join(whole, ["profile", "fold"])
+
+
+def feature_audit(df: DataFrame, features: list[str], good_ic: float = 0.10, bad_ic: float = -0.08, most: int = 30) -> DataFrame:
+    """Features of all good folds' rows beside those of all bad folds': means, shift, and KS distance; the most different ones."""
+    q = fold_quality(m.rank_ic(df, ["profile", "fold"]), good_ic, bad_ic).where("quality <> 'neutral'").select("profile", "fold", "quality")
+    long = unpivoted(df.join(q, ["profile", "fold"]), ["profile", "quality"], features).where("v IS NOT NULL")
+    by = ["profile", "feature"]
+    of = lambda kind, f: f(F.when(F.col("quality") == kind, F.col("v")))
+    g = long.groupBy(*by).agg(of("good", F.avg).alias("good_mean"), of("bad", F.avg).alias("bad_mean"), F.stddev_pop("v").alias("std"), of("good", F.count).alias("ng"), of("bad", F.count).alias("nb")).where("ng >= 3 AND nb >= 3")
+    g = g.withColumn("mean_diff", F.col("good_mean") - F.col("bad_mean")).withColumn("abs_standardized_diff", F.coalesce(F.try_divide(F.abs("mean_diff"), F.col("std")), F.lit(0.0)))
+    k = m.ks(long, by, "v", F.col("quality") == "good")
+    place = F.row_number().over(Window.partitionBy("profile").orderBy(F.desc(F.round("ks", 9)), F.desc(F.round("abs_standardized_diff", 9)), "feature"))
+    return g.join(k, by).withColumn("place", place).where(F.col("place") <= most).drop("std", "ng", "nb")
 
 
 def feature_drift(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
@@ -132,14 +260,34 @@ def feature_drift(df: DataFrame, by: list[str], features: list[str]) -> DataFram
     return x.withColumn("suspect_score", score)
 
 
-def blend(preds: DataFrame, weights: dict[str, float], keys: list[str]) -> DataFrame:
-    """Mean, spread and weighted mean of the profiles' scores; only rows that every profile has."""
-    total = sum(weights.values())
-    weight = F.lit(0.0)
-    for p, x in weights.items():
-        weight = F.when(F.col("profile") == p, x / total).otherwise(weight)
-    p = preds.where(F.col("profile").isin(*weights))
-    return p.groupBy(*keys).agg(F.countDistinct("profile").alias("profiles"), F.avg("prob_long").alias("prob_mean"), F.stddev_samp("prob_long").alias("prob_std"), F.min("prob_long").alias("prob_min"), F.max("prob_long").alias("prob_max"), F.sum(F.col("prob_long") * weight).alias("prob_weighted")).where(F.col("profiles") == len(weights))
+def blends(preds: DataFrame, combos: dict[str, tuple[tuple[str, ...], tuple[float, ...] | None]], keys: list[str], rank_by: list[str]) -> DataFrame:
+    """blend, method, keys, score, and the spread of the profiles' scores, for rows that all profiles of a blend have.
+
+    combos: name -> (profiles, weights or None). Scores are probabilities (prob_*) or their share of ranks within
+    profile and rank_by (rank_*), plain means or, with weights, weighted means. One pass over the rows for all blends."""
+    per_profile: dict[str, list[tuple[str, float, int, bool]]] = {}
+    for name, (members, weights) in combos.items():
+        if weights is not None and (len(weights) != len(members) or min(weights) < 0 or sum(weights) <= 0):
+            raise ValueError(f"{name}: weights must be as many as profiles, not negative, and add up to more than zero")
+        for i, p in enumerate(members):
+            per_profile.setdefault(p, []).append((name, 1 / len(members) if weights is None else weights[i] / sum(weights), len(members), weights is not None))
+    ranked = preds.where(F.col("profile").isin(*per_profile)).withColumn("_rank", w.percent_rank("prob_long", ["profile", *rank_by]))
+    scores = lambda weighted: [("prob_weighted" if weighted else "prob_mean", F.col("prob_long")), ("rank_weighted" if weighted else "rank_mean", F.col("_rank"))]
+    parts: Column = F.lit(None)
+    for p, entries in per_profile.items():
+        rows = [F.struct(F.lit(n).alias("blend"), F.lit(method).alias("method"), x.alias("x"), F.lit(wt).alias("weight"), F.lit(k).alias("members")) for n, wt, k, weighted in entries for method, x in scores(weighted)]
+        parts = F.when(F.col("profile") == p, F.array(*rows)).otherwise(parts)
+    each = ranked.withColumn("_b", F.explode(parts)).select("profile", *keys, "_b.*")
+    g = each.groupBy("blend", "method", *keys).agg(F.sum(F.col("x") * F.col("weight")).alias("score"), F.stddev_samp("x").alias("profile_std"), F.min("x").alias("profile_min"), F.max("x").alias("profile_max"), F.count("*").alias("profiles"), F.first("members").alias("_members"))
+    return g.where("profiles = _members").drop("_members")
+
+
+def all_blends(profiles: list[str], weighted: dict[str, tuple[float, ...]] | None = None) -> dict:
+    """Every pair and, of three or more, all profiles together; plus named weights over all of them."""
+    combos = {"+".join(c): (c, None) for c in combinations(profiles, 2)}
+    if len(profiles) > 2:
+        combos["+".join(profiles)] = (tuple(profiles), None)
+    return combos | {name: (tuple(profiles), x) for name, x in (weighted or {}).items()}
 
 
 def profile_delta(ic: DataFrame, control: str) -> DataFrame:
@@ -187,26 +335,74 @@ def pool_adjacent(y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.repeat(level, size)
 
 
-def isotonic(preds: DataFrame, by: list[str], score: str = "prob_long", label: str = "label") -> DataFrame:
-    """preds plus calibrated: isotonic regression on each key's val rows, applied to all its rows.
+CHUNKS = 64
 
-    Rows are first summed to at most `GRID` score steps a key, so what one task fits is bounded."""
-    step = F.floor(F.col(score) * GRID).cast("int")
-    v = preds.where("split = 'val'").groupBy(*by, step.alias("step")).agg(F.count("*").cast("double").alias("n"), F.avg(label).alias("rate"), F.avg(score).alias("x"))
 
-    def fit(table: pa.Table) -> pa.Table:
-        table = table.sort_by("step")
-        y = pool_adjacent(table["rate"].to_numpy(), table["n"].to_numpy())
-        keys = [table[k].slice(0, 1) for k in by]
-        return pa.table([*keys, pa.array([table["x"].to_pylist()]), pa.array([y.tolist()])], names=[*by, "xs", "ys"])
+def isotonic_curve(val: DataFrame, by: list[str], score: str = "prob_long", label: str = "label") -> DataFrame:
+    """by, lo, hi, n, y: the blocks of the isotonic fit on every distinct score. Blocks are pooled in score chunks
+    first and then across them, which gives the same fit: adjacent violators may be pooled in any order."""
+    points = val.groupBy(*by, F.col(score).alias("lo")).agg(F.count("*").cast("double").alias("n"), F.avg(F.col(label).cast("double")).alias("y"))
+    points = points.select(*by, "lo", F.col("lo").alias("hi"), "n", "y", F.floor(F.col("lo") * CHUNKS).alias("chunk"))
+
+    def pool(table: pa.Table) -> pa.Table:
+        table = table.sort_by("lo")
+        lo, hi, n, y = (table[c].to_numpy() for c in ("lo", "hi", "n", "y"))
+        level = pool_adjacent(y, n)
+        first = np.flatnonzero(np.r_[True, level[1:] != level[:-1]])
+        keys = [table[k].take(pa.array(first)) for k in by]
+        return pa.table([*keys, lo[first], hi[np.r_[first[1:], len(lo)] - 1], np.add.reduceat(n, first), level[first]], names=[*by, "lo", "hi", "n", "y"])
 
-    curve = v.groupBy(*by).applyInArrow(fit, v.select(*by, *[F.lit(None).cast("array<double>").alias(c) for c in ("xs", "ys")]).schema)
-    j = preds.join(curve, by)
-    # linear between fitted points, flat beyond them
-    i = F.size(F.filter("xs", lambda x: x <= F.col(score)))
-    lo, hi = F.greatest(i, F.lit(1)), F.least(i + 1, F.size("xs"))
-    x0, x1, y0, y1 = (F.element_at(a, k) for a, k in (("xs", lo), ("xs", hi), ("ys", lo), ("ys", hi)))
-    return j.withColumn("calibrated", F.when(x1 > x0, y0 + (y1 - y0) * F.least(F.greatest((F.col(score) - x0) / (x1 - x0), F.lit(0.0)), F.lit(1.0))).otherwise(y0)).drop("xs", "ys")
+    schema = points.drop("chunk").schema
+    return points.groupBy(*by, "chunk").applyInArrow(pool, schema).groupBy(*by).applyInArrow(pool, schema)
 
 
-GRID = 1000
+def isotonic(preds: DataFrame, by: list[str], score: str = "prob_long", label: str = "label") -> DataFrame:
+    """preds plus calibrated: isotonic regression on each key's val rows, applied to all its rows; linear between
+    fitted points, flat beyond them. One class, or one score, gives the share of long labels."""
+    curve = isotonic_curve(preds.where("split = 'val'"), by, score, label)
+    knots = curve.select(*by, F.explode(F.array(F.struct(F.col("lo").alias("x"), "y"), F.struct(F.col("hi").alias("x"), "y"))).alias("k")).distinct()
+    asked = preds.select(*by, F.col(score).alias("x")).distinct()
+    both = asked.withColumn("k", F.lit(None).cast(knots.schema["k"].dataType)).unionByName(knots.select(*by, F.col("k.x").alias("x"), "k"))
+    # the nearest points at or below, and at or above: over distinct scores, points before scores that equal them
+    order = Window.partitionBy(*by)
+    up, down = order.orderBy("x", F.col("k").isNull()), order.orderBy(F.desc("x"), F.col("k").isNull())
+    so_far = lambda o: F.last("k", ignorenulls=True).over(o.rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumns({"_lo": so_far(up), "_hi": so_far(down)}).where("k IS NULL")
+    share = (F.col("x") - F.col("_lo.x")) / F.nullif(F.col("_hi.x") - F.col("_lo.x"), F.lit(0.0))
+    y = F.coalesce(F.col("_lo.y") + (F.col("_hi.y") - F.col("_lo.y")) * share, F.col("_lo.y"), F.col("_hi.y"))
+    return preds.join(met.select(*by, F.col("x").alias(score), y.alias("calibrated")), [*by, score])
+
+
+def platt(preds: DataFrame, by: list[str], score: str = "prob_long", label: str = "label", rounds: int = 50) -> DataFrame:
+    """preds plus calibrated: logistic regression on the score of each key's val rows, half the squared slope as
+    penalty, by Newton steps on counts of distinct scores. One class, or one score, gives the share of long labels."""
+    points = preds.where("split = 'val'").groupBy(*by, F.col(score).alias("x")).agg(F.count("*").cast("double").alias("n"), F.sum(F.col(label).cast("double")).alias("pos"))
+
+    def fit(table: pa.Table) -> pa.Table:
+        x, n, pos = (table[c].to_numpy() for c in ("x", "n", "pos"))
+        share = float(pos.sum() / n.sum())
+        a = b = 0.0
+        if 0 < share < 1 and len(x) > 1:
+            for _ in range(rounds):
+                p = 1 / (1 + np.exp(-(a * x + b)))
+                r, v = n * p - pos, n * p * (1 - p)
+                g = np.array([(r * x).sum() + a, r.sum()])
+                h = np.array([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum()]])
+                da, db = np.linalg.solve(h, g)
+                a, b = a - da, b - db
+                if abs(da) + abs(db) < 1e-10:
+                    break
+        flat = share if share in (0.0, 1.0) or len(x) < 2 else None
+        return pa.table([*(table[k].slice(0, 1) for k in by), pa.array([float(a)]), pa.array([float(b)]), pa.array([flat], pa.float64())], names=[*by, "_a", "_b", "_flat"])
+
+    zero = [F.lit(0.0).alias(c) for c in ("_a", "_b")]
+    curve = points.groupBy(*by).applyInArrow(fit, points.select(*by, *zero, F.lit(None).cast("double").alias("_flat")).schema)
+    return preds.join(curve, by).withColumn("calibrated", F.coalesce("_flat", 1 / (1 + F.exp(-(F.col("_a") * F.col(score) + F.col("_b")))))).drop("_a", "_b", "_flat")
+
+
+def mtf_leakage(df: DataFrame, by: list[str], ts: str, source: str, available: str, hours: int = 4) -> DataFrame:
+    """Whether a slower bar was used before its end: rows with a match, those whose bar is available later than the
+    row's time, and those whose bar isn't available exactly `hours` after its start."""
+    t, src, at = F.col(ts), F.col(source), F.col(available)
+    late, shifted = F.count_if(at > t), F.count_if(at != F.expr(f"`{source}` + interval {hours} hours"))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count(src).alias("matched"), late.alias("available_late"), shifted.alias("available_wrong"), ((late == 0) & (shifted == 0)).alias("passed"))

@@ -7,58 +7,85 @@ are not here; an MLlib classifier on the same features stands in.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import flag
 from barloom.operators import metrics as m
-from barloom.operators.labels import with_folds
+from barloom.operators.labels import Folds, with_folds
+from barloom.operators.reports import family, timeframe
 
 
-def robust_scaled(df: DataFrame, train: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - median) / interquartile range of the train rows; a zero range divides by 1; missing becomes 0."""
-    q = train.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
-    scale = lambda c: F.coalesce((F.col(c) - q[c][1]) / ((q[c][2] - q[c][0]) or 1.0), F.lit(0.0)) if q[c] else F.lit(0.0)
-    return df.withColumns({c: scale(c) for c in columns})
+def robust_scaled(df: DataFrame, train: DataFrame, columns: list[str], by: str = "fold") -> DataFrame:
+    """(x - median) / interquartile range of the train rows of the same `by`; a zero range divides by 1; missing becomes 0."""
+    q = train.groupBy(by).agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns])
+    at = lambda c, i: F.get(f"_q_{c}", F.lit(i))
+    span = lambda c: F.coalesce(F.nullif(at(c, 2) - at(c, 0), F.lit(0.0)), F.lit(1.0))
+    return df.join(q, by, "left").withColumns({c: F.coalesce((F.col(c) - at(c, 1)) / span(c), F.lit(0.0)) for c in columns}).drop(*[f"_q_{c}" for c in columns])
 
 
-def walk_forward_scores(rows: DataFrame, folds: DataFrame, columns: list[str], label: str = "label", model: LogisticRegression | None = None, seed: int = 0) -> DataFrame:
-    """rows (with pos) of every fold's val and test ranges plus fold, split and prob_long."""
+def walk_forward_scores(rows: DataFrame, folds: Folds, columns: list[str], label: str = "label", model: LogisticRegression | None = None, seed: int = 0) -> DataFrame:
+    """rows (with pos) of every fold's val and test ranges plus fold, split and prob_long. Rows are placed and scaled
+    once for all folds; a fold without both classes in training scores 0.5."""
     placed = with_folds(rows, folds)
+    scaled = robust_scaled(placed, placed.where("role = 'train'"), columns)
+    vector = VectorAssembler(inputCols=columns, outputCol="_x").transform(scaled).persist(StorageLevel.MEMORY_AND_DISK)
+    classes = vector.where("role = 'train'").groupBy("fold").agg(F.countDistinct(label).alias("n"))
+    # one row a fold, and one model
+    known = {r["fold"]: r["n"] for r in vector.select("fold").distinct().join(classes, "fold", "left").collect()}
     out = None
-    for fold in sorted(r["fold"] for r in folds.select("fold").distinct().collect()):  # a handful
-        mine = placed.where(F.col("fold") == fold)
-        scaled = robust_scaled(mine, mine.where("role = 'train'"), columns)
-        vector = VectorAssembler(inputCols=columns, outputCol="_x").transform(scaled)
-        train = vector.where("role = 'train'")
-        classes = train.select(label).distinct().count()
-        if classes < 2:
-            part = vector.where("role <> 'train'").withColumn("prob_long", F.lit(0.5))
+    for fold in sorted(known):
+        mine = vector.where(F.col("fold") == fold)
+        if (known[fold] or 0) < 2:
+            part = mine.where("role <> 'train'").withColumn("prob_long", F.lit(0.5))
         else:
-            fitted = (model or LogisticRegression(maxIter=20, regParam=0.01)).copy().setFeaturesCol("_x").setLabelCol(label).fit(train)
-            part = fitted.transform(vector.where("role <> 'train'")).withColumn("prob_long", F.element_at(vector_to_array("probability"), 2))
+            fitted = (model or LogisticRegression(maxIter=20, regParam=0.01)).copy().setFeaturesCol("_x").setLabelCol(label).fit(mine.where("role = 'train'"))
+            part = fitted.transform(mine.where("role <> 'train'")).withColumn("prob_long", F.element_at(vector_to_array("probability"), 2))
         part = part.select(*[c for c in rows.columns if c not in columns], "fold", F.col("role").alias("split"), "prob_long")
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = placed.select(*[c for c in rows.columns if c not in columns], "fold", F.col("role").alias("split"), F.lit(0.5).alias("prob_long")).where("split <> 'train'")
     return out
 
 
-def permutation_importance(df: DataFrame, score, columns: list[str], by: list[str], repeats: int = 2, target: str = "forward_return", seed: int = 0) -> DataFrame:
+def permutation_importance(df: DataFrame, score, columns: list, by: list[str], repeats: int = 2, target: str = "forward_return", seed: int = 0) -> DataFrame:
     """Loss of rank correlation when a column's values are dealt out anew within each key.
 
-    score: a function from a DataFrame to a Column. Values are matched by rank under a hash, so
-    that reruns deal alike; a group of columns is passed as a tuple and moved together."""
+    score: a function from a DataFrame to a Column. Values are matched by rank under a hash, so that reruns deal
+    alike; columns in a tuple are moved together. All columns and repeats are one pass: a row is exploded into
+    its variants, each variant is ranked twice (its place, and the place it is dealt) and joined to itself once."""
+    groups = [(g,) if isinstance(g, str) else tuple(g) for g in columns]
+    moved_columns = sorted({c for g in groups for c in g})
     base = m.rank_ic(df.withColumn("_s", score(df)), by, "_s", target).withColumnRenamed("rank_ic", "base_ic").drop("n")
-    out = None
-    keyed = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy("row_pos")))
-    for group in columns:
-        cols = [group] if isinstance(group, str) else list(group)
-        for r in range(repeats):
-            deal = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("row_pos", F.lit(seed), F.lit(r)), "row_pos"))
-            moved = keyed.select(*by, deal.alias("_i"), *cols)
-            mixed = keyed.drop(*cols).join(moved, [*by, "_i"])
-            ic = m.rank_ic(mixed.withColumn("_s", score(mixed)), by, "_s", target).drop("n")
-            part = ic.join(base, by).select(*by, F.lit("+".join(cols)).alias("feature"), F.lit(r).alias("repeat"), (F.col("base_ic") - F.col("rank_ic")).alias("drop"))
-            out = part if out is None else out.unionByName(part)
-    return out.groupBy(*by, "feature").agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("std_drop"))
+    each = df.withColumn("_v", F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.lit(r).alias("r")) for i in range(len(groups)) for r in range(repeats)])))
+    each = each.withColumns({"_g": F.col("_v.g"), "_r": F.col("_v.r")}).drop("_v")
+    whole = Window.partitionBy(*by, "_g", "_r")
+    own, dealt = F.row_number().over(whole.orderBy("row_pos")), F.row_number().over(whole.orderBy(F.xxhash64("row_pos", F.lit(seed), "_r"), "row_pos"))
+    others = each.select(*by, "_g", "_r", dealt.alias("_i"), *[F.col(c).alias(f"_m_{c}") for c in moved_columns])
+    mixed = each.withColumn("_i", own).join(others, [*by, "_g", "_r", "_i"])
+    takes = lambda c: F.col("_g").isin(*[i for i, g in enumerate(groups) if c in g])
+    mixed = mixed.withColumns({c: F.when(takes(c), F.col(f"_m_{c}")).otherwise(F.col(c)) for c in moved_columns})
+    ic = m.rank_ic(mixed.withColumn("_s", score(mixed)), [*by, "_g", "_r"], "_s", target).drop("n")
+    drop = ic.join(base, by).withColumn("drop", F.col("base_ic") - F.col("rank_ic"))
+    names = F.array(*[F.lit("+".join(g)) for g in groups])
+    return drop.groupBy(*by, F.get(names, "_g").alias("feature")).agg(F.avg("drop").alias("mean_drop"), F.stddev_pop("drop").alias("std_drop"))
+
+
+def group_importance(importance: DataFrame, by: list[str]) -> DataFrame:
+    """Importance of features by timeframe and family."""
+    x = importance.withColumns({"timeframe": timeframe(F.col("feature")), "family": family(F.col("feature"))})
+    v = F.col("mean_drop")
+    return x.groupBy(*by, "timeframe", "family").agg(
+        F.countDistinct("feature").alias("features"),
+        F.count("*").alias("rows"),
+        F.avg(v).alias("mean_rank_ic_drop"),
+        F.percentile(v, 0.5).alias("median_rank_ic_drop"),
+        F.min(v).alias("min_rank_ic_drop"),
+        F.max(v).alias("max_rank_ic_drop"),
+        F.avg(flag(v > 0)).alias("positive_drop_rate"),
+        F.coalesce(F.sum(F.when(v > 0, v)), F.lit(0.0)).alias("total_positive_drop"),
+    )

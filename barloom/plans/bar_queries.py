@@ -115,6 +115,22 @@ def _(spark, d):
     return with_ewm(bars(spark, d), {"ema_14": ("close", 2 / 15, 14)}).select("symbol", "ts", *rs("ema_14"))
 
 
+def wilder(x: str) -> str:
+    """The recursion with alpha 1/14 over a symbol's values so far, missing ones before the first left out; NULL under 14."""
+    seen = f"list({x}) FILTER ({x} IS NOT NULL) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+    return f"CASE WHEN len({seen}) >= 14 THEN list_reduce({seen}, lambda a, v: a * (1 - 1.0 / 14) + v / 14.0) END"
+
+
+def ADX() -> str:
+    move = lambda a, b: f"CASE WHEN {a} > {b} AND {a} > 0 THEN {a} ELSE 0.0 END"
+    return f"""{PRICE}, a0 AS (SELECT *, high - lag(high) OVER o AS up, lag(low) OVER o - low AS down FROM p0 WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
+a1 AS (SELECT *, ({move('up', 'down')})::DOUBLE AS pm, ({move('down', 'up')})::DOUBLE AS mm FROM a0),
+a2 AS (SELECT symbol, ts, {wilder('true_range::DOUBLE')} AS tr, {wilder('pm')} AS sp, {wilder('mm')} AS sm FROM a1),
+a3 AS (SELECT *, 100 * sp / nullif(tr, 0) AS plus_di, 100 * sm / nullif(tr, 0) AS minus_di FROM a2),
+a4 AS (SELECT *, 100 * abs(plus_di - minus_di) / nullif(plus_di + minus_di, 0) AS dx FROM a3)
+SELECT symbol, ts, {r('plus_di', 'plus_di')}, {r('minus_di', 'minus_di')}, {r(wilder('dx'), 'adx')} FROM a4"""
+
+
 @query("x05_adx")
 def _(spark, d):
     return adx(ops.price_features(bars(spark, d))).select("symbol", "ts", *rs("plus_di", "minus_di", "adx"))
@@ -139,13 +155,20 @@ def _(spark, d):
 
 
 LAGC = "lag(close) OVER (PARTITION BY symbol ORDER BY ts)"
-PRICE = f"""{P}, p0 AS (SELECT *, ln(close) - ln({LAGC}) AS log_return, greatest(high - low, abs(high - {LAGC}), abs(low - {LAGC})) AS true_range,
-  greatest(0.5 * pow(ln(high / low), 2) - (2 * ln(2.0) - 1) * pow(ln(close / open), 2), 0) AS gk FROM b),
+
+
+def pl(x: str) -> str:
+    """The log of a positive number, else NULL."""
+    return f"(CASE WHEN {x} > 0 THEN ln({x}) END)"
+
+
+PRICE = f"""{P}, p00 AS (SELECT *, {LAGC} AS before FROM b), p0 AS (SELECT *, {pl('close')} - {pl('before')} AS log_return, greatest(high - low, abs(high - before), abs(low - before)) AS true_range,
+  CASE WHEN least(open, high, low, close) > 0 THEN greatest(0.5 * pow({pl('high')} - {pl('low')}, 2) - (2 * ln(2.0) - 1) * pow({pl('close')} - {pl('open')}, 2), 0) END AS gk FROM p00),
 p1 AS (SELECT *, {full('log_return', 14, f'stddev_pop(log_return) {over(14)}')} AS realized_vol_14, sqrt({full('gk', 14, f'avg(gk) {over(14)}')}) AS gk_vol_14,
   {full('true_range', 14, f'avg(true_range) {over(14)}')} AS atr_14, {full('quote_volume', 24, f'sum(quote_volume) {over(24)}')} / {full('volume', 24, f'sum(volume) {over(24)}')} AS vwap FROM p0)"""
 
 
-@query("x04_price_features", PRICE + f" SELECT symbol, ts, {r('log_return', 'log_return')}, {r('true_range', 'true_range')}, {r('realized_vol_14', 'realized_vol_14')}, {r('gk_vol_14', 'gk_vol_14')}, {r('atr_14', 'atr_14')}, {r('atr_14 / close', 'atr_14_pct')}, {r('(close - vwap) / nullif(atr_14, 0)', 'vwap_dist_atr')} FROM p1")
+@query("x04_price_features", PRICE + f" SELECT symbol, ts, {r('log_return', 'log_return')}, {r('true_range', 'true_range')}, {r('realized_vol_14', 'realized_vol_14')}, {r('gk_vol_14', 'gk_vol_14')}, {r('atr_14', 'atr_14')}, {r('atr_14 / nullif(close, 0)', 'atr_14_pct')}, {r('(close - vwap) / nullif(atr_14, 0)', 'vwap_dist_atr')} FROM p1")
 def _(spark, d):
     return ops.price_features(bars(spark, d)).select("symbol", "ts", *rs("log_return", "true_range", "realized_vol_14", "gk_vol_14", "atr_14", "atr_14_pct", "vwap_dist_atr"))
 
@@ -155,6 +178,9 @@ f1 AS (SELECT *, {z('cvd', 24)} AS cvd_z, {z('vpt', 24)} AS vpt_z, {full('cum',
 f2 AS (SELECT *, CASE WHEN vpt_z > 2 THEN volume ELSE 0 END AS large FROM f1)"""
 
 
+SQL["x05_adx"] = ADX()
+
+
 @query(
     "x09_flow_features",
     FLOW + f" SELECT symbol, ts, {r('taker_buy_ratio', 'taker_buy_ratio')}, {r('cvd_z', 'true_cvd_zscore')}, {r('vpt_z', 'vpt_zscore')}, {r('rate', 'cvd_cumulative_rate')}, coalesce(vpt_z > 2 AND taker_buy_ratio > 0.55, false)::INT::DOUBLE AS whale_buy_flag, coalesce(vpt_z > 2 AND taker_buy_ratio < 0.45, false)::INT::DOUBLE AS whale_sell_flag, {r('coalesce(' + full('large', 24, f'sum(large) {over(24)}') + ' / ' + full('volume', 24, f'sum(volume) {over(24)}') + ', 0)', 'large_trade_ratio')} FROM f2",
@@ -164,15 +190,24 @@ def _(spark, d):
 
 
 CLIP = "least(greatest({x}, -10), 10)"
-ORDERFLOW = FLOW + f""", p0 AS (SELECT *, ln(close) - ln({LAGC}) AS lr FROM f2), p1 AS (SELECT *, {full('lr', 14, f'stddev_pop(lr) {over(14)}')} AS rv FROM p0),
+ORDERFLOW = FLOW + f""", p00 AS (SELECT *, {LAGC} AS before FROM f2), p0 AS (SELECT *, {pl("close")} - {pl("before")} AS lr FROM p00), p1 AS (SELECT *, {full('lr', 14, f'stddev_pop(lr) {over(14)}')} AS rv FROM p0),
 o0 AS (SELECT *, 2 * taker_buy_ratio - 1 AS imb, CASE WHEN coalesce(lr / nullif(rv, 0), 0) > 10 THEN 10 WHEN coalesce(lr / nullif(rv, 0), 0) < -10 THEN -10 ELSE coalesce(lr / nullif(rv, 0), 0) END AS nr, cvd / {full('volume', 24, f'avg(volume) {over(24)}')} AS cn FROM p1),
 o1 AS (SELECT *, CASE WHEN nr / (abs(cn) + 0.001) IS NULL THEN 0 ELSE least(greatest(nr / (abs(cn) + 0.001), -10), 10) END AS eff, least(greatest(-nr * imb, -10), 10) AS absorb, CASE WHEN cn IS NOT NULL THEN least(greatest(cn - nr, -10), 10) END AS diverge FROM o0)"""
 
 
-@query("x12_orderflow", ORDERFLOW + f" SELECT symbol, ts, {r('imb', 'taker_imbalance')}, {r('nr', 'normalized_return')}, {r('eff', 'orderflow_efficiency')}, {r('absorb', 'absorption_pressure')}, {r('diverge', 'cvd_price_divergence')}, {r(full('cn', 12, f'sum(cn) {over(12)}'), 'cvd_pressure_12')}, {r(full('cn', 12, f'sum(cn) {over(12)}') + ' - ' + full('cn', 6, f'sum(cn) {over(6)}'), 'cvd_pressure_12_minus_6')}, {r(full('absorb', 3, f'avg(absorb) {over(3)}'), 'absorption_pressure_3')} FROM o1")
+@query("x12_orderflow", ORDERFLOW + f" SELECT symbol, ts, {r('imb', 'taker_imbalance')}, {r('nr', 'normalized_return')}, {r('eff', 'orderflow_efficiency')}, {r('absorb', 'absorption_pressure')}, {r('diverge', 'cvd_price_divergence')}, {r(full('cn', 12, f'sum(cn) {over(12)}'), 'cvd_pressure_12')}, {r(full('cn', 12, f'sum(cn) {over(12)}') + ' - ' + full('cn', 6, f'sum(cn) {over(6)}'), 'cvd_pressure_12_minus_6')}, {r(full('cn', 24, f'sum(cn) {over(24)}') + ' - ' + full('cn', 12, f'sum(cn) {over(12)}'), 'cvd_pressure_24_minus_12')}, {r(full('absorb', 3, f'avg(absorb) {over(3)}'), 'absorption_pressure_3')} FROM o1")
 def _(spark, d):
-    b = bars(spark, d)
-    return ops.orderflow_features(ops.flow_features(b), ops.price_features(b)).select("symbol", "ts", *rs("taker_imbalance", "normalized_return", "orderflow_efficiency", "absorption_pressure", "cvd_price_divergence", "cvd_pressure_12", "cvd_pressure_12_minus_6", "absorption_pressure_3"))
+    x = ops.orderflow_features(ops.price_features(ops.flow_features(bars(spark, d))))
+    return x.select("symbol", "ts", *rs("taker_imbalance", "normalized_return", "orderflow_efficiency", "absorption_pressure", "cvd_price_divergence", "cvd_pressure_12", "cvd_pressure_12_minus_6", "cvd_pressure_24_minus_12", "absorption_pressure_3"))
+
+
+STATIONARY = FLOW + f""", s0 AS (SELECT *, ln(1 + greatest(volume, 0)) AS lv, ln(1 + greatest(vpt, 0)) AS lt, {full('volume', 24, f'avg(volume) {over(24)}')} AS mv FROM f2)"""
+
+
+@query("x11_stationary_features", STATIONARY + f" SELECT symbol, ts, {r(z('lv', 24), 'volume_log_zscore')}, {r(z('lt', 24), 'vol_per_trade_log_zscore')}, {r('cvd / nullif(mv, 0)', 'true_cvd_delta_norm')}, {r('rate / nullif(mv, 0)', 'cvd_cumulative_rate_norm')} FROM s0")
+def _(spark, d):
+    x = ops.stationary_features(ops.price_features(ops.flow_features(bars(spark, d))))
+    return x.select("symbol", "ts", *rs("volume_log_zscore", "vol_per_trade_log_zscore", "true_cvd_delta_norm", "cvd_cumulative_rate_norm"))
 
 
 @query("x13_stable_transforms", f"{P}, s AS (SELECT *, {z('cvd', 24)} AS zz, list(cvd) {over(24)} AS seen FROM b) SELECT symbol, ts, {r('CASE WHEN zz IS NOT NULL THEN least(greatest(zz, -5), 5) END', 'cvd_stable_zscore')}, {r('CASE WHEN len(seen) = 24 THEN 2 * (len(list_filter(seen, lambda v: v < cvd)) + 0.5 * len(list_filter(seen, lambda v: v = cvd))) / 24 - 1 END', 'cvd_stable_rank')}, {r('tanh(zz / 2)', 'cvd_stable_tanh')} FROM s")
@@ -187,31 +222,47 @@ def _(spark, d):
     return t.select("symbol", "ts", *[R(x).alias(k) for k, x in ops.interactions(F.col("a"), F.col("c")).items()])
 
 
-@query("x15_open_interest", f"WITH {bars_cte()} SELECT symbol, ts, {r('ln(volume) - lag(ln(volume)) OVER (PARTITION BY symbol ORDER BY ts)', 'oi_log_return')}, {r('ln(volume) - lag(ln(volume), 12) OVER (PARTITION BY symbol ORDER BY ts)', 'oi_change_12')}, {r('CASE WHEN taker_buy_base_vol > 0 THEN ln(taker_buy_base_vol / volume) END', 'log_ratio')} FROM bars")
+@query("x15_open_interest", f"WITH {bars_cte()} SELECT symbol, ts, {r('ln(volume) - lag(ln(volume)) OVER (PARTITION BY symbol ORDER BY ts)', 'oi_log_return')}, {r('ln(volume) - lag(ln(volume), 12) OVER (PARTITION BY symbol ORDER BY ts)', 'oi_change_12')}, {r('CASE WHEN taker_buy_base_vol > 0 AND volume > 0 THEN ln(taker_buy_base_vol / volume) END', 'log_ratio')} FROM bars")
 def _(spark, d):
     oi, o = s.positive_log(F.col("volume")), w.ordered()
-    return bars(spark, d).select("symbol", "ts", R(oi - F.lag(oi).over(o)).alias("oi_log_return"), R(oi - F.lag(oi, 12).over(o)).alias("oi_change_12"), R(s.positive_log(F.col("taker_buy_base_vol") / F.col("volume"))).alias("log_ratio"))
+    return bars(spark, d).select("symbol", "ts", R(oi - F.lag(oi).over(o)).alias("oi_log_return"), R(oi - F.lag(oi, 12).over(o)).alias("oi_change_12"), R(s.positive_log(s.safe_div(F.col("taker_buy_base_vol"), F.col("volume")))).alias("log_ratio"))
 
 
-@query("x16_funding", f"{P}, f AS (SELECT *, least(greatest(cvd / quote_volume, -0.05), 0.05) AS rate FROM b) SELECT symbol, ts, {r('rate', 'funding_rate')}, {r('rate - lag(rate) OVER (PARTITION BY symbol ORDER BY ts)', 'funding_delta')}, {r(full('rate', 3, f'sum(rate) {over(3)}'), 'funding_sum_3')}, {r(full('rate', 12, f'avg(rate) {over(12)}'), 'funding_mean_12')} FROM f")
+@query("x16_funding", f"{P}, f AS (SELECT *, CASE WHEN quote_volume <> 0 THEN least(greatest(cvd / quote_volume, -0.05), 0.05) END AS rate FROM b) SELECT symbol, ts, {r('rate', 'funding_rate')}, {r('rate - lag(rate) OVER (PARTITION BY symbol ORDER BY ts)', 'funding_delta')}, {r(full('rate', 3, f'sum(rate) {over(3)}'), 'funding_sum_3')}, {r(full('rate', 12, f'avg(rate) {over(12)}'), 'funding_mean_12')} FROM f")
 def _(spark, d):
-    f = cvd(spark, d).withColumn("rate", s.clip(F.col("cvd") / F.col("quote_volume"), -0.05, 0.05))
+    f = cvd(spark, d).withColumn("rate", s.clip(s.safe_div(F.col("cvd"), F.col("quote_volume")), -0.05, 0.05))
     x = F.col("rate")
     return f.select("symbol", "ts", R(x).alias("funding_rate"), R(x - F.lag(x).over(w.ordered())).alias("funding_delta"), R(w.total(x, 3)).alias("funding_sum_3"), R(w.mean(x, 12)).alias("funding_mean_12"))
 
 
+def halves(expr: str, name: str) -> str:
+    return ", ".join(expr.format(f=f) + f" AS {name}{k}" for k, f in (("", ""), ("_e", " FILTER (early)"), ("_l", " FILTER (NOT early)")))
+
+
+def move_sql(k: str) -> str:
+    span = f"((hi{k} - lo{k}) / CASE WHEN o{k} > 0 THEN o{k} END)"
+    return f"CASE WHEN {span} > 0 AND c{k} > 0 THEN least(greatest((ln(c{k}) - ln(o{k})) / ({span} + 1e-12), -1), 1) END AS m{k}"
+
+
+def up_sql(x: str) -> str:
+    return f"(CASE WHEN {x} IS NOT NULL THEN greatest({x}, 0) END)"
+
+
 @query("a01_intrahour", f"""WITH {bars_cte(seconds=900)}, q AS (SELECT *, date_trunc('hour', ts) AS hour, taker_buy_base_vol / volume AS ratio, 2 * taker_buy_base_vol / volume - 1 AS imb, 2 * taker_buy_base_vol - volume AS cvd, volume / num_trades AS vpt,
   row_number() OVER (PARTITION BY symbol, date_trunc('hour', ts) ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol, date_trunc('hour', ts)) AS n FROM bars),
-h AS (SELECT *, i < greatest(1, n // 2) AS early FROM q WHERE n >= 2),
-a AS (SELECT symbol, hour AS ts, count(*) AS bar_count, avg(imb) AS imb_mean, arg_max(imb, i) AS imb_last, avg(imb) FILTER (NOT early) - avg(imb) FILTER (early) AS imb_lme, regr_slope(imb, i) AS imb_slope, max(ratio) - min(ratio) AS rng,
-  sum(cvd) AS cvd, sum(cvd) FILTER (NOT early) AS cl, sum(cvd) FILTER (early) AS ce, sum(volume) AS v, arg_max(volume, i) AS vl, sum(volume) FILTER (NOT early) AS vlate, max(high) AS hi, min(low) AS lo, arg_min(open, i) AS o, arg_max(close, i) AS c,
-  arg_max(close, i) FILTER (early) AS ce_close, arg_min(open, i) FILTER (NOT early) AS ol, arg_max(vpt, i) AS vpt_last, avg(vpt) AS vpt_mean, max(vpt) AS vpt_max, sum(num_trades) AS tr, arg_max(num_trades, i) AS tl FROM h GROUP BY 1, 2),
-m AS (SELECT *, least(greatest((c - o) / (hi - lo + 1e-12), -1), 1) AS move, least(greatest((c - ol) / (hi - lo + 1e-12), -1), 1) AS lm, least(greatest((ce_close - o) / (hi - lo + 1e-12), -1), 1) AS em FROM a)
-SELECT symbol, ts, bar_count, {r('bar_count / 4', 'coverage')}, {r('imb_mean', 'imb_mean')}, {r('imb_last', 'imb_last')}, {r('imb_lme', 'imb_late_minus_early')}, {r('imb_slope', 'imb_slope')}, {r('rng', 'buy_ratio_range')}, {r('cvd / v', 'cvd_pressure_norm')}, {r('cl / v - ce / v', 'cvd_pressure_late_minus_early_norm')},
-  {r('move', 'price_move_norm')}, {r('sign(cvd) * move', 'flow_price_alignment')}, {r('greatest(cvd / v, 0) * greatest(-move, 0)', 'buy_absorption')}, {r('greatest(-cvd / v, 0) * greatest(move, 0)', 'sell_absorption')}, {r('greatest(-sign(ce / v) * cl / v, 0)', 'late_flow_reversal')}, {r('greatest(-sign(em) * lm, 0)', 'late_price_reversal')},
-  {r('vl / v', 'volume_share_last')}, {r('vlate / v', 'volume_share_late')}, {r('tl / tr', 'trade_share_last')}, {r('vpt_last / vpt_mean - 1', 'vpt_last_vs_hour')}, {r('vpt_max / vpt_mean - 1', 'large_trade_concentration')} FROM m""")
-def _(spark, d):
-    h = ops.intrahour(bars(spark, d, 900))
+h AS (SELECT *, i < greatest(1, n // 2) AS early, sum(cvd) OVER (PARTITION BY symbol, hour ORDER BY ts ROWS UNBOUNDED PRECEDING) AS running FROM q WHERE n >= 2),
+a AS (SELECT symbol, hour AS ts, count(*) AS bar_count, avg(imb) AS imb_mean, arg_max(imb, i) AS imb_last, avg(imb) FILTER (NOT early) - avg(imb) FILTER (early) AS imb_lme, regr_slope(imb, i) AS imb_slope, regr_slope(running, i) AS cvd_slope, max(ratio) - min(ratio) AS rng,
+  arg_max(volume, i) AS vl, arg_max(num_trades, i) AS tl, arg_max(taker_buy_base_vol, i) AS bl, sum(taker_buy_base_vol) AS buy, arg_max(vpt, i) AS vpt_last, avg(vpt) AS vpt_mean, max(vpt) AS vpt_max,
+  {halves('sum(cvd){f}', 'cvd')}, {halves('sum(volume){f}', 'v')}, {halves('sum(num_trades){f}', 't')}, {halves('max(high){f}', 'hi')}, {halves('min(low){f}', 'lo')}, {halves('arg_min(open, i){f}', 'o')}, {halves('arg_max(close, i){f}', 'c')} FROM h GROUP BY 1, 2),
+m AS (SELECT *, {move_sql('')}, {move_sql('_e')}, {move_sql('_l')}, cvd / v AS f, cvd_e / v AS f_e, cvd_l / v AS f_l FROM a),
+x AS (SELECT *, {up_sql('f')} * {up_sql('-m')} AS ba, {up_sql('-f')} * {up_sql('m')} AS sa, {up_sql('f_l')} * {up_sql('-m_l')} AS lba, {up_sql('-f_l')} * {up_sql('m_l')} AS lsa FROM m)
+SELECT symbol, ts, bar_count, {r('bar_count / 4', 'coverage')}, {r('imb_mean', 'imb_mean')}, {r('imb_last', 'imb_last')}, {r('imb_lme', 'imb_late_minus_early')}, {r('imb_slope', 'imb_slope')}, {r('rng', 'buy_ratio_range')}, {r('f', 'cvd_pressure_norm')}, {r('f_l - f_e', 'cvd_pressure_late_minus_early_norm')}, {r('cvd_slope / v', 'cvd_slope_norm')},
+  {r('m', 'price_move_norm')}, {r('sign(f) * m', 'flow_price_alignment')}, {r('ba', 'buy_absorption')}, {r('sa', 'sell_absorption')}, {r('ba - sa', 'absorption_imbalance')}, {r('lba', 'late_buy_absorption')}, {r('lsa', 'late_sell_absorption')}, {r('lba - lsa', 'late_absorption_imbalance')},
+  {r('coalesce(CASE WHEN f_e <> 0 THEN ' + up_sql('-sign(f_e) * f_l') + ' END, 0)', 'late_flow_reversal')}, {r('coalesce(CASE WHEN m_e <> 0 THEN ' + up_sql('-sign(m_e) * m_l') + ' END, 0)', 'late_price_reversal')}, {r('sign(f_l) * m_l', 'late_flow_price_alignment')},
+  {r('vl / v', 'volume_share_last')}, {r('v_l / v', 'volume_share_late')}, {r('tl / t', 'trade_share_last')}, {r('vpt_last / (v / t) - 1', 'vpt_last_vs_hour')}, {r('(v_l / t_l) / (v_e / t_e) - 1', 'vpt_late_vs_early')}, {r('vpt_max / vpt_mean - 1', 'large_trade_concentration')},
+  {r('bl / nullif(buy, 0)', 'buy_volume_share_last')}, {r('greatest(imb_last, 0) * vl / v', 'aggressive_buy_burst')}, {r('greatest(-imb_last, 0) * vl / v', 'aggressive_sell_burst')} FROM x""")
+def _(spark, d):
+    h = ops.intrahour(bars(spark, d, 900), least=2)
     return h.select("symbol", "ts", "bar_count", *rs(*[c for c in h.columns if c not in ("symbol", "ts", "bar_count")]))
 
 
@@ -234,7 +285,7 @@ def _(spark, d):
 
 @query("j04_hour_left_join", f"WITH {bars_cte()}, {bars_cte('q', 900)}, h AS (SELECT symbol, date_trunc('hour', ts) AS ts, count(*) AS n FROM q GROUP BY ALL HAVING count(*) >= 2) SELECT b.symbol, b.ts, h.n AS bar_count, CASE WHEN h.n IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS ih15_missing FROM bars b LEFT JOIN h ON b.symbol = h.symbol AND b.ts = h.ts")
 def _(spark, d):
-    j = bars(spark, d).select("symbol", "ts").join(ops.intrahour(bars(spark, d, 900)).select("symbol", "ts", "bar_count"), ["symbol", "ts"], "left")
+    j = bars(spark, d).select("symbol", "ts").join(ops.intrahour(bars(spark, d, 900), least=2).select("symbol", "ts", "bar_count"), ["symbol", "ts"], "left")
     return j.withColumn("ih15_missing", s.all_missing("bar_count"))
 
 
@@ -263,34 +314,36 @@ l1 AS (SELECT *, list_filter(ahead, lambda x: x.high >= tp OR x.low <= sl)[1] AS
 l2 AS (SELECT *, CASE WHEN hit IS NULL THEN 'time' WHEN hit.high >= tp AND hit.low <= sl THEN 'both_sl_first' WHEN hit.low <= sl THEN 'sl' ELSE 'tp' END AS hit_type FROM l1)"""
 
 
-@query("l01_triple_barrier", LABELS + f" SELECT symbol, ts, hit_type, (hit_type = 'tp')::INT AS label, coalesce(hit.pos, ahead[10].pos) AS exit_bar, coalesce(hit.ts, ahead[10].ts) AS exit_ts, {r('((CASE hit_type WHEN ' + chr(39) + 'time' + chr(39) + ' THEN ahead[10].close WHEN ' + chr(39) + 'tp' + chr(39) + ' THEN tp ELSE sl END) - close) / close', 'tb_return')} FROM l2")
+@query("l01_triple_barrier", LABELS + f" SELECT symbol, ts, hit_type, (hit_type = 'tp')::INT AS label, coalesce(hit.pos, ahead[10].pos) AS exit_bar, coalesce(hit.ts, ahead[10].ts) AS exit_ts, {r('((CASE hit_type WHEN ' + chr(39) + 'time' + chr(39) + ' THEN ahead[10].close WHEN ' + chr(39) + 'tp' + chr(39) + ' THEN tp ELSE sl END) - close) / nullif(close, 0)', 'tb_return')} FROM l2")
 def _(spark, d):
     return labels.triple_barrier(ops.price_features(bars(spark, d)), "atr_14").select("symbol", "ts", "hit_type", "label", "exit_bar", "exit_ts", *rs("tb_return"))
 
 
-@query("l04_forward_return", f"{B} SELECT symbol, ts, {r('lead(close, 10) OVER (PARTITION BY symbol ORDER BY ts) / close - 1', 'fwd_return_10h')} FROM bars")
+@query("l04_forward_return", f"{B} SELECT symbol, ts, {r('lead(close, 10) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1', 'fwd_return_10h')} FROM bars")
 def _(spark, d):
     return labels.forward_return(bars(spark, d)).select("symbol", "ts", *rs("fwd_return_10h"))
 
 
-@query("l05_label_quality", LABELS + f", f AS (SELECT symbol, ts, lead(close, 10) OVER (PARTITION BY symbol ORDER BY ts) / close - 1 AS fr FROM bars) SELECT l2.symbol, count(*) AS n, {r('avg((hit_type = ' + chr(39) + 'tp' + chr(39) + ')::INT)', 'long_share')}, {r('avg(fr) FILTER (hit_type = ' + chr(39) + 'tp' + chr(39) + ')', 'long_return')}, {r('avg(fr) FILTER (hit_type <> ' + chr(39) + 'tp' + chr(39) + ')', 'other_return')} FROM l2 JOIN f ON l2.symbol = f.symbol AND l2.ts = f.ts GROUP BY l2.symbol")
+@query("l05_label_quality", LABELS + f", f AS (SELECT symbol, ts, lead(close, 10) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1 AS fr FROM bars) SELECT l2.symbol, count(*) AS n, {r('avg((hit_type = ' + chr(39) + 'tp' + chr(39) + ')::INT)', 'long_share')}, {r('avg(fr) FILTER (hit_type = ' + chr(39) + 'tp' + chr(39) + ')', 'long_return')}, {r('avg(fr) FILTER (hit_type <> ' + chr(39) + 'tp' + chr(39) + ')', 'other_return')} FROM l2 JOIN f ON l2.symbol = f.symbol AND l2.ts = f.ts GROUP BY l2.symbol")
 def _(spark, d):
     b = labels.triple_barrier(labels.forward_return(ops.price_features(bars(spark, d))), "atr_14")
     fr = F.col("fwd_return_10h")
     return b.groupBy("symbol").agg(F.count("*").alias("n"), R(F.avg("label")).alias("long_share"), R(F.avg(F.when(F.col("label") == 1, fr))).alias("long_return"), R(F.avg(F.when(F.col("label") == 0, fr))).alias("other_return"))
 
 
-FOLDS = "folds AS (SELECT f::INT AS fold, role, f * 60 + lo AS lo, f * 60 + hi AS hi FROM range(5) t(f), (VALUES ('train', 0, 120), ('val', 144, 184), ('test', 190, 230)) x(role, lo, hi))"
+#: As many folds as a symbol's bars fill.
+FOLDS = "nf AS (SELECT symbol, CASE WHEN count(*) >= 230 THEN (count(*) - 230) // 60 + 1 ELSE 0 END AS folds FROM b GROUP BY symbol), fs AS (SELECT symbol, unnest(range(folds)) AS f FROM nf), folds AS (SELECT symbol, f::INT AS fold, role, f * 60 + lo AS lo, f * 60 + hi AS hi FROM fs, (VALUES ('train', 0, 120), ('val', 144, 184), ('test', 190, 230)) x(role, lo, hi))"
+WALK = labels.Folds(120, 40, 40, 60)
 
 
-@query("m01_walk_forward", f"WITH {FOLDS} SELECT fold, role, lo, hi FROM folds")
+@query("m01_walk_forward", f"{P}, {FOLDS} SELECT symbol, fold, role, lo, hi FROM folds")
 def _(spark, d):
-    return labels.walk_forward(spark, 480, 120, 40, 40, 60)
+    return labels.walk_forward(bars(spark, d), WALK)
 
 
-@query("j09_rows_to_folds", f"{P}, {FOLDS} SELECT symbol, fold, role, count(*) AS n, {r('avg(close)', 'mean_close')} FROM b JOIN folds ON pos >= lo AND pos < hi GROUP BY ALL")
+@query("j09_rows_to_folds", f"{P}, {FOLDS} SELECT b.symbol, fold, role, count(*) AS n, {r('avg(close)', 'mean_close')} FROM b JOIN folds ON b.symbol = folds.symbol AND pos >= lo AND pos < hi GROUP BY ALL")
 def _(spark, d):
-    rows = labels.with_folds(ops.positioned(bars(spark, d)).select("symbol", "pos", "close"), labels.walk_forward(spark, 480, 120, 40, 40, 60))
+    rows = labels.with_folds(ops.positioned(bars(spark, d)).select("symbol", "pos", "close"), WALK)
     return rows.groupBy("symbol", "fold", "role").agg(F.count("*").alias("n"), R(F.avg("close")).alias("mean_close"))
 
 

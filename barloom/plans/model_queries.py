@@ -42,7 +42,7 @@ def _(spark, d):
 def _(spark, d):
     b = labels.triple_barrier(labels.forward_return(ops.price_features(bars(spark, d))), "atr_14")
     rows = b.select("symbol", "ts", "pos", "label", "fwd_return_10h", "log_return", "gk_vol_14", "vwap_dist_atr", "atr_14_pct").na.drop(subset=["vwap_dist_atr"])
-    s = scoring.walk_forward_scores(rows, labels.walk_forward(spark, 480, 200, 60, 60, 120), ["log_return", "gk_vol_14", "vwap_dist_atr", "atr_14_pct"])
+    s = scoring.walk_forward_scores(rows, labels.Folds(200, 60, 60, 120), ["log_return", "gk_vol_14", "vwap_dist_atr", "atr_14_pct"])
     return s.select("symbol", "ts", "fold", "split", "label", *rs("prob_long"))
 
 
@@ -54,6 +54,15 @@ def _(spark, d):
     return i.select("profile", "fold", "feature", *rs("mean_drop", "std_drop"))
 
 
+@query("d22_group_importance")
+def _(spark, d):
+    t = preds(spark, d).where("split = 'test'")
+    score = lambda df: df["f_quantity"] / 50 - df["4h_tax"]
+    i = scoring.permutation_importance(t, score, ["f_quantity", "f_price", "4h_tax"], ["profile", "fold"])
+    g = scoring.group_importance(i, ["profile"])
+    return g.select("profile", "timeframe", "family", "features", "rows", *rs("mean_rank_ic_drop", "median_rank_ic_drop", "min_rank_ic_drop", "max_rank_ic_drop", "positive_drop_rate", "total_positive_drop"))
+
+
 @query("st1_stream_bars")
 def _(spark, d):
-    return bars_once(spark, d, 8, "stream_bars").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "num_trades", *rs("volume", "quote_volume"))
+    return bars_once(spark, d, 8).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "num_trades", *rs("volume", "quote_volume"))

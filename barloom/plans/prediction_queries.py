@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from barloom.functions import scalars as s
 from barloom.functions import windows as w
+from barloom.operators import losses, reports
 from barloom.operators import metrics as m
-from barloom.operators import reports
+from barloom.operators.asof import asof
 from barloom.plans.bar_queries import r, rs
-from barloom.plans.tables import preds, preds_cte
+from barloom.plans.tables import bars, bars_cte, preds, preds_cte
 
 R = s.rounded
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,11 +160,6 @@ def _(spark, d):
 CAL = ", c AS (SELECT profile, fold, greatest(ceil(prob_long * 10) - 1, 0)::INT AS bin, count(*) AS n, avg(prob_long) AS mp, avg(label) AS rate FROM preds WHERE split = 'test' GROUP BY ALL)"
 
 
-@query("d03_calibration_table", P3 + CAL + f" SELECT profile, fold, bin, n, {r('mp', 'mean_prob')}, {r('rate', 'rate')} FROM c")
-def _(spark, d):
-    return m.calibration_bins(test_rows(spark, d, ALL), KEYS).select(*KEYS, "bin", "n", *rs("mean_prob", "rate"))
-
-
 @query("a14_calibration_error", P3 + CAL + f" SELECT profile, fold, {r('sum(abs(mp - rate) * n) / sum(n)', 'ece')}, {r('max(abs(mp - rate))', 'mce')} FROM c GROUP BY ALL")
 def _(spark, d):
     return m.calibration_error(test_rows(spark, d, ALL), KEYS).select(*KEYS, *rs("ece", "mce"))
@@ -178,6 +174,16 @@ QCUT = "CASE WHEN n = 1 THEN 0 ELSE greatest(ceil((rn - 1) * least(10, n) / (n -
 BINNED = f", r0 AS (SELECT *, row_number() OVER (PARTITION BY profile, fold ORDER BY prob_long, row_pos) AS rn, count(*) OVER (PARTITION BY profile, fold) AS n FROM preds WHERE split = 'test'), binned AS (SELECT *, {QCUT} AS bin FROM r0)"
 
 
+@query("d03_calibration_table", P3 + BINNED + f" SELECT profile, fold, bin, count(*) AS n, {r('avg(prob_long)', 'mean_prob')}, {r('avg(label)', 'rate')} FROM binned GROUP BY ALL")
+def _(spark, d):
+    return m.calibration_table(test_rows(spark, d, ALL), KEYS).select(*KEYS, "bin", "n", *rs("mean_prob", "rate"))
+
+
+@query("a14_equal_count_error", P3 + BINNED + f", c AS (SELECT profile, fold, bin, count(*) AS n, avg(prob_long) AS mp, avg(label) AS rate FROM binned GROUP BY ALL) SELECT profile, fold, {r('sum(abs(mp - rate) * n) / sum(n)', 'ece')}, {r('max(abs(mp - rate))', 'mce')} FROM c GROUP BY ALL")
+def _(spark, d):
+    return m.calibration_error(test_rows(spark, d, ALL), KEYS, equal_count=True).select(*KEYS, *rs("ece", "mce"))
+
+
 @query("w09_quantile_bins", P3 + BINNED + f" SELECT profile, fold, bin, count(*) AS n, {r('avg(prob_long)', 'mean_prob')}, {r('avg(label)', 'rate')} FROM binned GROUP BY ALL")
 def _(spark, d):
     b = test_rows(spark, d, ALL).withColumn("bin", w.quantile_bin([F.col("prob_long"), F.col("row_pos")], 10, KEYS))
@@ -225,11 +231,14 @@ def _(spark, d):
     return u.groupBy("profile", "scope").agg(F.count("*").alias("folds"), R(F.avg("rank_ic")).alias("mean"), R(F.min("rank_ic")).alias("min"), R(F.max("rank_ic")).alias("max"))
 
 
-@query("d06_good_bad_folds", P3 + RANKS + " SELECT profile, string_agg(fold::VARCHAR, ',' ORDER BY fold) FILTER (rank_ic >= 0) AS good_folds, string_agg(fold::VARCHAR, ',' ORDER BY fold) FILTER (rank_ic < 0) AS bad_folds FROM ic GROUP BY profile")
+#: The random scores of the test tables have rank correlations near zero; the operators' own bounds are 0.10 and -0.08.
+GOOD, BAD = 0.01, -0.01
+FOLDS_OF = ", ".join(f"coalesce(string_agg(fold::VARCHAR, ',' ORDER BY fold) FILTER ({cond}), '') AS {k}_folds, count(*) FILTER ({cond}) AS {k}_fold_count" for k, cond in (("good", f"rank_ic >= {GOOD}"), ("bad", f"rank_ic <= {BAD}")))
+
+
+@query("d06_good_bad_folds", P3 + RANKS + f" SELECT profile, {FOLDS_OF} FROM ic GROUP BY profile")
 def _(spark, d):
-    f = m.rank_ic(test_rows(spark, d, ALL), KEYS)
-    names = lambda cond: F.nullif(F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("fold")))), ","), F.lit(""))
-    return f.groupBy("profile").agg(names(F.col("rank_ic") >= 0).alias("good_folds"), names(F.col("rank_ic") < 0).alias("bad_folds"))
+    return reports.good_bad_summary(m.rank_ic(test_rows(spark, d, ALL), KEYS), GOOD, BAD)
 
 
 @query("d01_phase_report", P3 + RANKS + f" SELECT profile, count(*) AS folds, {r('avg(rank_ic)', 'mean_ic')}, {r('stddev_pop(rank_ic)', 'std_ic')}, {r('avg((rank_ic > 0)::INT)', 'positive_fraction')}, avg(rank_ic) > 0.03 AS ic_ok, stddev_pop(rank_ic) < 0.03 AS std_ok, avg((rank_ic > 0)::INT) > 0.75 AS positive_ok FROM ic GROUP BY profile")
@@ -254,25 +263,85 @@ uk AS (SELECT profile, fold, x.feature AS feature, x.v AS v, rank() OVER (PARTIT
 fi AS (SELECT profile, fold, feature, coalesce(corr(rx, ry), 0) AS feature_ic, avg(v) AS mean_v, stddev_pop(v) AS std_v FROM uk GROUP BY ALL)"""
 
 
-@query("d17_feature_forensics", P + FORENSICS + f", j AS (SELECT f.*, ic.rank_ic, ic.rank_ic < 0 AS bad FROM fi f JOIN ic USING (profile, fold)), ref AS (SELECT profile, feature, avg(feature_ic) FILTER (NOT bad) AS good_ic, avg(mean_v) FILTER (NOT bad) AS good_mean, avg(std_v) FILTER (NOT bad) AS good_std FROM j GROUP BY ALL) SELECT profile, fold, feature, {r('feature_ic', 'feature_ic')}, {r('good_ic', 'good_ic')}, {r('feature_ic - good_ic', 'delta_ic')}, {r('(mean_v - good_mean) / nullif(sqrt((std_v * std_v + good_std * good_std) / 2), 0)', 'standardized_difference')}, coalesce(sign(feature_ic) * sign(good_ic) < 0, false) AS reversal FROM j JOIN ref USING (profile, feature) WHERE bad")
+COHORTS = RANKS + f""", q AS (SELECT profile, fold, rank_ic, CASE WHEN rank_ic >= {GOOD} THEN 'good' WHEN rank_ic <= {BAD} THEN 'bad' ELSE 'neutral' END AS quality FROM ic),
+co AS (SELECT t.*, quality, CASE WHEN quality = 'bad' THEN t.fold END AS cohort FROM t JOIN q USING (profile, fold) WHERE quality <> 'neutral'),
+cu AS (SELECT profile, fold, quality, cohort, unnest([{{'feature': 'f_quantity', 'v': f_quantity}}, {{'feature': 'f_price', 'v': f_price}}, {{'feature': '4h_tax', 'v': "4h_tax"}}]) AS x, forward_return FROM co),
+ck AS (SELECT profile, cohort, x.feature AS feature, x.v AS v, rank() OVER (PARTITION BY profile, cohort, x.feature ORDER BY x.v) + (count(*) OVER (PARTITION BY profile, cohort, x.feature, x.v) - 1) / 2 AS rx,
+  rank() OVER (PARTITION BY profile, cohort, x.feature ORDER BY forward_return) + (count(*) OVER (PARTITION BY profile, cohort, x.feature, forward_return) - 1) / 2 AS ry FROM cu),
+ci AS (SELECT profile, cohort, feature, coalesce(corr(rx, ry), 0) AS ic_, avg(v) AS mv, var_pop(v) AS vv, count(*) AS n FROM ck GROUP BY ALL HAVING count(*) >= 3),
+ff AS (SELECT b.profile, b.cohort AS bad_fold, q.rank_ic AS bad_fold_rank_ic, b.feature, CASE WHEN b.feature[1:3] = '4h_' THEN '4h' ELSE '1h' END AS timeframe, 'other' AS family, g.ic_ AS good_ic, b.ic_ AS bad_ic, b.ic_ - g.ic_ AS delta,
+  abs(g.ic_) >= 0.02 AND abs(b.ic_) >= 0.02 AND sign(g.ic_) <> sign(b.ic_) AS reversal, g.mv AS good_mean, b.mv AS bad_mean, b.mv - g.mv AS gap,
+  coalesce(abs(b.mv - g.mv) / nullif(sqrt((b.n * b.vv + g.n * g.vv) / (b.n + g.n) + b.n * g.n * (b.mv - g.mv) * (b.mv - g.mv) / ((b.n + g.n) * (b.n + g.n))), 0), 0) AS shift
+  FROM ci b JOIN q ON q.profile = b.profile AND q.fold = b.cohort JOIN ci g ON g.profile = b.profile AND g.feature = b.feature AND g.cohort IS NULL WHERE b.cohort IS NOT NULL)"""
+FEATURES = ["f_quantity", "f_price", "4h_tax"]
+
+
+def forensics(spark, d):
+    return reports.feature_forensics(test_rows(spark, d, ALL), FEATURES, GOOD, BAD)
+
+
+@query("d17_feature_forensics", P3 + COHORTS + f" SELECT profile, bad_fold, {r('bad_fold_rank_ic', 'bad_fold_rank_ic')}, feature, timeframe, family, {r('good_ic', 'good_feature_ic')}, {r('bad_ic', 'bad_feature_ic')}, {r('delta', 'delta_ic')}, reversal AS signal_reversal, {r('good_mean', 'good_mean')}, {r('bad_mean', 'bad_mean')}, {r('gap', 'mean_diff')}, {r('shift', 'abs_standardized_diff')} FROM ff")
+def _(spark, d):
+    return forensics(spark, d).select("profile", "bad_fold", *rs("bad_fold_rank_ic"), "feature", "timeframe", "family", *rs("good_feature_ic", "bad_feature_ic", "delta_ic"), "signal_reversal", *rs("good_mean", "bad_mean", "mean_diff", "abs_standardized_diff"))
+
+
+WATCH = "count(DISTINCT bad_fold) >= {n} AND ({rev} >= {least_rev} OR {d} >= {least_d})"
+
+
+@query("d17_forensics_watchlist", P3 + COHORTS + f" SELECT profile, feature, timeframe, family, count(DISTINCT bad_fold) AS bad_fold_count, string_agg(bad_fold::VARCHAR, ',' ORDER BY bad_fold) AS bad_folds, {r('avg(delta)', 'mean_delta_ic')}, {r('avg(abs(delta))', 'mean_abs_delta_ic')}, {r('avg(reversal::INT)', 'signal_reversal_rate')}, {r('avg(shift)', 'mean_abs_standardized_diff')}, CASE WHEN {WATCH.format(n=2, rev='avg(reversal::INT)', least_rev=0.34, d='avg(abs(delta))', least_d=0.05)} THEN 'ablate_or_bound' ELSE 'monitor' END AS recommended_action FROM ff GROUP BY profile, feature, timeframe, family")
+def _(spark, d):
+    g = reports.forensics_watchlist(forensics(spark, d), ["feature", "timeframe", "family"], 2, 0.34, 0.05, "ablate_or_bound")
+    return g.select("profile", "feature", "timeframe", "family", "bad_fold_count", "bad_folds", *rs("mean_delta_ic", "mean_abs_delta_ic", "signal_reversal_rate", "mean_abs_standardized_diff"), "recommended_action")
+
+
+def tops(by: str, name: str) -> str:
+    return f"array_to_string((list(feature ORDER BY round({by}, 9) DESC, feature))[1:5], ',') AS {name}"
+
+
+GROUPED = COHORTS + f", gf AS (SELECT profile, bad_fold, bad_fold_rank_ic, timeframe, family, count(DISTINCT feature) AS feature_count, avg(good_ic) AS gi, avg(bad_ic) AS bi, avg(delta) AS di, avg(abs(delta)) AS ad, avg(reversal::INT) AS rr, avg(shift) AS sh, {tops('abs(delta)', 'top_delta_features')}, {tops('shift', 'top_shifted_features')} FROM ff GROUP BY profile, bad_fold, bad_fold_rank_ic, timeframe, family)"
+
+
+@query("d18_group_forensics", P3 + GROUPED + f" SELECT profile, bad_fold, {r('bad_fold_rank_ic', 'bad_fold_rank_ic')}, timeframe, family, feature_count, {r('gi', 'mean_good_feature_ic')}, {r('bi', 'mean_bad_feature_ic')}, {r('di', 'mean_delta_ic')}, {r('ad', 'mean_abs_delta_ic')}, {r('rr', 'signal_reversal_rate')}, {r('sh', 'mean_abs_standardized_diff')}, top_delta_features, top_shifted_features FROM gf")
+def _(spark, d):
+    g = reports.group_forensics(forensics(spark, d))
+    return g.select("profile", "bad_fold", *rs("bad_fold_rank_ic"), "timeframe", "family", "feature_count", *rs("mean_good_feature_ic", "mean_bad_feature_ic", "mean_delta_ic", "mean_abs_delta_ic", "signal_reversal_rate", "mean_abs_standardized_diff"), "top_delta_features", "top_shifted_features")
+
+
+@query("d18_group_watchlist", P3 + GROUPED + f" SELECT profile, timeframe, family, count(DISTINCT bad_fold) AS bad_fold_count, string_agg(bad_fold::VARCHAR, ',' ORDER BY bad_fold) AS bad_folds, {r('avg(di)', 'mean_delta_ic')}, {r('avg(ad)', 'mean_abs_delta_ic')}, {r('avg(rr)', 'signal_reversal_rate')}, {r('avg(sh)', 'mean_abs_standardized_diff')}, CASE WHEN {WATCH.format(n=2, rev='avg(rr)', least_rev=0.25, d='avg(ad)', least_d=0.05)} THEN 'ablate_or_split' ELSE 'monitor' END AS recommended_action FROM gf GROUP BY profile, timeframe, family")
+def _(spark, d):
+    g = reports.forensics_watchlist(reports.group_forensics(forensics(spark, d)), ["timeframe", "family"], 2, 0.25, 0.05, "ablate_or_split")
+    return g.select("profile", "timeframe", "family", "bad_fold_count", "bad_folds", *rs("mean_delta_ic", "mean_abs_delta_ic", "signal_reversal_rate", "mean_abs_standardized_diff"), "recommended_action")
+
+
+@query("d19_feature_audit", P3 + COHORTS + f""", v AS (SELECT profile, x.feature AS feature, x.v AS v, count(*) FILTER (quality = 'good') AS a, count(*) FILTER (quality = 'bad') AS b FROM cu GROUP BY ALL),
+gp AS (SELECT profile, feature, abs(sum(a) OVER u / nullif(sum(a) OVER k, 0) - sum(b) OVER u / nullif(sum(b) OVER k, 0)) AS gap FROM v WINDOW u AS (PARTITION BY profile, feature ORDER BY v ROWS UNBOUNDED PRECEDING), k AS (PARTITION BY profile, feature)),
+ks AS (SELECT profile, feature, max(gap) AS ks FROM gp GROUP BY ALL),
+au AS (SELECT profile, x.feature AS feature, avg(x.v) FILTER (quality = 'good') AS gm, avg(x.v) FILTER (quality = 'bad') AS bm, stddev_pop(x.v) AS sd FROM cu GROUP BY ALL HAVING count(*) FILTER (quality = 'good') >= 3 AND count(*) FILTER (quality = 'bad') >= 3),
+rk AS (SELECT *, coalesce(abs(gm - bm) / nullif(sd, 0), 0) AS shift FROM au JOIN ks USING (profile, feature))
+SELECT profile, feature, {r('gm', 'good_mean')}, {r('bm', 'bad_mean')}, {r('gm - bm', 'mean_diff')}, {r('shift', 'abs_standardized_diff')}, {r('ks', 'ks')}, row_number() OVER (PARTITION BY profile ORDER BY round(ks, 9) DESC, round(shift, 9) DESC, feature) AS place FROM rk""")
 def _(spark, d):
-    f = reports.feature_forensics(test_rows(spark, d), KEYS, ["f_quantity", "f_price", "4h_tax"])
-    return f.select(*KEYS, "feature", *rs("feature_ic", "good_ic", "delta_ic", "standardized_difference"), "reversal")
+    a = reports.feature_audit(test_rows(spark, d, ALL), FEATURES, GOOD, BAD)
+    return a.select("profile", "feature", *rs("good_mean", "bad_mean", "mean_diff", "abs_standardized_diff", "ks"), F.col("place").cast("long").alias("place"))
 
 
-@query("d18_group_forensics", P + FORENSICS + f", j AS (SELECT f.*, ic.rank_ic < 0 AS bad FROM fi f JOIN ic USING (profile, fold)), ref AS (SELECT profile, feature, avg(feature_ic) FILTER (NOT bad) AS good_ic FROM j GROUP BY ALL), g AS (SELECT profile, feature, CASE WHEN feature LIKE '4h_%' THEN '4h' ELSE '1h' END AS timeframe, round(abs(feature_ic - good_ic), 9) AS gap FROM j JOIN ref USING (profile, feature) WHERE bad) SELECT profile, timeframe, count(*) AS n, {r('avg(gap)', 'mean_abs_delta')}, (list(feature ORDER BY gap DESC, feature))[1] AS top_feature FROM g GROUP BY ALL")
+@query("d16_regime_by_fold", P3 + RANKS + f""", w AS (SELECT *, CASE WHEN regime_prob_0 >= greatest(regime_prob_1, regime_prob_2) THEN 0 WHEN regime_prob_1 >= regime_prob_2 THEN 1 ELSE 2 END AS regime FROM t),
+wk AS (SELECT *, rank() OVER (PARTITION BY profile, fold, regime ORDER BY prob_long) + (count(*) OVER (PARTITION BY profile, fold, regime, prob_long) - 1) / 2 AS rx, rank() OVER (PARTITION BY profile, fold, regime ORDER BY forward_return) + (count(*) OVER (PARTITION BY profile, fold, regime, forward_return) - 1) / 2 AS ry FROM w)
+SELECT profile, fold, regime, count(*) AS n, {r('any_value(i.rank_ic)', 'fold_rank_ic')}, any_value(i.rank_ic) <= {BAD} AS is_bad_fold, {r('CASE WHEN count(*) >= 3 THEN coalesce(corr(wk.rx, wk.ry), 0) ELSE 0 END', 'rank_ic')}, {r('avg(label)', 'label_rate')}, {r('avg((prob_long >= 0.5)::INT)', 'pred_rate')}, {r('avg(forward_return)', 'mean_return')}, {r('coalesce(2 * count(*) FILTER (prob_long >= 0.5 AND label = 1) / nullif(2 * count(*) FILTER (prob_long >= 0.5 AND label = 1) + count(*) FILTER (prob_long >= 0.5 AND label = 0) + count(*) FILTER (prob_long < 0.5 AND label = 1), 0), 0)', 'f1')} FROM wk JOIN ic i USING (profile, fold) GROUP BY profile, fold, regime""")
 def _(spark, d):
-    f = reports.feature_forensics(test_rows(spark, d), KEYS, ["f_quantity", "f_price", "4h_tax"])
-    f = f.withColumns({"timeframe": reports.timeframe(F.col("feature")), "gap": F.round(F.abs("delta_ic"), 9)})
-    top = F.max_by("feature", F.struct("gap", F.col("feature")))
-    first = F.get(F.array_sort(F.collect_list(F.struct((-F.col("gap")).alias("g"), "feature"))), F.lit(0))["feature"]
-    return f.groupBy("profile", "timeframe").agg(F.count("*").alias("n"), R(F.avg("gap")).alias("mean_abs_delta"), first.alias("top_feature"))
+    x = reports.regime_by_fold(test_rows(spark, d, ALL), 3, BAD)
+    return x.select(*KEYS, "regime", "n", *rs("fold_rank_ic"), "is_bad_fold", *rs("rank_ic", "label_rate", "pred_rate", "mean_return", "f1"))
 
 
-@query("d20_mtf_leakage", f"{P} SELECT profile, count(*) AS n, count(*) FILTER (ts + INTERVAL 4 HOUR > ts + INTERVAL 4 HOUR) AS available_late, count(*) FILTER (ts - INTERVAL 4 HOUR + INTERVAL 4 HOUR <> ts) AS available_wrong FROM preds GROUP BY profile")
+HTF = f"WITH {bars_cte()}, {bars_cte('htf', 14400)}, h AS (SELECT symbol, ts AS source_ts, ts + INTERVAL 4 HOUR AS available_ts FROM htf), j AS (SELECT 'available' AS variant, b.symbol, b.ts, h.source_ts, h.available_ts FROM bars b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.ts >= h.available_ts UNION ALL SELECT 'bar_start', b.symbol, b.ts, h.source_ts, h.available_ts FROM bars b ASOF LEFT JOIN h ON b.symbol = h.symbol AND b.ts >= h.source_ts)"
+
+
+@query("d20_mtf_leakage", HTF + ", q AS (SELECT variant, count(*) AS n, count(source_ts) AS matched, count(*) FILTER (available_ts > ts) AS available_late, count(*) FILTER (available_ts <> source_ts + INTERVAL 4 HOUR) AS available_wrong FROM j GROUP BY variant) SELECT *, available_late = 0 AND available_wrong = 0 AS passed FROM q")
 def _(spark, d):
-    t = preds(spark, d).withColumns({"source": F.expr("ts - interval 4 hours"), "available": F.col("ts")})
-    return t.groupBy("profile").agg(F.count("*").alias("n"), F.count_if(F.col("available") > F.col("ts")).alias("available_late"), F.count_if(F.expr("available <> source + interval 4 hours")).alias("available_wrong"))
+    """The as-of join on the time a four-hour bar is available, and one on its start, which looks ahead."""
+    b = bars(spark, d).select("symbol", "ts")
+    h = bars(spark, d, 14400).select("symbol", F.col("ts").alias("source_ts"), F.expr("ts + interval 4 hours").alias("available_ts"))
+    joined = [asof(b, h.withColumn("ts", F.col(c)), prefix="h_").withColumn("variant", F.lit(v)) for v, c in (("available", "available_ts"), ("bar_start", "source_ts"))]
+    return reports.mtf_leakage(joined[0].unionByName(joined[1]), ["variant"], "ts", "h_source_ts", "h_available_ts")
 
 
 @query("w11_percent_rank", P3 + f" SELECT profile, row_pos, {r('(rank() OVER (PARTITION BY profile, fold, split ORDER BY prob_long) + (count(*) OVER (PARTITION BY profile, fold, split, prob_long) - 1) / 2) / count(*) OVER (PARTITION BY profile, fold, split)', 'pct')} FROM preds")
@@ -280,10 +349,23 @@ def _(spark, d):
     return preds(spark, d, ALL).select("profile", "row_pos", R(w.percent_rank("prob_long", BY)).alias("pct"))
 
 
-@query("e06_blends", P3 + f", b AS (SELECT row_pos, fold, split, count(*) AS profiles, avg(prob_long) AS prob_mean, stddev_samp(prob_long) AS prob_std, min(prob_long) AS prob_min, max(prob_long) AS prob_max, sum(prob_long * CASE profile WHEN 'control' THEN 0.5 WHEN 'alpha' THEN 0.3 ELSE 0.2 END) AS prob_weighted FROM preds GROUP BY ALL HAVING count(*) = 3) SELECT row_pos, fold, split, {r('prob_mean', 'prob_mean')}, {r('prob_std', 'prob_std')}, {r('prob_min', 'prob_min')}, {r('prob_max', 'prob_max')}, {r('prob_weighted', 'prob_weighted')} FROM b")
+BLENDS = reports.all_blends(list(ALL), {"tilted": (0.5, 0.3, 0.2)})
+
+
+def blends_sql() -> str:
+    parts = []
+    for name, (members, weights) in BLENDS.items():
+        total = sum(weights) if weights else len(members)
+        weight = "CASE profile " + " ".join(f"WHEN '{p}' THEN {(weights[i] if weights else 1) / total}" for i, p in enumerate(members)) + " END"
+        for kind, x in (("prob", "prob_long"), ("rank", "rk")):
+            parts.append(f"SELECT '{name}' AS blend, '{kind}_{'weighted' if weights else 'mean'}' AS method, row_pos, fold, split, sum({x} * {weight}) AS score, stddev_samp({x}) AS sd, min({x}) AS lo, max({x}) AS hi, count(*) AS profiles FROM rk WHERE profile IN ({', '.join(repr(p) for p in members)}) GROUP BY ALL HAVING count(*) = {len(members)}")
+    return "rk AS (SELECT *, (rank() OVER (PARTITION BY profile, fold, split ORDER BY prob_long) + (count(*) OVER (PARTITION BY profile, fold, split, prob_long) - 1) / 2) / count(*) OVER (PARTITION BY profile, fold, split) AS rk FROM preds), bl AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("e06_blends", P3 + ", " + blends_sql() + f" SELECT blend, method, row_pos, fold, split, {r('score', 'score')}, {r('sd', 'profile_std')}, {r('lo', 'profile_min')}, {r('hi', 'profile_max')}, profiles FROM bl")
 def _(spark, d):
-    b = reports.blend(preds(spark, d, ALL), {"control": 0.5, "alpha": 0.3, "beta": 0.2}, ["row_pos", "fold", "split"])
-    return b.select("row_pos", "fold", "split", *rs("prob_mean", "prob_std", "prob_min", "prob_max", "prob_weighted"))
+    b = reports.blends(preds(spark, d, ALL), BLENDS, ["row_pos", "fold", "split"], ["fold", "split"])
+    return b.select("blend", "method", "row_pos", "fold", "split", *rs("score", "profile_std", "profile_min", "profile_max"), "profiles")
 
 
 @query("e09_profile_delta", P3 + RANKS + f" SELECT c.profile AS profile, c.fold, {r('c.rank_ic', 'rank_ic')}, {r('o.rank_ic', 'control_ic')}, {r('c.rank_ic - o.rank_ic', 'delta')}, c.rank_ic > o.rank_ic AS improved FROM ic c JOIN ic o ON c.fold = o.fold AND o.profile = 'control' WHERE c.profile <> 'control'")
@@ -338,7 +420,7 @@ def _(spark, d):
 
 @query("e14_feature_drift", P + FORENSICS + f", x AS (SELECT profile, feature, fold, mean_v, std_v, feature_ic, first_value(mean_v) OVER o AS m0, first_value(std_v) OVER o AS s0, first_value(feature_ic) OVER o AS i0 FROM fi WINDOW o AS (PARTITION BY profile, feature ORDER BY fold)) SELECT profile, feature, fold, {r('least(abs((mean_v - m0) / nullif(sqrt((std_v * std_v + s0 * s0) / 2), 0)), 3) + least(abs(feature_ic - i0), 2) + CASE WHEN feature_ic * i0 < 0 THEN 0.75 ELSE 0 END', 'suspect_score')} FROM x")
 def _(spark, d):
-    return reports.feature_drift(test_rows(spark, d), KEYS, ["f_quantity", "f_price", "4h_tax"]).select("profile", "feature", "fold", *rs("suspect_score"))
+    return reports.feature_drift(test_rows(spark, d), KEYS, FEATURES).select("profile", "feature", "fold", *rs("suspect_score"))
 
 
 @query("e17_reliability_gates", P3 + RANKS + f", v AS (SELECT profile, fold, avg(label) AS rate, stddev_pop(prob_long) AS sp FROM preds WHERE split = 'val' GROUP BY ALL), g(gate, least_sp) AS (VALUES ('loose', 0.1), ('strict', 0.288)) SELECT profile, gate, count(*) AS folds, count(*) FILTER (sp >= least_sp) AS kept, {r('avg(rank_ic) FILTER (sp >= least_sp)', 'kept_ic')}, {r('avg(rank_ic)', 'all_ic')} FROM ic JOIN v USING (profile, fold), g GROUP BY ALL")
@@ -386,19 +468,31 @@ def _(spark, d):
     return preds(spark, d, ALL).groupBy(*KEYS).agg(F.countDistinct("prob_long").alias("scores"), F.countDistinct("ts").alias("days"))
 
 
-@query("m10_loss_values", P3 + f", q AS (SELECT *, least(greatest(prob_long, 1e-6), 1 - 1e-6) AS p FROM preds WHERE split = 'test'), f AS (SELECT profile, fold, avg(CASE WHEN label = 1 THEN -0.25 * pow(1 - p, 2) * ln(p) ELSE -0.75 * pow(p, 2) * ln(1 - p) END) AS focal, -corr(prob_long, forward_return) AS ic_loss FROM q GROUP BY ALL) SELECT profile, fold, {r('focal', 'focal')}, {r('ic_loss', 'ic_loss')}, {r('focal + 0.2 * ic_loss', 'loss')} FROM f")
+LOGIT = "ln(p / (1 - p))"
+
+
+@query("m10_loss_values", P3 + f""", q AS (SELECT *, least(greatest(prob_long, 1e-6), 1 - 1e-6) AS p FROM preds WHERE split = 'test'),
+f AS (SELECT profile, fold, avg(CASE WHEN label = 1 THEN -0.6 * pow(1 - p, 2) * ln(p) ELSE -0.4 * pow(p, 2) * ln(1 - p) END) AS focal, -corr(prob_long, forward_return) AS ic_loss FROM q GROUP BY ALL),
+g AS (SELECT profile, fold, row_pos // 256 AS batch, {LOGIT} AS z, label FROM q),
+pr AS (SELECT a.profile, a.fold, a.batch, avg(ln(1 + exp(0.25 - (a.z - b.z)))) AS m FROM g a JOIN g b ON a.profile = b.profile AND a.fold = b.fold AND a.batch = b.batch AND a.label = 1 AND b.label = 0 GROUP BY ALL),
+bt AS (SELECT profile, fold, batch, count(*) AS n FROM g GROUP BY ALL),
+mg AS (SELECT bt.profile, bt.fold, avg(CASE WHEN n >= 3 THEN coalesce(m, 0) ELSE 0 END) AS margin FROM bt LEFT JOIN pr USING (profile, fold, batch) GROUP BY ALL)
+SELECT profile, fold, {r('focal', 'focal')}, {r('ic_loss', 'ic_loss')}, {r('margin', 'margin')}, {r('focal + 0.2 * ic_loss + 0.1 * margin', 'loss')} FROM f JOIN mg USING (profile, fold)""")
 def _(spark, d):
-    p = F.least(F.greatest(F.col("prob_long"), F.lit(1e-6)), F.lit(1 - 1e-6))
-    focal = F.avg(F.when(F.col("label") == 1, -0.25 * F.pow(1 - p, 2) * F.ln(p)).otherwise(-0.75 * F.pow(p, 2) * F.ln(1 - p)))
-    g = test_rows(spark, d, ALL).groupBy(*KEYS).agg(focal.alias("focal"), (-F.corr("prob_long", "forward_return")).alias("ic_loss"))
-    return g.select(*KEYS, *rs("focal", "ic_loss"), R(F.col("focal") + 0.2 * F.col("ic_loss")).alias("loss"))
+    x = losses.loss_values(test_rows(spark, d, ALL), KEYS, F.floor(F.col("row_pos") / 256), ic_weight=0.2, margin_weight=0.1)
+    return x.select(*KEYS, *rs("focal", "ic_loss", "margin", "loss"))
 
 
-@query("m16_fold_model_means", P3 + f" SELECT row_pos, {r('avg(prob_long)', 'prob_long')}, count(DISTINCT profile) AS models FROM preds WHERE fold = 6 GROUP BY row_pos")
+@query("m16_fold_model_means", P3 + f" SELECT row_pos, fold, {r('avg(prob_long)', 'prob_long')}, count(DISTINCT profile) AS models FROM preds GROUP BY row_pos, fold")
 def _(spark, d):
-    return preds(spark, d, ALL).where("fold = 6").groupBy("row_pos").agg(R(F.avg("prob_long")).alias("prob_long"), F.countDistinct("profile").alias("models"))
+    return preds(spark, d, ALL).groupBy("row_pos", "fold").agg(R(F.avg("prob_long")).alias("prob_long"), F.countDistinct("profile").alias("models"))
 
 
 @query("m17_isotonic_calibration")
 def _(spark, d):
     return reports.isotonic(preds(spark, d, ALL), KEYS).select("profile", "row_pos", *rs("calibrated"))
+
+
+@query("m17_platt_calibration")
+def _(spark, d):
+    return reports.platt(preds(spark, d, ALL), KEYS).select("profile", "row_pos", *rs("calibrated"))

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 
 from barloom.operators import bars as ops
 from barloom.operators import governance as g
-from barloom.operators import labels, regime, reports, scoring, wavelet
+from barloom.operators import labels, losses, metrics, regime, reports, scoring, wavelet
 from barloom.operators.asof import asof
 from barloom.operators.ewm import adx, ewm_values, with_ewm
 from barloom.operators.validation import non_finite, validated
 from barloom.plans.tables import bars
 from barloom.sources import klines
-from barloom.streaming.bars import bars_once, stream_filter
+from barloom.streaming.bars import bars_once, session_bars, stream_filter
 
 SF = "/root/testdata/sf0.001"
 T0 = dt.datetime(2024, 1, 1)
@@ -123,11 +123,36 @@ def test_sources_parse_archives(spark, tmp_path):
         assert len(t) == 3 and t[1]["num_trades"] == 4 and t[0]["high"] == 2.0
     m = spark.createDataFrame([("2024-01-01 00:00:00", "B", "1.5"), ("2024-01-01 00:00:00", "B", "2.5"), ("2024-01-01 00:05:00", "B", "x")], "create_time string, symbol string, oi string")
     assert sorted((r["oi"] is None, r["oi"] or 0) for r in klines.futures_metrics(m).collect()) == [(False, 1.5), (True, 0)]
-    f = spark.createDataFrame([("1704067200000", "B", "0.0001", "")], "fundingTime string, symbol string, fundingRate string, markPrice string")
+    funding = "fundingTime string, symbol string, fundingRate string, markPrice string"
+    f = spark.createDataFrame([("1704067200000", "B", "0.0001", "")], funding)
     assert klines.funding_rates(f).first()["mark_price"] is None
+    twice = spark.createDataFrame([("1704067200000", "B", "0.0009", ""), ("1704067200000", "B", "0.0001", "")], funding).coalesce(1)
+    assert [r["funding_rate"] for r in klines.funding_rates(twice).collect()] == [0.0009]
+    with pytest.raises(ValueError, match="missing"):
+        klines.funding_rates(f.drop("fundingRate"))
+    with pytest.raises(ValueError, match="unsupported"):
+        klines.archive_paths("x", "B", "7m", "2024-01-01", "2024-02-01")
     assert [p[-11:-4] for p in klines.archive_paths("x", "B", "1h", "2024-01-15", "2024-03-01")] == ["2024-01", "2024-02"]
 
 
+def test_archives_by_month_or_else_by_day(spark, tmp_path):
+    def put(by, period, hours_):
+        folder = tmp_path / by / "klines" / "B" / "1h"
+        folder.mkdir(parents=True, exist_ok=True)
+        lines = "\n".join(f"{int((T0.replace(tzinfo=dt.timezone.utc) + dt.timedelta(hours=h)).timestamp() * 1000)},1,2,1,{h},10,0,17,3,5,8,0" for h in hours_)
+        with zipfile.ZipFile(folder / f"B-1h-{period}.zip", "w") as z:
+            z.writestr("x.csv", lines + "\n")
+
+    put("monthly", "2024-01", [0, 1, 1, 743])
+    put("daily", "2024-02-01", [744, 745])
+    put("daily", "2024-02-03", [792])
+    put("daily", "2024-01-05", [96])  # its month has an archive
+    got = klines.archived_klines(spark, f"file://{tmp_path}", "B", "1h", "2024-01-01 01:00:00", "2024-02-03").orderBy("timestamp").collect()
+    assert [r["close"] for r in got] == [1.0, 743.0, 744.0, 745.0]
+    with pytest.raises(ValueError, match="no archive"):
+        klines.archived_klines(spark, f"file://{tmp_path}", "C", "1h", "2024-01-01", "2024-02-03")
+
+
 def test_regimes_filter_forward_only():
     rng = np.random.default_rng(42)
     x = np.concatenate([rng.normal(m, 0.2, size=(30, 3)) for m in (-1, 0, 1)])
@@ -146,6 +171,143 @@ def test_isotonic_is_monotone(spark):
     c = [x[1] for x in out]
     assert len(out) == 400 and all(b >= a - 1e-12 for a, b in zip(c, c[1:])) and 0 <= min(c) <= max(c) <= 1
     np.testing.assert_allclose(reports.pool_adjacent(np.array([1.0, 3, 2, 2, 5]), np.ones(5)), [1, 7 / 3, 7 / 3, 7 / 3, 5])
+    # exactly: the fit on all distinct val scores, linear between them
+    val = sorted((p, y) for _, _, s, p, y in rows if s == "val")
+    x, y = np.array([p for p, _ in val]), reports.pool_adjacent(np.array([float(v) for _, v in val]), np.ones(len(val)))
+    np.testing.assert_allclose(c, np.interp([p for p, _ in out], x, y), atol=1e-9)
+
+
+@pytest.mark.parametrize("method", [reports.isotonic, reports.platt])
+def test_calibration_of_one_class_or_score_is_its_share(spark, method):
+    rows = [("a", 0, "val", 0.2, 1), ("a", 0, "val", 0.8, 1), ("a", 0, "test", 0.5, 0), ("a", 1, "val", 0.3, 1), ("a", 1, "val", 0.3, 0), ("a", 1, "test", 0.9, 0)]
+    df = spark.createDataFrame(rows, "profile string, fold int, split string, prob_long double, label int")
+    got = {(r["fold"], r["split"], r["prob_long"]): r["calibrated"] for r in method(df, ["profile", "fold"]).collect()}
+    assert all(v == pytest.approx(1.0 if k[0] == 0 else 0.5) for k, v in got.items())
+
+
+def test_platt_is_the_penalised_logistic_fit(spark):
+    rng = np.random.default_rng(0)
+    rows = [("a", 0, "val", float(p), int(rng.random() < p)) for p in rng.random(300)]
+    df = spark.createDataFrame(rows, "profile string, fold int, split string, prob_long double, label int")
+    got = sorted((r["prob_long"], r["calibrated"]) for r in reports.platt(df, ["profile", "fold"]).collect())
+    x, y = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    z = np.log([c / (1 - c) for _, c in got])
+    slope = (z[-1] - z[0]) / (got[-1][0] - got[0][0])
+    p = 1 / (1 + np.exp(-(slope * x + z[0] - slope * got[0][0])))
+    assert abs((p - y).sum()) < 1e-5 and abs(((p - y) * x).sum() + slope) < 1e-5  # the gradient is zero
+
+
+def predictions(spark, rows):
+    return spark.createDataFrame(rows, "profile string, fold int, row_pos long, prob_long double, label int, forward_return double, f double, regime_prob_0 double, regime_prob_1 double")
+
+
+def test_forensics_pool_the_good_folds(spark):
+    # fold 0 and 1 are good (the score ranks returns), fold 2 is bad (it reverses them), fold 3 is neutral
+    rows, rng = [], np.random.default_rng(0)
+    for fold, sign in ((0, 1), (1, 1), (2, -1)):
+        for i in range(20):
+            rows.append(("p", fold, len(rows), i / 20, i % 2, sign * i / 100.0, float(sign * i + fold * 5), 0.6, 0.4))
+    noise = rng.permutation(40) / 40
+    rows += [("p", 3, len(rows) + i, i / 40, i % 2, 0.001 * ((i * 17) % 40), float(noise[i]), 0.2, 0.8) for i in range(40)]
+    df = predictions(spark, rows)
+    ic = {r["fold"]: r["rank_ic"] for r in metrics.rank_ic(df, ["profile", "fold"]).collect()}
+    assert ic[0] == ic[1] == pytest.approx(1) and ic[2] == pytest.approx(-1) and -0.08 < ic[3] < 0.10
+    summary = reports.good_bad_summary(metrics.rank_ic(df, ["profile", "fold"])).first()
+    assert (summary["good_folds"], summary["bad_folds"], summary["good_fold_count"], summary["bad_fold_count"]) == ("0,1", "2", 2, 1)
+    (r,) = reports.feature_forensics(df, ["f"]).collect()
+    pdf = pd.DataFrame(rows, columns=df.columns)
+    good, bad = pdf[pdf.fold < 2], pdf[pdf.fold == 2]
+    rho = lambda t: t["f"].rank().corr(t["forward_return"].rank())
+    assert r["bad_fold"] == 2 and r["good_feature_ic"] == pytest.approx(rho(good)) and r["bad_feature_ic"] == pytest.approx(rho(bad))
+    both = pd.concat([good.f, bad.f])
+    assert r["abs_standardized_diff"] == pytest.approx(abs(bad.f.mean() - good.f.mean()) / both.std(ddof=0))
+    assert not r["signal_reversal"]  # the feature falls where the return falls
+    (w,) = reports.forensics_watchlist(reports.feature_forensics(df, ["f"]), ["feature"], 1, 0.34, 0.05, "act").collect()
+    assert w["bad_folds"] == "2" and w["recommended_action"] == ("act" if abs(r["delta_ic"]) >= 0.05 else "monitor")
+    assert reports.feature_forensics(df.where("fold <> 2"), ["f"]).count() == 0
+
+
+def test_calibration_table_has_equal_counts(spark):
+    rows = [("p", 0, i, 0.5 if i < 6 else 0.9, i % 2, 0.0, 0.0, 0.5, 0.5) for i in range(10)]
+    got = metrics.calibration_table(predictions(spark, rows), ["profile"], bins=5).orderBy("bin").collect()
+    assert [r["n"] for r in got] == [2] * 5 and [r["mean_prob"] for r in got] == pytest.approx([0.5, 0.5, 0.5, 0.9, 0.9])
+
+
+def test_losses_by_hand(spark):
+    rows = [("p", 0, i, p, y, r, 0.0, 0.5, 0.5) for i, (p, y, r) in enumerate([(0.8, 1, 1.0), (0.3, 0, 0.0), (0.6, 0, 0.5), (0.9, 1, 2.0)])]
+    got = losses.loss_values(predictions(spark, rows), ["profile"], F.lit(0), 0.0, 1.0).first()
+    z = lambda p: math.log(p / (1 - p))
+    pairs = [math.log1p(math.exp(0.25 - (z(a) - z(b)))) for a in (0.8, 0.9) for b in (0.3, 0.6)]
+    focal = (0.6 * 0.2**2 * -math.log(0.8) + 0.4 * 0.3**2 * -math.log(0.7) + 0.4 * 0.6**2 * -math.log(0.4) + 0.6 * 0.1**2 * -math.log(0.9)) / 4
+    assert got["margin"] == pytest.approx(sum(pairs) / 4) and got["focal"] == pytest.approx(focal)
+    assert got["loss"] == pytest.approx(focal + sum(pairs) / 4)
+
+
+def test_leakage_is_seen(spark):
+    h = lambda n: T0 + dt.timedelta(hours=n)
+    df = spark.createDataFrame([("ok", h(5), h(0), h(4)), ("late", h(3), h(0), h(4)), ("shifted", h(9), h(0), h(5)), ("none", h(1), None, None)], "v string, ts timestamp_ntz, s timestamp_ntz, a timestamp_ntz")
+    got = {r["v"]: (r["matched"], r["available_late"], r["available_wrong"], r["passed"]) for r in reports.mtf_leakage(df, ["v"], "ts", "s", "a").collect()}
+    assert got == {"ok": (1, 0, 0, True), "late": (1, 1, 0, False), "shifted": (1, 0, 1, False), "none": (0, 0, 0, True)}
+
+
+def test_blends_need_all_profiles_and_weights(spark):
+    rows = [(p, 0, i, 0.1 * (i + k), 0, 0.0, 0.0, 0.5, 0.5) for k, p in enumerate("abc") for i in range(4) if (p, i) != ("c", 3)]
+    got = reports.blends(predictions(spark, rows), reports.all_blends(["a", "b", "c"], {"w": (2.0, 1.0, 1.0)}), ["row_pos", "fold"], ["fold"])
+    n = {(r["blend"], r["method"]): r["count"] for r in got.groupBy("blend", "method").count().collect()}
+    assert n[("a+b", "prob_mean")] == 4 and n[("a+b+c", "rank_mean")] == 3 and n[("w", "prob_weighted")] == 3 and len(n) == 10
+    score = {(r["blend"], r["method"], r["row_pos"]): r["score"] for r in got.collect()}
+    assert score[("w", "prob_weighted", 1)] == pytest.approx(0.5 * 0.1 + 0.25 * 0.2 + 0.25 * 0.3)
+    assert score[("a+c", "rank_mean", 0)] == pytest.approx((1 / 4 + 1 / 3) / 2)
+    with pytest.raises(ValueError, match="weights"):
+        reports.blends(predictions(spark, rows), {"w": (("a", "b"), (0.0, 0.0))}, ["row_pos"], ["fold"])
+
+
+def test_names_have_a_timeframe_and_family(spark):
+    names = {"4h_atr_14_pct": ("4h", "volatility_structure"), "ih15_coverage": ("intrahour", "order_flow_intrahour"), "4h_fut_funding_sum": ("futures", "futures_funding_context"), "fut_oi_change": ("futures", "futures_open_interest_context"), "cvd_stable_zscore": ("1h", "order_flow_v2_stable"), "log_return_stable_rank": ("1h", "volatility_structure_stable"), "absorption_pressure_3": ("1h", "order_flow_v2_raw"), "taker_imbalance_mean_3": ("1h", "order_flow_v2_bounded"), "true_cvd_zscore": ("1h", "order_flow_tier1"), "whale_buy_flag": ("1h", "whale"), "a_x_rv14_rank": ("1h", "flow_volatility_interaction"), "hour": ("1h", "other")}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = {r["name"]: (r["t"], r["f"]) for r in df.select("name", reports.timeframe(F.col("name")).alias("t"), reports.family(F.col("name")).alias("f")).collect()}
+    assert got == names
+
+
+def test_intrahour_by_hand(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("S", at(0), 100.0, 102.0, 99.0, 101.0, 10.0, 0.0, 2, 8.0, 0.0), ("S", at(15), 101.0, 103.0, 100.0, 100.0, 20.0, 0.0, 4, 5.0, 0.0), ("S", at(30), 100.0, 101.0, 98.0, 98.5, 30.0, 0.0, 5, 20.0, 0.0), ("S", at(45), 98.5, 99.0, 97.0, 98.0, 40.0, 0.0, 5, 30.0, 0.0)]
+    rows += [("S", at(60), 1.0, 1.0, 1.0, 1.0, 10.0, 0.0, 2, 8.0, 0.0)]  # an hour with one bar goes
+    b = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double, quote_volume double, num_trades long, taker_buy_base_vol double, taker_buy_quote_vol double")
+    (r,) = ops.intrahour(b).collect()
+    assert len(r) == 32  # 30 features, symbol and time
+    late = math.log(98.0 / 100.0) / (4.0 / 100.0)
+    assert r["price_move_norm"] == pytest.approx(math.log(0.98) / 0.06) and r["cvd_pressure_norm"] == pytest.approx(26 / 100)
+    assert r["late_buy_absorption"] == pytest.approx(30 / 100 * -late) and r["late_sell_absorption"] == 0
+    assert r["late_flow_price_alignment"] == pytest.approx(late) and r["late_flow_reversal"] == pytest.approx(0.30)
+    assert r["vpt_last_vs_hour"] == pytest.approx(8 / (100 / 16) - 1) and r["vpt_late_vs_early"] == pytest.approx(7 / 5 - 1)
+    assert r["cvd_slope_norm"] == pytest.approx(np.polyfit(range(4), np.cumsum([6, -10, 10, 20]), 1)[0] / 100)
+    assert r["buy_volume_share_last"] == pytest.approx(30 / 63) and r["aggressive_buy_burst"] == pytest.approx(0.5 * 0.4) and r["aggressive_sell_burst"] == 0
+
+
+def test_prices_of_zero_are_missing_not_errors(spark):
+    closes = [100.0 + math.sin(i) for i in range(40)]
+    closes[20] = closes[30] = 0.0
+    b = made_bars(spark, closes, [max(c, 0.1) for c in closes], [0.0 if i in (5, 20, 30) else c - 0.6 for i, c in enumerate(closes)])
+    p = ops.price_features(ops.flow_features(b))
+    assert p.where("gk IS NULL").count() == 3 and p.where("log_return IS NULL").count() == 5
+    x = labels.forward_return(labels.triple_barrier(p, "atr_14"))
+    assert x.count() > 0 and adx(p).count() == 40 and ops.orderflow_features(p).count() == 40 and ops.stationary_features(p).count() == 40
+    one_side = predictions(spark, [("p", 0, i, i / 4, 1, 0.0, 0.0, 0.5, 0.5) for i in range(4)])
+    assert metrics.ks(one_side, ["profile"], "prob_long", F.col("label") == 1).first()["ks"] is None
+    assert metrics.psi(one_side, ["profile"], "prob_long", F.col("label") == 1).count() == 1
+
+
+@pytest.mark.parametrize("n", [0, 229, 230, 290, 605, 1000])
+def test_rows_are_in_every_fold_that_has_them(spark, n):
+    f = labels.Folds(120, 40, 40, 60)
+    rows = spark.range(n).select(F.lit("S").alias("symbol"), F.col("id").cast("int").alias("pos"))
+    folds = max(0, (n - 230) // 60 + 1)
+    want = {(p, k, role) for k in range(folds) for role, lo, hi in f.ranges() for p in range(60 * k + lo, 60 * k + hi)}
+    got = [(r["pos"], r["fold"], r["role"]) for r in labels.with_folds(rows, f).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert labels.walk_forward(rows, f).count() == 3 * folds
+
 
 
 def test_importance_of_a_useless_column_is_zero(spark):
@@ -181,9 +343,16 @@ def test_reports_are_written(spark, tmp_path):
 
 
 def test_stream_closes_the_batch_bars(spark):
-    got = {(r["symbol"], r["ts"]): (r["open"], r["close"], r["num_trades"]) for r in bars_once(spark, SF, 8, "t_stream").collect()}
+    got = {(r["symbol"], r["ts"]): (r["open"], r["close"], r["num_trades"]) for r in bars_once(spark, SF, 8).collect()}
     want = {(r["symbol"], r["ts"]): (r["open"], r["close"], r["num_trades"]) for r in bars(spark, SF).collect()}
-    assert len(got) >= 0.95 * len(want) and all(want[k] == v for k, v in got.items())
+    assert got == want
+
+
+def test_sessions_end_at_a_gap(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    ticks = spark.createDataFrame([("S", at(m), 100.0 + m, 1) for m in (0, 10, 39, 80, 100)], "symbol string, ts timestamp, price double, size int")
+    got = session_bars(ticks).orderBy("start").collect()
+    assert [(r["num_trades"], r["low"], r["high"]) for r in got] == [(3, 100.0, 139.0), (2, 180.0, 200.0)]
 
 
 def test_stream_filter_continues_its_state(spark, tmp_path):
