@@ -5,14 +5,14 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before it
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import mixing, packing, secrets, simhash, toxicity
 from barloom.llm.common import saved, table, text_of
 
-#: Bits of 512 that near copies may differ in: the mean at a five-word-shingle likeness of 0.8 is 78, its deviation 8.
-NEAR = 94
+#: The least likeness of near copies.
+LIKENESS = 0.8
 
 
 def _sized(docs: DataFrame) -> DataFrame:
@@ -21,40 +21,38 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic at the operator's threshold go."""
+    """Documents scored toxic at the operator's threshold go. Null and empty texts have no toxic words and stay
+    as the labels have it; repeated rows fare alike; an empty table gives no rows."""
     scorer = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, scorer, docs.columns, out="_toxicity")
     return scored.where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays; a null id counts as a
-    negative number made from the text. Of repeated rows one stays."""
-    rid = F.coalesce(F.col("doc_id").cast("long"), -F.abs(F.shiftright(F.xxhash64(text_of()), 1)) - 1)
-    marked = docs.withColumn("_rid", rid)
-    groups = simhash.wide_groups(marked.select("_rid", text_of().alias("text")), "_rid", NEAR)
-    first = groups.where("_rid = group").select("_rid").distinct()
-    w = Window.partitionBy("_rid").orderBy(F.xxhash64("text"))
-    kept = marked.join(first, "_rid", "left_semi")
-    return kept.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").select(*docs.columns)
+    """Of each group of near copies, five-word shingles at a likeness of 0.8, the document with the least id
+    stays, null ids last; of repeated rows one stays."""
+    return simhash.first_of_near_copies(docs, LIKENESS)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every reported span is replaced by a mark; all documents stay."""
+    """Every reported span is replaced by a mark; all documents, nulls and repeated rows stay."""
     return _sized(secrets.redacted(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them. Where it takes a part, the first words of that
-    share, joined by single spaces, are the text."""
-    key = F.xxhash64(F.col("doc_id"), F.col("source"), text_of())
-    taken = mixing.mix(docs.withColumn("_key", key), keep=["_key"])
-    taken = taken.groupBy("_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    # repeated rows share a key; their copies are made from the first
-    w = Window.partitionBy("_key").orderBy("_key")
-    rows = docs.withColumn("_key", key).join(taken, "_key").withColumn("_nth", F.row_number().over(w)).where("_nth = 1")
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil("_copies").cast("int"))))
-    share = F.col("_copies") - F.col("_copy") + 1
+    share, joined by single spaces, are the text. Texts without words cost nothing and weigh nothing: they are
+    taken as the draw has it; a null source is a source of its own; repeated rows are documents of their own;
+    an empty table gives no rows."""
+    # rows are numbered in a table, so that no two share a key
+    key = "_key"
+    while any(c.startswith(key) for c in docs.columns):
+        key = "_" + key
+    numbered = saved(docs.withColumn(key, F.monotonically_increasing_id()), "mix-numbered")
+    taken = mixing.mix(numbered, keep=[key]).where("copies > 0").select(key, F.col("copies").alias(f"{key}_copies"))
+    copies = F.col(f"{key}_copies")
+    rows = numbered.join(taken, key).withColumn(f"{key}_copy", F.explode(F.sequence(F.lit(1), F.ceil(copies).cast("int"))))
+    share = copies - F.col(f"{key}_copy") + 1
     words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
     part = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.round(share * mixing.word_count(text_of())).cast("int"))), " ")
     cut = rows.withColumn("text", F.when(share < 1 - 1e-9, part).otherwise(F.col("text")))
@@ -62,6 +60,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2048 tokens. A null or empty text is its end id alone;
+    repeated rows are packed each; an empty table gives no rows."""
     return packing.pack(docs)
 
 
