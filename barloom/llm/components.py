@@ -41,29 +41,50 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def bucket_components(vertices: DataFrame, keyed: Callable[[DataFrame, bool], DataFrame], payload: list[str], close: Callable[[list[Column], list[Column]], Column], confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """(node, root) of the graph that links nodes which share a key and are close; no bucket is expanded into its pairs.
-
-    keyed(vertices, few) gives vertices' columns and one row a key; with few, some of the keys may be
-    left out. First every node is compared with the first and the last node of its buckets, which joins
-    all but a few members of a large group into one component. Then only buckets that still hold several
-    components are searched: every member that is not of the bucket's least component against the members
-    of other components. A large group's component is the least one of nearly all its buckets, as the
-    least of its many node numbers is small, so the work stays near the number of members. What shares a
-    component is linked already; all other close pairs are found, so the components are exact."""
-    few = keyed(vertices, True)
+def least_and_last(keyed: DataFrame, payload: list[str], close: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
+    """(node, end, and the payload of both as end.*) of close pairs of a row of keyed (key, node, payload) with
+    the least and the last node of its key: two rows at most for every row of keyed."""
     own = F.struct("node", *payload)
-    ends = few.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.node < hi.node")
-    met = few.join(ends, "key").select("node", *payload, F.explode(F.array("lo", "hi")).alias("end"))
-    star = met.where((F.col("node") != F.col("end.node")) & close([F.col(c) for c in payload], [F.col("end")[c] for c in payload]))
-    star = saved(confirm(star.select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b")).distinct()), "cc-star")
-    named = vertices.join(connected_components(star), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
-    every = keyed(saved(named, "cc-named"), False).select("key", "node", "comp", *payload)
-    mixed = every.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key", "low")
-    rest = every.join(mixed, "key")
-    a = rest.where("comp != low").select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), *[F.col(c).alias(f"{c}_a") for c in payload])
-    b = rest.select("key", "low", F.col("node").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias(f"{c}_b") for c in payload])
-    once = (F.col("comp_b") == F.col("low")) | (F.col("a") < F.col("b"))
-    pairs = a.join(b, "key").where((F.col("comp_a") != F.col("comp_b")) & once & close([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload]))
-    cross = saved(confirm(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "cc-cross")
-    return connected_components(star.unionByName(cross))
+    ends = keyed.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.node < hi.node")
+    met = keyed.join(ends, "key").select("node", *payload, F.explode(F.array("lo", "hi")).alias("end"))
+    return met.where((F.col("node") != F.col("end.node")) & close([F.col(c) for c in payload], [F.col("end")[c] for c in payload]))
+
+
+def mixed_keys(keyed: DataFrame) -> DataFrame:
+    """(key, size) of the keys of keyed (key, comp, ...) that hold several components."""
+    return keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
+
+
+def across(rows: DataFrame, payload: list[str], close: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
+    """Close pairs (a, b, comp_a, comp_b, payload of both) that share a key and are of different components.
+
+    rows: key, node, comp, payload. In every key the members that are not of its most populous component meet
+    all members of other components. A large group is that component wherever it is met, so its members aren't
+    compared with each other, whatever numbers its nodes have."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    rows = saved(rows.join(main, "key"), "cc-mixed")
+    side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in payload]]
+    a, b = rows.where("comp != main").select("key", *side("a")), rows.select("key", "main", *side("b"))
+    once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    near = close([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload])
+    return a.join(b, "key").where((F.col("comp_a") != F.col("comp_b")) & once & near).drop("key", "main")
+
+
+def merged(named: DataFrame, links: DataFrame) -> DataFrame:
+    """named (node, comp, ...) with comp replaced by the least comp reachable over links (comp_a, comp_b)."""
+    roots = connected_components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
+    return named.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+
+
+def bucket_components(vertices: DataFrame, keyed: Callable[[DataFrame], DataFrame], payload: list[str], close: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
+    """(node, comp) of the graph that links nodes which share a key and are close; no bucket is expanded into its pairs.
+
+    keyed(vertices) gives vertices' columns and one row a key. First every node is compared with the first
+    and the last node of its buckets, which joins all but a few members of a large group into one component.
+    Then only buckets that still hold several components are searched. What shares a component is linked
+    already and all other close pairs are found, so the components are exact."""
+    star = saved(least_and_last(keyed(vertices), payload, close).select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b")).distinct(), "cc-star")
+    named = saved(vertices.join(connected_components(star), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "cc-named")
+    every = keyed(named).select("key", "node", "comp", *payload)
+    return merged(named.select("node", "comp"), across(every.join(mixed_keys(every), "key"), payload, close).select("comp_a", "comp_b"))

@@ -11,6 +11,7 @@ Equal fingerprints are one vertex, so copies are never expanded into pairs.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,14 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import saved, words_of
-from barloom.llm.components import bucket_components
+from barloom.llm.components import across, bucket_components, connected_components, least_and_last, merged, mixed_keys
 
 BITS = 64
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int, seed: int = 42) -> np.ndarray:
     """XXH64 of every word shingle, repeats included; of all the words where there are fewer; none without words."""
-    words = words_of(text)
+    return word_shingles(words_of(text), words_per_shingle, seed)
+
+
+def word_shingles(words: list[bytes], words_per_shingle: int, seed: int = 42) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     n = max(1, len(words) - words_per_shingle + 1)
@@ -90,14 +94,14 @@ def _signed(x: int) -> int:
 
 
 def components(fps: DataFrame, distance: int = 4, m: int | None = None) -> DataFrame:
-    """(fp, root) of distinct fingerprints (column fp) under links of at most `distance` bits; roots themselves are left out."""
+    """(fp, root) of distinct fingerprints (column fp) under links of at most `distance` bits."""
     m = m or blocks_for(fps.count(), distance)
     masks = block_masks(m)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("node").bitwiseAND(F.lit(_signed(sum(masks[b] for b in c))))) for i, c in enumerate(combinations(range(m), m - distance))])
     # the fingerprint is the node; its copy is what pairs are checked on
     vertices = fps.select(F.col("fp").alias("node"), F.col("fp").alias("bits"))
     close = lambda x, y: F.bit_count(x[0].bitwiseXOR(y[0])) <= distance
-    return bucket_components(vertices, lambda v, few: v.select("*", F.explode(keys).alias("key")), ["bits"], close).withColumnRenamed("node", "fp")
+    return bucket_components(vertices, lambda v: v.select("*", F.explode(keys).alias("key")), ["bits"], close).select(F.col("node").alias("fp"), F.col("comp").alias("root"))
 
 
 def links(fps: DataFrame, distance: int = 4, m: int | None = None) -> DataFrame:
@@ -139,99 +143,185 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, distance: int =
 def grouped(hashed: DataFrame, distance: int = 4) -> DataFrame:
     """hashed (doc_id, fp, ...) plus component_id."""
     vertices = saved(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-vertices")
-    rooted = vertices.join(components(vertices.select("fp"), distance), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = vertices.join(components(vertices.select("fp"), distance), "fp").select("fp", "first_id", "root")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return hashed.join(named, "fp")
 
 
-# --- wide fingerprints: looser likeness than a few of 64 bits can tell -------------------------
+# --- near copies at a likeness of shingle sets ---------------------------------------------------
 
-WIDE, KEY_BITS, KEYS = 512, 20, 100
-#: Bits that travel with each key and rule out nearly all chance meetings (five standard deviations
-#: over the limit's share of them pass), and how many keys the first, coarse linking takes.
-PROBE, FEW_KEYS = 128, 20
+#: Bits of the wider fingerprint, how many documents of an anchor aren't dealt further, and the share of
+#: alike pairs that the anchors may miss.
+WIDE, SMALL, MISS = 256, 16, 1e-5
+#: Node lists up to this size (8 MB of numbers) are broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 1 << 20
 #: Odd constants of a 64-bit mixer (public domain splitmix64).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def wide_bits(text: str | None, words_per_shingle: int = 5, bits: int = WIDE) -> np.ndarray:
-    """SimHash of `bits` bits: each shingle's hash is mixed into bits / 64 further ones."""
-    hashes, out = shingle_hashes(text, words_per_shingle), []
+def mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash."""
     with np.errstate(over="ignore"):
-        for k in range(bits // BITS):
-            z = hashes + np.uint64((k + 1) * MIX[0] & (1 << 64) - 1)
-            z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[1])
-            z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[2])
-            out.append(bit_counts(z ^ (z >> np.uint64(31))) * 2 > len(hashes))
-    return np.concatenate(out)
+        z = hashes + np.uint64((k + 1) * MIX[0] & (1 << 64) - 1)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX[1])
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX[2])
+        return z ^ (z >> np.uint64(31))
 
 
-def key_places(bits: int, key_bits: int, keys: int) -> np.ndarray:
-    """Bit places of each key: disjoint blocks of the fingerprint under one shuffle after another."""
-    rng, out = np.random.default_rng(0), []
-    while len(out) < keys:
-        order = rng.permutation(bits)
-        out += [order[i : i + key_bits] for i in range(0, bits - key_bits + 1, key_bits)]
-    return np.array(out[:keys])
+def wide_words(hashes: np.ndarray, bits: int = WIDE) -> list[int]:
+    """SimHash of `bits` bits over distinct hashes, as signed longs."""
+    packed = [np.packbits(bit_counts(mixed(hashes, k)) * 2 > len(hashes), bitorder="little").view(np.int64)[0] for k in range(bits // BITS)]
+    return [int(x) for x in packed]
 
 
-def _word(hexed: Column, i: int) -> Column:
-    """The i-th 8 bytes of hexadecimal text as a long."""
-    return F.conv(F.substring(hexed, 16 * i + 1, 16), 16, -10).cast("long")
+def anchors_for(likeness: float, miss: float = MISS) -> int:
+    """How many anchors two sets of this likeness share none of with probability `miss` at most."""
+    return max(1, int(np.ceil(np.log(miss) / np.log(1 - likeness))))
 
 
-def _differing(x: Column, y: Column, n_bytes: int) -> Column:
-    """How many bits of two fingerprints in hexadecimal differ."""
-    out = F.lit(0)
-    for i in range(n_bytes // 8):
-        out = out + F.bit_count(_word(x, i).bitwiseXOR(_word(y, i)))
-    return out
+def widest(likeness: float, bits: int = WIDE, deviations: float = 4.0) -> tuple[int, int]:
+    """The most differing bits of a pair of this likeness, at so many deviations above the mean share
+    arccos(2s / (1 + s)) / pi; and the same for sets of under 16 shingles, whose ties raise it."""
+    p = float(np.arccos(2 * likeness / (1 + likeness)) / np.pi)
+    limit = lambda q: int(np.ceil(bits * q + deviations * (bits * q * (1 - q)) ** 0.5))
+    return limit(p), limit(1.3 * p)
+
 
+def alike(pairs: DataFrame, texts: DataFrame, likeness: float, words_per_shingle: int) -> DataFrame:
+    """The rows of pairs (a, b, ...) whose shingle sets have a Jaccard likeness of at least `likeness`, exactly.
 
-def wide_groups(docs: DataFrame, id_column: str, distance: int, words_per_shingle: int = 5, bits: int = WIDE, key_bits: int = KEY_BITS, keys: int = KEYS) -> DataFrame:
-    """id, group: the least id reachable over links of at most `distance` of `bits` bits; docs: id, text.
+    texts: node, text. Only texts of the pairs are moved. A node in many pairs is a hot key of the join on b
+    alone, whose rows carry no text yet; skew joins split them."""
+    pairs = saved(pairs, "alike-pairs")
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "alike-nodes")
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = saved(texts.join(F.broadcast(wanted) if few else wanted, "node"), "alike-texts")
+    extra = [c for c in pairs.columns if c not in ("a", "b")]
 
-    For a likeness of s between shingle sets a bit differs with probability arccos(2s / (1 + s)) / pi:
-    0.15 at 0.8. A pair is found if it agrees on one of the keys, each key_bits bits: at 0.8 that
-    misses one pair in 40, at 0.85 one in 700. Links are checked on all bits."""
-    n = bits // 8
-    empty = bytes(n)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def hashes(node: int, text: str | None) -> np.ndarray:
+            nonlocal size
+            if node not in held:
+                if size > 1 << 21:
+                    held.clear()
+                    size = 0
+                held[node] = np.unique(shingle_hashes(text, words_per_shingle))
+                size += len(held[node])
+            return held[node]
+
+        for batch in batches:
+            a, b, x, y = (batch.column(c) for c in ("a", "b", "_x", "_y"))
+            keep = []
+            for i in range(batch.num_rows):
+                p, q = hashes(a[i].as_py(), x[i].as_py()), hashes(b[i].as_py(), y[i].as_py())
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= likeness * (len(p) + len(q) - both))
+            yield batch.select(["a", "b", *extra]).filter(pa.array(keep, pa.bool_()))
+
+    with_b = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("_y")), "b")
+    both = with_b.join(texts.select(F.col("node").alias("a"), F.col("text").alias("_x")), "a").select("a", "b", *extra, "_x", "_y")
+    return both.mapInArrow(run, pairs.select("a", "b", *extra).schema)
+
+
+def finer(rows: DataFrame, words: list[str], anchors: int) -> DataFrame:
+    """Deal large keys further by blocks of the fingerprint: a key of n rows gets blocks of t = log2(n / 8) bits,
+    so that a block holds about eight strangers, and so many blocks that a pair whose bits agree at
+    0.85 shares one under some anchor but for about one in a thousand. Keys of up to SMALL rows stay.
+
+    rows: key, place (which anchor), size, words. The blocks are runs of bits at places of their own."""
+    t = F.when(F.col("size") <= SMALL, F.lit(0)).otherwise(F.ceil(F.log2(F.col("size") / 8.0))).cast("int")
+    sized = rows.withColumn("t", F.least(t, F.lit(48))).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.lit(10.0 / anchors) * F.pow(F.lit(1 / 0.85), F.col("t"))).cast("int")))
+    block = (
+        f"transform(sequence(0, blocks - 1), i -> xxhash64(key, i, shiftrightunsigned(element_at(array({', '.join(words)}), cast((i + place) % {len(words)} + 1 as int)), "
+        "cast(pmod(i * 23 + place * 37, 65 - t) as int)) & (shiftleft(1L, t) - 1)))"
+    )
+    return sized.select(F.explode(F.expr(block)).alias("fine"), *[c for c in rows.columns if c not in ("place", "size")]).drop("key").withColumnRenamed("fine", "key")
+
+
+def first_of_near_copies(docs: DataFrame, likeness: float = 0.8, words_per_shingle: int = 5) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) but for near copies: of each component of documents whose sets of
+    word shingles have a Jaccard likeness of at least `likeness`, the row with the least doc_id stays.
+
+    Pigeonhole blocks can't hold such pairs: at 0.8 they differ in 15 % of the bits, 39 of 256, so blocks
+    that must agree would have a few bits each. Two-level blocks take their place. A document's anchors are
+    its least shingles under several hashes, equal for a pair with a probability of its likeness; an anchor
+    of many documents is dealt further by blocks of the SimHash (see `finer`). Close pairs by Hamming distance
+    are then checked on their whole shingle sets, so that no pair under `likeness` is linked; one at it or
+    above is missed with a probability of about 1e-5 (8 anchors), or 1e-3 where all its anchors are shared by
+    very many unlinked documents.
+
+    Texts with equal words are one vertex. Null texts, and texts without words, are copies of each other.
+    Null ids count as greater than others; of equal ids in a component, and of repeated rows, one row stays;
+    an empty table gives no rows; other columns are kept as they are."""
+    spark, p = docs.sparkSession, "_nd"
+    while any(c.startswith(p) for c in docs.columns):
+        p = "_" + p
+    n_anchors, n_words = anchors_for(likeness), WIDE // BITS
+    bits, anchors = [f"{p}_w{i}" for i in range(n_words)], [f"{p}_a{i}" for i in range(n_anchors)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [np.packbits(wide_bits(t.as_py(), words_per_shingle, bits), bitorder="little").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column(id_column), pa.array(fps, pa.binary())], names=[id_column, "fp"])
-
-    def keyed(vertices: DataFrame, few: bool) -> DataFrame:
-        kept = [c for c in vertices.columns if c != "fp"]
-        places, powers = key_places(bits, key_bits, keys)[: FEW_KEYS if few else keys], 1 << np.arange(key_bits)
-
-        def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                b = np.unpackbits(np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint8), bitorder="little").reshape(-1, bits)
-                k = np.stack([b[:, p] @ powers for p in places], axis=1) + (np.arange(len(places)) << key_bits)
-                at = pa.array(np.arange(0, (len(b) + 1) * len(places), len(places)), pa.int32())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(at, pa.array(k.ravel(), pa.int64()))], names=[*kept, "keys"])
-
-        schema = vertices.select(*kept, F.lit(None).cast("array<bigint>").alias("keys")).schema
-        return vertices.mapInArrow(keys_of, schema).select(*kept, F.explode("keys").alias("key"))
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        """On all bits."""
-        met = pairs.join(vertices.select(F.col("node").alias("a"), F.hex("fp").alias("x")), "a").join(vertices.select(F.col("node").alias("b"), F.hex("fp").alias("y")), "b")
-        return met.where(_differing(F.col("x"), F.col("y"), n) <= distance).select("a", "b")
-
-    hashed = saved(docs.select(id_column, "text").mapInArrow(run, docs.select(id_column, F.lit(b"").alias("fp")).schema), "wide-fp")
-    # copies are one vertex, numbered by their least id; its first PROBE bits travel with its keys
-    head = [_word(F.hex("fp"), i).alias(f"bits{i}") for i in range(PROBE // BITS)]
-    grouped_ = hashed.where(F.col("fp") != F.lit(empty)).groupBy("fp").agg(F.min(id_column).alias("node"))
-    vertices = saved(grouped_.select("node", "fp", *head), "wide-vertices")
-    share = distance / bits
-    most = PROBE * share + 5 * (PROBE * share * (1 - share)) ** 0.5
-    close = lambda x, y: sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(x, y, strict=True)), F.lit(0)) <= most
-    roots = bucket_components(vertices, keyed, [f"bits{i}" for i in range(PROBE // BITS)], close, confirm)
-    named = vertices.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("group"))
-    # texts without words are copies of each other
-    blank = hashed.where(F.col("fp") == F.lit(empty)).agg(F.min(id_column).alias("group")).withColumn("fp", F.lit(empty)).select("fp", "group")
-    return hashed.join(named.unionByName(blank), "fp").select(id_column, "group")
+            digests, sizes, numbers = [], [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                h = np.unique(word_shingles(words, words_per_shingle))
+                digests.append(hashlib.md5(b" ".join(words)).digest())
+                sizes.append(len(h))
+                numbers.append([*wide_words(h), *(int(mixed(h, n_words + k).min().view(np.int64)) for k in range(n_anchors))] if len(h) else [0] * (n_words + n_anchors))
+            longs = np.array(numbers, np.int64).reshape(-1, n_words + n_anchors)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(x) for x in longs.T.copy())], names=[*batch.schema.names, f"{p}_digest", f"{p}_n", *bits, *anchors])
+
+    numbered = docs.withColumn(f"{p}_row", F.monotonically_increasing_id())
+    schema = numbered.select("*", F.lit(b"").alias(f"{p}_digest"), *[F.lit(0).cast("long").alias(c) for c in (f"{p}_n", *bits, *anchors)]).schema
+    marked = saved(numbered.mapInArrow(run, schema), "near-marked")
+
+    # a vertex is a sequence of words, numbered by its first row
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(f"{p}_row").alias("row"))).alias("best")
+    same = lambda c, name: F.first(c).alias(name)
+    payload = ["n", *[f"w{i}" for i in range(n_words)]]
+    vertices = marked.groupBy(f"{p}_digest").agg(F.min(f"{p}_row").alias("node"), best, same(f"{p}_n", "n"), *[same(c, f"w{i}") for i, c in enumerate(bits)], *[same(c, f"a{i}") for i, c in enumerate(anchors)])
+    vertices = saved(vertices.drop(f"{p}_digest"), "near-vertices")
+    texts = marked.select(F.col(f"{p}_row").alias("node"), "text")
+
+    limit, small_limit = widest(likeness)
+    differing = lambda x, y: sum((F.bit_count(u.bitwiseXOR(v)) for u, v in zip(x[1:], y[1:], strict=True)), F.lit(0))
+
+    def close(x: list[Column], y: list[Column]) -> Column:
+        less, more = F.least(x[0], y[0]), F.greatest(x[0], y[0])
+        return (less >= more * F.lit(likeness)) & (differing(x, y) <= F.when(less < 16, small_limit).otherwise(limit))
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.where("n > 0").select("*", F.posexplode(F.array(*[f"a{i}" for i in range(n_anchors)])).alias("place", "key"))
+
+    # each vertex and the nearest of its keys' ends
+    met = least_and_last(keyed(vertices).select("key", "node", *payload), payload, close)
+    nearest = F.min(F.struct(differing([F.col(c) for c in payload], [F.col("end")[c] for c in payload]).alias("d"), F.col("end.node").alias("end"))).alias("nearest")
+    star = met.groupBy("node").agg(nearest).select(F.greatest("node", "nearest.end").alias("a"), F.least("node", "nearest.end").alias("b")).distinct()
+    roots = connected_components(alike(star, texts, likeness, words_per_shingle))
+    named = saved(vertices.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "near-named")
+
+    # what still lies apart: the nearest pair of two components first, then all pairs of those still apart
+    every = keyed(named).select("key", "place", "node", "comp", *payload)
+    pairs = across(finer(every.join(mixed_keys(every), "key"), payload[1:], n_anchors), payload, close)
+    d = differing([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload])
+    swap = F.col("comp_a") < F.col("comp_b")
+    turned = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("comp_a", "comp_b"), ("comp_b", "comp_a"))]
+    pairs = saved(pairs.select(*turned, d.alias("d")).distinct(), "near-pairs")
+    first = pairs.groupBy("comp_a", "comp_b").agg(F.min(F.struct("d", "a", "b")).alias("m")).select("m.a", "m.b", "comp_a", "comp_b")
+    linked = saved(alike(first, texts, likeness, words_per_shingle), "near-first")
+    now = saved(merged(named.select("comp").distinct().withColumn("node", F.col("comp")), linked), "near-now")
+    apart = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti")
+    for x in "ab":
+        apart = apart.join(now.select(F.col("node").alias(f"comp_{x}"), F.col("comp").alias(f"now_{x}")), f"comp_{x}")
+    more = alike(apart.where("now_a != now_b").select("a", "b", "comp_a", "comp_b"), texts, likeness, words_per_shingle)
+    groups = merged(named.select("node", "comp", "best"), linked.unionByName(more))
+
+    # the rows that go, few as a rule
+    stays = groups.groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
+    gone = saved(marked.select(F.col(f"{p}_row").alias("row")).join(stays, "row", "left_anti"), "near-gone")
+    few = gone.count() <= BROADCAST_ROWS
+    return marked.join(F.broadcast(gone) if few else gone, F.col(f"{p}_row") == F.col("row"), "left_anti").select(*docs.columns)

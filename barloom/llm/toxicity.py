@@ -75,10 +75,9 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"trigram": at, "n": total[at]})
 
-    rows = docs.select("text").mapInPandas(run, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).collect()  # at most A**3
+    rows = docs.select("text").mapInPandas(run, "trigram long, n long").groupBy("trigram").agg(F.sum("n").alias("n")).toArrow()  # at most A**3
     out = np.zeros(A**3)
-    for r in rows:
-        out[r["trigram"]] = r["n"]
+    out[rows["trigram"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(A, A, A)
 
 
@@ -260,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
             yield pd.DataFrame({"f": list(n), "n": list(n.values())})
 
     seen = sample.where("y = 1").select("words").mapInPandas(of_toxic, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    known = {r["f"]: i for i, r in enumerate(seen.orderBy("f").collect())}  # bounded by the sample of toxic rows
+    known = {f: i for i, f in enumerate(seen.select("f").orderBy("f").toArrow()["f"].to_pylist())}  # bounded by the sample of toxic rows
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
@@ -271,8 +270,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
             yield pd.DataFrame([(f, int(y), int(h), c) for (f, y, h), c in n.items()], columns=["f", "y", "half", "n"])
 
     counts = np.zeros((len(known), 2, 2))
-    for r in sample.mapInPandas(counted, "f long, y int, half int, n long").groupBy("f", "y", "half").agg(F.sum("n").alias("n")).collect():
-        counts[r["f"], r["y"], r["half"]] = r["n"]
+    met = sample.mapInPandas(counted, "f long, y int, half int, n long").groupBy("f", "y", "half").agg(F.sum("n").alias("n")).toArrow()
+    counts[tuple(met[c].to_numpy() for c in ("f", "y", "half"))] = met["n"].to_numpy()
     size = np.zeros((2, 2))
     for r in sample.groupBy("y", "half").count().collect():
         size[r["y"], r["half"]] = r["count"]
@@ -291,10 +290,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, negative
             x = [shape([v for w in ws.split() if (v := other[h].word(w))]) for ws, h in zip(pdf["words"], pdf["half"], strict=True)]
             yield pd.DataFrame({"y": pdf["y"], **{f"x{i}": [r[i] for r in x] for i in range(5)}})
 
-    seen_rows = sample.mapInPandas(shapes, "y int, " + ", ".join(f"x{i} double" for i in range(5))).collect()  # at most the sample
-    if len({r["y"] for r in seen_rows}) < 2:
+    seen_rows = sample.mapInPandas(shapes, "y int, " + ", ".join(f"x{i} double" for i in range(5))).toArrow()  # at most the sample
+    x, y = np.stack([seen_rows[f"x{i}"].to_numpy() for i in range(5)], axis=1), seen_rows["y"].to_numpy().astype(float)
+    if len(np.unique(y)) < 2:
         return constant
-    x, y = np.array([r[1:] for r in seen_rows], float), np.array([r["y"] for r in seen_rows], float)
     order = np.lexsort((*x.T, y))  # the sum's order is then the same in every run
     x, y = x[order], y[order]
     w = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
