@@ -15,7 +15,7 @@ of two, sequences are full but for the last of a partition.
 
 from __future__ import annotations
 
-import base64
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -38,20 +38,28 @@ LOCAL_BITS = 24
 
 @lru_cache(maxsize=4)
 def encoder(vocabulary: str | None = None):
-    """Byte-level BPE with the ranks of byte_bpe_50k: the same ids as its tokenizers file (tested), sooner.
+    """Byte-level BPE of a tokenizers file by tiktoken, which gives the same ids sooner: its ranks are the
+    merged vocabulary, and the file's added tokens, which its texts are cut at first, are its special tokens.
 
-    vocabulary: path of a .tiktoken file; by default the installed public one."""
+    vocabulary: path of a tokenizers file of this kind; by default the installed byte_bpe_50k.json."""
     import public_tokenizers
     import tiktoken
 
-    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(vocabulary or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    added = {t["content"]: t["id"] for t in file["added_tokens"]}
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file["added_tokens"]):
+        raise ValueError("added tokens with rules of their own are not supported")
+    # the file spells bytes as printable characters: those that print stand for themselves, the rest follow from 256
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte_of = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    ranks = {bytes(byte_of[c] for c in word): i for word, i in file["model"]["vocab"].items() if word not in added}
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def token_ids(text: str | None, vocabulary: str | None = None) -> np.ndarray:
-    """The text's ids and the end id; strings of special tokens are ordinary text."""
-    ids = encoder(vocabulary).encode_to_numpy(text, disallowed_special=()) if text else np.zeros(0, np.uint32)
+    """The text's ids and the end id. The string of an added token in a text is that token, as tokenizers has it."""
+    ids = encoder(vocabulary).encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
     return np.append(ids, np.uint32(END)).astype("<u4")
 
 
@@ -85,7 +93,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return slim.mapInArrow(run, schema)
 
 
-def queued(cut: DataFrame, buckets: int = 512) -> DataFrame:
+def queued(cut: DataFrame, buckets: int) -> DataFrame:
     """Pieces plus x (tokens of the source before the piece), source_tokens and all_tokens; no source is ordered in one task."""
     bucketed = cut.withColumn("bucket", F.pmod(F.col("tie"), F.lit(buckets)))
     sums = bucketed.groupBy("skey", "bucket").agg(F.sum("length").alias("bucket_tokens"))
@@ -161,7 +169,8 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None) -
     parts = max(1, round(tokens / PART_TOKENS))
     # the share of a queue before a piece's middle decides its partition
     middle = (F.col("x") + F.col("length") / 2) / F.col("source_tokens")
-    dealt = queued(cut).withColumn("part", F.least(F.floor(middle * parts), F.lit(parts - 1)).cast("long"))
+    # a bucket of a queue holds about a partition's tokens at most, whatever the size of the input
+    dealt = queued(cut, 64 + 2 * parts).withColumn("part", F.least(F.floor(middle * parts), F.lit(parts - 1)).cast("long"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "skey"]
     schema = dealt.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "skey").schema
 
