@@ -95,7 +95,10 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def linked(scans: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """sha -> the weak parts (array) that have a complementary part in scope. One row per distinct text."""
+    """sha -> the weak parts (array) that have a complementary part in scope. One row per distinct text.
+
+    Texts without weak parts (sha is NULL), null and empty texts among them, have no row; parts that touch or
+    lie at the same place count once; no scans give no rows."""
     texts = scans.where("sha IS NOT NULL").groupBy("sha").agg(F.first("base").alias("base"), F.first("weak").alias("weak"))
     part = texts.select("sha", F.explode(F.concat("base", "weak")).alias("p")).select("sha", "p.*")
     part = part.withColumn("role", F.element_at(F.array(*[F.lit(ROLE[k]) for k in KINDS]), F.col("kind") + 1))
@@ -132,7 +135,10 @@ def as_text(parts: str):
 
 
 def redacted(docs: DataFrame, scope: int = SCOPE, mark: str = "[secret]") -> DataFrame:
-    """docs with every reported span replaced by the mark; texts without one are unchanged."""
+    """docs with every reported span replaced by the mark; texts without one, nulls and empty texts are unchanged.
+
+    Overlapping spans get one mark; repeated rows stay; an empty table gives no rows; other columns, whatever
+    their names, are kept as they are."""
     columns = docs.columns
     own = [f"_{i}" for i in range(len(columns))]  # no name of docs meets one of the scan's
     spans = scan(docs.toDF(*own).withColumn("text", F.col(own[columns.index("text")])).withColumn("_text", F.col("text")), scope)
