@@ -1,6 +1,7 @@
 """Deterministic sharded WARC writer and its reader.
 
-Pages are dealt to ranges of page_id whose edges come from an exact histogram, sorted, and
+Pages are dealt to ranges of page_id whose edges come from exact counts, refined where ids lie
+close together; an id with very many pages is split by digest. Ranges are sorted and
 written a range at a time, streaming: each record is its own gzip member with regenerated
 headers and digests and no clock or random number in it, and a file is closed once its
 compressed size passes `roll_bytes`. A file is written under a temporary name and renamed;
@@ -21,6 +22,8 @@ import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,26 +36,70 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 MANIFEST = "shard int, file string, records long, bytes long, sha256 string, first_id long, last_id long"
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 BINS = 1 << 16
-
-
-def range_of(df: DataFrame, column: str, per_range: int) -> Column:
-    """The range number of a long column's value: equal-width bins, joined to ranges of about per_range rows.
-
-    At most 65,536 bin counts reach the driver. Nulls are the last range."""
-    lo, hi = df.agg(F.min(column), F.max(column)).first()
-    if lo is None:
-        return F.lit(0)
-    width = (hi - lo) // BINS + 1
-    bin_ = F.floor((F.col(column) - F.lit(lo)) / F.lit(width)).cast("int") if hi - lo < 1 << 52 else F.expr(f"cast((cast({column} as decimal(38,0)) - {lo}) div {width} as int)")
-    counts = {r["b"]: r["n"] for r in df.where(F.col(column).isNotNull()).groupBy(bin_.alias("b")).agg(F.count("*").alias("n")).collect()}
-    of_bin, run, now = [], 0, 0
-    for b in range(max(counts) + 1):
-        of_bin.append(now)
-        run += counts.get(b, 0)
-        if run >= per_range:
-            now, run = now + 1, 0
-    table = F.split(F.lit(",".join(map(str, of_bin))), ",")
-    return F.when(F.col(column).isNull(), now + 1).otherwise(F.get(table.cast("array<int>"), bin_))
+FILES_PER_TASK = 4
+
+
+def cell_of(starts: np.ndarray, ends: np.ndarray, widths: np.ndarray):
+    """The first value of the cell that a value is in, NULL outside all spans."""
+
+    @F.pandas_udf("long")
+    def cell(v: pd.Series) -> pd.Series:
+        known = v.notna().to_numpy()
+        x = v.fillna(0).to_numpy(np.int64)
+        k = np.maximum(np.searchsorted(starts, x, side="right") - 1, 0)
+        known &= (x >= starts[k]) & (x <= ends[k])
+        past = (x.view(np.uint64) - starts[k].view(np.uint64)) // widths[k] * widths[k]  # modulo 2^64, so spans may pass 2^63
+        return pd.Series((starts[k].view(np.uint64) + past).view(np.int64), dtype="Int64").where(pd.Series(known))
+
+    return cell
+
+
+def cells(values: DataFrame, column: str, most: int, bins: int = BINS) -> list[tuple[int, int]]:
+    """(first value, rows) of cells that cover a long column's values in order: a cell has `most` rows at most,
+    or is one value. Spans with more rows are cut again, all at once, so an outlier costs one more pass; at
+    most `bins` counts reach the driver in a pass."""
+    lo, hi = values.agg(F.min(column), F.max(column)).first()
+    todo, done = [] if lo is None else [(lo, hi)], []
+    while todo:
+        per = max(2, bins // len(todo))
+        starts, ends = (np.array(x, np.int64) for x in zip(*sorted(todo), strict=True))
+        widths = np.array([(b - a) // per + 1 for a, b in sorted(todo)], np.uint64)
+        found = values.select(cell_of(starts, ends, widths)(F.col(column).cast("long")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).where("cell IS NOT NULL").toArrow()
+        todo = []
+        for a, n in zip(found["cell"].to_pylist(), found["n"].to_pylist(), strict=True):
+            k = int(np.searchsorted(starts, a, side="right")) - 1
+            if n > most and widths[k] > 1:
+                todo.append((a, min(int(ends[k]), a + int(widths[k]) - 1)))
+            else:
+                done.append((a, n))
+    return sorted(done)
+
+
+def range_of(df: DataFrame, column: str, digest: Column, per_range: int) -> Column:
+    """The range number of a row by (column, digest), nulls last: about per_range rows each. A value with more
+    rows than that is split by its digest (hexadecimal); rows equal in both stay together."""
+    nulls = df.where(F.col(column).isNull()).count()
+    edges, parts, run = [], [], 0
+    for first, n in cells(df, column, per_range):
+        if run and run + n > per_range:
+            run = 0
+        if not run:
+            edges.append(first)
+            parts.append(1)
+        run += n
+        parts[-1] = max(parts[-1], -(-n // per_range))
+        if n >= per_range:
+            run = 0
+    parts.append(max(1, -(-nulls // per_range)))
+    at, parts_, base = np.array(edges, np.int64), np.array(parts, np.int64), np.r_[0, np.cumsum(parts)]
+
+    @F.pandas_udf("int")
+    def number(v: pd.Series, head: pd.Series) -> pd.Series:
+        r = np.maximum(np.searchsorted(at, v.fillna(0).to_numpy(np.int64), side="right") - 1, 0)
+        r = np.where(v.isna(), len(at), r)
+        return pd.Series((base[r] + ((head.fillna(0).to_numpy(np.int64) * parts_[r]) >> 32)).astype(np.int32))
+
+    return number(F.col(column), F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"))
 
 
 def _id(*parts: object) -> str:
@@ -144,7 +191,7 @@ def write(pages: DataFrame, folder: str, per_shard: int = 512, roll_bytes: int =
     page_digest = F.when(F.col("n") >= min_payload, F.col("digest"))
     both = hashed.select("page_id", page_digest.alias("digest"), F.lit(True).alias("is_page"), "url", "html", F.lit(None).cast("long").alias("refers_to"))
     both = both.unionByName(again.withColumn("is_page", F.lit(False)), allowMissingColumns=True)
-    shard = range_of(pages.select(F.col("page_id").cast("long").alias("page_id")), "page_id", per_shard)
+    shard = range_of(pages.select(F.col("page_id").cast("long").alias("page_id")), "page_id", F.col("digest"), per_shard)
     dealt = both.withColumn("shard", shard.cast("int")).repartition(F.col("shard")).sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "is_page", "url")
     dealt.mapInArrow(_archive(f"{folder}/data", roll_bytes, date.strftime("%Y-%m-%dT%H:%M:%SZ")), MANIFEST).write.mode("error").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -207,8 +254,9 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
                     raise ValueError(f"{f['file']} has {len(found)} records, the manifest {f['records']}")
                 yield pa.RecordBatch.from_pylist(found, fields)
 
+    # by number, or the small rows of the manifest would be merged into one task
     files = manifest.select("file", "records", "sha256")
-    return files.repartition(F.col("file")).mapInArrow(run, RECORD)
+    return files.repartition(max(1, -(-files.count() // FILES_PER_TASK)), "file").mapInArrow(run, RECORD)
 
 
 def archived(pages: DataFrame) -> DataFrame:
