@@ -3,9 +3,11 @@
 Channel. A word may have been written with look-alike symbols (1d10t), stretched letters
 (looooser), marks between letters (m.o.r.o.n) or spaces (t r a s h). Such a word becomes a
 lattice: each symbol offers the letters it may stand for, or nothing; a run of three or more
-equal letters offers one or two of them. Viterbi search under a character trigram model of the
-corpus, counted over all texts, keeps the likeliest readings. A word without such signs has
-one reading, itself.
+equal letters or symbols offers one or two of them. Viterbi search under a character trigram
+model of the corpus, counted over all texts, keeps the likeliest readings. A run of spaced-out
+symbols may hold several words, so there the lattice offers a word edge after every letter.
+Long words and runs are read in overlapping windows, however long they are. A word without
+such signs has one reading, itself.
 
 Score. Restored words are looked up by their prefixes, suffixes and themselves in a table of
 log-odds (lower confidence bounds, so rare features count little), learned from labelled
@@ -44,10 +46,14 @@ TRIPLE = re.compile(r"(.)\1\1")
 #: Marks around a word, and what is put after words as ornament.
 AROUND = ".,;:?\"'()[]{}<>&%#*~^`_-"
 ORNAMENT = re.compile(r"(?:!+|([@$|+])\1{2,})$")
-SPACED = re.compile(r"(?<!\S)[\w@$!](?:[ .\-_*][\w@$!]){3,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)[\w@$!](?:[ .\-_*][\w@$!]){2,}(?!\S)")
+#: What marks a token as put together from spaced-out symbols.
+RUN = " "
 PLAIN = re.compile(r"[^\W\d_]+")
-SUBSTITUTE, DROP, SHORTEN, KEEP_MARK = -1.0, -0.5, -0.2, -6.0
-BEAM, READINGS = 24, 6
+SUBSTITUTE, DROP, SHORTEN, KEEP_MARK, EDGE = -1.0, -0.5, -0.2, -6.0, -0.5
+READINGS = 6
+#: Places of a window, and how many of them the next one has too: words of up to so many places are whole in one.
+WINDOW, OVERLAP = 40, 16
 
 POSITIVES, NEGATIVES = 2_000, 6_000
 LEAST_DOCS, LEAST_VALUE = 3, 1.5
@@ -101,17 +107,21 @@ def lattice(word: str) -> list[list[tuple[str, float]]]:
         if c.isalpha():
             out.append([(c, 0.0), (c + c, SHORTEN)] if n >= 3 else [(c * n, 0.0)])
         else:
-            letters = LOOK_ALIKES.get(c, "")
-            one = [(x, SUBSTITUTE) for x in letters] + [("", DROP if not c.isdigit() else KEEP_MARK)]
-            out += [one] * min(n, 3)
+            letters, drop = LOOK_ALIKES.get(c, ""), DROP if not c.isdigit() else KEEP_MARK
+            one = [(x, SUBSTITUTE) for x in letters]
+            if n >= 3:  # a stretched letter
+                out.append(one + [(x + x, SUBSTITUTE + SHORTEN) for x in letters] + [("", drop)])
+            else:
+                out += [[*one, ("", drop)]] * n
         i = j
     return out
 
 
-def readings(word: str, model: np.ndarray, most: int = READINGS) -> list[str]:
-    """The likeliest letter strings behind a word: Viterbi over (last two letters), best first."""
+def decoded(places: list[list[tuple[str, float]]], model: np.ndarray, most: int, edges: bool) -> list[str]:
+    """The `most` likeliest letter strings of a lattice, best first: Viterbi over (last two letters), each
+    state with its best strings. With edges a word may end after any place; words are parted by spaces."""
     states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for place in lattice(word):
+    for place in places:
         grown: dict[tuple[int, int], list[tuple[float, str]]] = {}
         for (a, b), kept in states.items():
             for string, cost in place:
@@ -121,22 +131,43 @@ def readings(word: str, model: np.ndarray, most: int = READINGS) -> list[str]:
                     p += model[x, y, z]
                     x, y = y, z
                 grown.setdefault((x, y), []).extend((s + p, t + string) for s, t in kept)
-        best = sorted(grown.items(), key=lambda kv: -max(kv[1])[0])[:BEAM]
-        states = {k: sorted(v, reverse=True)[:most] for k, v in best}
-    ends = sorted(((s + model[a, b, 0], t) for (a, b), kept in states.items() for s, t in kept), reverse=True)
+                if edges and string and y:
+                    p += model[x, y, 0] + EDGE
+                    grown.setdefault((0, 0), []).extend((s + p, t + string + " ") for s, t in kept)
+        states = {k: sorted(v, reverse=True)[:most] for k, v in grown.items()}
+    ends = sorted(((s + (model[a, b, 0] if b else 0.0), t.strip()) for (a, b), kept in states.items() for s, t in kept), reverse=True)
     return list(dict.fromkeys(t for _, t in ends if t))[:most]
 
 
+def readings(word: str, model: np.ndarray, most: int = READINGS, run: bool = False) -> list[str]:
+    """The likeliest words behind a raw one. A run of spaced-out symbols, or a word of more places than a
+    window, may hold several: it is read with word edges, window by window; a word that a window's
+    border may have cut is left to the next window."""
+    places = lattice(word)
+    if len(places) <= WINDOW and not run:
+        return decoded(places, model, most, False)
+    out: dict[str, None] = {}
+    for at in range(0, max(1, len(places) - OVERLAP), WINDOW - OVERLAP):
+        last = at + WINDOW >= len(places)
+        for text in decoded(places[at : at + WINDOW], model, most, True):
+            words = text.split()
+            out |= dict.fromkeys(words[(1 if at else 0) : len(words) if last else -1] or (words if len(words) == 1 else []))
+    return list(out)
+
+
 def restored(word: str, model: np.ndarray) -> list[str]:
     """Plain parts of a raw lower-cased token, and its readings where it shows signs of noise."""
-    core = word.strip(AROUND)
+    run = word.startswith(RUN)
+    core = word.strip(AROUND + RUN)
+    if run:
+        return [core, *readings(core, model, run=True)]
     if core.isalpha() and not TRIPLE.search(core):
         return [core]
     out = PLAIN.findall(core)
     plain = ORNAMENT.sub("", core)
     if len(out) == 1 and plain == out[0] and not TRIPLE.search(plain):
         return out
-    if 2 < len(core) <= 40 and NOISY.search(core):
+    if len(core) > 2 and NOISY.search(core):
         out += readings(plain if len(plain) > 2 else core, model)
         if plain != core:
             out += readings(core, model)
@@ -144,13 +175,13 @@ def restored(word: str, model: np.ndarray) -> list[str]:
 
 
 def raw_tokens(text: str | None) -> set[str]:
-    """Distinct white-space tokens, lower-cased, and spaced-out words put together."""
+    """Distinct white-space tokens, lower-cased, and runs of spaced-out symbols put together after a RUN mark."""
     if not text:
         return set()
     text = text.lower()
     out = set(text.split())
     for m in SPACED.finditer(text):
-        out.add(re.sub(r"[ .\-_*]", "", m[0]))
+        out.add(RUN + re.sub(r"[ .\-_*]", "", m[0]))
     return out
 
 
