@@ -7,20 +7,21 @@ folder; every document is in one of them.
 Statistics. Document count, average length and document frequencies come from all shards, so
 scores of different shards compare.
 
-Search. Queries go out in blocks bounded by their number and that of their terms. In a shard, a query's terms have upper bounds w *
-(largest impact); if their sum stays under the query's threshold, the shard is done. Else
-only documents of essential terms (the others' bounds together stay under the threshold) in
-blocks of BLOCK documents whose summed block maxima reach the threshold are scored. The
-threshold is the k-th best score so far: shards go in waves, each four times the last, so
-all but the first waves prune against a nearly final threshold and return few rows. Merging
-the shards' lists by score, then doc_id, is exact.
+Search. Queries go out in blocks bounded by their number and that of their terms. In a shard, a
+query's terms have upper bounds w * (largest impact); if their sum stays under the query's
+threshold, the shard is done. Postings of the terms with the largest bounds are added up first;
+the k-th best of these sums, or the best score known so far, is the threshold. More terms follow
+until the bounds of all others stay under it and the candidates are few: postings of those others
+are never read. A document is a candidate if its sum and the block maxima of the terms left out
+reach the threshold, and only candidates are scored, from their own lists of terms. Shards go in waves, each four times
+the last, so all but the first waves prune against a nearly final threshold and return few rows.
+Merging the shards' lists by score, then doc_id, is exact.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +34,11 @@ from barloom.llm.common import saved, words_of
 
 K1, B = 1.2, 0.75
 SHARD, BLOCK = 8192, 64
-TERMS = 32
-QUERY_BLOCK = 1 << 14
+#: Terms that are added up before there is a threshold of the shard's own.
+FIRST = 24
+QUERY_BLOCK, BLOCK_TERMS = 1 << 14, 1 << 18
 DIGITS = 9
-INDEX = "shard long, n int, words long, doc_ids binary, null_ids binary, lengths binary, terms array<bigint>, df array<int>, docs binary, tf binary"
+INDEX = "shard long, n int, words long, doc_ids binary, null_ids binary, lengths binary, terms array<bigint>, df array<int>, docs binary, tf binary, by_doc binary"
 
 
 def term_of(word: bytes) -> int:
@@ -56,16 +58,18 @@ def build(docs: DataFrame, shard: int = SHARD) -> DataFrame:
             t, f = np.concatenate(terms) if terms else np.zeros(0, np.int64), np.concatenate(freqs) if freqs else np.zeros(0, np.int32)
             d = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
             order = np.argsort(t, kind="stable")
+            by_doc = np.empty(len(order), np.int32)
+            by_doc[order] = np.arange(len(order), dtype=np.int32)  # the postings, document by document
             distinct, first = np.unique(t[order], return_index=True)
             df = np.diff(np.r_[first, len(t)])
-            row = [(TaskContext.get().partitionId() << 24) + made, len(ids), int(sum(lengths)), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), np.array(lengths, "<i4").tobytes(), None, None, d[order].astype("<i4").tobytes(), f[order].astype("<i4").tobytes()]
-            arrays = [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.null(), pa.null(), pa.binary(), pa.binary()), strict=True)]
+            row = [(TaskContext.get().partitionId() << 24) + made, len(ids), int(sum(lengths)), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), np.array(lengths, "<i4").tobytes(), None, None, d[order].astype("<i4").tobytes(), f[order].astype("<i4").tobytes(), by_doc.astype("<i4").tobytes()]
+            arrays = [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.null(), pa.null(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
             at = pa.array([0, len(distinct)], pa.int32())
             arrays[6], arrays[7] = pa.ListArray.from_arrays(at, pa.array(distinct, pa.int64())), pa.ListArray.from_arrays(at, pa.array(df, pa.int32()))
             made += 1
             for x in (ids, terms, freqs, sizes, lengths):
                 x.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["shard", "n", "words", "doc_ids", "null_ids", "lengths", "terms", "df", "docs", "tf"])
+            return pa.RecordBatch.from_arrays(arrays, names=["shard", "n", "words", "doc_ids", "null_ids", "lengths", "terms", "df", "docs", "tf", "by_doc"])
 
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -93,62 +97,37 @@ def idf(df: Column, rows: int) -> Column:
     return F.log1p((F.lit(float(rows)) - df + 0.5) / (df + 0.5))
 
 
-def query_terms(queries: DataFrame, index: DataFrame, rows: int, most: int | None = TERMS) -> DataFrame:
-    """query (hash of id and text), query_id, term, weight: the `most` words of each whole text with the
-    largest tf * idf, ties by word; all its distinct words if most is None. weight = idf."""
+def query_terms(queries: DataFrame, index: DataFrame, rows: int) -> DataFrame:
+    """query (hash of id and text), query_id, term, weight (idf): all distinct words of each whole text that occur."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, word, term, tf = [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
-                for w, n in Counter(words_of(text)).items():
-                    row.append(i)
-                    word.append(w)
-                    term.append(term_of(w))
-                    tf.append(n)
+            row, term = [], []
+            for i, text in enumerate(batch.column("text")):
+                found = [term_of(w) for w in set(words_of(text.as_py()))]
+                row += [i] * len(found)
+                term += found
             at = pa.array(row, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("query", "query_id")] + [pa.array(word, pa.binary()), pa.array(term, pa.int64()), pa.array(tf, pa.int64())], names=["query", "query_id", "word", "term", "tf"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("query", "query_id")), pa.array(term, pa.int64())], names=["query", "query_id", "term"])
 
-    split = queries.mapInArrow(run, "query long, query_id long, word binary, term long, tf long")
+    split = queries.mapInArrow(run, "query long, query_id long, term long")
     df = index.select(F.explode(F.arrays_zip("terms", "df")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.df").alias("df"))
-    rated = split.join(df, "term").withColumn("weight", idf(F.col("df"), rows))
-    if most is None:
-        return rated.select("query", "query_id", "term", "weight")
-    best = Window.partitionBy("query").orderBy(F.desc(F.col("tf") * F.col("weight")), "word")
-    return rated.withColumn("r", F.row_number().over(best)).where(F.col("r") <= most).select("query", "query_id", "term", "weight")
-
-
-@dataclass
-class Queries:
-    """A block of queries, as flat arrays sorted by query; bounded by QUERY_BLOCK times TERMS terms."""
-
-    ids: np.ndarray
-    starts: np.ndarray
-    terms: np.ndarray
-    weights: np.ndarray
-    least: np.ndarray  # threshold of each query
+    return split.join(df, "term").select("query", "query_id", "term", idf(F.col("df"), rows).alias("weight"))
 
 
 class Shard:
-    """The postings of the wanted terms, with impacts and block maxima."""
+    """One inverted index with impacts and block maxima; `read` counts the postings that were looked at."""
 
-    def __init__(self, row: dict, wanted: np.ndarray, mean_length: float, block: int = BLOCK) -> None:
-        ids, null = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["null_ids"], np.uint8)
-        self.ids, self.null, self.block = ids, null, block
+    def __init__(self, row: dict, mean_length: float, block: int = BLOCK) -> None:
+        self.ids, self.null, self.block = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["null_ids"], np.uint8), block
         lengths = np.frombuffer(row["lengths"], "<i4")
-        terms, df = np.asarray(row["terms"]), np.asarray(row["df"])
-        at = np.searchsorted(terms, wanted)
-        at[at == len(terms)] = 0
-        found = np.flatnonzero(terms[at] == wanted) if len(terms) else np.zeros(0, np.int64)
-        first = np.r_[0, np.cumsum(df)]
-        self.place = np.full(len(wanted), -1)
-        self.place[found] = np.arange(len(found))
-        n = df[at[found]] if len(found) else np.zeros(0, np.int64)
-        self.start = np.r_[0, np.cumsum(n)]
-        pick = np.repeat(first[at[found]] - self.start[:-1], n) + np.arange(self.start[-1])
-        self.docs = np.frombuffer(row["docs"], "<i4")[pick]
-        tf = np.frombuffer(row["tf"], "<i4")[pick].astype(float)
-        self.impact = tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.docs] / mean_length))
+        self.terms, df = np.asarray(row["terms"]), np.asarray(row["df"])
+        self.start = np.r_[0, np.cumsum(df)]
+        self.docs, tf = np.frombuffer(row["docs"], "<i4"), np.frombuffer(row["tf"], "<i4").astype(np.float64)
+        self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / mean_length))[self.docs])
+        self.term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), df)
+        self.by_doc = np.frombuffer(row["by_doc"], "<i4")
+        self.doc_start = np.r_[0, np.cumsum(np.bincount(self.docs, minlength=len(self.ids)))]
         blocks = self.docs // block
         edge = np.ones(len(blocks), bool)
         edge[1:] = blocks[1:] != blocks[:-1]
@@ -156,50 +135,89 @@ class Shard:
         cut = np.flatnonzero(edge)
         self.block_of, self.block_max = blocks[cut], np.maximum.reduceat(self.impact, cut) if len(cut) else np.zeros(0)
         self.block_start = np.searchsorted(cut, self.start)
-        self.most = np.maximum.reduceat(self.block_max, self.block_start[:-1]) if len(found) else np.zeros(0)
-        self.n_blocks = -(-len(ids) // block)
-
-    def top(self, places: np.ndarray, weights: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (local numbers) and scores of the k best with a score of at least `least`."""
-        t = self.place[places]
-        weights, t = weights[t >= 0], t[t >= 0]
+        self.most = np.maximum.reduceat(self.block_max, self.block_start[:-1]) if len(df) else np.zeros(0)
+        self.n_blocks = -(-len(self.ids) // block)
+        self.weight = np.zeros(len(self.terms))  # of the query at hand
+        self.read = 0
+
+    def places(self, terms: np.ndarray) -> np.ndarray:
+        """Where each term is in this index, -1 if it isn't."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        at = np.searchsorted(self.terms, terms)
+        at[at == len(self.terms)] = 0
+        return np.where(self.terms[at] == terms, at, -1)
+
+    def summed(self, t: np.ndarray, w: np.ndarray, sums: np.ndarray) -> None:
+        """Add the terms' postings to the documents' sums."""
+        posts = [slice(a, b) for a, b in zip(self.start[t].tolist(), self.start[t + 1].tolist())]
+        docs = np.concatenate([self.docs[p] for p in posts])
+        self.read += len(docs)
+        sums += np.bincount(docs, np.concatenate([self.impact[p] * x for p, x in zip(posts, w.tolist())]), len(sums))
+
+    def exact(self, docs: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The whole scores of documents, from their own lists of terms."""
+        self.weight[t] = w
+        n = self.doc_start[docs + 1] - self.doc_start[docs]
+        start = np.r_[0, np.cumsum(n)]
+        posts = self.by_doc[np.repeat(self.doc_start[docs] - start[:-1], n) + np.arange(start[-1])]
+        self.read += len(posts)
+        out = np.add.reduceat(self.weight[self.term_of[posts]] * self.impact[posts], start[:-1])
+        self.weight[t] = 0.0
+        return np.round(out, DIGITS)
+
+    def top(self, t: np.ndarray, w: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Documents (local numbers) and scores of the k best with a score of at least `least`.
+        t: places of the query's terms, as `places` gives them; w: their weights."""
         none = np.zeros(0, np.int64), np.zeros(0)
-        bound = weights * self.most[t]
+        t, w = t[t >= 0], w[t >= 0]
+        bound = w * self.most[t]
         slack = 10.0**-DIGITS  # rounding of scores never prunes
         if not len(t) or bound.sum() + slack < least:
             return none
-        # essential terms: without them no document reaches the threshold
         order = np.argsort(-bound, kind="stable")
-        rest = bound.sum() - np.cumsum(bound[order])
-        essential = order[: int(np.searchsorted(-rest, slack - least, side="right")) + 1] if least > 0 else order
-        ranges = [slice(a, b) for a, b in zip(self.block_start[t].tolist(), self.block_start[t + 1].tolist())]
-        by_block = np.bincount(np.concatenate([self.block_of[r] for r in ranges]), np.concatenate([self.block_max[r] * w for r, w in zip(ranges, weights)]), self.n_blocks)
-        open_ = np.zeros(self.n_blocks, bool)
-        for i in essential:
-            open_[self.block_of[ranges[i]]] = True
-        open_ &= by_block + slack >= least
-        if not open_.any():
+        t, w = t[order], w[order]
+        rest = bound.sum() - np.cumsum(bound[order])  # what the terms after each can still add
+        left = np.r_[0, np.cumsum(self.start[t + 1] - self.start[t])]
+        left = left[-1] - left  # postings of the terms from each on
+        sums, n, more = np.zeros(len(self.ids)), 0, min(FIRST, len(t))
+        while True:
+            self.summed(t[n:more], w[n:more], sums)
+            n = more
+            if np.count_nonzero(sums) >= k:
+                least = max(least, float(np.partition(sums, -k)[-k]) - slack)
+            # essential terms: the others' bounds together stay under the threshold
+            essential = min(len(t), int(np.searchsorted(-rest, slack - least, side="right")) + 1 if least > 0 else len(t))
+            if essential > n:
+                more = min(essential, 2 * n)
+                continue
+            found = np.flatnonzero((sums > 0) & (sums + rest[n - 1] + slack >= least))
+            if n == len(t) or not len(found):
+                break
+            # block maxima of the terms left out, summed by block
+            ranges = [slice(a, b) for a, b in zip(self.block_start[t[n:]].tolist(), self.block_start[t[n:] + 1].tolist())]
+            by_block = np.bincount(np.concatenate([self.block_of[r] for r in ranges]), np.concatenate([self.block_max[r] * x for r, x in zip(ranges, w[n:].tolist())]), self.n_blocks)
+            found = found[sums[found] + by_block[found // self.block] + slack >= least]
+            # candidates' own lists, unless more terms cost less
+            if (self.doc_start[found + 1] - self.doc_start[found]).sum() <= left[n]:
+                break
+            more = min(len(t), 2 * n)
+        if not len(found):
             return none
-        posts = [slice(a, b) for a, b in zip(self.start[t].tolist(), self.start[t + 1].tolist())]
-        docs, gain = np.concatenate([self.docs[r] for r in posts]), np.concatenate([self.impact[r] * w for r, w in zip(posts, weights)])
-        if not open_.all():
-            kept = open_[docs // self.block]
-            docs, gain = docs[kept], gain[kept]
-        scores = np.round(np.bincount(docs, gain, len(self.ids)), DIGITS)
-        hits = np.flatnonzero((scores > 0) & (scores >= least))
+        scores = np.round(sums[found], DIGITS) if n == len(t) else self.exact(found, t, w)
+        keep = (scores > 0) & (scores >= least - slack)
+        hits, scores = found[keep], scores[keep]
         if len(hits) > k:
-            cut = np.partition(scores[hits], -k)[-k]
-            hits = hits[scores[hits] >= cut]  # ties stay; they are broken by doc_id below
-            hits = hits[np.lexsort((self.ids[hits], self.null[hits], -scores[hits]))][:k]
-        return hits, scores[hits]
+            best = np.lexsort((self.ids[hits], self.null[hits], -scores))[:k]  # ties go by doc_id
+            hits, scores = hits[best], scores[best]
+        return hits, scores
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int | None = TERMS, shard: int = SHARD, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, query_block: int = QUERY_BLOCK, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """query_id, rank, doc_id, score: for each query row (query_id, text) the k best documents by BM25.
 
-    Scores are rounded to DIGITS places; ties go to the lesser doc_id, nulls last. A query takes the
-    `terms` words of its whole text with the largest tf * idf, ties by word, or with terms=None all
-    distinct words of it. Queries without words, and null texts, have no results; documents without
+    A query is all distinct words of its whole text. Scores are rounded to DIGITS places; ties go to the
+    lesser doc_id, nulls last. Queries without words, and null texts, have no results; documents without
     words are never found; repeated query rows are answered once, repeated documents found each;
     an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
@@ -207,8 +225,11 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int | None =
     shards, rows, words = index.agg(F.count("*"), F.sum("n"), F.sum("words")).first()
     mean_length = max(1.0, (words or 0) / max(1, rows or 1))
     asked = queries.select(F.xxhash64("query_id", "text").alias("query"), F.col("query_id").cast("long").alias("query_id"), "text").where("text IS NOT NULL").dropDuplicates(["query"])
-    wanted = saved(query_terms(asked, index, rows or 0, terms), "search-queries")
-    blocks = max(-(-asked.count() // query_block), -(-wanted.count() // (query_block * TERMS))) or 1
+    wanted = query_terms(asked, index, rows or 0)
+    sizes = wanted.groupBy("query").agg(F.count("*").alias("n")).agg(F.count("*"), F.sum("n"))
+    wanted = saved(wanted, "search-queries")
+    n_queries, n_terms = sizes.first()
+    blocks = max(-(-n_queries // query_block), -(-(n_terms or 0) // block_terms)) or 1
     wanted = wanted.withColumn("part", F.pmod(F.xxhash64(F.lit(11), "query"), F.lit(blocks)))
     found = None
     for part in range(blocks):
@@ -218,41 +239,43 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int | None =
 
 
 def _answered(spark, index: DataFrame, wanted: DataFrame, shards: int, mean_length: float, k: int) -> DataFrame:
-    # a block's terms: at most about query_block x TERMS rows of three numbers
-    rows = wanted.select("query", "term", "weight").orderBy("query", F.desc("weight"), "term").toArrow()
+    # a block's terms: about block_terms rows of three numbers
+    rows = wanted.select("query", "term", "weight").orderBy("query", "term").toArrow()
     q, t, w = (rows[c].to_numpy() for c in ("query", "term", "weight"))
     del rows
     ids, starts = np.unique(q, return_index=True)
-    distinct, place = np.unique(t, return_inverse=True)
-    block = Queries(ids, np.r_[starts, len(q)], place, w, np.zeros(len(ids)))
-    shared = spark.sparkContext.broadcast((distinct, block.ids, block.starts, block.terms, block.weights))
+    n_queries, thresholds = len(ids), np.zeros(len(ids))
+    shared = spark.sparkContext.broadcast((ids, np.r_[starts, len(q)], t, w))
+    del q, t, w
     order = F.pmod(F.xxhash64(F.lit(5), "shard"), F.lit(1 << 30))
     hits, low, size = None, 0, 4.0
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
+    parts = ["doc_ids", "null_ids", "lengths", "terms", "df", "docs", "tf", "by_doc"]
     while low < 1 << 30:
         high = min(1 << 30, int((1 << 30) * size / max(1, shards)) or 1)
-        least = spark.sparkContext.broadcast(block.least.copy())
+        least = spark.sparkContext.broadcast(thresholds.copy())
 
         def run(batches: Iterator[pa.RecordBatch], least=least) -> Iterator[pa.RecordBatch]:
-            distinct, ids, starts, terms, weights = shared.value
+            ids, starts, terms, weights = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
-                    row = {c: batch.column(c)[i].as_py() for c in ("doc_ids", "null_ids", "lengths", "docs", "tf")}
+                    row = {c: batch.column(c)[i].as_py() for c in parts if c not in ("terms", "df")}
                     row |= {c: batch.column(c)[i].values.to_numpy() for c in ("terms", "df")}
-                    s = Shard(row, distinct, mean_length)
-                    out = [(j, *s.top(terms[a:b], weights[a:b], k, x)) for j, (a, b, x) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), least.value.tolist()))]
-                    n = [len(d) for _, d, _ in out]
-                    docs = np.concatenate([d for _, d, _ in out] or [np.zeros(0, np.int64)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(s.ids[docs], pa.int64(), mask=s.null[docs].astype(bool)), pa.array(np.concatenate([x for *_, x in out] or [np.zeros(0)]), pa.float64())], names=["query", "doc_id", "score"])
-
-        wave = index.where((order >= low) & (order < high)).select("doc_ids", "null_ids", "lengths", "terms", "df", "docs", "tf").mapInArrow(run, "query long, doc_id long, score double")
+                    s = Shard(row, mean_length)
+                    places = s.places(terms)
+                    out = [s.top(places[a:b], weights[a:b], k, x) for a, b, x in zip(starts[:-1].tolist(), starts[1:].tolist(), least.value.tolist())]
+                    n = [len(d) for d, _ in out]
+                    docs = np.concatenate([d for d, _ in out] or [np.zeros(0, np.int64)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(s.ids[docs], pa.int64(), mask=s.null[docs].astype(bool)), pa.array(np.concatenate([x for _, x in out] or [np.zeros(0)]), pa.float64())], names=["query", "doc_id", "score"])
+
+        wave = index.where((order >= low) & (order < high)).select(*parts).mapInArrow(run, "query long, doc_id long, score double")
         hits = wave if hits is None else hits.unionByName(wave)
         hits = saved(hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank"), "search-hits")
         least.destroy()  # the wave's rows are in a table
         low, size = high, size * 4
-        if low < 1 << 30:
-            at = hits.groupBy("query").agg(F.min("score").alias("s"), F.count("*").alias("n")).where(F.col("n") >= k).toPandas()  # one row a query of the block
-            block.least[np.searchsorted(block.ids, at["query"].to_numpy())] = at["s"].to_numpy()
+        if low < 1 << 30 and n_queries:
+            at = hits.groupBy("query").agg(F.min("score").alias("s"), F.count("*").alias("n")).where(F.col("n") >= k).select("query", "s").toArrow()  # one row a query of the block
+            thresholds[np.searchsorted(ids, at["query"].to_numpy())] = at["s"].to_numpy()
     shared.destroy()
     named = wanted.select("query", "query_id").distinct()
     return hits.withColumn("rank", F.row_number().over(best)).join(named, "query").select("query_id", "rank", "doc_id", "score")
