@@ -55,15 +55,19 @@ def mixed_keys(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
 
 
+def with_main(rows: DataFrame) -> DataFrame:
+    """rows (key, comp, ...) plus main, the most populous component of the key, and size, its rows; written to a table."""
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("key", F.col("m.comp").alias("main"), "size")
+    return saved(rows.drop("size").join(main, "key"), "cc-mixed")
+
+
 def across(rows: DataFrame, payload: list[str], close: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
     """Close pairs (a, b, comp_a, comp_b, payload of both) that share a key and are of different components.
 
-    rows: key, node, comp, payload. In every key the members that are not of its most populous component meet
-    all members of other components. A large group is that component wherever it is met, so its members aren't
-    compared with each other, whatever numbers its nodes have."""
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    rows = saved(rows.join(main, "key"), "cc-mixed")
+    rows: key, main, node, comp, payload, as `with_main` gives them. In every key the members that are not of its
+    most populous component meet all members of other components. A large group is that component wherever it is
+    met, so its members aren't compared with each other, whatever numbers its nodes have."""
     side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in payload]]
     a, b = rows.where("comp != main").select("key", *side("a")), rows.select("key", "main", *side("b"))
     once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
@@ -87,4 +91,4 @@ def bucket_components(vertices: DataFrame, keyed: Callable[[DataFrame], DataFram
     star = saved(least_and_last(keyed(vertices), payload, close).select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b")).distinct(), "cc-star")
     named = saved(vertices.join(connected_components(star), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "cc-named")
     every = keyed(named).select("key", "node", "comp", *payload)
-    return merged(named.select("node", "comp"), across(every.join(mixed_keys(every), "key"), payload, close).select("comp_a", "comp_b"))
+    return merged(named.select("node", "comp"), across(with_main(every.join(mixed_keys(every), "key")), payload, close).select("comp_a", "comp_b"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import saved, words_of
-from barloom.llm.components import across, bucket_components, connected_components, least_and_last, merged, mixed_keys
+from barloom.llm.components import across, bucket_components, connected_components, least_and_last, merged, mixed_keys, with_main
 
 BITS = 64
 
@@ -154,8 +154,10 @@ def grouped(hashed: DataFrame, distance: int = 4) -> DataFrame:
 #: Bits of the wider fingerprint, how many documents of an anchor aren't dealt further, and the share of
 #: alike pairs that the anchors may miss.
 WIDE, SMALL, MISS = 256, 16, 1e-5
-#: Node lists up to this size (8 MB of numbers) are broadcast; longer ones are joined by shuffle.
-BROADCAST_ROWS = 1 << 20
+#: Keys of more rows than this are searched by what their members have beside a common text.
+DENSE = 64
+#: Node lists up to this size (2 MB of numbers) are broadcast; longer ones are joined by shuffle.
+BROADCAST_ROWS = 1 << 18
 #: Odd constants of a 64-bit mixer (public domain splitmix64).
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -188,15 +190,20 @@ def widest(likeness: float, bits: int = WIDE, deviations: float = 4.0) -> tuple[
     return limit(p), limit(1.3 * p)
 
 
+def texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of texts (node, text) that are wanted, as a table."""
+    wanted = saved(nodes.distinct(), "near-wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    return saved(texts.join(F.broadcast(wanted) if few else wanted, "node"), "near-texts")
+
+
 def alike(pairs: DataFrame, texts: DataFrame, likeness: float, words_per_shingle: int) -> DataFrame:
     """The rows of pairs (a, b, ...) whose shingle sets have a Jaccard likeness of at least `likeness`, exactly.
 
     texts: node, text. Only texts of the pairs are moved. A node in many pairs is a hot key of the join on b
     alone, whose rows carry no text yet; skew joins split them."""
     pairs = saved(pairs, "alike-pairs")
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "alike-nodes")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = saved(texts.join(F.broadcast(wanted) if few else wanted, "node"), "alike-texts")
+    texts = texts_of(pairs.select("a").union(pairs.select("b")).toDF("node"), texts)
     extra = [c for c in pairs.columns if c not in ("a", "b")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,6 +234,53 @@ def alike(pairs: DataFrame, texts: DataFrame, likeness: float, words_per_shingle
     return both.mapInArrow(run, pairs.select("a", "b", *extra).schema)
 
 
+def beside_main(groups: DataFrame, texts: DataFrame, payload: list[str], close, likeness: float, words_per_shingle: int) -> DataFrame:
+    """Candidate pairs, as `across` gives them, among the nodes that met one large component (main) in dense keys.
+
+    groups: main, node, comp, payload (n first). P is the text of main's own node. A pair with a likeness of s needs
+    s / (1 + s) * (|A| + |B|) common shingles. Order shingles by (is in P, hash): by the prefix filter such a pair
+    shares one of the first |A| - ceil(s |A|) + 1 of each. If that one is not in P, both have it among their first
+    shingles beside P, and are joined on it. Else they share none beside P, so that each has all the common ones
+    in P, and they are joined on sizes: |B| lies between s |A| and what |A and P| allows, which for a text that is
+    not like P is less than |P|. Edited copies of one text have little in common beside it, so pairs stay few
+    however large the group is."""
+    c = likeness / (1 + likeness)
+    known = texts_of(groups.select("node").union(groups.select("main")), texts)
+    whole = groups.join(known, "node").join(known.select(F.col("node").alias("main"), F.col("text").alias("_p")), "main")
+    kept = ["main", "node", "comp", *payload]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            common, beside = [], []
+            for main, text, p in zip(batch.column("main").to_pylist(), batch.column("text"), batch.column("_p"), strict=True):
+                if main not in held:
+                    if len(held) > 64:
+                        held.clear()
+                    held[main] = np.unique(shingle_hashes(p.as_py(), words_per_shingle))
+                h = np.unique(shingle_hashes(text.as_py(), words_per_shingle))
+                other = np.setdiff1d(h, held[main], assume_unique=True)
+                common.append(len(h) - len(other))
+                beside.append(other[: len(h) - int(np.ceil(likeness * len(h) - 1e-9)) + 1].view(np.int64))
+            at = pa.array(np.r_[0, np.cumsum([len(x) for x in beside])], pa.int32())
+            flat = pa.array(np.concatenate(beside) if beside else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(common, pa.int64()), pa.ListArray.from_arrays(at, flat)], names=[*kept, "common", "beside"])
+
+    form = groups.select(*kept, F.lit(0).cast("long").alias("common"), F.lit(None).cast("array<bigint>").alias("beside")).schema
+    rows = saved(whole.select(*kept, "text", "_p").mapInArrow(run, form), "near-beside")
+    sharing = rows.withColumn("key", F.explode("beside")).withColumn("key", F.xxhash64("main", "key")).drop("beside", "common")
+    by_token = across(sharing, payload, close)
+    size = F.col(payload[0])
+    lo, hi = F.ceil(size * likeness - 1e-9), F.floor((F.col("common") + 1e-9) / c - size)
+    a = rows.where("comp != main").where(lo <= hi).withColumn("of", F.explode(F.sequence(lo, hi))).drop("beside")
+    a = a.select(F.col("main").alias("m"), F.col("of"), F.col("node").alias("a"), F.col("comp").alias("comp_a"), *[F.col(x).alias(f"{x}_a") for x in payload])
+    b = rows.select("main", "common", F.col("node").alias("b"), F.col("comp").alias("comp_b"), *[F.col(x).alias(f"{x}_b") for x in payload])
+    enough = F.col("common") + 1e-9 >= (F.col(f"{payload[0]}_a") + F.col(f"{payload[0]}_b")) * c
+    near = close([F.col(f"{x}_a") for x in payload], [F.col(f"{x}_b") for x in payload])
+    by_size = a.join(b, (F.col("m") == F.col("main")) & (F.col("of") == F.col(f"{payload[0]}_b"))).where((F.col("comp_a") != F.col("comp_b")) & enough & near)
+    return by_token.unionByName(by_size.select(*by_token.columns))
+
+
 def finer(rows: DataFrame, words: list[str], anchors: int) -> DataFrame:
     """Deal large keys further by blocks of the fingerprint: a key of n rows gets blocks of t = log2(n / 8) bits,
     so that a block holds about eight strangers, and so many blocks that a pair whose bits agree at
@@ -249,8 +303,9 @@ def first_of_near_copies(docs: DataFrame, likeness: float = 0.8, words_per_shing
     Pigeonhole blocks can't hold such pairs: at 0.8 they differ in 15 % of the bits, 39 of 256, so blocks
     that must agree would have a few bits each. Two-level blocks take their place. A document's anchors are
     its least shingles under several hashes, equal for a pair with a probability of its likeness; an anchor
-    of many documents is dealt further by blocks of the SimHash (see `finer`). Close pairs by Hamming distance
-    are then checked on their whole shingle sets, so that no pair under `likeness` is linked; one at it or
+    of many documents is dealt further by blocks of the SimHash (see `finer`), and what is still dense, which is
+    a large group of near copies, is searched by what its members have beside the group's text (see
+    `beside_main`). Close pairs by Hamming distance are then checked on their whole shingle sets, so that no pair under `likeness` is linked; one at it or
     above is missed with a probability of about 1e-5 (8 anchors), or 1e-3 where all its anchors are shared by
     very many unlinked documents.
 
@@ -306,7 +361,10 @@ def first_of_near_copies(docs: DataFrame, likeness: float = 0.8, words_per_shing
 
     # what still lies apart: the nearest pair of two components first, then all pairs of those still apart
     every = keyed(named).select("key", "place", "node", "comp", *payload)
-    pairs = across(finer(every.join(mixed_keys(every), "key"), payload[1:], n_anchors), payload, close)
+    met = with_main(finer(every.join(mixed_keys(every), "key"), payload[1:], n_anchors))
+    dense = met.where(F.col("size") > DENSE).select("main", "node", "comp", *payload).distinct()
+    pairs = across(met.where(F.col("size") <= DENSE), payload, close)
+    pairs = pairs.unionByName(beside_main(saved(dense, "near-dense"), texts, payload, close, likeness, words_per_shingle).select(*pairs.columns))
     d = differing([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload])
     swap = F.col("comp_a") < F.col("comp_b")
     turned = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("comp_a", "comp_b"), ("comp_b", "comp_a"))]

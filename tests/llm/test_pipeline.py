@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from barloom.llm import simhash, toxicity
 from barloom.llm.common import table
-from barloom.llm.components import across, mixed_keys
+from barloom.llm.components import across, mixed_keys, with_main
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,7 +113,7 @@ def test_a_large_group_is_never_compared_with_itself(spark, base):
     masks = simhash.block_masks(6)
     keys = F.array(*[F.xxhash64(F.lit(i), F.col("node").bitwiseAND(F.lit(simhash._signed(masks[i] | masks[j])))) for i in range(6) for j in range(i)])
     rows = named.select("*", F.explode(keys).alias("key"))
-    compared = across(rows.join(mixed_keys(rows), "key"), ["bits"], lambda x, y: F.lit(True)).count()
+    compared = across(with_main(rows.join(mixed_keys(rows), "key")), ["bits"], lambda x, y: F.lit(True)).count()
     assert compared < 30 * len(group)
 
 
