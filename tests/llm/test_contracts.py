@@ -115,6 +115,27 @@ def test_warc_files_are_the_same_in_every_run_and_roll(spark, tmp_path):
         warc.read(spark, f"file://{tmp_path}/a").collect()
 
 
+@pytest.mark.parametrize("ids", [[*range(400), 1 << 62], [*range(400), -(1 << 63), (1 << 63) - 1], [7] * 300 + list(range(100)), [None] * 300 + list(range(100))])
+def test_no_range_of_pages_grows_with_a_far_or_repeated_id(spark, ids):
+    pages = spark.createDataFrame([(i, f"{k * 2654435761 % (1 << 32):08x}") for k, i in enumerate(ids)], "page_id long, digest string")
+    from pyspark.sql import functions as F
+
+    got = pages.withColumn("r", warc.range_of(pages, "page_id", F.col("digest"), 50)).collect()
+    sizes = Counter(r["r"] for r in got)
+    assert max(sizes.values()) <= 90 and len(sizes) >= 7
+    spread = defaultdict(list)
+    for r in got:
+        spread[r["r"]].append(math.inf if r["page_id"] is None else r["page_id"])
+    order = [spread[r] for r in sorted(spread)]
+    assert all(max(a) <= min(b) for a, b in zip(order, order[1:]))
+
+
+def test_archive_is_read_by_many_tasks(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}") for i in [*range(200), 1 << 61]], "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/a", per_shard=20)
+    assert warc.read(spark, f"file://{tmp_path}/a").rdd.getNumPartitions() >= 2
+
+
 def test_op3(spark, docs):
     got = {r["doc_id"]: r for r in rows(spark, "op3_maxent_lm")}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in docs}
@@ -153,6 +174,19 @@ def test_op4(spark, docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(24))
 
 
+def test_rendezvous_placement_by_hand(spark, docs):
+    import struct
+
+    def scores(i, shards):
+        head = xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+        hashes = [xxhash.xxh64_intdigest(struct.pack("<i", s), head) for s in range(shards)]
+        return [-1 / math.log(((h >> 11) + 0.5) / (1 << 53)) for h in hashes]
+
+    for r in rows(spark, "op4_rendezvous_sharding"):
+        own, grown = scores(r["doc_id"], 24), scores(r["doc_id"], 25)
+        assert r["shard"] == own.index(max(own)) and r["grown_shard"] == grown.index(max(grown))
+
+
 def test_rendezvous_follows_weights_and_moves_little(spark):
     from pyspark.sql import functions as F
 
@@ -169,7 +203,6 @@ def test_op5(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     got = rows(spark, "op5_mixture_packing")
     of, seqs = defaultdict(list), defaultdict(list)
     for r in got:
@@ -192,6 +225,15 @@ def test_op5(spark, docs):
     assert len(seqs) * 2048 - tokens < 2048 * (1 + tokens / packing.PART_TOKENS)
 
 
+@pytest.mark.parametrize("text", ["x <|endoftext|> y", "<|endoftext|>", "<|endoftext|><|endoftext|>a", "a<|endoftext", "", "  \n\t ", "naïve — 日本語 \U0001f600\u200d \u0000 x'll 12345", "<|EndOfText|> don't stop"])
+def test_ids_are_those_of_the_tokenizers_file(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.token_ids(text).tolist() == [*tok.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_packing_holds_target_proportions_in_every_window(spark):
     rows_ = [(i, "a" if i % 3 else "b", "word " * (5 + i * 37 % 300)) for i in range(3000)]
     out = packing.pack(spark.createDataFrame(rows_, "doc_id long, source string, text string")).toPandas()
@@ -206,11 +248,10 @@ def bm25(docs, query, k=10):
     mean, n = sum(sum(c.values()) for c in tf.values()) / len(tf), len(tf)
     df = Counter(w for c in tf.values() for w in c)
     idf = {w: math.log1p((n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-    top = sorted(query, key=lambda w: (-query[w] * idf[w], w.encode()))[:32]
     found = []
     for i, c in tf.items():
         norm = 1.2 * (0.25 + 0.75 * sum(c.values()) / mean)
-        s = sum(idf[w] * c[w] * 2.2 / (c[w] + norm) for w in top if w in c)
+        s = sum(idf[w] * c[w] * 2.2 / (c[w] + norm) for w in query if w in c)
         if s > 0:
             found.append((-round(s, 9), i))
     return [(i, -s) for s, i in sorted(found)[:k]]
@@ -254,6 +295,24 @@ def test_op7(spark, docs):
         assert at == sorted(at)
 
 
+def test_linked_parts_are_those_of_all_pairs(spark):
+    from barloom.llm import secrets
+
+    rng = np.random.default_rng(5)
+    bits = ["https://host.example/a/b", "user=someone", "password=hunter2hunter2", "AKIA" + "A1B2" * 4, "0123456789abcdef" * 2, "aB3" * 12, "x.amazonaws.com"]
+    texts = ["", None] + ["".join(str(rng.choice(bits)) + " " + "~ " * int(rng.integers(0, 260)) for _ in range(rng.integers(1, 9))) for _ in range(80)]
+    got = {r["doc_id"]: [(p["kind"], p["start"], p["end"]) for p in r["parts"]] for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    role = [secrets.ROLE[k] for k in secrets.KINDS]
+    linked = 0
+    for i, text in enumerate(texts):
+        base = secrets.base_parts(text or "")
+        weak = secrets.weak_parts(text or "", base)
+        met = [w for w in weak if any(role[w[0]] != role[p[0]] and "secret" in (role[w[0]], role[p[0]]) and max(w[1], p[1]) - min(w[2], p[2]) <= secrets.SCOPE for p in base + weak)]
+        assert got[i] == sorted(base + met, key=lambda p: (p[1], p[0]))
+        linked += len(met)
+    assert 20 < linked < sum(len(secrets.weak_parts(t or "", secrets.base_parts(t or ""))) for t in texts)
+
+
 def test_op8(spark, docs):
     got = rows(spark, "op8_cube_mixing")
     assert sorted(got, key=lambda r: r["doc_id"]) == sorted(rows(spark, "op8_cube_mixing"), key=lambda r: r["doc_id"])
@@ -315,7 +374,37 @@ def test_viterbi_restores_obfuscated_words(spark):
     model = toxicity.trigram_model(toxicity.trigram_counts(spark.createDataFrame([(text,)], "text string")))
     for raw, word in (("1d10t", "idiot"), ("stuuuupid", "stupid"), ("m.o.r.o.n", "moron"), ("g@rb4ge", "garbage"), ("l0$er", "loser")):
         assert toxicity.readings(raw, model)[0] == word
-    assert "garbage" in toxicity.raw_tokens("what g a r b a g e this is")
+    assert toxicity.RUN + "garbage" in toxicity.raw_tokens("what g a r b a g e this is")
+    read = lambda text: {w for raw in toxicity.raw_tokens(text) for w in toxicity.restored(raw, model)}
+    assert "you" in read("y o u")
+    assert {"stupid", "worthless", "idiot", "people"} <= read(" ".join("you" "stupid" "worthless" "idiot" "people"))
+    assert {"moron", "garbage"} <= read(" ".join("m0r0nsaidtheloseris" * 3 + "g@rb4ge"))
+    assert "stupid" in read("st" + "u" * 90 + "pid") and "idiot" in read("!" * 60 + "diot")
+    assert "moron" in read(".".join("moron" "said" "the" "kind" "loser" "is" "garbage" "and" "stupid" "people" "you" "idiot"))
+
+
+def test_viterbi_is_the_best_of_all_readings(spark):
+    from itertools import product
+
+    text = " ".join(["you stupid worthless idiot people", "the kind moron said a loser is garbage"] * 5)
+    model = toxicity.trigram_model(toxicity.trigram_counts(spark.createDataFrame([(text,)], "text string")))
+
+    def cost(choice):
+        a = b = 0
+        p = sum(c for _, c in choice)
+        for x in "".join(s for s, _ in choice):
+            z = toxicity.LETTER.get(x, 1)
+            p, a, b = p + model[a, b, z], b, z
+        return p + (model[a, b, 0] if b else 0.0)
+
+    for raw in ("1d10t", "m.0r.0n", "$tuuup1d", "g@rb4g3!", "|0$3r"):
+        best = {}
+        for choice in product(*toxicity.lattice(raw)):
+            s = "".join(x for x, _ in choice)
+            if s:
+                best[s] = max(best.get(s, -math.inf), cost(choice))
+        want = sorted(best, key=lambda s: -best[s])[:3]
+        assert toxicity.readings(raw, model, 50)[:3] == want
 
 
 def jaccard(a, b, n=5):
@@ -378,11 +467,91 @@ def test_lm_forward_pass_by_tables_equals_the_dense_product():
     n = 500
     cls, row = rng.integers(0, lm.CLASSES, n), rng.integers(0, lm.ROWS, n)
     places = np.concatenate([np.arange(3), np.arange(n - 3)])
-    c, rows = lm.contexts(cls, row, places)
+    c, rows, slots = lm.contexts(cls, row, places)
     weights = rng.normal(size=(lm.FEATURES, lm.CLASSES)).astype(np.float32)
     z = lm.dense_features(c) @ weights[: lm.DENSE] + sum(weights[r] for r in rows)
-    np.testing.assert_allclose(lm.logits(weights, lm.pair_tables(weights), (c, rows)), z, atol=1e-4)
+    np.testing.assert_allclose(lm.logits(weights, lm.pair_tables(weights), c, rows), z, atol=1e-4)
+    slot_weights = rng.normal(size=(lm.SLOT_FEATURES, lm.SLOTS)).astype(np.float32)
+    np.testing.assert_allclose(lm.slot_logits(slot_weights, slots), sum(slot_weights[r] for r in slots), atol=1e-4)
     p = np.exp(z.astype(float))
     p /= p.sum(axis=1, keepdims=True)
     np.testing.assert_allclose(lm.log_shares(z.copy(), cls), np.log(p[np.arange(n), cls]), atol=1e-4)
     np.testing.assert_allclose(lm.softmax(z.copy()), p, atol=1e-5)
+
+
+def small_words(texts, top):
+    """Counts of a corpus, and what the model knows of its words, by plain Python."""
+    c = Counter(w for t in texts for w in t.encode().split())
+    names = [b"", *sorted(c, key=lambda w: (-c[w], w))[:top]]
+    pairs, groups = np.zeros((lm.ENDINGS, lm.ENDINGS)), np.zeros((lm.ENDINGS * lm.REST, 2))
+    for t in texts:
+        e = [lm.ending(w) for w in t.encode().split()]
+        for d in (1, 2, 3):
+            for x, y in zip(e, e[d:]):
+                pairs[y, x] += 1
+    for w, k in c.items():
+        groups[lm.ending(w) * lm.REST + lm.rest_slot(w)] += (k, 1)
+    return c, lm.Words(names, np.array([len(texts), *(c[w] for w in names[1:])]), lm.cluster(pairs, lm.CLASSES - 1), groups)
+
+
+def made_texts(seed=0, docs=60):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"{a}{b}{k}{c}" for a in "abc" for b in "xyz" for k in range(6) for c in ("ing", "ed", "s", "ly")]
+    share = 1 / (1 + np.arange(len(vocabulary)))
+    return [" ".join(rng.choice(vocabulary, rng.integers(1, 60), p=share / share.sum())) for _ in range(docs)]
+
+
+def test_lm_probabilities_of_all_words_sum_to_one():
+    texts = made_texts()
+    c, words = small_words(texts, 150)
+    assert len(c) > 160
+    rng = np.random.default_rng(1)
+    weights = words.start(sum(c.values()) + len(texts))
+    for w, at in zip(weights, (1, lm.CLASSES), strict=True):  # all features but the biases get weights
+        w[at:] += rng.normal(scale=0.5, size=w[at:].shape)
+    ids = lm.Ids(words.top)
+    for before in (texts[0].split()[:5], []):
+        context = [ids[w.encode()] for w in before]
+        total = 0.0
+        for w in [b"", *c]:
+            i = 0 if not w else ids[w]
+            row = np.array([*context, i])
+            p = lm.log_probabilities(weights, lm.pair_tables(weights[0]), words, row, np.arange(len(row)))[-1]
+            known = math.log(c[w] + lm.SMOOTH) if i >= len(words.top) else 0.0
+            total += math.exp(p + words.log_share[i] + known)
+        for e in range(lm.ENDINGS):  # unknown words: one a class and shared slot
+            if e == int(np.flatnonzero(words.classes == words.classes[e])[0]):
+                for r in range(lm.REST):
+                    i = len(words.top) + e * lm.REST + r
+                    row = np.array([*context, i])
+                    p = lm.log_probabilities(weights, lm.pair_tables(weights[0]), words, row, np.arange(len(row)))[-1]
+                    total += math.exp(p + words.log_share[i] + math.log(lm.SMOOTH))
+        assert total == pytest.approx(1, abs=1e-5)
+
+
+@pytest.mark.parametrize("top", [20, 10_000])
+def test_lm_score_is_the_product_of_its_factors(spark, top):
+    texts = made_texts(3)
+    train = [(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 10]
+    c, words = small_words([t for _, t in train], top)
+    n = sum(c.values()) + len(train)
+    weights = words.start(n)
+    tables, ids = lm.pair_tables(weights[0]), lm.Ids(words.top)
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 10 == 0][:9]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, f"{t} unseenword") for i, t in zip(held, texts)]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), rounds=0, top=top).collect()}
+    for i, t in rows:
+        ws = t.encode().split()
+        x = np.array([*(ids[w] for w in ws), 0])
+        p = lm.log_probabilities(weights, tables, words, x, np.arange(len(x))) + words.log_share[x]
+        p += [math.log(c[w] + lm.SMOOTH) if k >= len(words.top) else 0.0 for w, k in zip([*ws, b""], x.tolist())]
+        assert got[i] == pytest.approx(p.sum() / math.log(10), rel=1e-6)
+
+
+def test_lm_training_gains_on_held_out_text(spark):
+    # words in a fixed cycle: what comes next is sure, which only the slot factor can learn
+    cycle = [f"q{k}aa" for k in range(11)]
+    texts = [(i, " ".join(cycle[(i + j) % 11] for j in range(40))) for i in range(400)]
+    got = lm.score(spark.createDataFrame(texts, "doc_id long, text string")).where("held_out").collect()
+    gain = sum(r["score"] for r in got) - sum(r["base_score"] for r in got)
+    assert gain / sum(r["n_tokens"] for r in got) > 0.4

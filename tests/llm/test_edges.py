@@ -23,7 +23,7 @@ ROWS = [
     (6, LONG, "en", "a", len(LONG)),
     (-7, "word", "de", "", 4),
     (8, f"{KEY} then secret = abcdef123456 at https://host.example/x \U0001f600 é", "en", "c", 1),
-    (9, "<|endoftext|> is plain text", "en", "c", 1),
+    (9, "<|endoftext|> is a token", "en", "c", 1),
 ]
 
 
@@ -73,7 +73,7 @@ def test_defined_results(odd, labels):
     found = {r["doc_id"]: r for r in secrets.scan(odd).where("doc_id IS NOT NULL").collect()}
     assert [p["kind"] for p in found[8]["parts"]] == [1, 0, 3] and found[6]["parts"] == []
     tokens = {r["doc_id"]: r["doc_tokens"] for r in packing.pack(odd).where("doc_id IS NOT NULL").collect()}
-    assert tokens[2] == tokens[3] == 1 and tokens[9] > 6
+    assert tokens[2] == tokens[3] == 1 and tokens[9] == 5
     mixed = mixing.mix(odd).collect()
     assert {r["taken"] for r in mixed if r["size"] == 0} == {0}
     near = {r["doc_id"]: r for r in fingerprints.fingerprint_documents(odd).where("doc_id IS NOT NULL").collect()}
