@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 from copy import deepcopy
 from fnmatch import fnmatch
 
@@ -57,6 +58,32 @@ def profile_columns(columns: list[str], profile: dict) -> list[str]:
     return out
 
 
+#: Raw order-flow columns that a stable-only profile leaves out, with their slower twins.
+RAW_FLOW = ("orderflow_efficiency", "absorption_pressure", "cvd_price_divergence", "signed_large_trade_pressure", "cvd_pressure")
+
+
+def without_raw_flow(columns: list[str], stable_only: bool) -> list[str]:
+    """columns without raw order-flow ones (and their windows), if only their stable forms count."""
+    raw = lambda c: any(re.fullmatch(rf"(4h_)?{p}(_\d+(_minus_\d+)?)?", c) for p in RAW_FLOW)
+    return [c for c in columns if not raw(c)] if stable_only else columns
+
+
+def availability_columns(features: list[str], regime: list[str], atr: str, present: list[str]) -> list[str]:
+    """What must be there before a row counts: model features, regime inputs and the range column, once each."""
+    wanted = list(dict.fromkeys([*features, *regime, atr]))
+    if absent := [c for c in wanted if c not in present]:
+        raise ValueError(f"missing columns: {absent}")
+    return wanted
+
+
+def renamed(columns: list[str], aliases: dict[str, str]) -> dict[str, str]:
+    """old -> new names by the first pattern that matches a whole name; two columns of one name raise."""
+    out = {c: next((re.sub(p, new, c) for p, new in aliases.items() if re.fullmatch(p, c)), c) for c in columns}
+    if len(set(out.values())) < len(out):
+        raise ValueError("aliases give two columns one name")
+    return out
+
+
 def family(name: str) -> str:
     base = name.removeprefix("4h_")
     for key, kind in (("ih15_", "intrahour"), ("fut_", "futures"), ("cvd", "flow"), ("taker", "flow"), ("absorption", "flow"), ("vpt", "size"), ("whale", "size"), ("large_trade", "size"), ("atr", "volatility"), ("vol_", "volatility"), ("realized", "volatility"), ("adx", "trend"), ("close", "price")):

@@ -16,11 +16,11 @@ from barloom.functions.scalars import flag
 UP = Window.unboundedPreceding
 
 
-def rank_ic(df: DataFrame, by: list[str], x: str = "prob_long", y: str = "forward_return") -> DataFrame:
-    """Spearman correlation with mean ranks of ties; 0 for fewer than 3 rows or a constant side."""
+def rank_ic(df: DataFrame, by: list[str], x: str = "prob_long", y: str = "forward_return", least: int = 3, undefined: float | None = 0.0) -> DataFrame:
+    """Spearman correlation with mean ranks of ties; `undefined` (0, or None for NULL) for fewer than `least` rows or a constant side."""
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_rx": w.average_rank(x, by), "_ry": w.average_rank(y, by)})
-    spread = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0) & (F.count("*") >= 3)
-    return r.groupBy(*by).agg(F.coalesce(F.when(spread, F.corr("_rx", "_ry")), F.lit(0.0)).alias("rank_ic"), F.count("*").alias("n"))
+    spread = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0) & (F.count("*") >= least)
+    return r.groupBy(*by).agg(F.coalesce(F.when(spread, F.corr("_rx", "_ry")), F.lit(undefined).cast("double")).alias("rank_ic"), F.count("*").alias("n"))
 
 
 def at_threshold(score: str, label: str, threshold: Column) -> dict[str, Column]:

@@ -111,14 +111,49 @@ def payoff_alignment(df: DataFrame, by: list[str], bands: list[tuple[str, int, i
     return b.groupBy("profile", "band").agg(F.count("*").alias("folds"), (F.sum("hits") / F.sum("n")).alias("hit_rate"), F.avg("mean_return").alias("mean_return"), F.corr("precision", "mean_return").alias("precision_return_corr"))
 
 
-def fold_table(df: DataFrame, by: list[str]) -> DataFrame:
-    g = df.groupBy(*by).agg(F.avg("label").alias("label_rate"), F.avg("prob_long").alias("mean_prob"), F.stddev_pop("prob_long").alias("prob_std"), F.avg("forward_return").alias("mean_return"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    return m.rank_ic(df, by).join(g, by)
-
-
-def phase_report(ic: DataFrame, mean: float = 0.03, std: float = 0.03, positive: float = 0.75) -> DataFrame:
-    g = ic.groupBy("profile").agg(F.count("*").alias("folds"), F.avg("rank_ic").alias("mean_ic"), F.stddev_pop("rank_ic").alias("std_ic"), F.avg(flag(F.col("rank_ic") > 0)).alias("positive_fraction"))
-    return g.withColumns({"ic_ok": F.col("mean_ic") > mean, "std_ok": F.col("std_ic") < std, "positive_ok": F.col("positive_fraction") > positive})
+def fold_table(df: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:
+    """Every fold's correlation, F1, average precision, rates, score quantiles and returns."""
+    q = F.percentile("prob_long", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    g = df.groupBy(*by).agg(
+        F.avg("label").alias("label_rate"),
+        F.avg("prob_long").alias("mean_prob"),
+        F.stddev_pop("prob_long").alias("prob_std"),
+        F.avg("forward_return").alias("mean_return"),
+        F.stddev_pop("forward_return").alias("return_std"),
+        F.min("ts").alias("first_ts"),
+        F.max("ts").alias("last_ts"),
+        F.avg(flag(F.col("prob_long") >= threshold)).alias("pred_rate"),
+        m.at_threshold("prob_long", "label", F.lit(threshold))["f1"].alias("long_f1"),
+        q.alias("_q"),
+    )
+    g = g.withColumns({f"prob_p{p}": F.get("_q", F.lit(i)) for i, p in enumerate((10, 50, 90))}).drop("_q")
+    return m.rank_ic(df, by).join(g, by).join(m.average_precision(df, by).withColumnRenamed("average_precision", "prauc"), by, "left").fillna(0.0, ["prauc"])
+
+
+#: The fold metrics that recent folds are held against.
+FOLD_METRICS = ("rank_ic", "long_f1", "prauc", "label_rate", "pred_rate", "mean_prob", "prob_std", "mean_return")
+
+
+def recent_folds(folds: DataFrame, recent: int = 5) -> DataFrame:
+    """Per profile and metric: the mean over all folds and over the last ones, their difference, extremes and names."""
+    back = folds.withColumn("_back", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("fold"))))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("v")) for c in FOLD_METRICS]))
+    x = back.withColumn("_x", each).select("profile", "fold", "_back", "_x.*").where("v IS NOT NULL")
+    near = F.when(F.col("_back") <= recent, F.col("v"))
+    g = x.groupBy("profile", "metric").agg(F.avg("v").alias("all_mean"), F.avg(near).alias("recent_mean"), F.min(near).alias("recent_min"), F.max(near).alias("recent_max"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_back") <= recent, F.col("fold")))), ",").alias("recent_folds"))
+    return g.withColumn("recent_minus_all", F.col("recent_mean") - F.col("all_mean"))
+
+
+def phase_report(test: DataFrame, mean: float = 0.03, std: float = 0.03, positive: float = 0.75, f1: float = 0.45, random_like: float = 0.01, suspicious: float = 0.20) -> DataFrame:
+    """One row a profile: means over folds, the score's separation of the classes, checks, and alerts on a
+    correlation that is near zero or too good."""
+    folds = fold_table(test, ["profile", "fold"])
+    g = folds.groupBy("profile").agg(F.count("*").alias("folds"), F.avg("rank_ic").alias("mean_ic"), F.stddev_pop("rank_ic").alias("std_ic"), F.avg(flag(F.col("rank_ic") > 0)).alias("positive_fraction"), F.avg("long_f1").alias("mean_f1"), F.avg("prauc").alias("mean_prauc"))
+    on, off = F.avg(F.when(F.col("label") == 1, F.col("prob_long"))), F.avg(F.when(F.col("label") == 0, F.col("prob_long")))
+    g = g.join(test.groupBy("profile").agg((on - off).alias("separation")), "profile")
+    g = g.withColumns({"ic_ok": F.col("mean_ic") > mean, "std_ok": F.col("std_ic") < std, "positive_ok": F.col("positive_fraction") > positive, "f1_ok": F.col("mean_f1") > f1, "separation_ok": F.coalesce(F.col("separation") > 0, F.lit(False))})
+    alerts = reasons(("rank_ic_near_random", F.abs("mean_ic") <= random_like), ("rank_ic_suspiciously_high", F.col("mean_ic") >= suspicious))
+    return g.withColumns({"passed": F.col("ic_ok") & F.col("std_ok") & F.col("positive_ok") & F.col("f1_ok") & F.col("separation_ok"), "alerts": alerts})
 
 
 def tails(ic: DataFrame, worst: int = 5) -> DataFrame:

@@ -54,3 +54,31 @@ def validated(bars: DataFrame, interval_seconds: int, most_gap: float | None = N
     if most_gap is not None and any((r["max_gap_seconds"] or 0) > interval_seconds * most_gap for r in summary):
         raise ValueError(f"a gap exceeds {most_gap} intervals")
     return kept, summary
+
+
+def no_missing(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df; ValueError with the columns that still hold missing or non-finite values."""
+    bad = {c: n for c, n in non_finite(df, columns).first().asDict().items() if n}
+    if bad:
+        raise ValueError(f"missing or non-finite values: {bad}")
+    return df
+
+
+def in_order(df: DataFrame, saved: list[str]) -> DataFrame:
+    """df's columns in the order a model was fitted with; ValueError if any of them is missing."""
+    if absent := [c for c in saved if c not in df.columns]:
+        raise ValueError(f"features of the fitted model are missing: {absent}")
+    return df.select(*saved)
+
+
+def checked_settings(settings: dict) -> dict:
+    """Feature settings; ValueError on windows, scales or pairs that make no sense."""
+    for name, window in settings.get("windows", {}).items():
+        if not isinstance(window, int) or window <= 1:
+            raise ValueError(f"{name} must be a window greater than 1")
+    if settings.get("tanh_scale", 1.0) <= 0:
+        raise ValueError("tanh_scale must be positive")
+    for pair in settings.get("interactions", []):
+        if len(pair) != 2 or not all(isinstance(x, str) and x for x in pair):
+            raise ValueError(f"an interaction is a pair of column names, not {pair!r}")
+    return settings

@@ -217,18 +217,22 @@ def _(spark, d):
     return reports.score_policy(reports.score_bands(test_rows(spark, d, ALL), KEYS, BAND_LIST), 200).select("profile", "band", "n", *rs("precision", "lift"), "reject_reason", "accepted", F.col("policy_rank").cast("long").alias("policy_rank"))
 
 
-@query("d04_fold_diagnostics", P3 + RANKS + f", f AS (SELECT profile, fold, avg(label) AS base, avg(prob_long) AS mp, stddev_pop(prob_long) AS sp, avg(forward_return) AS mr, min(ts) AS first_ts, max(ts) AS last_ts FROM t GROUP BY ALL) SELECT profile, fold, n, {r('rank_ic', 'rank_ic')}, {r('base', 'label_rate')}, {r('mp', 'mean_prob')}, {r('sp', 'prob_std')}, {r('mr', 'mean_return')}, first_ts, last_ts FROM ic JOIN f USING (profile, fold)")
+FT = RANKS + STEPS + """, ap AS (SELECT profile, fold, CASE WHEN max(all_pos) = max(all_n) THEN 0 ELSE sum(pos / all_pos * cpos / cn) END AS prauc FROM st WHERE all_pos > 0 AND split = 'test' GROUP BY ALL),
+f0 AS (SELECT profile, fold, avg(label) AS label_rate, avg(prob_long) AS mean_prob, stddev_pop(prob_long) AS prob_std, avg(forward_return) AS mean_return, stddev_pop(forward_return) AS return_std, min(ts) AS first_ts, max(ts) AS last_ts, avg((prob_long >= 0.5)::INT) AS pred_rate, quantile_cont(prob_long, 0.1) AS prob_p10, quantile_cont(prob_long, 0.5) AS prob_p50, quantile_cont(prob_long, 0.9) AS prob_p90,
+  coalesce(2 * count(*) FILTER (prob_long >= 0.5 AND label = 1) / nullif(2 * count(*) FILTER (prob_long >= 0.5 AND label = 1) + count(*) FILTER (prob_long >= 0.5 AND label = 0) + count(*) FILTER (prob_long < 0.5 AND label = 1), 0), 0) AS long_f1 FROM t GROUP BY ALL),
+ft AS (SELECT f0.*, ic.rank_ic, ic.n, coalesce(ap.prauc, 0) AS prauc FROM f0 JOIN ic USING (profile, fold) LEFT JOIN ap USING (profile, fold))"""
+FT_COLUMNS = ["rank_ic", "long_f1", "prauc", "label_rate", "pred_rate", "mean_prob", "prob_std", "prob_p10", "prob_p50", "prob_p90", "mean_return", "return_std"]
+
+
+@query("d04_fold_diagnostics", P3 + FT + f" SELECT profile, fold, n, first_ts, last_ts, {', '.join(r(c, c) for c in FT_COLUMNS)} FROM ft")
 def _(spark, d):
-    f = reports.fold_table(test_rows(spark, d, ALL), KEYS)
-    return f.select(*KEYS, "n", *rs("rank_ic", "label_rate", "mean_prob", "prob_std", "mean_return"), "first_ts", "last_ts")
+    return reports.fold_table(test_rows(spark, d, ALL), KEYS).select(*KEYS, "n", "first_ts", "last_ts", *rs(*FT_COLUMNS))
 
 
-@query("d05_recent_folds", P3 + RANKS + f", k2 AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY fold DESC) AS back FROM ic), u AS (SELECT profile, 'all' AS scope, rank_ic FROM k2 UNION ALL SELECT profile, 'recent', rank_ic FROM k2 WHERE back <= 3) SELECT profile, scope, count(*) AS folds, {r('avg(rank_ic)', 'mean')}, {r('min(rank_ic)', 'min')}, {r('max(rank_ic)', 'max')} FROM u GROUP BY ALL")
+@query("d05_recent_folds", P3 + FT + ", k2 AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY fold DESC) AS back FROM ft), u AS (SELECT profile, fold, back, unnest([" + ", ".join(f"{{'metric': '{c}', 'v': {c}::DOUBLE}}" for c in reports.FOLD_METRICS) + f"]) AS x FROM k2) SELECT profile, x.metric AS metric, {r('avg(x.v)', 'all_mean')}, {r('avg(x.v) FILTER (back <= 5)', 'recent_mean')}, {r('avg(x.v) FILTER (back <= 5) - avg(x.v)', 'recent_minus_all')}, {r('min(x.v) FILTER (back <= 5)', 'recent_min')}, {r('max(x.v) FILTER (back <= 5)', 'recent_max')}, string_agg(fold::VARCHAR, ',' ORDER BY fold) FILTER (back <= 5) AS recent_folds FROM u GROUP BY ALL")
 def _(spark, d):
-    f = reports.fold_table(test_rows(spark, d, ALL), KEYS)
-    back = f.withColumn("back", F.row_number().over(Window.partitionBy("profile").orderBy(F.desc("fold"))))
-    u = back.withColumn("scope", F.explode(F.when(F.col("back") <= 3, F.array(F.lit("all"), F.lit("recent"))).otherwise(F.array(F.lit("all")))))
-    return u.groupBy("profile", "scope").agg(F.count("*").alias("folds"), R(F.avg("rank_ic")).alias("mean"), R(F.min("rank_ic")).alias("min"), R(F.max("rank_ic")).alias("max"))
+    x = reports.recent_folds(reports.fold_table(test_rows(spark, d, ALL), KEYS))
+    return x.select("profile", "metric", *rs("all_mean", "recent_mean", "recent_minus_all", "recent_min", "recent_max"), "recent_folds")
 
 
 #: The random scores of the test tables have rank correlations near zero; the operators' own bounds are 0.10 and -0.08.
@@ -241,9 +245,12 @@ def _(spark, d):
     return reports.good_bad_summary(m.rank_ic(test_rows(spark, d, ALL), KEYS), GOOD, BAD)
 
 
-@query("d01_phase_report", P3 + RANKS + f" SELECT profile, count(*) AS folds, {r('avg(rank_ic)', 'mean_ic')}, {r('stddev_pop(rank_ic)', 'std_ic')}, {r('avg((rank_ic > 0)::INT)', 'positive_fraction')}, avg(rank_ic) > 0.03 AS ic_ok, stddev_pop(rank_ic) < 0.03 AS std_ok, avg((rank_ic > 0)::INT) > 0.75 AS positive_ok FROM ic GROUP BY profile")
+@query("d01_phase_report", P3 + FT + f""", g AS (SELECT profile, count(*) AS folds, avg(rank_ic) AS mi, stddev_pop(rank_ic) AS si, avg((rank_ic > 0)::INT) AS pf, avg(long_f1) AS mf, avg(prauc) AS mp FROM ft GROUP BY profile),
+sp AS (SELECT profile, avg(prob_long) FILTER (label = 1) - avg(prob_long) FILTER (label = 0) AS sep FROM t GROUP BY profile)
+SELECT profile, folds, {r('mi', 'mean_ic')}, {r('si', 'std_ic')}, {r('pf', 'positive_fraction')}, {r('mf', 'mean_f1')}, {r('mp', 'mean_prauc')}, {r('sep', 'separation')}, mi > 0.03 AS ic_ok, si < 0.03 AS std_ok, pf > 0.75 AS positive_ok, mf > 0.45 AS f1_ok, sep > 0 AS separation_ok, mi > 0.03 AND si < 0.03 AND pf > 0.75 AND mf > 0.45 AND sep > 0 AS passed, concat_ws(';', CASE WHEN abs(mi) <= 0.01 THEN 'rank_ic_near_random' END, CASE WHEN mi >= 0.2 THEN 'rank_ic_suspiciously_high' END) AS alerts FROM g JOIN sp USING (profile)""")
 def _(spark, d):
-    return reports.phase_report(m.rank_ic(test_rows(spark, d, ALL), KEYS)).select("profile", "folds", *rs("mean_ic", "std_ic", "positive_fraction"), "ic_ok", "std_ok", "positive_ok")
+    x = reports.phase_report(test_rows(spark, d, ALL))
+    return x.select("profile", "folds", *rs("mean_ic", "std_ic", "positive_fraction", "mean_f1", "mean_prauc", "separation"), "ic_ok", "std_ok", "positive_ok", "f1_ok", "separation_ok", "passed", "alerts")
 
 
 @query("a17_tail_means", P3 + RANKS + f", k2 AS (SELECT *, row_number() OVER (PARTITION BY profile ORDER BY rank_ic, fold) AS up, count(*) OVER (PARTITION BY profile) AS folds FROM ic) SELECT profile, {r('avg(rank_ic) FILTER (up <= 3)', 'worst_3')}, {r('avg(rank_ic) FILTER (up <= ceil(0.2 * folds))', 'cvar_20')}, count(*) FILTER (rank_ic < 0) AS negative, {r('avg((rank_ic < 0)::INT)', 'negative_fraction')} FROM k2 GROUP BY profile")

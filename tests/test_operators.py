@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators import bars as ops
 from barloom.operators import governance as g
-from barloom.operators import labels, losses, metrics, regime, reports, scoring, wavelet
+from barloom.operators import labels, losses, metrics, regime, reports, scoring, validation, wavelet
 from barloom.operators.asof import asof
 from barloom.operators.ewm import adx, ewm_values, with_ewm
 from barloom.operators.validation import non_finite, validated
@@ -335,6 +335,25 @@ def test_profiles_and_decisions():
     assert g.decision(good, good, None)["reject_reason"] == "mean_ic;no_holdout"
 
 
+def test_names_and_settings_are_guarded(spark):
+    names = ["cvd_pressure_12", "4h_cvd_pressure_12_minus_6", "cvd_pressure_stable_rank", "atr_14"]
+    assert g.without_raw_flow(names, True) == ["cvd_pressure_stable_rank", "atr_14"] and g.without_raw_flow(names, False) == names
+    assert g.availability_columns(["a", "b"], ["b"], "atr", ["a", "b", "atr", "c"]) == ["a", "b", "atr"]
+    assert g.renamed(["x_1", "y"], {r"x_(\d)": r"z\1"}) == {"x_1": "z1", "y": "y"}
+    df = spark.createDataFrame([(1.0, None)], "a double, b double")
+    assert validation.in_order(df, ["b", "a"]).columns == ["b", "a"] and validation.no_missing(df, ["a"]) is df
+    for bad in (lambda: g.availability_columns(["a"], [], "atr", ["a"]), lambda: g.renamed(["x_1", "x_2"], {r"x_\d": "z"}), lambda: validation.in_order(df, ["c"]), lambda: validation.no_missing(df, ["a", "b"]), lambda: validation.checked_settings({"windows": {"n": 1}}), lambda: validation.checked_settings({"tanh_scale": 0}), lambda: validation.checked_settings({"interactions": [("a",)]})):
+        with pytest.raises(ValueError):
+            bad()
+    assert validation.checked_settings({"windows": {"n": 24}, "interactions": [("a", "b")]})
+
+
+def test_correlation_of_too_few_rows_may_be_missing(spark):
+    df = predictions(spark, [("p", 0, i, i / 4, 1, float(i), 0.0, 0.5, 0.5) for i in range(3)])
+    ic = lambda **k: metrics.rank_ic(df, ["profile"], **k).first()["rank_ic"]
+    assert ic() == pytest.approx(1) and ic(least=4) == 0 and ic(least=4, undefined=None) is None
+
+
 def test_reports_are_written(spark, tmp_path):
     t = spark.createDataFrame([("a", 0.5), ("b", None)], "name string, value double").orderBy("name")
     g.write_report(t, str(tmp_path / "r"))
