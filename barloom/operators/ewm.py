@@ -1,19 +1,42 @@
-"""Exponentially weighted means, a recursion that windows cannot express: one Arrow pass per symbol.
+"""Exponentially weighted means, a recursion that windows cannot express.
 
 y = (1 - a) y + a x from the first value on. A missing x keeps the weight decaying, so that
 the next value counts as (1 - a)^gap against it; no value is given before `least` were seen.
+
+A symbol's history is cut into chunks of time. What a chunk does to the state that enters it is
+one line of numbers, as the recursion is linear in it: chunks are summed up side by side, their
+lines are run through in order (one line a chunk), and the chunks are filled side by side.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.sources.shared import shared_dir
+
+EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+CHUNK_SECONDS = 365 * 86400
+
+
+@dataclass
+class State:
+    """The mean so far (NaN before the first value), the weight it has against the next value, and values seen."""
 
-def ewm_values(x: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
-    out, y, weight, seen = np.full(len(x), np.nan), np.nan, 1.0, 0
+    y: float = np.nan
+    weight: float = 1.0
+    seen: int = 0
+
+
+def ewm_values(x: np.ndarray, alpha: float, least: int = 1, state: State | None = None) -> np.ndarray:
+    """The recursion over x from a state, which is moved on."""
+    s = state or State()
+    out, y, weight, seen = np.full(len(x), np.nan), s.y, s.weight, s.seen
     for i, v in enumerate(x.tolist()):
         if v == v:
             y = v if y != y else (weight * y + alpha * v) / (weight + alpha)
@@ -22,21 +45,76 @@ def ewm_values(x: np.ndarray, alpha: float, least: int = 1) -> np.ndarray:
             weight *= 1 - alpha
         if seen >= least:
             out[i] = y
+    s.y, s.weight, s.seen = y, weight, seen
     return out
 
 
-def with_ewm(df: DataFrame, columns: dict[str, tuple[str, float, int]], key: str = "symbol", time: str = "ts") -> DataFrame:
+def line(x: np.ndarray, alpha: float) -> tuple[int, int, float, float, float, float]:
+    """What a chunk does to any state: (missing values before the first, values, the first, and with y the mean after
+    the first: slope and offset of the last mean in y, weight at the end)."""
+    at = np.flatnonzero(x == x)
+    if not len(at):
+        return len(x), 0, np.nan, 1.0, 0.0, 1.0
+    slope, offset, weight = 1.0, 0.0, 1 - alpha
+    for v in x[at[0] + 1 :].tolist():
+        if v == v:
+            keep = weight / (weight + alpha)
+            slope, offset, weight = slope * keep, offset * keep + alpha * v / (weight + alpha), 1 - alpha
+        else:
+            weight *= 1 - alpha
+    return int(at[0]), len(at), float(x[at[0]]), slope, offset, weight
+
+
+def moved(s: State, alpha: float, lead: int, values: int, first: float, slope: float, offset: float, weight: float) -> State:
+    """The state after a chunk."""
+    own = s.weight * (1 - alpha) ** lead if s.y == s.y else s.weight
+    if not values:
+        return State(s.y, own, s.seen)
+    y = first if s.y != s.y else (own * s.y + alpha * first) / (own + alpha)
+    return State(slope * y + offset, weight, s.seen + values)
+
+
+def with_ewm(df: DataFrame, columns: dict[str, tuple[str, float, int]], key: str = "symbol", time: str = "ts", chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """df plus columns {name: (source, alpha, least)}, each the recursion over the key's rows in time order."""
-    schema = df.select("*", *[F.lit(None).cast("double").alias(c) for c in columns]).schema
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/ewm-{uuid.uuid4().hex}"
+    chunk = F.floor(F.expr(f"timestampdiff(SECOND, {EPOCH}, cast(`{time}` as timestamp_ntz))") / chunk_seconds).cast("long")
+    cut = df.withColumn("_chunk", chunk)
+    cut.write.parquet(path)  # read twice
+    cut = spark.read.schema(cut.schema).parquet(path)
+    fields = ("lead", "values", "first", "slope", "offset", "weight")
+    values = lambda table, source: table[source].cast(pa.float64()).to_numpy(zero_copy_only=False)
+    one = lambda table, c: table[c].slice(0, 1)
 
-    def run(table: pa.Table) -> pa.Table:
+    def summed(table: pa.Table) -> pa.Table:
+        table = table.sort_by(time)
+        lines = [pa.array([[float(v) for v in line(values(table, source), alpha)]]) for source, alpha, _ in columns.values()]
+        return pa.table([one(table, key), one(table, "_chunk"), *lines], names=[key, "_chunk", *columns])
+
+    def run_through(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_chunk")
+        out = []
+        for name, (_, alpha, _) in columns.items():
+            s, starts = State(), []
+            for row in table[name].to_pylist():
+                starts.append([s.y, s.weight, float(s.seen)])
+                got = dict(zip(fields, row, strict=True))
+                s = moved(s, alpha, int(got["lead"]), int(got["values"]), got["first"], got["slope"], got["offset"], got["weight"])
+            out.append(pa.array(starts, pa.list_(pa.float64())))
+        return pa.table([table[key], table["_chunk"], *out], names=[key, "_chunk", *(f"_start_{c}" for c in columns)])
+
+    def filled(table: pa.Table) -> pa.Table:
         table = table.sort_by(time)
         for name, (source, alpha, least) in columns.items():
-            x = table[source].cast(pa.float64()).to_numpy(zero_copy_only=False)
-            table = table.append_column(name, pa.array(ewm_values(x, alpha, least), from_pandas=True))
-        return table
+            y, weight, seen = table[f"_start_{name}"][0].as_py()
+            table = table.append_column(name, pa.array(ewm_values(values(table, source), alpha, least, State(y, weight, int(seen))), from_pandas=True))
+        return table.drop_columns(["_chunk", *(f"_start_{c}" for c in columns)])
 
-    return df.groupBy(key).applyInArrow(run, schema)
+    numbers = lambda names: [F.lit(None).cast("array<double>").alias(c) for c in names]
+    lines = cut.select(key, time, "_chunk", *{source for source, *_ in columns.values()} - {key, time}).groupBy(key, "_chunk").applyInArrow(summed, cut.select(key, "_chunk", *numbers(columns)).schema)
+    starts = lines.groupBy(key).applyInArrow(run_through, cut.select(key, "_chunk", *numbers(f"_start_{c}" for c in columns)).schema)
+    schema = df.select("*", *[F.lit(None).cast("double").alias(c) for c in columns]).schema
+    return cut.join(starts, [key, "_chunk"]).select(*cut.columns, *[f"_start_{c}" for c in columns]).groupBy(key, "_chunk").applyInArrow(filled, schema)
 
 
 def adx(price: DataFrame, n: int = 14) -> DataFrame:

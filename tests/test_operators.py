@@ -46,6 +46,17 @@ def test_ewm_is_that_of_pandas(spark):
     np.testing.assert_allclose(got[4:], want[4:])
 
 
+@pytest.mark.parametrize("chunk", [3600, 3 * 3600, 50 * 3600])
+def test_ewm_is_the_same_however_it_is_cut(spark, chunk):
+    x = [None, None, 3.0, None, 5.0, 1.0, None, None, None, None, 2.0, 4.0, 4.5, None, 7.0, 8.0, 1.0]
+    df = spark.createDataFrame([(s, t, v) for s in "ST" for t, v in zip(hours(len(x)), x if s == "S" else x[::-1])], "symbol string, ts timestamp_ntz, v double")
+    got = with_ewm(df, {"a": ("v", 0.3, 2), "b": ("v", 0.05, 1)}, chunk_seconds=chunk).orderBy("symbol", "ts").collect()
+    for s, values in (("S", x), ("T", x[::-1])):
+        for name, alpha, least in (("a", 0.3, 2), ("b", 0.05, 1)):
+            want = pd.Series(values, dtype=float).ewm(alpha=alpha, adjust=False, min_periods=least).mean()
+            np.testing.assert_allclose([np.nan if r[name] is None else r[name] for r in got if r["symbol"] == s], want)
+
+
 def test_adx_is_bounded_and_rises_in_a_trend(spark):
     r = adx(ops.price_features(made_bars(spark, [100.0 + i for i in range(80)])), 14).orderBy("ts").collect()
     assert r[-1]["adx"] == pytest.approx(100.0)
