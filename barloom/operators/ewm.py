@@ -3,25 +3,19 @@
 y = (1 - a) y + a x from the first value on. A missing x keeps the weight decaying, so that
 the next value counts as (1 - a)^gap against it; no value is given before `least` were seen.
 
-A symbol's history is cut into chunks of time. What a chunk does to the state that enters it is
-one line of numbers, as the recursion is linear in it: chunks are summed up side by side, their
-lines are run through in order (one line a chunk), and the chunks are filled side by side.
+A symbol's history is cut into chunks of time (see `chunks`). What a chunk does to the state that
+enters it is one line of numbers, as the recursion is linear in it.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.sources.shared import shared_dir
-
-EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
-CHUNK_SECONDS = 365 * 86400
+from barloom.operators.chunks import CHUNK_SECONDS, Line, Values, carried
 
 
 @dataclass
@@ -74,47 +68,33 @@ def moved(s: State, alpha: float, lead: int, values: int, first: float, slope: f
     return State(slope * y + offset, weight, s.seen + values)
 
 
+FIELDS = 6
+
+
 def with_ewm(df: DataFrame, columns: dict[str, tuple[str, float, int]], key: str = "symbol", time: str = "ts", chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
     """df plus columns {name: (source, alpha, least)}, each the recursion over the key's rows in time order."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ewm-{uuid.uuid4().hex}"
-    chunk = F.floor(F.expr(f"timestampdiff(SECOND, {EPOCH}, cast(`{time}` as timestamp_ntz))") / chunk_seconds).cast("long")
-    cut = df.withColumn("_chunk", chunk)
-    cut.write.parquet(path)  # read twice
-    cut = spark.read.schema(cut.schema).parquet(path)
-    fields = ("lead", "values", "first", "slope", "offset", "weight")
-    values = lambda table, source: table[source].cast(pa.float64()).to_numpy(zero_copy_only=False)
-    one = lambda table, c: table[c].slice(0, 1)
-
-    def summed(table: pa.Table) -> pa.Table:
-        table = table.sort_by(time)
-        lines = [pa.array([[float(v) for v in line(values(table, source), alpha)]]) for source, alpha, _ in columns.values()]
-        return pa.table([one(table, key), one(table, "_chunk"), *lines], names=[key, "_chunk", *columns])
-
-    def run_through(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_chunk")
+    specs = list(columns.values())
+
+    def lines(x: Values) -> Line:
+        return [float(v) for source, alpha, _ in specs for v in line(x[source], alpha)]
+
+    def states(state: Line | None, made: Line) -> Line:
         out = []
-        for name, (_, alpha, _) in columns.items():
-            s, starts = State(), []
-            for row in table[name].to_pylist():
-                starts.append([s.y, s.weight, float(s.seen)])
-                got = dict(zip(fields, row, strict=True))
-                s = moved(s, alpha, int(got["lead"]), int(got["values"]), got["first"], got["slope"], got["offset"], got["weight"])
-            out.append(pa.array(starts, pa.list_(pa.float64())))
-        return pa.table([table[key], table["_chunk"], *out], names=[key, "_chunk", *(f"_start_{c}" for c in columns)])
-
-    def filled(table: pa.Table) -> pa.Table:
-        table = table.sort_by(time)
-        for name, (source, alpha, least) in columns.items():
-            y, weight, seen = table[f"_start_{name}"][0].as_py()
-            table = table.append_column(name, pa.array(ewm_values(values(table, source), alpha, least, State(y, weight, int(seen))), from_pandas=True))
-        return table.drop_columns(["_chunk", *(f"_start_{c}" for c in columns)])
-
-    numbers = lambda names: [F.lit(None).cast("array<double>").alias(c) for c in names]
-    lines = cut.select(key, time, "_chunk", *{source for source, *_ in columns.values()} - {key, time}).groupBy(key, "_chunk").applyInArrow(summed, cut.select(key, "_chunk", *numbers(columns)).schema)
-    starts = lines.groupBy(key).applyInArrow(run_through, cut.select(key, "_chunk", *numbers(f"_start_{c}" for c in columns)).schema)
-    schema = df.select("*", *[F.lit(None).cast("double").alias(c) for c in columns]).schema
-    return cut.join(starts, [key, "_chunk"]).select(*cut.columns, *[f"_start_{c}" for c in columns]).groupBy(key, "_chunk").applyInArrow(filled, schema)
+        for i, (_, alpha, _) in enumerate(specs):
+            y, weight, seen = state[3 * i : 3 * i + 3] if state else (np.nan, 1.0, 0.0)
+            lead, values, *rest = made[FIELDS * i : FIELDS * (i + 1)]
+            s = moved(State(y, weight, int(seen)), alpha, int(lead), int(values), *rest)
+            out += [float(s.y), float(s.weight), float(s.seen)]
+        return out
+
+    def filled(x: Values, state: Line | None) -> Values:
+        out = {}
+        for i, (name, (source, alpha, least)) in enumerate(columns.items()):
+            y, weight, seen = state[3 * i : 3 * i + 3] if state else (np.nan, 1.0, 0.0)
+            out[name] = ewm_values(x[source], alpha, least, State(y, weight, int(seen)))
+        return out
+
+    return carried(df, [source for source, *_ in specs], list(columns), lines, states, filled, key, time, chunk_seconds)
 
 
 def adx(price: DataFrame, n: int = 14) -> DataFrame:

@@ -1,15 +1,15 @@
 """Causal wavelet denoising: each value is the last one of its own window's reconstruction.
 
-Windows end at their row, so no value sees the future. A symbol's rows are one Arrow pass; the
-windows of a run of rows are transformed together.
+Windows end at their row, so no value sees the future. The windows of a run of rows are
+transformed together.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from barloom.operators.chunks import CHUNK_SECONDS, Line, Values, carried
 
 #: Daubechies 4 scaling filter (fixed values).
 DB4 = np.array([-0.010597401785069032, 0.0328830116668852, 0.030841381835560764, -0.18703481171909309, -0.027983769416859854, 0.6308807679298589, 0.7148465705529157, 0.2303778133088965])
@@ -49,19 +49,22 @@ def denoised_last(windows: np.ndarray, level: int = 2, scale: float = 0.5) -> np
     return a[:, -1]
 
 
-def with_denoised(df: DataFrame, column: str, window: int = 64, level: int = 2, scale: float = 0.5, key: str = "symbol", time: str = "ts") -> DataFrame:
-    """df plus <column>_denoised, NULL until the window is full."""
-    name = f"{column}_denoised"
-    schema = df.select("*", F.lit(None).cast("double").alias(name)).schema
+def with_denoised(df: DataFrame, column: str, window: int = 64, level: int = 2, scale: float = 0.5, key: str = "symbol", time: str = "ts", chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
+    """df plus <column>_denoised, NULL until the window is full. A chunk of a key's history gets the window - 1 values
+    before it, so no task holds the whole history."""
+    name, back = f"{column}_denoised", window - 1
+
+    def moved(state: Line | None, made: Line) -> Line:
+        return [*(state or []), *made][-back:]
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(time)
-        x = table[column].cast(pa.float64()).to_numpy(zero_copy_only=False)
-        out = np.full(len(x), np.nan)
-        if len(x) >= window:
-            w = np.lib.stride_tricks.sliding_window_view(x, window)
+    def filled(x: Values, state: Line | None) -> Values:
+        before = np.array(state or [], float)
+        whole = np.r_[before, x[column]]
+        out = np.full(len(whole), np.nan)
+        if len(whole) >= window:
+            w = np.lib.stride_tricks.sliding_window_view(whole, window)
             for i in range(0, len(w), 4096):
-                out[window - 1 + i : window - 1 + i + 4096] = denoised_last(np.ascontiguousarray(w[i : i + 4096]), level, scale)
-        return table.append_column(name, pa.array(out, from_pandas=True))
+                out[back + i : back + i + 4096] = denoised_last(np.ascontiguousarray(w[i : i + 4096]), level, scale)
+        return {name: out[len(before) :]}
 
-    return df.groupBy(key).applyInArrow(run, schema)
+    return carried(df, [column], [name], lambda x: x[column][-back:].tolist(), moved, filled, key, time, chunk_seconds)

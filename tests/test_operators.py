@@ -57,6 +57,15 @@ def test_ewm_is_the_same_however_it_is_cut(spark, chunk):
             np.testing.assert_allclose([np.nan if r[name] is None else r[name] for r in got if r["symbol"] == s], want)
 
 
+@pytest.mark.parametrize("chunk", [3600, 7 * 3600, 500 * 3600])
+def test_denoising_is_the_same_however_it_is_cut(spark, chunk):
+    closes = [100 + math.sin(i / 3) + (i * 7919 % 13) / 10 for i in range(50)]
+    got = [r["d"] for r in wavelet.with_denoised(made_bars(spark, closes), "close", 16, chunk_seconds=chunk).select("ts", F.col("close_denoised").alias("d")).orderBy("ts").collect()]
+    want = wavelet.denoised_last(np.lib.stride_tricks.sliding_window_view(np.array(closes), 16))
+    assert got[:15] == [None] * 15
+    np.testing.assert_allclose(got[15:], want, atol=1e-12)
+
+
 def test_adx_is_bounded_and_rises_in_a_trend(spark):
     r = adx(ops.price_features(made_bars(spark, [100.0 + i for i in range(80)])), 14).orderBy("ts").collect()
     assert r[-1]["adx"] == pytest.approx(100.0)
