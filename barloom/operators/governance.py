@@ -12,7 +12,8 @@ import re
 from copy import deepcopy
 from fnmatch import fnmatch
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,12 +138,35 @@ def latest_run(runs: DataFrame, signature_hash: str | None = None) -> DataFrame:
 
 
 def write_report(table: DataFrame, path: str, most_rows: int = 100_000) -> None:
-    """A small report table as CSV and JSON lines; a larger one is a data set and raises."""
+    """A small report table as CSV, JSON lines and markdown; a larger one is a data set and raises."""
     n = table.limit(most_rows + 1).count()
     if n > most_rows:
         raise ValueError("a report has too many rows; write it as a table")
     table.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     table.coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    text = table.sparkSession.createDataFrame([(markdown(table, n),)], "value string")
+    text.coalesce(1).write.mode("overwrite").text(f"{path}/md")
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A report's rows from its JSON lines; a missing or empty report has no rows."""
+    try:
+        return spark.read.schema(schema).json(f"{path}/json")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def write_predictions(preds: DataFrame, path: str) -> None:
+    """Prediction rows as parquet by profile and fold, so that a fold is read alone; a rerun replaces only its own."""
+    preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("profile", "fold").parquet(path)
+
+
+def summary_markdown(report: dict, folds: DataFrame, most: int = 5) -> str:
+    """A profile's report, then its best and worst folds by correlation."""
+    lines = ["# Summary", "", *(f"- {k}: {json_safe(v)}" for k, v in report.items())]
+    for title, order in (("Best", F.desc("rank_ic")), ("Worst", F.asc("rank_ic"))):
+        lines += ["", f"## {title} folds", "", markdown(folds.orderBy(order, "fold"), most)]
+    return "\n".join(lines)
 
 
 def markdown(table: DataFrame, rows: int = 20) -> str:

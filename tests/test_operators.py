@@ -379,6 +379,17 @@ def test_reports_are_written(spark, tmp_path):
     g.write_report(t, str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r/csv")).count() == 2
     assert g.markdown(t).splitlines()[2] == "| a | 0.5000 |"
+    assert "| a | 0.5000 |" in spark.read.text(str(tmp_path / "r/md")).toPandas()["value"].tolist()
+    schema = "name string, value double"
+    assert sorted(r["name"] for r in g.read_report(spark, str(tmp_path / "r"), schema).collect()) == ["a", "b"]
+    assert g.read_report(spark, str(tmp_path / "none"), schema).count() == 0
+    p = spark.createDataFrame([("p", 0, 0.1), ("p", 1, 0.2), ("q", 0, 0.3)], "profile string, fold int, prob_long double")
+    g.write_predictions(p, str(tmp_path / "preds"))
+    g.write_predictions(p.where("profile = 'p' AND fold = 1").withColumn("prob_long", F.lit(0.9)), str(tmp_path / "preds"))
+    assert sorted(r["prob_long"] for r in spark.read.parquet(str(tmp_path / "preds")).collect()) == [0.1, 0.3, 0.9]
+    folds = spark.createDataFrame([(i, i / 10) for i in range(9)], "fold int, rank_ic double")
+    text = g.summary_markdown({"mean_ic": 0.4, "std": float("nan")}, folds)
+    assert "- std: None" in text and text.count("| 8 |") == 1 and text.count("| 4 |") == 2
 
 
 def test_stream_closes_the_batch_bars(spark):
