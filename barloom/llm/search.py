@@ -207,10 +207,8 @@ class Shard:
         scores = np.round(sums[found], DIGITS) if n == len(t) else self.exact(found, t, w)
         keep = (scores > 0) & (scores >= least - slack)
         hits, scores = found[keep], scores[keep]
-        if len(hits) > k:
-            best = np.lexsort((self.ids[hits], self.null[hits], -scores))[:k]  # ties go by doc_id
-            hits, scores = hits[best], scores[best]
-        return hits, scores
+        best = np.lexsort((self.ids[hits], self.null[hits], -scores))[:k]  # ties go by doc_id
+        return hits[best], scores[best]
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, query_block: int = QUERY_BLOCK, block_terms: int = BLOCK_TERMS) -> DataFrame:
