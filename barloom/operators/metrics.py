@@ -47,19 +47,25 @@ def average_precision(df: DataFrame, by: list[str], score: str = "prob_long", la
 
 
 def best_f1(df: DataFrame, by: list[str], score: str = "prob_long", label: str = "label") -> DataFrame:
-    """The threshold of the largest F1; the lowest such threshold."""
+    """The threshold of the largest F1; the lowest such threshold. With one class alone, the median score."""
     s = score_steps(df, by, score, label).withColumn("f1", 2 * F.col("cpos") / (F.col("cn") + F.col("all_pos")))
-    return s.groupBy(*by).agg(F.max(F.struct(F.round("f1", 12).alias("f1"), (-F.col("threshold")).alias("t"))).alias("m")).select(*by, (-F.col("m.t")).alias("threshold"), F.col("m.f1").alias("f1"))
+    s = s.withColumn("median", F.percentile("threshold", F.lit(0.5), F.col("n")).over(Window.partitionBy(*by)))
+    at = lambda c: F.max(F.when(F.col("threshold") >= F.col("median"), F.col(c)))
+    best = F.max(F.struct(F.round("f1", 12).alias("f1"), (-F.col("threshold")).alias("t"))).alias("m")
+    g = s.groupBy(*by).agg(best, F.max("median").alias("median"), F.max("all_pos").alias("all_pos"), F.max("all_n").alias("all_n"), at("cn").alias("cn"), at("cpos").alias("cpos"))
+    one = (F.col("all_pos") == 0) | (F.col("all_pos") == F.col("all_n"))
+    return g.select(*by, F.when(one, F.col("median")).otherwise(-F.col("m.t")).alias("threshold"), F.when(one, F.round(2 * F.col("cpos") / (F.col("cn") + F.col("all_pos")), 12)).otherwise(F.col("m.f1")).alias("f1"))
 
 
 def constrained_f1(df: DataFrame, by: list[str], most_rate: float, least_precision: float, score: str = "prob_long", label: str = "label") -> DataFrame:
     """The largest F1 with a prediction rate in (0, most_rate] and a precision of at least least_precision;
-    ties by precision, lower rate, higher threshold. The unconstrained best where none qualifies."""
+    ties by precision, lower rate, higher threshold. The unconstrained best, with the reason, where none qualifies.
+    A threshold between scores, such as 0.5, predicts what the next score does, and the higher one wins the tie."""
     s = score_steps(df, by, score, label).withColumns({"f1": F.round(2 * F.col("cpos") / (F.col("cn") + F.col("all_pos")), 12), "precision": F.round(F.col("cpos") / F.col("cn"), 12), "rate": F.col("cn") / F.col("all_n")})
     ok = s.where((F.col("rate") <= most_rate) & (F.col("precision") >= least_precision))
     top = ok.groupBy(*by).agg(F.max(F.struct("f1", "precision", (-F.col("rate")).alias("r"), "threshold")).alias("m"))
     plain = best_f1(df, by, score, label).withColumnRenamed("threshold", "t0").withColumnRenamed("f1", "f0")
-    return plain.join(top, by, "left").select(*by, F.coalesce("m.threshold", "t0").alias("threshold"), F.coalesce("m.f1", "f0").alias("f1"), F.col("m").isNotNull().alias("constrained"))
+    return plain.join(top, by, "left").select(*by, F.coalesce("m.threshold", "t0").alias("threshold"), F.coalesce("m.f1", "f0").alias("f1"), F.col("m").isNotNull().alias("constrained"), F.when(F.col("m").isNull(), "no_threshold_satisfies_pred_rate_precision").otherwise("").alias("reject_reason"))
 
 
 def ks(df: DataFrame, by: list[str], x: str, is_a: Column) -> DataFrame:
@@ -74,7 +80,10 @@ def ks(df: DataFrame, by: list[str], x: str, is_a: Column) -> DataFrame:
 def psi(df: DataFrame, by: list[str], x: str, is_expected: Column, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """Population stability index over bins cut at the expected rows' quantiles; empty bins count eps."""
     qs = [i / bins for i in range(1, bins)]
-    edges = df.where(is_expected).groupBy(*by).agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(q) for q in qs]))).alias("edges"))
+    e = df.where(is_expected).groupBy(*by).agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(q) for q in qs]))).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    # where quantiles all but coincide, bins of equal width
+    equal = F.array(*[F.col("lo") + q * (F.col("hi") - F.col("lo")) for q in qs])
+    edges = e.select(*by, F.when((F.size("q") < 2) & (F.col("hi") > F.col("lo")), equal).otherwise(F.col("q")).alias("edges"))
     at = df.join(edges, by).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(x))))
     n = at.groupBy(*by, "bin").agg(F.count_if(is_expected).alias("e"), F.count_if(~is_expected).alias("a"))
     grid = edges.select(*by, F.explode(F.sequence(F.lit(0), F.size("edges"))).alias("bin"))

@@ -89,9 +89,9 @@ con AS (SELECT profile, fold, split, threshold, f1 FROM b WHERE rate <= 0.35 AND
 chosen AS (SELECT p.profile, p.fold, p.split, coalesce(c.threshold, p.threshold) AS threshold, coalesce(c.f1, p.f1) AS f1, c.f1 IS NOT NULL AS constrained FROM plain p LEFT JOIN con c USING (profile, fold, split))"""
 
 
-@query("d11_constrained_threshold", P3 + CONSTRAINED + f" SELECT profile, fold, split, threshold, {r('f1', 'f1')}, constrained FROM chosen")
+@query("d11_constrained_threshold", P3 + CONSTRAINED + f" SELECT profile, fold, split, threshold, {r('f1', 'f1')}, constrained, CASE WHEN constrained THEN '' ELSE 'no_threshold_satisfies_pred_rate_precision' END AS reject_reason FROM chosen")
 def _(spark, d):
-    return m.constrained_f1(preds(spark, d, ALL), BY, 0.35, 0.25).select(*BY, "threshold", *rs("f1"), "constrained")
+    return m.constrained_f1(preds(spark, d, ALL), BY, 0.35, 0.25).select(*BY, "threshold", *rs("f1"), "constrained", "reject_reason")
 
 
 TRANSFER = CONSTRAINED + f""", v AS (SELECT profile, fold, threshold, f1 AS val_f1 FROM chosen WHERE split = 'val'),

@@ -253,6 +253,23 @@ def test_calibration_table_has_equal_counts(spark):
     assert [r["n"] for r in got] == [2] * 5 and [r["mean_prob"] for r in got] == pytest.approx([0.5, 0.5, 0.5, 0.9, 0.9])
 
 
+def test_threshold_of_one_class_is_the_median_score(spark):
+    df = predictions(spark, [("ones", 0, i, p, 1, 0.0, 0.0, 0.5, 0.5) for i, p in enumerate((0.1, 0.2, 0.4, 0.9))] + [("zeros", 0, i, p, 0, 0.0, 0.0, 0.5, 0.5) for i, p in enumerate((0.1, 0.3, 0.3))] + [("both", 0, i, p, int(p > 0.5), 0.0, 0.0, 0.5, 0.5) for i, p in enumerate((0.1, 0.6, 0.9))])
+    got = {r["profile"]: (r["threshold"], r["f1"]) for r in metrics.best_f1(df, ["profile"]).collect()}
+    assert got["ones"] == pytest.approx((0.3, 2 / 3)) and got["zeros"] == pytest.approx((0.3, 0.0)) and got["both"] == pytest.approx((0.6, 1.0))
+    con = {r["profile"]: (r["constrained"], r["reject_reason"]) for r in metrics.constrained_f1(df, ["profile"], 0.7, 0.3).collect()}
+    assert con["zeros"] == (False, "no_threshold_satisfies_pred_rate_precision") and con["both"] == (True, "")
+
+
+def test_stability_index_falls_back_to_equal_widths(spark):
+    rows = [("p", 0, i, 0.0 if i % 10 else i / 100, int(i < 60), 0.0, 0.0, 0.5, 0.5) for i in range(120)]
+    got = metrics.psi(predictions(spark, rows), ["profile"], "prob_long", F.col("label") == 1).first()["psi"]
+    e, a = ([r[3] for r in rows if r[4] == y] for y in (1, 0))
+    edges = [max(e) * k / 10 for k in range(1, 10)]
+    share = lambda v: np.maximum(np.bincount(np.searchsorted(edges, v, side="right"), minlength=10) / len(v), 1e-6)
+    assert got == pytest.approx(float(((share(a) - share(e)) * np.log(share(a) / share(e))).sum()))
+
+
 def test_losses_by_hand(spark):
     rows = [("p", 0, i, p, y, r, 0.0, 0.5, 0.5) for i, (p, y, r) in enumerate([(0.8, 1, 1.0), (0.3, 0, 0.0), (0.6, 0, 0.5), (0.9, 1, 2.0)])]
     got = losses.loss_values(predictions(spark, rows), ["profile"], F.lit(0), 0.0, 1.0).first()
