@@ -41,11 +41,13 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def least_and_last(keyed: DataFrame, payload: list[str], close: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
+def least_and_last(keyed: DataFrame, payload: list[str], close: Callable[[list[Column], list[Column]], Column], seed: int | None = None) -> DataFrame:
     """(node, end, and the payload of both as end.*) of close pairs of a row of keyed (key, node, payload) with
-    the least and the last node of its key: two rows at most for every row of keyed."""
-    own = F.struct("node", *payload)
-    ends = keyed.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.node < hi.node")
+    the least and the last node of its key: two rows at most for every row of keyed. With a seed, the order is that
+    of a hash of key and node, so that a node meets other ends under each of its keys."""
+    order = F.lit(0).cast("long") if seed is None else F.xxhash64(F.lit(seed), "key", "node")
+    own = F.struct(order.alias("_o"), "node", *payload)
+    ends = keyed.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.node != hi.node")
     met = keyed.join(ends, "key").select("node", *payload, F.explode(F.array("lo", "hi")).alias("end"))
     return met.where((F.col("node") != F.col("end.node")) & close([F.col(c) for c in payload], [F.col("end")[c] for c in payload]))
 

@@ -155,7 +155,9 @@ def grouped(hashed: DataFrame, distance: int = 4) -> DataFrame:
 #: alike pairs that the anchors may miss.
 WIDE, SMALL, MISS = 256, 16, 1e-5
 #: Keys of more rows than this are searched by what their members have beside a common text.
-DENSE = 64
+DENSE = 128
+#: Members of a large component whose shingles stand for what it has in common.
+HUBS = 8
 #: Node lists up to this size (2 MB of numbers) are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1 << 18
 #: Odd constants of a 64-bit mixer (public domain splitmix64).
@@ -234,48 +236,58 @@ def alike(pairs: DataFrame, texts: DataFrame, likeness: float, words_per_shingle
     return both.mapInArrow(run, pairs.select("a", "b", *extra).schema)
 
 
+def common_texts(groups: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """main, p: the shingles of up to HUBS members of each main component, as one array."""
+    hubs = groups.where("comp = main").groupBy("main", F.pmod(F.xxhash64("node"), F.lit(HUBS)).alias("_h")).agg(F.min("node").alias("node"))
+    lists = hubs.join(texts, "node").groupBy("main").agg(F.collect_list("text").alias("texts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([shingle_hashes(t, words_per_shingle) for t in x.as_py()])).view(np.int64) for x in batch.column("texts")]
+            at = pa.array(np.r_[0, np.cumsum([len(x) for x in sets])], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("main"), pa.ListArray.from_arrays(at, pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], names=["main", "p"])
+
+    return lists.mapInArrow(run, lists.select("main", F.lit(None).cast("array<bigint>").alias("p")).schema)
+
+
 def beside_main(groups: DataFrame, texts: DataFrame, payload: list[str], close, likeness: float, words_per_shingle: int) -> DataFrame:
     """Candidate pairs, as `across` gives them, among the nodes that met one large component (main) in dense keys.
 
-    groups: main, node, comp, payload (n first). P is the text of main's own node. A pair with a likeness of s needs
+    groups: main, node, comp, payload (n first). P is the shingles of a few of main's members, which together have
+    nearly all that the group has in common; what follows is exact for any P. A pair with a likeness of s needs
     s / (1 + s) * (|A| + |B|) common shingles. Order shingles by (is in P, hash): by the prefix filter such a pair
     shares one of the first |A| - ceil(s |A|) + 1 of each. If that one is not in P, both have it among their first
     shingles beside P, and are joined on it. Else they share none beside P, so that each has all the common ones
-    in P, and they are joined on sizes: |B| lies between s |A| and what |A and P| allows, which for a text that is
-    not like P is less than |P|. Edited copies of one text have little in common beside it, so pairs stay few
-    however large the group is."""
+    in P, and they are joined on sizes: |B| lies between s |A| and what |A and P| allows. Edited copies of one text
+    have little in common beside it, so pairs stay few however large the group is."""
     c = likeness / (1 + likeness)
-    known = texts_of(groups.select("node").union(groups.select("main")), texts)
-    whole = groups.join(known, "node").join(known.select(F.col("node").alias("main"), F.col("text").alias("_p")), "main")
+    known = texts_of(groups.select("node"), texts)
+    common = saved(common_texts(groups, known, words_per_shingle), "near-common")
+    whole = groups.join(known, "node").join(common, "main")
     kept = ["main", "node", "comp", *payload]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            common, beside = [], []
-            for main, text, p in zip(batch.column("main").to_pylist(), batch.column("text"), batch.column("_p"), strict=True):
-                if main not in held:
-                    if len(held) > 64:
-                        held.clear()
-                    held[main] = np.unique(shingle_hashes(p.as_py(), words_per_shingle))
+            inside, beside = [], []
+            for text, p in zip(batch.column("text"), batch.column("p"), strict=True):
                 h = np.unique(shingle_hashes(text.as_py(), words_per_shingle))
-                other = np.setdiff1d(h, held[main], assume_unique=True)
-                common.append(len(h) - len(other))
+                other = np.setdiff1d(h, p.values.to_numpy().view(np.uint64), assume_unique=True)
+                inside.append(len(h) - len(other))
                 beside.append(other[: len(h) - int(np.ceil(likeness * len(h) - 1e-9)) + 1].view(np.int64))
             at = pa.array(np.r_[0, np.cumsum([len(x) for x in beside])], pa.int32())
-            flat = pa.array(np.concatenate(beside) if beside else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(common, pa.int64()), pa.ListArray.from_arrays(at, flat)], names=[*kept, "common", "beside"])
+            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *beside]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(inside, pa.int64()), pa.ListArray.from_arrays(at, flat)], names=[*kept, "inside", "beside"])
 
-    form = groups.select(*kept, F.lit(0).cast("long").alias("common"), F.lit(None).cast("array<bigint>").alias("beside")).schema
-    rows = saved(whole.select(*kept, "text", "_p").mapInArrow(run, form), "near-beside")
-    sharing = rows.withColumn("key", F.explode("beside")).withColumn("key", F.xxhash64("main", "key")).drop("beside", "common")
+    form = groups.select(*kept, F.lit(0).cast("long").alias("inside"), F.lit(None).cast("array<bigint>").alias("beside")).schema
+    rows = saved(whole.select(*kept, "text", "p").mapInArrow(run, form), "near-beside")
+    sharing = rows.withColumn("key", F.explode("beside")).withColumn("key", F.xxhash64("main", "key")).drop("beside", "inside")
     by_token = across(sharing, payload, close)
     size = F.col(payload[0])
-    lo, hi = F.ceil(size * likeness - 1e-9), F.floor((F.col("common") + 1e-9) / c - size)
-    a = rows.where("comp != main").where(lo <= hi).withColumn("of", F.explode(F.sequence(lo, hi))).drop("beside")
+    lo, hi = F.ceil(size * likeness - 1e-9), F.floor((F.col("inside") + 1e-9) / c - size)
+    a = rows.where("comp != main").where(lo <= hi).withColumn("of", F.explode(F.sequence(lo, hi)))
     a = a.select(F.col("main").alias("m"), F.col("of"), F.col("node").alias("a"), F.col("comp").alias("comp_a"), *[F.col(x).alias(f"{x}_a") for x in payload])
-    b = rows.select("main", "common", F.col("node").alias("b"), F.col("comp").alias("comp_b"), *[F.col(x).alias(f"{x}_b") for x in payload])
-    enough = F.col("common") + 1e-9 >= (F.col(f"{payload[0]}_a") + F.col(f"{payload[0]}_b")) * c
+    b = rows.select("main", "inside", F.col("node").alias("b"), F.col("comp").alias("comp_b"), *[F.col(x).alias(f"{x}_b") for x in payload])
+    enough = F.col("inside") + 1e-9 >= (F.col(f"{payload[0]}_a") + F.col(f"{payload[0]}_b")) * c
     near = close([F.col(f"{x}_a") for x in payload], [F.col(f"{x}_b") for x in payload])
     by_size = a.join(b, (F.col("m") == F.col("main")) & (F.col("of") == F.col(f"{payload[0]}_b"))).where((F.col("comp_a") != F.col("comp_b")) & enough & near)
     return by_token.unionByName(by_size.select(*by_token.columns))
@@ -352,8 +364,9 @@ def first_of_near_copies(docs: DataFrame, likeness: float = 0.8, words_per_shing
     def keyed(rows: DataFrame) -> DataFrame:
         return rows.where("n > 0").select("*", F.posexplode(F.array(*[f"a{i}" for i in range(n_anchors)])).alias("place", "key"))
 
-    # each vertex and the nearest of its keys' ends
-    met = least_and_last(keyed(vertices).select("key", "node", *payload), payload, close)
+    # each vertex and the nearest of its keys' ends, which differ from key to key: a large group is nearly one
+    # component after this
+    met = least_and_last(keyed(vertices).select("key", "node", *payload), payload, close, seed=0)
     nearest = F.min(F.struct(differing([F.col(c) for c in payload], [F.col("end")[c] for c in payload]).alias("d"), F.col("end.node").alias("end"))).alias("nearest")
     star = met.groupBy("node").agg(nearest).select(F.greatest("node", "nearest.end").alias("a"), F.least("node", "nearest.end").alias("b")).distinct()
     roots = connected_components(alike(star, texts, likeness, words_per_shingle))
@@ -362,7 +375,11 @@ def first_of_near_copies(docs: DataFrame, likeness: float = 0.8, words_per_shing
     # what still lies apart: the nearest pair of two components first, then all pairs of those still apart
     every = keyed(named).select("key", "place", "node", "comp", *payload)
     met = with_main(finer(every.join(mixed_keys(every), "key"), payload[1:], n_anchors))
-    dense = met.where(F.col("size") > DENSE).select("main", "node", "comp", *payload).distinct()
+    # dense keys go by the component that is the largest of all, so that a group has one name in all its keys
+    crowded = met.where(F.col("size") > DENSE).drop("main")
+    weights = named.groupBy("comp").agg(F.count("*").alias("weight"))
+    largest = crowded.select("key", "comp").distinct().join(weights, "comp").groupBy("key").agg(F.max(F.struct("weight", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
+    dense = crowded.join(largest, "key").select("main", "node", "comp", *payload).distinct()
     pairs = across(met.where(F.col("size") <= DENSE), payload, close)
     pairs = pairs.unionByName(beside_main(saved(dense, "near-dense"), texts, payload, close, likeness, words_per_shingle).select(*pairs.columns))
     d = differing([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload])
