@@ -313,7 +313,7 @@ def blends(preds: DataFrame, combos: dict[str, tuple[tuple[str, ...], tuple[floa
         rows = [F.struct(F.lit(n).alias("blend"), F.lit(method).alias("method"), x.alias("x"), F.lit(wt).alias("weight"), F.lit(k).alias("members")) for n, wt, k, weighted in entries for method, x in scores(weighted)]
         parts = F.when(F.col("profile") == p, F.array(*rows)).otherwise(parts)
     each = ranked.withColumn("_b", F.explode(parts)).select("profile", *keys, "_b.*")
-    g = each.groupBy("blend", "method", *keys).agg(F.sum(F.col("x") * F.col("weight")).alias("score"), F.stddev_samp("x").alias("profile_std"), F.min("x").alias("profile_min"), F.max("x").alias("profile_max"), F.count("*").alias("profiles"), F.first("members").alias("_members"))
+    g = each.groupBy("blend", "method", *keys).agg(F.round(F.sum(F.col("x") * F.col("weight")), 12).alias("score"), F.stddev_samp("x").alias("profile_std"), F.min("x").alias("profile_min"), F.max("x").alias("profile_max"), F.count("*").alias("profiles"), F.first("members").alias("_members"))
     return g.where("profiles = _members").drop("_members")
 
 

@@ -15,6 +15,7 @@ from barloom.functions import windows as w
 from barloom.functions.scalars import flag
 from barloom.operators import metrics as m
 from barloom.operators import reports
+from barloom.sources.shared import written
 
 KEYS = ["profile", "fold"]
 
@@ -52,6 +53,8 @@ def summary(preds: DataFrame, targets: Targets = Targets(), worst: int = 5) -> D
 
     The selected threshold counts if its mean F1, precision and prediction rate on test rows are in bounds, else the
     constrained one, with the reasons."""
+    used = [c for c in ("profile", "fold", "split", "row_pos", "ts", "prob_long", "label", "forward_return") if c in preds.columns]
+    preds = written(preds.select(*used), "review-predictions")
     test = preds.where("split = 'test'")
     ic = m.rank_ic(test, KEYS)
     up = F.row_number().over(Window.partitionBy("profile").orderBy("rank_ic", "fold"))

@@ -365,7 +365,7 @@ def blends_sql() -> str:
         total = sum(weights) if weights else len(members)
         weight = "CASE profile " + " ".join(f"WHEN '{p}' THEN {(weights[i] if weights else 1) / total}" for i, p in enumerate(members)) + " END"
         for kind, x in (("prob", "prob_long"), ("rank", "rk")):
-            parts.append(f"SELECT '{name}' AS blend, '{kind}_{'weighted' if weights else 'mean'}' AS method, row_pos, fold, split, sum({x} * {weight}) AS score, stddev_samp({x}) AS sd, min({x}) AS lo, max({x}) AS hi, count(*) AS profiles FROM rk WHERE profile IN ({', '.join(repr(p) for p in members)}) GROUP BY ALL HAVING count(*) = {len(members)}")
+            parts.append(f"SELECT '{name}' AS blend, '{kind}_{'weighted' if weights else 'mean'}' AS method, row_pos, fold, split, round(sum({x} * {weight}), 12) AS score, stddev_samp({x}) AS sd, min({x}) AS lo, max({x}) AS hi, count(*) AS profiles FROM rk WHERE profile IN ({', '.join(repr(p) for p in members)}) GROUP BY ALL HAVING count(*) = {len(members)}")
     return "rk AS (SELECT *, (rank() OVER (PARTITION BY profile, fold, split ORDER BY prob_long) + (count(*) OVER (PARTITION BY profile, fold, split, prob_long) - 1) / 2) / count(*) OVER (PARTITION BY profile, fold, split) AS rk FROM preds), bl AS (" + " UNION ALL ".join(parts) + ")"
 
 
