@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from barloom.functions.scalars import rounded as R
 from barloom.operators import bars as ops
 from barloom.operators import labels, regime, reports, scoring, wavelet
-from barloom.plans.bar_queries import rs
-from barloom.plans.tables import bars, preds
+from barloom.plans.bar_queries import r, rs
+from barloom.plans.tables import bars, bars_cte, preds
 from barloom.streaming.bars import bars_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,10 @@ def _(spark, d):
     return g.select("profile", "timeframe", "family", "features", "rows", *rs("mean_rank_ic_drop", "median_rank_ic_drop", "min_rank_ic_drop", "max_rank_ic_drop", "positive_drop_rate", "total_positive_drop"))
 
 
+#: The stream closes every bar, so it gives the batch's bars.
+SQL["st1_stream_bars"] = f"WITH {bars_cte()} SELECT symbol, ts, open, high, low, close, num_trades, {r('volume', 'volume')}, {r('quote_volume', 'quote_volume')} FROM bars"
+
+
 @query("st1_stream_bars")
 def _(spark, d):
     return bars_once(spark, d, 8).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "num_trades", *rs("volume", "quote_volume"))
