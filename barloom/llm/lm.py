@@ -246,6 +246,7 @@ class Words:
         class_n[:] = slot_n.sum(axis=1)
         w1, w2 = np.zeros((FEATURES, CLASSES), np.float32), np.zeros((SLOT_FEATURES, SLOTS), np.float32)
         w1[0] = np.log((class_n + SMOOTH) / (tokens + SMOOTH * CLASSES))
+        w1[0, np.setdiff1d(np.arange(1, CLASSES), self.classes)] = NONE  # a class that no ending is in has no words
         w2[:CLASSES] = np.log((slot_n + SMOOTH) / (class_n[:, None] + SMOOTH * SLOTS))
         empty = np.arange(SLOTS)[None] >= self.slots_used[:, None]
         empty[:, SLOTS - REST :] = False
