@@ -57,9 +57,31 @@ def encoder(vocabulary: str | None = None):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
+@lru_cache(maxsize=8)
+def slow_encoder(vocabulary: str | None, plain: bool):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    made.encode_special_tokens = plain
+    return made
+
+
+def _ids(text: str, vocabulary: str | None, plain: bool) -> np.ndarray:
+    try:
+        return encoder(vocabulary).encode_to_numpy(text, allowed_special=set() if plain else "all", disallowed_special=())
+    except ValueError:  # its pattern gives up on runs of more than about a million blanks
+        return np.array(slow_encoder(vocabulary, plain).encode(text, add_special_tokens=False).ids, np.uint32)
+
+
+def plain_ids(text: str, vocabulary: str | None = None) -> np.ndarray:
+    """The text's ids; strings of added tokens are plain text."""
+    return _ids(text, vocabulary, True)
+
+
 def token_ids(text: str | None, vocabulary: str | None = None) -> np.ndarray:
     """The text's ids and the end id. The string of an added token in a text is that token, as tokenizers has it."""
-    ids = encoder(vocabulary).encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
+    ids = _ids(text, vocabulary, False) if text else np.zeros(0, np.uint32)
     return np.append(ids, np.uint32(END)).astype("<u4")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import fingerprints, lm, mixing, packing, search, secrets, sharding, simhash, toxicity, warc
+from barloom.llm import align, fingerprints, lm, mixing, packing, search, secrets, sharding, simhash, toxicity, warc
 from barloom.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op10_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_cube_mixing,
         op9_toxicity,
         op10_bottom_k_fingerprints,
+        op11_token_alignment,
     )
 }
 
