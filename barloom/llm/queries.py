@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import align, audit, fingerprints, lm, mixing, packing, search, secrets, sharding, simhash, toxicity, warc
+from barloom.llm import align, audit, fingerprints, licenses, lm, mixing, packing, search, secrets, sharding, simhash, toxicity, warc
 from barloom.llm.common import table
 
 
@@ -69,6 +69,22 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align(table(spark, sf_dir, "documents"))
 
 
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    starts = F.col("base.start")
+    listed = lambda labels: F.array_join(F.array_sort(labels), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        listed(F.array_distinct("base.label")).alias("base_labels"),
+        listed(F.array_union("base.label", "found.label")).alias("labels"),
+        "score",
+    )
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -87,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_toxicity,
         op10_bottom_k_fingerprints,
         op11_token_alignment,
+        op12_license_scan,
         op13_filter_audit,
     )
 }
