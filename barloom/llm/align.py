@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from barloom.llm.common import saved
 from barloom.llm.packing import encoder, plain_ids
 
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Groups with more occurrence pairs than this are reduced to distinct ids before they are multiplied out.
 WIDE = 64
 SPACE = "▁"
@@ -109,8 +109,8 @@ def linked(a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarra
 def digests(models: Tokenizers, a: np.ndarray, b: np.ndarray, first_a: np.ndarray, first_b: np.ndarray, end_a: np.ndarray, end_b: np.ndarray) -> list[str]:
     """SHA-256 of each document's groups as text; empty for documents without tokens. end_a, end_b: the documents' ends."""
     last_a, last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    last_a[np.append(first_a[1:], len(a)) - 1] = True
-    last_b[np.append(first_b[1:], len(b)) - 1] = True
+    last_a[np.append(first_a[1:], len(a))[: len(first_a)] - 1] = True
+    last_b[np.append(first_b[1:], len(b))[: len(first_b)] - 1] = True
     group_a, group_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     shown = np.empty(len(a) + len(b), np.int64)
     ends_a = np.append(first_a[1:], len(a))
