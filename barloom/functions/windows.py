@@ -1,4 +1,4 @@
-"""Row-frame windows over a symbol's bars, ranks and quantile bins.
+"""Row-frame windows over a symbol's bars.
 
 Frames count rows, never time. Rolling values are NULL until the frame holds n non-null values.
 """
@@ -56,20 +56,3 @@ def slope(x: Column, n: int, position: str = "pos", **over) -> Column:
 
 def median(x: Column, n: int, **over) -> Column:
     return full(x, n, F.percentile(x, 0.5).over(last(n, **over)), **over)
-
-
-def quantile_bin(order: list[Column], q: int, by: list[str]) -> Column:
-    """Equal-count bin of the first-come rank: bins are cut at linear quantiles of 1..n, as ntile does not."""
-    r, n = F.row_number().over(W.partitionBy(*by).orderBy(*order)), F.count("*").over(W.partitionBy(*by))
-    bins = F.least(F.lit(q), n)
-    return F.when(n == 1, 0).otherwise(F.greatest(F.ceil((r - 1) * bins / (n - 1)) - 1, F.lit(0))).cast("int")
-
-
-def average_rank(x: str, by: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    return F.rank().over(W.partitionBy(*by).orderBy(x)) + (F.count("*").over(W.partitionBy(*by, x)) - 1) / 2
-
-
-def percent_rank(x: str, by: list[str]) -> Column:
-    """Mean rank over count: in (0, 1], unlike SQL's percent_rank."""
-    return average_rank(x, by) / F.count("*").over(W.partitionBy(*by))

@@ -85,14 +85,6 @@ def renamed(columns: list[str], aliases: dict[str, str]) -> dict[str, str]:
     return out
 
 
-def family(name: str) -> str:
-    base = name.removeprefix("4h_")
-    for key, kind in (("ih15_", "intrahour"), ("fut_", "futures"), ("cvd", "flow"), ("taker", "flow"), ("absorption", "flow"), ("vpt", "size"), ("whale", "size"), ("large_trade", "size"), ("atr", "volatility"), ("vol_", "volatility"), ("realized", "volatility"), ("adx", "trend"), ("close", "price")):
-        if key in base:
-            return kind
-    return "other"
-
-
 def signature(settings: dict) -> str:
     """Hash of settings that does not depend on key order."""
     return hashlib.sha256(json.dumps(json_safe(settings), sort_keys=True, separators=(",", ":")).encode()).hexdigest()

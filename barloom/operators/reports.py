@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions import windows as w
 from barloom.functions.scalars import flag
 from barloom.operators import metrics as m
+from barloom.operators import ranks
 
 
 #: Families of feature names without their timeframe, by the first pattern that matches.
@@ -55,13 +55,12 @@ def threshold_transfer(preds: DataFrame, by: list[str], most_rate: float, least_
     return t.groupBy(*by).agg(F.first("threshold").alias("threshold"), F.first("val_f1").alias("val_f1"), *[x.alias(k) for k, x in m.at_threshold("prob_long", "label", F.col("threshold")).items()])
 
 
-def prior_thresholds(preds: DataFrame, most_rate: float, least_precision: float, alpha: float = 0.35) -> DataFrame:
-    """Each fold's val threshold beside what earlier folds suggest: the last, mean, median and weighted mean."""
-    v = m.constrained_f1(preds.where("split = 'val'"), ["profile", "fold"], most_rate, least_precision).select("profile", "fold", "threshold")
-    o = Window.partitionBy("profile").orderBy("fold")
+def over_prior_folds(thresholds: DataFrame, alpha: float = 0.35) -> DataFrame:
+    """thresholds (profile, fold, threshold) plus what earlier folds suggest: the last, mean, median and weighted mean."""
+    o = Window.partitionBy("profile").orderBy("fold")  # a row a fold
     before = o.rowsBetween(Window.unboundedPreceding, -1)
     seen = F.collect_list("threshold").over(before)
-    return v.withColumns({
+    return thresholds.withColumns({
         "last_threshold": F.lag("threshold").over(o),
         "prior_mean": F.avg("threshold").over(before),
         "prior_median": F.percentile("threshold", 0.5).over(before),
@@ -69,8 +68,14 @@ def prior_thresholds(preds: DataFrame, most_rate: float, least_precision: float,
     }).withColumn("prior_ewm", F.when(F.size("seen") > 0, F.aggregate(F.slice("seen", 2, 1_000_000), F.get("seen", F.lit(0)), lambda a, x: (1 - alpha) * a + alpha * x))).drop("seen")
 
 
+def prior_thresholds(preds: DataFrame, most_rate: float, least_precision: float, alpha: float = 0.35) -> DataFrame:
+    """Each fold's val threshold beside what earlier folds suggest."""
+    v = m.constrained_f1(preds.where("split = 'val'"), ["profile", "fold"], most_rate, least_precision).select("profile", "fold", "threshold")
+    return over_prior_folds(v, alpha)
+
+
 def score_lift(df: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
-    b = df.withColumn("bin", w.quantile_bin([F.col("prob_long"), F.col("row_pos")], bins, by))
+    b = ranks.quantile_bin(df, [F.col("prob_long"), F.col("row_pos")], bins, by)
     g = b.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("label").alias("pos"), F.avg("forward_return").alias("mean_return"))
     whole = Window.partitionBy(*by)
     base = F.sum("pos").over(whole) / F.sum("n").over(whole)
@@ -78,34 +83,48 @@ def score_lift(df: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
 
 
 def score_bands(df: DataFrame, by: list[str], bands: list[tuple[str, int, int]], bins: int = 10) -> DataFrame:
-    """Precision, recall, lift and mean return of every band of quantile bins; a row is in each band that has its bin."""
-    per_bin = df.withColumn("bin", w.quantile_bin([F.col("prob_long"), F.col("row_pos")], bins, by)).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("label").alias("pos"), F.sum("forward_return").alias("ret"), F.count_if(F.col("forward_return") > 0).alias("hits"))
+    """Rows, selection rate, precision, recall, F1, lift and mean return of every band of quantile bins; a row is in each band that has its bin."""
+    per_bin = ranks.quantile_bin(df, [F.col("prob_long"), F.col("row_pos")], bins, by).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("label").alias("pos"), F.sum("forward_return").alias("ret"), F.count("forward_return").alias("rets"), F.count_if(F.col("forward_return") > 0).alias("hits"))
     whole = Window.partitionBy(*by)
     per_bin = per_bin.withColumns({"all_n": F.sum("n").over(whole), "all_pos": F.sum("pos").over(whole)})
     of = F.filter(F.array(*[F.struct(F.lit(n).alias("band"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for n, a, b in bands]), lambda x: (F.col("bin") >= x["lo"]) & (F.col("bin") <= x["hi"]))
-    g = per_bin.withColumn("b", F.explode(of)).groupBy(*by, F.col("b.band").alias("band")).agg(*[F.sum(c).alias(c) for c in ("n", "pos", "ret", "hits")], F.first("all_n").alias("all_n"), F.first("all_pos").alias("all_pos"))
+    g = per_bin.withColumn("b", F.explode(of)).groupBy(*by, F.col("b.band").alias("band")).agg(*[F.sum(c).alias(c) for c in ("n", "pos", "ret", "rets", "hits")], F.first("all_n").alias("all_n"), F.first("all_pos").alias("all_pos"))
     return g.withColumns({
         "precision": F.col("pos") / F.col("n"),
         "recall": F.try_divide(F.col("pos"), F.col("all_pos")),
         "lift": F.try_divide(F.col("pos") / F.col("n"), F.col("all_pos") / F.col("all_n")),
-        "mean_return": F.col("ret") / F.col("n"),
+        "mean_return": F.try_divide(F.col("ret"), F.col("rets")),
         "hit_rate": F.col("hits") / F.col("n"),
+        "selection_rate": F.col("n") / F.col("all_n"),
+        "f1": F.coalesce(F.try_divide(2.0 * F.col("pos"), F.col("n") + F.col("all_pos")), F.lit(0.0)),
     })
 
 
+def band_ic(df: DataFrame, by: list[str], bands: list[tuple[str, int, int]], bins: int = 10) -> DataFrame:
+    """Rank correlation of score and return within each band."""
+    return m.rank_ic(m.bands_of(df, by, bins, bands), [*by, "band"]).select(*by, "band", F.col("rank_ic").alias("rank_ic_within_band"))
+
+
+def lift_by_fold(df: DataFrame, by: list[str], bins: int = 10) -> DataFrame:
+    """The lowest and the highest bin of each fold and the rank correlation of bin and rate, ties at their mean; null where all rates are equal."""
+    b = score_lift(df, by, bins)
+    whole = Window.partitionBy(*by)  # a row a bin
+    rate = F.round("rate", 12)
+    rank = F.rank().over(whole.orderBy(rate)) + (F.count("*").over(Window.partitionBy(*by, rate)) - 1) / 2
+    pick = lambda f, c: f(c, "bin")
+    g = b.withColumn("_rank", rank).groupBy(*by).agg(
+        F.sum("n").alias("n"),
+        *[pick(f, c).alias(f"{name}_{c}") for name, f in (("bottom", F.min_by), ("top", F.max_by)) for c in ("rate", "lift", "mean_return")],
+        F.when(F.min(rate) < F.max(rate), F.corr("bin", "_rank")).alias("rate_spearman"),
+    )
+    return g.withColumns({"rate_spread": F.col("top_rate") - F.col("bottom_rate"), "return_spread": F.col("top_mean_return") - F.col("bottom_mean_return")})
+
+
 def reasons(*pairs: tuple[str, Column]) -> Column:
     """The names of the conditions that hold, joined by semicolons."""
     return F.concat_ws(";", *[F.when(cond, name) for name, cond in pairs])
 
 
-def score_policy(bands: DataFrame, least_rows: int) -> DataFrame:
-    g = bands.groupBy("profile", "band").agg(F.sum("n").alias("n"), F.avg("precision").alias("precision"), F.avg("lift").alias("lift"), F.avg("mean_return").alias("ret"))
-    g = g.withColumn("reject_reason", reasons(("too_few_rows", F.col("n") < least_rows), ("no_lift", F.col("lift") <= 1), ("no_return", F.col("ret") <= 0)))
-    g = g.withColumn("accepted", F.col("reject_reason") == "")
-    order = Window.partitionBy("profile").orderBy(F.desc("accepted"), F.desc(F.round("lift", 9)), F.desc(F.round("precision", 9)), "band")
-    return g.withColumn("policy_rank", F.row_number().over(order))
-
-
 def payoff_alignment(df: DataFrame, by: list[str], bands: list[tuple[str, int, int]]) -> DataFrame:
     b = score_bands(df, by, bands)
     return b.groupBy("profile", "band").agg(F.count("*").alias("folds"), (F.sum("hits") / F.sum("n")).alias("hit_rate"), F.avg("mean_return").alias("mean_return"), F.corr("precision", "mean_return").alias("precision_return_corr"))
@@ -173,7 +192,8 @@ def unpivoted(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
 def feature_ics(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
     """Per key and feature: rank correlation with the return, mean, deviation and count; features unpivoted once."""
     keys = [*by, "feature"]
-    ranked = unpivoted(df, by, features).where("v IS NOT NULL AND forward_return IS NOT NULL").withColumns({"_rx": w.average_rank("v", keys), "_ry": w.average_rank("forward_return", keys)})
+    long = unpivoted(df, by, features).where("v IS NOT NULL AND forward_return IS NOT NULL")
+    ranked = ranks.average_rank(ranks.average_rank(long, keys, "v", "_rx"), keys, "forward_return", "_ry")
     even = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
     return ranked.groupBy(*keys).agg(F.coalesce(F.when(even, F.corr("_rx", "_ry")), F.lit(0.0)).alias("feature_ic"), F.avg("v").alias("mean_v"), F.stddev_pop("v").alias("std_v"), F.count("*").alias("n"))
 
@@ -285,16 +305,6 @@ def feature_audit(df: DataFrame, features: list[str], good_ic: float = 0.10, bad
     return g.join(k, by).withColumn("place", place).where(F.col("place") <= most).drop("std", "ng", "nb")
 
 
-def feature_drift(df: DataFrame, by: list[str], features: list[str]) -> DataFrame:
-    """Suspicion of each fold's features against the first fold: shift of the mean, of the correlation, and its sign."""
-    x = feature_ics(df, by, features)
-    first = lambda c: F.first(c).over(Window.partitionBy("profile", "feature").orderBy("fold"))
-    x = x.withColumns({"m0": first("mean_v"), "s0": first("std_v"), "i0": first("feature_ic")})
-    effect = F.abs(F.try_divide(F.col("mean_v") - F.col("m0"), F.sqrt((F.col("std_v") * F.col("std_v") + F.col("s0") * F.col("s0")) / 2)))
-    score = F.least(effect, F.lit(3.0)) + F.least(F.abs(F.col("feature_ic") - F.col("i0")), F.lit(2.0)) + F.when(F.col("feature_ic") * F.col("i0") < 0, 0.75).otherwise(0.0)
-    return x.withColumn("suspect_score", score)
-
-
 def blends(preds: DataFrame, combos: dict[str, tuple[tuple[str, ...], tuple[float, ...] | None]], keys: list[str], rank_by: list[str]) -> DataFrame:
     """blend, method, keys, score, and the spread of the profiles' scores, for rows that all profiles of a blend have.
 
@@ -306,7 +316,7 @@ def blends(preds: DataFrame, combos: dict[str, tuple[tuple[str, ...], tuple[floa
             raise ValueError(f"{name}: weights must be as many as profiles, not negative, and add up to more than zero")
         for i, p in enumerate(members):
             per_profile.setdefault(p, []).append((name, 1 / len(members) if weights is None else weights[i] / sum(weights), len(members), weights is not None))
-    ranked = preds.where(F.col("profile").isin(*per_profile)).withColumn("_rank", w.percent_rank("prob_long", ["profile", *rank_by]))
+    ranked = ranks.average_rank(preds.where(F.col("profile").isin(*per_profile)), ["profile", *rank_by], "prob_long", "_rank", share=True)
     scores = lambda weighted: [("prob_weighted" if weighted else "prob_mean", F.col("prob_long")), ("rank_weighted" if weighted else "rank_mean", F.col("_rank"))]
     parts: Column = F.lit(None)
     for p, entries in per_profile.items():
@@ -331,23 +341,6 @@ def profile_delta(ic: DataFrame, control: str) -> DataFrame:
     return ic.where(F.col("profile") != control).join(c, "fold").withColumns({"delta": F.col("rank_ic") - F.col("control_ic"), "improved": F.col("rank_ic") > F.col("control_ic")})
 
 
-def gates(ic: DataFrame, control: str) -> DataFrame:
-    g = ic.groupBy("profile").agg(F.avg("rank_ic").alias("mean_ic"), F.stddev_samp("rank_ic").alias("std_ic"), F.avg(flag(F.col("rank_ic") > 0)).alias("pos"))
-    every = Window.partitionBy(F.lit(0))  # one row a profile
-    of = lambda c: F.max(F.when(F.col("profile") == control, F.col(c))).over(every)
-    g = g.withColumns({"_m": of("mean_ic"), "_s": of("std_ic")})
-    why = reasons(("mean_ic_not_above_control", F.col("mean_ic") <= F.col("_m")), ("std_not_below_control", F.col("std_ic") >= F.col("_s")), ("few_positive_folds", F.col("pos") < 0.5))
-    return g.withColumn("reject_reason", why).where(F.col("profile") != control)
-
-
-def fold_stability(ic: DataFrame) -> DataFrame:
-    whole = Window.partitionBy("profile")
-    v = ic.withColumns({"_mu": F.avg("rank_ic").over(whole), "_sd": F.stddev_pop("rank_ic").over(whole)})
-    v = v.withColumns({"z": F.try_divide(F.col("rank_ic") - F.col("_mu"), F.col("_sd")), "_sq": (F.col("rank_ic") - F.col("_mu")) * (F.col("rank_ic") - F.col("_mu"))})
-    issue = F.when(F.col("z") <= -1, "weak").when(F.col("z") >= 1, "strong").when(F.col("rank_ic") < 0, "negative").otherwise("normal")
-    return v.withColumns({"variance_share": F.try_divide(F.col("_sq"), F.sum("_sq").over(whole)), "issue": issue, "driver_rank": F.row_number().over(whole.orderBy(F.desc(F.round("_sq", 12)), "fold"))})
-
-
 def policy_over_windows(preds: DataFrame, windows: list[tuple[str, str, str]], threshold: float) -> DataFrame:
     """A frozen threshold over named closed time windows, which may overlap."""
     of = F.filter(F.array(*[F.struct(F.lit(n).alias("name"), F.expr(f"timestamp_ntz'{a}'").alias("a"), F.expr(f"timestamp_ntz'{b}'").alias("b")) for n, a, b in windows]), lambda x: (F.col("ts") >= x["a"]) & (F.col("ts") <= x["b"]))

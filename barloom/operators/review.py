@@ -11,10 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions import windows as w
 from barloom.functions.scalars import flag
 from barloom.operators import metrics as m
-from barloom.operators import reports
+from barloom.operators import ranks, reports
 from barloom.sources.shared import written
 
 KEYS = ["profile", "fold"]
@@ -32,20 +31,24 @@ class Targets:
     least_precision: float = 0.30
 
 
-def threshold_diagnostics(preds: DataFrame, most_rate: float = 0.70, least_precision: float = 0.30) -> DataFrame:
+def threshold_diagnostics(preds: DataFrame, most_rate: float = 0.70, least_precision: float = 0.30, steps: DataFrame | None = None) -> DataFrame:
     """Per profile and fold: the best and the constrained threshold of the val rows applied to the test rows, beside
-    0.5 and the best that the test rows allow. A fold without val rows takes its thresholds from the test rows."""
-    sided = preds.withColumn("_has_val", F.max(flag(F.col("split") == "val")).over(Window.partitionBy(*KEYS)))
+    0.5 and the best that the test rows allow. A fold without val rows takes its thresholds from the test rows.
+
+    All of it follows from one table of score steps by profile, fold and split, which is made of preds if not given."""
+    steps = steps if steps is not None else written(m.score_steps(preds, [*KEYS, "split"]), "score-steps")
+    sides = steps.groupBy(*KEYS).agg(F.max(flag(F.col("split") == "val")).alias("_has_val"))
+    sided = steps.join(sides, KEYS)
     source = sided.where((F.col("split") == "val") | ((F.col("_has_val") == 0) & (F.col("split") == "test")))
     test = sided.where("split = 'test'")
-    best = m.best_f1(source, KEYS).select(*KEYS, F.col("threshold").alias("selected_threshold"), F.col("f1").alias("source_best_f1"))
-    con = m.constrained_f1(source, KEYS, most_rate, least_precision).select(*KEYS, F.col("threshold").alias("constrained_threshold"), F.col("f1").alias("source_constrained_f1"), F.col("constrained").alias("constraints_satisfied"))
-    oracle = m.best_f1(test, KEYS).select(*KEYS, F.col("threshold").alias("oracle_threshold"), F.col("f1").alias("oracle_f1"))
-    thresholds = best.join(con, KEYS)
-    at = {"selected": F.col("selected_threshold"), "constrained": F.col("constrained_threshold"), "050": F.lit(0.5)}
-    aggs = [m.at_threshold("prob_long", "label", t)[x].alias(f"test_{x}_{name}") for name, t in at.items() for x in ("f1", "precision", "recall", "pred_rate")]
-    g = test.join(thresholds, KEYS).groupBy(*KEYS).agg(F.when(F.max("_has_val") == 1, "val").otherwise("same_split_oracle").alias("threshold_source"), *aggs)
-    return g.join(thresholds, KEYS).join(oracle, KEYS)
+    best = m.best_of(source, KEYS).select(*KEYS, F.col("threshold").alias("selected_threshold"), F.col("f1").alias("source_best_f1"))
+    con = m.constrained_of(source, KEYS, F.lit(most_rate), least_precision).select(*KEYS, F.col("threshold").alias("constrained_threshold"), F.col("f1").alias("source_constrained_f1"), F.col("constrained").alias("constraints_satisfied"))
+    oracle = m.best_of(test, KEYS).select(*KEYS, F.col("threshold").alias("oracle_threshold"), F.col("f1").alias("oracle_f1"))
+    thresholds = written(best.join(con, KEYS).join(oracle, KEYS).join(sides, KEYS), "fold-thresholds")  # a row a fold
+    at = m.at_steps(test, thresholds, KEYS, {"selected": "selected_threshold", "constrained": "constrained_threshold", "050": F.lit(0.5)})
+    kept = [F.col(f"{x}_{name}").alias(f"test_{x}_{name}") for name in ("selected", "constrained", "050") for x in ("f1", "precision", "recall", "pred_rate")]
+    t = at.select(*KEYS, *kept).join(thresholds, KEYS)
+    return t.withColumn("threshold_source", F.when(F.col("_has_val") == 1, "val").otherwise("same_split_oracle")).drop("_has_val")
 
 
 def summary(preds: DataFrame, targets: Targets = Targets(), worst: int = 5) -> DataFrame:
@@ -57,7 +60,7 @@ def summary(preds: DataFrame, targets: Targets = Targets(), worst: int = 5) -> D
     preds = written(preds.select(*used), "review-predictions")
     test = preds.where("split = 'test'")
     ic = m.rank_ic(test, KEYS)
-    up = F.row_number().over(Window.partitionBy("profile").orderBy("rank_ic", "fold"))
+    up = F.row_number().over(Window.partitionBy("profile").orderBy("rank_ic", "fold"))  # a row a fold
     x = F.col("rank_ic")
     folds = ic.withColumn("_up", up).groupBy("profile").agg(F.count("*").alias("folds"), F.avg(x).alias("mean_rank_ic"), F.stddev_pop(x).alias("std_rank_ic"), F.avg(flag(x > 0)).alias("positive_ic_fraction"), F.avg(F.when(F.col("_up") <= worst, x)).alias("worst_rank_ic"))
     t = threshold_diagnostics(preds, targets.most_rate, targets.least_precision)
@@ -65,7 +68,7 @@ def summary(preds: DataFrame, targets: Targets = Targets(), worst: int = 5) -> D
     means = t.groupBy("profile").agg(*[F.avg(c).alias(c) for c in names])
     on, off = F.avg(F.when(F.col("label") == 1, F.col("prob_long"))), F.avg(F.when(F.col("label") == 0, F.col("prob_long")))
     whole = test.groupBy("profile").agg((on - off).alias("separation"), F.avg("label").alias("label_rate"), F.min("ts").alias("data_start"), F.max("ts").alias("data_end"))
-    top = test.withColumn("bin", w.quantile_bin([F.col("prob_long"), F.col("row_pos")], 10, ["profile"])).where("bin = 9").groupBy("profile").agg(F.avg("label").alias("top_rate"))
+    top = ranks.quantile_bin(test, [F.col("prob_long"), F.col("row_pos")], 10, ["profile"]).where("bin = 9").groupBy("profile").agg(F.avg("label").alias("top_rate"))
     s = folds.join(means, "profile").join(whole, "profile").join(top, "profile").withColumn("top_10_lift", F.try_divide(F.col("top_rate"), F.col("label_rate"))).drop("top_rate", "label_rate")
     return guarded(s, targets)
 
@@ -136,7 +139,7 @@ def holdout_evaluation(parts: DataFrame, targets: Targets = Targets()) -> DataFr
     ic = m.rank_ic(held, ["profile"]).select("profile", F.col("rank_ic").alias("holdout_rank_ic"), F.col("n").alias("holdout_rows"))
     at = m.at_threshold("prob_long", "label", F.col("guarded_threshold"))
     g = held.groupBy("profile").agg(*[at[c].alias(f"holdout_{c}") for c in ("f1", "precision", "pred_rate")], F.avg("label").alias("_rate"))
-    top = held.withColumn("bin", w.quantile_bin([F.col("prob_long"), F.col("row_pos")], 10, ["profile"])).where("bin = 9").groupBy("profile").agg(F.avg("label").alias("_top"))
+    top = ranks.quantile_bin(held, [F.col("prob_long"), F.col("row_pos")], 10, ["profile"]).where("bin = 9").groupBy("profile").agg(F.avg("label").alias("_top"))
     e = chosen.join(ic, "profile").join(g, "profile").join(top, "profile").withColumn("holdout_lift", F.try_divide(F.col("_top"), F.col("_rate"))).drop("_rate", "_top")
     signal = reports.reasons(("rank_ic_not_positive", F.col("holdout_rank_ic") <= 0), ("lift_not_above_one", ~(F.col("holdout_lift") > 1)))
     limits = reports.reasons(("f1_below_target", F.col("holdout_f1") <= targets.long_f1), ("precision_below_minimum", F.col("holdout_precision") < targets.least_precision), ("pred_rate_above_guardrail", F.col("holdout_pred_rate") > targets.most_rate))
@@ -144,14 +147,6 @@ def holdout_evaluation(parts: DataFrame, targets: Targets = Targets()) -> DataFr
     return e.withColumn("action", F.when((F.col("signal_reject_reason") == "") & (F.col("threshold_reject_reason") == ""), "review_threshold_and_policy").when(F.col("signal_reject_reason") == "", "review_policy_only").otherwise("keep_control_profile"))
 
 
-def monitor(preds: DataFrame, start: Column, least_rows: int) -> DataFrame:
-    """Months after start: rows, correlation, label rate and mean return; a month with too few rows has no verdict."""
-    later = preds.where(F.col("ts") >= start).withColumn("month", F.date_format("ts", "yyyy-MM"))
-    by = ["profile", "month"]
-    g = m.rank_ic(later, by).join(later.groupBy(*by).agg(F.avg("label").alias("label_rate"), F.avg("forward_return").alias("mean_return")), by)
-    return g.withColumn("status", F.when(F.col("n") < least_rows, "too_few_rows").when(F.col("rank_ic") > 0, "ok").otherwise("watch"))
-
-
 #: (metric, target of Targets, whether it must be above, blocker) in order of priority.
 CHECKS = (
     ("mean_rank_ic", "rank_ic", True, "mean_rank_ic_below_target"),

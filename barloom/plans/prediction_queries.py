@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import scalars as s
-from barloom.functions import windows as w
-from barloom.operators import losses, reports
+from barloom.operators import losses, policies, ranks, reports
 from barloom.operators import metrics as m
 from barloom.operators.asof import asof
 from barloom.plans.bar_queries import r, rs
@@ -114,14 +113,6 @@ def _(spark, d):
     return g.select("profile", "metric", "mean", "std", "min", *[R(F.get("q", F.lit(i))).alias(n) for i, n in enumerate(("p25", "median", "p75"))], "max")
 
 
-@query("d13_threshold_grid", P3 + STEPS + f", b AS (SELECT *, round(2 * cpos / (cn + all_pos), 12) AS f1, cn / all_n AS rate FROM st), g AS (SELECT profile, fold, split, cap, threshold, f1 FROM b, (VALUES (0.1), (0.2), (0.35)) c(cap) WHERE rate <= cap QUALIFY row_number() OVER (PARTITION BY profile, fold, split, cap ORDER BY f1 DESC, threshold DESC) = 1) SELECT profile, fold, split, cap::DOUBLE AS cap, threshold, {r('f1', 'f1')} FROM g")
-def _(spark, d):
-    st = m.score_steps(preds(spark, d, ALL), BY).withColumn("cap", F.explode(F.array(F.lit(0.1), F.lit(0.2), F.lit(0.35))))
-    st = st.where(F.col("cn") / F.col("all_n") <= F.col("cap")).withColumn("f1", F.round(2 * F.col("cpos") / (F.col("cn") + F.col("all_pos")), 12))
-    g = st.groupBy(*BY, "cap").agg(F.max(F.struct("f1", "threshold")).alias("m"))
-    return g.select(*BY, "cap", F.col("m.threshold").alias("threshold"), R(F.col("m.f1")).alias("f1"))
-
-
 @query("a11_regime_confusion", P + f", q AS (SELECT profile, fold, CASE WHEN regime_prob_0 >= greatest(regime_prob_1, regime_prob_2) THEN 0 WHEN regime_prob_1 >= regime_prob_2 THEN 1 ELSE 2 END AS regime, prob_long >= 0.5 AS p, label = 1 AS y FROM preds WHERE split = 'test'), a AS (SELECT profile, fold, regime, {F1} FROM q GROUP BY ALL) SELECT profile, fold, regime, {F1_COLS} FROM a")
 def _(spark, d):
     t = test_rows(spark, d).withColumn("regime", m.dominant("regime_prob_", 3))
@@ -186,7 +177,7 @@ def _(spark, d):
 
 @query("w09_quantile_bins", P3 + BINNED + f" SELECT profile, fold, bin, count(*) AS n, {r('avg(prob_long)', 'mean_prob')}, {r('avg(label)', 'rate')} FROM binned GROUP BY ALL")
 def _(spark, d):
-    b = test_rows(spark, d, ALL).withColumn("bin", w.quantile_bin([F.col("prob_long"), F.col("row_pos")], 10, KEYS))
+    b = ranks.quantile_bin(test_rows(spark, d, ALL), [F.col("prob_long"), F.col("row_pos")], 10, KEYS)
     return b.groupBy(*KEYS, "bin").agg(F.count("*").alias("n"), R(F.avg("prob_long")).alias("mean_prob"), R(F.avg("label")).alias("rate"))
 
 
@@ -205,16 +196,10 @@ def _(spark, d):
     return reports.score_bands(test_rows(spark, d, ALL), KEYS, BAND_LIST).select(*KEYS, "band", "n", *rs("precision", "recall", "lift", "mean_return"))
 
 
-@query("d08_band_summary", P3 + BANDS + f" SELECT profile, band, count(*) AS folds, {r('avg(lift)', 'mean_lift')}, {r('avg(coalesce(lift > 1, false)::INT)', 'lift_above_one')}, {r('avg(coalesce(mean_return > 0, false)::INT)', 'return_positive')}, {r('min(precision)', 'worst_precision')} FROM bs GROUP BY ALL")
+@query("d08_band_summary", P3 + BANDS + f" SELECT profile, band, count(*) AS folds, {r('avg(lift)', 'mean_lift')}, {r('avg(coalesce(round(lift, 12) > 1, false)::INT)', 'lift_above_one')}, {r('avg(coalesce(round(mean_return, 12) > 0, false)::INT)', 'return_positive')}, {r('min(precision)', 'worst_precision')} FROM bs GROUP BY ALL")
 def _(spark, d):
     b = reports.score_bands(test_rows(spark, d, ALL), KEYS, BAND_LIST)
-    return b.groupBy("profile", "band").agg(F.count("*").alias("folds"), R(F.avg("lift")).alias("mean_lift"), R(F.avg(s.flag(F.col("lift") > 1))).alias("lift_above_one"), R(F.avg(s.flag(F.col("mean_return") > 0))).alias("return_positive"), R(F.min("precision")).alias("worst_precision"))
-
-
-@query("d09_score_policy", P3 + BANDS + f""", pol AS (SELECT profile, band, sum(n) AS n, avg(precision) AS precision, avg(lift) AS lift, avg(mean_return) AS ret, count(*) AS folds, concat_ws(';', CASE WHEN sum(n) < 200 THEN 'too_few_rows' END, CASE WHEN avg(lift) <= 1 THEN 'no_lift' END, CASE WHEN avg(mean_return) <= 0 THEN 'no_return' END) AS reject_reason FROM bs GROUP BY ALL)
-SELECT profile, band, n, {r('precision', 'precision')}, {r('lift', 'lift')}, reject_reason, reject_reason = '' AS accepted, row_number() OVER (PARTITION BY profile ORDER BY reject_reason = '' DESC, round(lift, 9) DESC, round(precision, 9) DESC, band) AS policy_rank FROM pol""")
-def _(spark, d):
-    return reports.score_policy(reports.score_bands(test_rows(spark, d, ALL), KEYS, BAND_LIST), 200).select("profile", "band", "n", *rs("precision", "lift"), "reject_reason", "accepted", F.col("policy_rank").cast("long").alias("policy_rank"))
+    return b.groupBy("profile", "band").agg(F.count("*").alias("folds"), R(F.avg("lift")).alias("mean_lift"), R(F.avg(policies.above(F.col("lift"), 1.0))).alias("lift_above_one"), R(F.avg(policies.above(F.col("mean_return"), 0.0))).alias("return_positive"), R(F.min("precision")).alias("worst_precision"))
 
 
 FT = RANKS + STEPS + """, ap AS (SELECT profile, fold, CASE WHEN max(all_pos) = max(all_n) THEN 0 ELSE sum(pos / all_pos * cpos / cn) END AS prauc FROM st WHERE all_pos > 0 AND split = 'test' GROUP BY ALL),
@@ -353,7 +338,7 @@ def _(spark, d):
 
 @query("w11_percent_rank", P3 + f" SELECT profile, row_pos, {r('(rank() OVER (PARTITION BY profile, fold, split ORDER BY prob_long) + (count(*) OVER (PARTITION BY profile, fold, split, prob_long) - 1) / 2) / count(*) OVER (PARTITION BY profile, fold, split)', 'pct')} FROM preds")
 def _(spark, d):
-    return preds(spark, d, ALL).select("profile", "row_pos", R(w.percent_rank("prob_long", BY)).alias("pct"))
+    return ranks.average_rank(preds(spark, d, ALL), BY, "prob_long", "pct", share=True).select("profile", "row_pos", *rs("pct"))
 
 
 BLENDS = reports.all_blends(list(ALL), {"tilted": (0.5, 0.3, 0.2)})
@@ -380,37 +365,17 @@ def _(spark, d):
     return reports.profile_delta(m.rank_ic(test_rows(spark, d, ALL), KEYS), "control").select(*KEYS, *rs("rank_ic", "control_ic", "delta"), "improved")
 
 
-@query("e04_gates", P3 + RANKS + f", g AS (SELECT profile, avg(rank_ic) AS mean_ic, stddev_samp(rank_ic) AS std_ic, avg((rank_ic > 0)::INT) AS pos FROM ic GROUP BY profile), j AS (SELECT g.*, c.mean_ic AS cm, c.std_ic AS cs FROM g, g c WHERE c.profile = 'control') SELECT profile, {r('mean_ic', 'mean_ic')}, {r('std_ic', 'std_ic')}, concat_ws(';', CASE WHEN mean_ic <= cm THEN 'mean_ic_not_above_control' END, CASE WHEN std_ic >= cs THEN 'std_not_below_control' END, CASE WHEN pos < 0.5 THEN 'few_positive_folds' END) AS reject_reason FROM j WHERE profile <> 'control'")
-def _(spark, d):
-    return reports.gates(m.rank_ic(test_rows(spark, d, ALL), KEYS), "control").select("profile", *rs("mean_ic", "std_ic"), "reject_reason")
-
-
 @query("e08_seed_stability", P3 + RANKS + f" SELECT fold, count(*) AS seeds, {r('avg(rank_ic)', 'mean_ic')}, {r('stddev_samp(rank_ic)', 'std_ic')}, {r('min(rank_ic)', 'min_ic')}, {r('max(rank_ic)', 'max_ic')} FROM ic GROUP BY fold")
 def _(spark, d):
     ic = m.rank_ic(test_rows(spark, d, ALL), KEYS)
     return ic.groupBy("fold").agg(F.count("*").alias("seeds"), R(F.avg("rank_ic")).alias("mean_ic"), R(F.stddev_samp("rank_ic")).alias("std_ic"), R(F.min("rank_ic")).alias("min_ic"), R(F.max("rank_ic")).alias("max_ic"))
 
 
-@query("e10_fold_stability", P3 + RANKS + f", v AS (SELECT profile, fold, rank_ic, avg(rank_ic) OVER p AS mu, stddev_pop(rank_ic) OVER p AS sd FROM ic WINDOW p AS (PARTITION BY profile)), u AS (SELECT *, (rank_ic - mu) / nullif(sd, 0) AS zz, (rank_ic - mu) * (rank_ic - mu) AS sq FROM v) SELECT profile, fold, {r('zz', 'z')}, {r('sq / sum(sq) OVER (PARTITION BY profile)', 'variance_share')}, CASE WHEN zz <= -1 THEN 'weak' WHEN zz >= 1 THEN 'strong' WHEN rank_ic < 0 THEN 'negative' ELSE 'normal' END AS issue, row_number() OVER (PARTITION BY profile ORDER BY round(sq, 12) DESC, fold) AS driver_rank FROM u")
-def _(spark, d):
-    f = reports.fold_stability(m.rank_ic(test_rows(spark, d, ALL), KEYS))
-    return f.select(*KEYS, *rs("z", "variance_share"), "issue", F.col("driver_rank").cast("long").alias("driver_rank"))
-
-
 @query("a19_prior_folds", P3 + TRANSFER + f" SELECT profile, fold, threshold, lag(threshold) OVER (PARTITION BY profile ORDER BY fold) AS last_threshold, {r('avg(threshold) OVER (PARTITION BY profile ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)', 'prior_mean')}, {r('quantile_cont(threshold, 0.5) OVER (PARTITION BY profile ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)', 'prior_median')}, {r('list_reduce(list(threshold) OVER (PARTITION BY profile ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lambda a, v: 0.65 * a + 0.35 * v)', 'prior_ewm')} FROM v")
 def _(spark, d):
     return reports.prior_thresholds(preds(spark, d, ALL), 0.35, 0.25).select(*KEYS, "threshold", "last_threshold", *rs("prior_mean", "prior_median", "prior_ewm"))
 
 
-@query("e16_leave_one_out_shift", P + f", t AS (SELECT * FROM preds WHERE split = 'test'), f AS (SELECT fold, count(*) AS n, avg(prob_long) AS mp FROM t GROUP BY fold), o AS (SELECT a.fold, sum(b.mp * b.n) / sum(b.n) AS other FROM f a JOIN f b ON a.fold <> b.fold GROUP BY a.fold) SELECT f.fold, {r('mp', 'mean_prob')}, {r('other', 'reference_mean')}, {r('mp - other', 'shift')} FROM f JOIN o USING (fold)")
-def _(spark, d):
-    # against all other folds: totals less the fold's own, no self join
-    f = test_rows(spark, d).groupBy("fold").agg(F.count("*").alias("n"), F.sum("prob_long").alias("sum"))
-    every = Window.partitionBy(F.lit(0))
-    other = (F.sum("sum").over(every) - F.col("sum")) / F.nullif(F.sum("n").over(every) - F.col("n"), F.lit(0))
-    return f.select("fold", R(F.col("sum") / F.col("n")).alias("mean_prob"), R(other).alias("reference_mean"), R(F.col("sum") / F.col("n") - other).alias("shift"))
-
-
 @query("e13_score_separation", P3 + f", v AS (SELECT profile, fold, prob_long AS x, count(*) FILTER (label = 1) AS a, count(*) FILTER (label = 0) AS b FROM preds WHERE split = 'test' GROUP BY ALL), g AS (SELECT profile, fold, abs(sum(a) OVER u / sum(a) OVER (PARTITION BY profile, fold) - sum(b) OVER u / sum(b) OVER (PARTITION BY profile, fold)) AS gap FROM v WINDOW u AS (PARTITION BY profile, fold ORDER BY x ROWS UNBOUNDED PRECEDING)), k AS (SELECT profile, fold, max(gap) AS ks FROM g GROUP BY ALL), q AS (SELECT profile, fold, avg(prob_long) FILTER (label = 1) - avg(prob_long) FILTER (label = 0) AS mean_gap, quantile_cont(prob_long, 0.5) FILTER (label = 1) - quantile_cont(prob_long, 0.5) FILTER (label = 0) AS median_gap FROM preds WHERE split = 'test' GROUP BY ALL) SELECT profile, fold, {r('ks', 'ks')}, {r('mean_gap', 'mean_gap')}, {r('median_gap', 'median_gap')} FROM k JOIN q USING (profile, fold)")
 def _(spark, d):
     t = test_rows(spark, d, ALL)
@@ -419,27 +384,6 @@ def _(spark, d):
     return m.ks(t, KEYS, "prob_long", F.col("label") == 1).join(g, KEYS).select(*KEYS, *rs("ks", "mean_gap", "median_gap"))
 
 
-@query("e12_regime_thresholds", P + f", q AS (SELECT *, CASE WHEN regime_prob_0 >= greatest(regime_prob_1, regime_prob_2) THEN 0 WHEN regime_prob_1 >= regime_prob_2 THEN 1 ELSE 2 END AS regime FROM preds WHERE split = 'val'), s0 AS (SELECT fold, regime, prob_long AS threshold, count(*) AS n, sum(label) AS pos FROM q GROUP BY ALL), st AS (SELECT *, sum(n) OVER u AS cn, sum(pos) OVER u AS cpos, sum(pos) OVER (PARTITION BY fold, regime) AS all_pos FROM s0 WINDOW u AS (PARTITION BY fold, regime ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING)) SELECT fold, regime, threshold, {r('round(2 * cpos / (cn + all_pos), 12)', 'f1')} FROM st QUALIFY row_number() OVER (PARTITION BY fold, regime ORDER BY round(2 * cpos / (cn + all_pos), 12) DESC, threshold) = 1")
-def _(spark, d):
-    v = preds(spark, d).where("split = 'val'").withColumn("regime", m.dominant("regime_prob_", 3))
-    return m.best_f1(v, ["fold", "regime"]).select("fold", "regime", "threshold", *rs("f1"))
-
-
-@query("e14_feature_drift", P + FORENSICS + f", x AS (SELECT profile, feature, fold, mean_v, std_v, feature_ic, first_value(mean_v) OVER o AS m0, first_value(std_v) OVER o AS s0, first_value(feature_ic) OVER o AS i0 FROM fi WINDOW o AS (PARTITION BY profile, feature ORDER BY fold)) SELECT profile, feature, fold, {r('least(abs((mean_v - m0) / nullif(sqrt((std_v * std_v + s0 * s0) / 2), 0)), 3) + least(abs(feature_ic - i0), 2) + CASE WHEN feature_ic * i0 < 0 THEN 0.75 ELSE 0 END', 'suspect_score')} FROM x")
-def _(spark, d):
-    return reports.feature_drift(test_rows(spark, d), KEYS, FEATURES).select("profile", "feature", "fold", *rs("suspect_score"))
-
-
-@query("e17_reliability_gates", P3 + RANKS + f", v AS (SELECT profile, fold, avg(label) AS rate, stddev_pop(prob_long) AS sp FROM preds WHERE split = 'val' GROUP BY ALL), g(gate, least_sp) AS (VALUES ('loose', 0.1), ('strict', 0.288)) SELECT profile, gate, count(*) AS folds, count(*) FILTER (sp >= least_sp) AS kept, {r('avg(rank_ic) FILTER (sp >= least_sp)', 'kept_ic')}, {r('avg(rank_ic)', 'all_ic')} FROM ic JOIN v USING (profile, fold), g GROUP BY ALL")
-def _(spark, d):
-    p = preds(spark, d, ALL)
-    v = p.where("split = 'val'").groupBy(*KEYS).agg(F.stddev_pop("prob_long").alias("sp"))
-    gate = F.explode(F.array(F.struct(F.lit("loose").alias("gate"), F.lit(0.1).alias("least")), F.struct(F.lit("strict").alias("gate"), F.lit(0.288).alias("least"))))
-    j = m.rank_ic(p.where("split = 'test'"), KEYS).join(v, KEYS).withColumn("g", gate)
-    ok = F.col("sp") >= F.col("g.least")
-    return j.groupBy("profile", F.col("g.gate").alias("gate")).agg(F.count("*").alias("folds"), F.count_if(ok).alias("kept"), R(F.avg(F.when(ok, F.col("rank_ic")))).alias("kept_ic"), R(F.avg("rank_ic")).alias("all_ic"))
-
-
 @query("e18_payoff_alignment", P3 + BANDS + f", h AS (SELECT profile, band, avg((forward_return > 0)::INT) AS hit FROM binned JOIN bands ON bin BETWEEN lo AND hi GROUP BY ALL), g AS (SELECT profile, band, corr(precision, mean_return) AS c, avg(mean_return) AS mr, count(*) AS folds FROM bs GROUP BY ALL) SELECT profile, band, folds, {r('hit', 'hit_rate')}, {r('mr', 'mean_return')}, {r('c', 'precision_return_corr')} FROM g JOIN h USING (profile, band)")
 def _(spark, d):
     return reports.payoff_alignment(test_rows(spark, d, ALL), KEYS, BAND_LIST).select("profile", "band", "folds", *rs("hit_rate", "mean_return", "precision_return_corr"))
@@ -451,11 +395,16 @@ def _(spark, d):
     return reports.policy_over_windows(preds(spark, d, ALL), windows, 0.7).select("profile", "window_name", "n", *rs("precision", "mean_return"))
 
 
-@query("j12_missing_profiles", "WITH want(profile, fold) AS (SELECT p, f FROM (VALUES ('control'), ('alpha'), ('gamma')) a(p), range(3) b(f)) SELECT profile, fold::INT AS fold FROM want WHERE profile NOT IN ('control', 'alpha', 'beta')")
+@query("j12_missing_profiles", P3 + """, want AS (SELECT DISTINCT profile, fold FROM (SELECT unnest(['control', 'alpha', 'beta']) AS profile), (SELECT DISTINCT fold FROM preds)),
+strong AS (SELECT DISTINCT profile, fold FROM preds WHERE split = 'test' AND label = 1 AND prob_long > 0.999)
+SELECT profile, fold, 'missing' AS side FROM want ANTI JOIN strong USING (profile, fold) UNION ALL SELECT profile, fold, 'there' FROM want SEMI JOIN strong USING (profile, fold)""")
 def _(spark, d):
-    want = spark.range(3).select(F.explode(F.array(F.lit("control"), F.lit("alpha"), F.lit("gamma"))).alias("profile"), F.col("id").cast("int").alias("fold"))
-    done = preds(spark, d, ALL).select("profile").distinct()
-    return want.join(done, "profile", "left_anti").select("profile", "fold")
+    """Folds of each profile with and without a surely right call: anti and semi join."""
+    p = preds(spark, d, ALL)
+    want = p.select("fold").distinct().withColumn("profile", F.explode(F.array(*map(F.lit, ALL))))
+    strong = p.where("split = 'test' AND label = 1 AND prob_long > 0.999").select("profile", "fold").distinct()
+    sides = [want.join(strong, KEYS, how).withColumn("side", F.lit(name)) for how, name in (("left_anti", "missing"), ("left_semi", "there"))]
+    return sides[0].unionByName(sides[1]).select("profile", "fold", "side")
 
 
 @query("a05_mode_counts", P + ", q AS (SELECT fold, CASE WHEN prob_long >= 0.5 AND label = 0 THEN 'false_long' WHEN prob_long < 0.5 AND label = 1 THEN 'missed' ELSE 'right' END AS issue, count(*) AS n FROM preds WHERE split = 'test' GROUP BY ALL) SELECT fold, (list(issue ORDER BY n DESC, issue))[1] AS mode, sum(n)::BIGINT AS n FROM q GROUP BY fold")

@@ -159,11 +159,6 @@ def _(spark, d):
     return e.select("profile", "holdout_rows", "signal_reject_reason", "threshold_reject_reason", "action", *rs("cv_rank_ic", "cv_f1", "guarded_threshold", "holdout_rank_ic", "holdout_lift", "holdout_f1", "holdout_precision", "holdout_pred_rate"))
 
 
-@query("e21_monitor", P3 + f", m AS (SELECT *, strftime(ts, '%Y-%m') AS month FROM preds WHERE ts >= TIMESTAMP '{START}'), k AS (SELECT *, rank() OVER (PARTITION BY profile, month ORDER BY prob_long) + (count(*) OVER (PARTITION BY profile, month, prob_long) - 1) / 2 AS rx, rank() OVER (PARTITION BY profile, month ORDER BY forward_return) + (count(*) OVER (PARTITION BY profile, month, forward_return) - 1) / 2 AS ry FROM m), g AS (SELECT profile, month, count(*) AS n, CASE WHEN count(*) >= 3 THEN coalesce(corr(rx, ry), 0) ELSE 0 END AS rank_ic, avg(label) AS label_rate, avg(forward_return) AS mean_return FROM k GROUP BY ALL) SELECT profile, month, n, CASE WHEN n < 30 THEN 'too_few_rows' WHEN rank_ic > 0 THEN 'ok' ELSE 'watch' END AS status, {r('rank_ic', 'rank_ic')}, {r('label_rate', 'label_rate')}, {r('mean_return', 'mean_return')} FROM g")
-def _(spark, d):
-    return review.monitor(preds(spark, d, ALL), held_from(), 30).select("profile", "month", "n", "status", *rs("rank_ic", "label_rate", "mean_return"))
-
-
 def gap_sql() -> str:
     parts = []
     for i, (metric, name, above, blocker) in enumerate(review.CHECKS):
