@@ -32,7 +32,10 @@ HEX = re.compile(r"[0-9a-f]+")
 #: Runs shorter than 24 can only fail, and a longer run is one match either way.
 HEX_LONG = re.compile(r"[0-9a-f]{24,}")
 #: Weak parts, reported only in company.
-ENDPOINT = re.compile(r"\b(?:https?|s3|gs|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}|\b[a-z0-9-]+(?:\.[a-z0-9-]+)*\.amazonaws\.com\b", re.ASCII)
+URL = re.compile(r"\b(?:https?|s3|gs|jdbc|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{4,}", re.ASCII)
+#: Host names are whole chains of labels, found before it is asked whether they are of the cloud's domain: linear in any text.
+HOST, CLOUD = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)*", re.ASCII), ".amazonaws.com"
+EDGE, LABEL = re.compile(r"\b", re.ASCII), re.compile(r"\b[a-z0-9-]", re.ASCII)
 USER = re.compile(r"""\b(?:user(?:name)?|login|client_id|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.IGNORECASE | re.ASCII)
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[a-z])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 KINDS = ["assign", "access", "hex", "endpoint", "user", "bare"]
@@ -42,6 +45,25 @@ SCOPE = 400
 PARTS = "array<struct<kind:int,start:int,end:int>>"
 
 
+def endpoints(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of URLs and of cloud host names, leftmost first, that don't overlap."""
+    found = [m.span() for m in URL.finditer(text)]
+    if CLOUD in text:
+        for m in HOST.finditer(text):
+            start, end = m.span()
+            at = text.rfind(CLOUD, start + 1, end)
+            while at > start and not EDGE.match(text, at + len(CLOUD)):  # the domain's last letter ends a word
+                at = text.rfind(CLOUD, start + 1, at + len(CLOUD) - 1)
+            first = LABEL.search(text, start, at) if at > start else None
+            if first:
+                found.append((first.start(), at + len(CLOUD)))
+    last = 0
+    for start, end in sorted(found):
+        if start >= last:
+            yield start, end
+            last = end
+
+
 def base_parts(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the contract's three kinds, by start, then kind; code points, end exclusive."""
     found = [(0, *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -54,13 +76,13 @@ def weak_parts(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     """Weak parts that overlap no strong part and no weak one of an earlier kind."""
     taken = bytearray()
     out = []
-    for kind, pattern in ((3, ENDPOINT), (4, USER), (5, BARE)):
-        for m in pattern.finditer(text):
+    spans = lambda pattern: (m.span() for m in pattern.finditer(text))
+    for kind, own in ((3, endpoints(text)), (4, spans(USER)), (5, spans(BARE))):
+        for s, e in own:
             if not taken:
                 taken = bytearray(len(text))
-                for _, s, e in base:
-                    taken[s:e] = b"\1" * (e - s)
-            s, e = m.span()
+                for _, a, b in base:
+                    taken[a:b] = b"\1" * (b - a)
             if not any(taken[s:e]):
                 out.append((kind, s, e))
                 taken[s:e] = b"\1" * (e - s)

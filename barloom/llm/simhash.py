@@ -155,9 +155,11 @@ def grouped(hashed: DataFrame, distance: int = 4) -> DataFrame:
 #: alike pairs that the anchors may miss.
 WIDE, SMALL, MISS = 256, 16, 1e-5
 #: Keys of more rows than this are searched by what their members have beside a common text.
-DENSE = 128
+DENSE = 32
 #: Members of a large component whose shingles stand for what it has in common.
 HUBS = 8
+#: Members of a large component that what lies outside it is first compared with.
+PIVOTS = 64
 #: Node lists up to this size (2 MB of numbers) are broadcast; longer ones are joined by shuffle.
 BROADCAST_ROWS = 1 << 18
 #: Odd constants of a 64-bit mixer (public domain splitmix64).
@@ -250,47 +252,70 @@ def common_texts(groups: DataFrame, texts: DataFrame, words_per_shingle: int) ->
     return lists.mapInArrow(run, lists.select("main", F.lit(None).cast("array<bigint>").alias("p")).schema)
 
 
-def beside_main(groups: DataFrame, texts: DataFrame, payload: list[str], close, likeness: float, words_per_shingle: int) -> DataFrame:
-    """Candidate pairs, as `across` gives them, among the nodes that met one large component (main) in dense keys.
+def beside_main(groups: DataFrame, texts: DataFrame, payload: list[str], likeness: float, words_per_shingle: int) -> DataFrame:
+    """groups (main, node, comp, payload with n first) plus what its nodes have in common with main, and beside it.
 
-    groups: main, node, comp, payload (n first). P is the shingles of a few of main's members, which together have
-    nearly all that the group has in common; what follows is exact for any P. A pair with a likeness of s needs
-    s / (1 + s) * (|A| + |B|) common shingles. Order shingles by (is in P, hash): by the prefix filter such a pair
-    shares one of the first |A| - ceil(s |A|) + 1 of each. If that one is not in P, both have it among their first
-    shingles beside P, and are joined on it. Else they share none beside P, so that each has all the common ones
-    in P, and they are joined on sizes: |B| lies between s |A| and what |A and P| allows. Edited copies of one text
-    have little in common beside it, so pairs stay few however large the group is."""
-    c = likeness / (1 + likeness)
+    P is the shingles of a few of main's members, which together have nearly all that the group has in common; what
+    is made of these columns is exact for any P. inside: how many of the node's shingles are in P; bits: which, as a
+    bitmap over P; beside: its first shingles outside P, so many that two nodes with a likeness of s that share none
+    of them have all their common shingles in P (prefix filter with the shingles outside P first)."""
     known = texts_of(groups.select("node"), texts)
     common = saved(common_texts(groups, known, words_per_shingle), "near-common")
     whole = groups.join(known, "node").join(common, "main")
     kept = ["main", "node", "comp", *payload]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda arrays: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in arrays])], pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
         for batch in batches:
-            inside, beside = [], []
+            inside, beside, maps = [], [], []
             for text, p in zip(batch.column("text"), batch.column("p"), strict=True):
-                h = np.unique(shingle_hashes(text.as_py(), words_per_shingle))
-                other = np.setdiff1d(h, p.values.to_numpy().view(np.uint64), assume_unique=True)
+                h, p = np.unique(shingle_hashes(text.as_py(), words_per_shingle)), np.sort(p.values.to_numpy().view(np.uint64))
+                both = np.isin(p, h, assume_unique=True)
+                other = np.setdiff1d(h, p, assume_unique=True)
                 inside.append(len(h) - len(other))
                 beside.append(other[: len(h) - int(np.ceil(likeness * len(h) - 1e-9)) + 1].view(np.int64))
-            at = pa.array(np.r_[0, np.cumsum([len(x) for x in beside])], pa.int32())
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *beside]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(inside, pa.int64()), pa.ListArray.from_arrays(at, flat)], names=[*kept, "inside", "beside"])
-
-    form = groups.select(*kept, F.lit(0).cast("long").alias("inside"), F.lit(None).cast("array<bigint>").alias("beside")).schema
-    rows = saved(whole.select(*kept, "text", "p").mapInArrow(run, form), "near-beside")
-    sharing = rows.withColumn("key", F.explode("beside")).withColumn("key", F.xxhash64("main", "key")).drop("beside", "inside")
-    by_token = across(sharing, payload, close)
-    size = F.col(payload[0])
-    lo, hi = F.ceil(size * likeness - 1e-9), F.floor((F.col("inside") + 1e-9) / c - size)
-    a = rows.where("comp != main").where(lo <= hi).withColumn("of", F.explode(F.sequence(lo, hi)))
-    a = a.select(F.col("main").alias("m"), F.col("of"), F.col("node").alias("a"), F.col("comp").alias("comp_a"), *[F.col(x).alias(f"{x}_a") for x in payload])
-    b = rows.select("main", "inside", F.col("node").alias("b"), F.col("comp").alias("comp_b"), *[F.col(x).alias(f"{x}_b") for x in payload])
-    enough = F.col("inside") + 1e-9 >= (F.col(f"{payload[0]}_a") + F.col(f"{payload[0]}_b")) * c
-    near = close([F.col(f"{x}_a") for x in payload], [F.col(f"{x}_b") for x in payload])
-    by_size = a.join(b, (F.col("m") == F.col("main")) & (F.col("of") == F.col(f"{payload[0]}_b"))).where((F.col("comp_a") != F.col("comp_b")) & enough & near)
-    return by_token.unionByName(by_size.select(*by_token.columns))
+                maps.append(np.packbits(np.pad(both, (0, -len(p) % 64)), bitorder="little").view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(inside, pa.int64()), lists(beside), lists(maps)], names=[*kept, "inside", "beside", "bits"])
+
+    form = groups.select(*kept, F.lit(0).cast("long").alias("inside"), *[F.lit(None).cast("array<bigint>").alias(x) for x in ("beside", "bits")]).schema
+    return saved(whole.select(*kept, "text", "p").mapInArrow(run, form), "near-beside")
+
+
+def in_common(rows: DataFrame, partners: DataFrame, payload: list[str], likeness: float) -> DataFrame:
+    """Pairs (a, b, comp_a, comp_b, payload of both) of rows and partners (both as `beside_main` gives them) of one main and
+    different components whose common shingles in P are alone enough for the likeness: linked for sure.
+
+    A pair with a likeness of s has s / (1 + s) * (|A| + |B|) common shingles or more. The join is on size buckets, a
+    power of 1 / s wide, each row meeting its own and the neighbours."""
+    n = F.col(payload[0])
+    bucket = F.floor(F.log(1 / likeness, n.cast("double")) + 1e-9)
+    able = F.col("inside") + 1e-9 >= n * likeness  # else too few for any partner
+    side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), F.col("inside").alias(f"inside_{x}"), F.col("bits").alias(f"bits_{x}"), *[F.col(y).alias(f"{y}_{x}") for y in payload]]
+    a = rows.where(able).select(F.col("main").alias("of"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("of_bucket"), *side("a"))
+    b = partners.where(able).select("main", bucket.alias("bucket"), *side("b"))
+    needed = (F.col(f"{payload[0]}_a") + F.col(f"{payload[0]}_b")) * (likeness / (1 + likeness)) - 1e-9
+    shared = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x)
+    once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
+    meets = (F.col("of") == F.col("main")) & (F.col("of_bucket") == F.col("bucket")) & (F.col("comp_a") != F.col("comp_b")) & once
+    met = a.join(b, meets & (F.least("inside_a", "inside_b") >= needed) & (shared >= needed))
+    return met.drop("of", "of_bucket", "main", "bucket", "inside_a", "inside_b", "bits_a", "bits_b")
+
+
+def to_pivots(rows: DataFrame, payload: list[str], likeness: float) -> DataFrame:
+    """Links (comp_a, comp_b) of rows outside their main component with up to PIVOTS of its members: nearly all that
+    belongs to a large group joins it here, for a few comparisons a row."""
+    members = rows.where("comp = main")
+    chosen = members.groupBy("main", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(PIVOTS)).alias("_h")).agg(F.min("node").alias("node")).drop("_h")
+    pivots = members.join(chosen, ["main", "node"]).select(*rows.columns)
+    return in_common(rows.where("comp != main"), pivots, payload, likeness).select("comp_a", "comp_b").distinct()
+
+
+def renamed(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
+    """df with the components in columns replaced by their roots (node, root)."""
+    for c in columns:
+        new = roots.select(F.col("node").alias(c), F.col("root").alias("_root"))
+        df = df.join(new, c, "left").withColumn(c, F.coalesce("_root", c)).drop("_root")
+    return df
 
 
 def finer(rows: DataFrame, words: list[str], anchors: int) -> DataFrame:
@@ -379,9 +404,18 @@ def first_of_near_copies(docs: DataFrame, likeness: float = 0.8, words_per_shing
     crowded = met.where(F.col("size") > DENSE).drop("main")
     weights = named.groupBy("comp").agg(F.count("*").alias("weight"))
     largest = crowded.select("key", "comp").distinct().join(weights, "comp").groupBy("key").agg(F.max(F.struct("weight", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    dense = crowded.join(largest, "key").select("main", "node", "comp", *payload).distinct()
-    pairs = across(met.where(F.col("size") <= DENSE), payload, close)
-    pairs = pairs.unionByName(beside_main(saved(dense, "near-dense"), texts, payload, close, likeness, words_per_shingle).select(*pairs.columns))
+    dense = saved(crowded.join(largest, "key").select("main", "node", "comp", *payload).distinct(), "near-dense")
+    beside = beside_main(dense, texts, payload, likeness, words_per_shingle)
+    # what is of a large group joins it first; only what is left is compared with all of it
+    roots = saved(connected_components(to_pivots(beside, payload, likeness).toDF("a", "b")), "near-roots")
+    named = saved(renamed(named, roots, "comp"), "near-renamed")
+    beside = saved(renamed(beside, roots, "comp", "main"), "near-beside-renamed")
+    sparse = with_main(renamed(met.where(F.col("size") <= DENSE).drop("main"), roots, "comp"))
+    by_token = beside.withColumn("key", F.explode("beside")).withColumn("key", F.xxhash64("main", "key")).drop("beside", "inside", "bits")
+    in_p = in_common(beside.where("comp != main"), beside, payload, likeness)
+    pairs = across(sparse, payload, close)
+    for more in (across(by_token, payload, close), in_p):
+        pairs = pairs.unionByName(more.select(*pairs.columns))
     d = differing([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload])
     swap = F.col("comp_a") < F.col("comp_b")
     turned = [F.when(swap, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("comp_a", "comp_b"), ("comp_b", "comp_a"))]

@@ -41,11 +41,11 @@ CODE[[i for i in range(1 << 16) if chr(i).isalpha()]] = 1
 CODE[[ord(c) for c in LETTERS]] = np.arange(2, A)
 LETTER = {c: i + 2 for i, c in enumerate(LETTERS)}
 
-NOISY = re.compile(r"(.)\1\1|[^\W\d_][\W_]+[^\W\d_]|[^\W_]*[\d@$!|+(€£¡][^\W_]*")
+NOISY = re.compile(r"(.)\1\1|[^\W\d_][\W_]+[^\W\d_]|[\d@$!|+(€£¡]")
 TRIPLE = re.compile(r"(.)\1\1")
 #: Marks around a word, and what is put after words as ornament.
 AROUND = ".,;:?\"'()[]{}<>&%#*~^`_-"
-ORNAMENT = re.compile(r"(?:!+|([@$|+])\1{2,})$")
+ORNAMENT = re.compile(r"(?:(?<!!)!+|(?<!@)@{3,}|(?<!\$)\${3,}|(?<!\|)\|{3,}|(?<!\+)\+{3,})$")
 SPACED = re.compile(r"(?<!\S)[\w@$!](?:[ .\-_*][\w@$!]){2,}(?!\S)")
 #: What marks a token as put together from spaced-out symbols.
 RUN = " "
