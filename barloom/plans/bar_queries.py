@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import scalars as s
 from barloom.functions import windows as w
 from barloom.operators import bars as ops
-from barloom.operators import labels
+from barloom.operators import chunks, labels, ranks
 from barloom.operators.asof import asof
 from barloom.operators.ewm import adx, with_ewm
 from barloom.plans.tables import bars, bars_cte, ticks
@@ -377,10 +377,12 @@ def _(spark, d):
     return u.groupBy("symbol", "ts").agg(F.max_by("close", "src").alias("close"), F.count("*").alias("n"))
 
 
-@query("s10_months_and_days", "SELECT strftime(d, '%Y-%m') AS month, d::DATE AS day FROM (SELECT unnest(generate_series(DATE '2024-01-15', DATE '2024-04-10', INTERVAL 1 DAY)) AS d)")
+@query("s10_months_and_days", "WITH e AS (SELECT 'S' || (user_id % 8) AS symbol, min(ts)::DATE AS lo, max(ts)::DATE AS hi FROM events GROUP BY ALL), d AS (SELECT symbol, unnest(generate_series(lo::TIMESTAMP, hi::TIMESTAMP, INTERVAL 1 DAY)) AS d FROM e) SELECT symbol, strftime(d, '%Y-%m') AS month, d::DATE AS day FROM d")
 def _(spark, d):
-    days = spark.range(1).select(F.explode(F.expr("sequence(date'2024-01-15', date'2024-04-10', interval 1 day)")).alias("day"))
-    return days.select(F.date_format("day", "yyyy-MM").alias("month"), "day")
+    """The months and days that each symbol's ticks span: what an archive must hold of it."""
+    span = ticks(spark, d).groupBy("symbol").agg(F.min("ts").cast("date").alias("lo"), F.max("ts").cast("date").alias("hi"))
+    days = span.select("symbol", F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("day"))
+    return days.select("symbol", F.date_format("day", "yyyy-MM").alias("month"), "day")
 
 
 @query("s01_klines_typed", f"{B} SELECT symbol, ts, open, high, low, close, num_trades FROM bars")
@@ -399,3 +401,52 @@ def _(spark, d):
 
     t = ticks(spark, d).select("symbol", ops.bucket("ts", 3600).alias("ts"), F.col("price").alias("sum_open_interest"), "tick")
     return keep_first(t, ["symbol", "ts"], ["tick"]).select("symbol", "ts", "sum_open_interest")
+
+
+# --- the same in chunks of a few days, so that a symbol is spread over tasks; their SQL is that of the whole history ------
+
+
+def in_chunks_of(name: str, like: str):
+    SQL[name] = SQL[like]
+    return query(name)
+
+
+def price_chunks(spark, d):
+    return chunks.in_chunks(bars(spark, d), ops.price_features, before=40, rows=48)
+
+
+def flow_chunks(spark, d, build=ops.flow_features, before=48, rows=48):
+    return chunks.in_chunks(bars(spark, d), build, before, rows=rows, running={"cvd_cumulative": 2 * F.col("taker_buy_base_vol") - F.col("volume")})
+
+
+@in_chunks_of("x04_price_features_in_chunks", "x04_price_features")
+def _(spark, d):
+    return price_chunks(spark, d).select("symbol", "ts", *rs("log_return", "true_range", "realized_vol_14", "gk_vol_14", "atr_14", "atr_14_pct", "vwap_dist_atr"))
+
+
+@in_chunks_of("x09_flow_features_in_chunks", "x09_flow_features")
+def _(spark, d):
+    return flow_chunks(spark, d).select("symbol", "ts", *rs("taker_buy_ratio", "true_cvd_zscore", "vpt_zscore", "cvd_cumulative_rate"), "whale_buy_flag", "whale_sell_flag", *rs("large_trade_ratio"))
+
+
+@in_chunks_of("w03_mid_rank_in_chunks", "w03_mid_rank")
+def _(spark, d):
+    return chunks.in_chunks(bars(spark, d), lambda b: b.withColumn("rank_24", w.mid_rank(F.col("close"), 24)), 23, rows=36).select("symbol", "ts", *rs("rank_24"))
+
+
+@in_chunks_of("w07_lag_lead_in_chunks", "w07_lag_lead")
+def _(spark, d):
+    o = w.ordered()
+    moves = lambda b: b.withColumns({"before": F.lag("close").over(o), "ahead_3": F.lead("close", 3).over(o)})
+    return chunks.in_chunks(bars(spark, d), moves, 1, 3, rows=24).select("symbol", "ts", "before", "ahead_3", R(F.col("close") - F.col("before")).alias("diff"))
+
+
+@in_chunks_of("w08_cumulative_sum_in_chunks", "w08_cumulative_sum")
+def _(spark, d):
+    b = bars(spark, d).withColumn("cvd", 2 * F.col("taker_buy_base_vol") - F.col("volume"))
+    return ranks.cumulative(b, ["symbol"], [F.col("ts")], {"cvd_cumulative": "cvd"}, ranges=8).select("symbol", "ts", *rs("cvd_cumulative"))
+
+
+@in_chunks_of("w10_ewm_in_chunks", "w10_ewm")
+def _(spark, d):
+    return with_ewm(bars(spark, d), {"ema_14": ("close", 2 / 15, 14)}, chunk_seconds=2 * 86400).select("symbol", "ts", *rs("ema_14"))

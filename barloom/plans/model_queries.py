@@ -34,10 +34,19 @@ def _(spark, d):
 @query("m06_hmm_filter")
 def _(spark, d):
     p = ops.price_features(ops.flow_features(bars(spark, d)))
-    f = regime.with_regimes(p.select("symbol", "ts", "log_return", "gk_vol_14"), ["log_return", "gk_vol_14"], 200)
+    f = regime.with_regimes(p.select("symbol", "ts", "log_return", "gk_vol_14"), ["log_return", "gk_vol_14"], 200, chunk_seconds=7 * 86400)
     return f.select("symbol", "ts", *rs("regime_prob_0", "regime_prob_1", "regime_prob_2"))
 
 
+@query("m07_online_state_weights")
+def _(spark, d):
+    """Online weights of the filtered regimes, with states restored that starve (M7)."""
+    p = ops.price_features(ops.flow_features(bars(spark, d)))
+    f = regime.with_regimes(p.select("symbol", "ts", "log_return", "gk_vol_14"), ["log_return", "gk_vol_14"], 200)
+    w = regime.online_weights(f.drop("log_return", "gk_vol_14"), 3)
+    return w.select("symbol", "ts", *rs("state_weight_0", "state_weight_1", "state_weight_2"), "bars_since_start", "restored")
+
+
 @query("m12_walk_forward_scores")
 def _(spark, d):
     b = labels.triple_barrier(labels.forward_return(ops.price_features(bars(spark, d))), "atr_14")

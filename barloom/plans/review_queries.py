@@ -214,7 +214,7 @@ def _(spark, d):
     return sided.select("profile", "fold", *rs("rank_ic"), F.when(F.col("best") <= 2, "best").otherwise("worst").alias("side"))
 
 
-@query("m07_online_statistics", f"WITH {bars_cte()}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars) SELECT symbol, ts, n, {r('avg(close) OVER o', 'mean_so_far')}, {r('stddev_pop(close) OVER o', 'std_so_far')}, {r('(close - avg(close) OVER o) / nullif(stddev_pop(close) OVER o, 0)', 'z_so_far')} FROM b WINDOW o AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)")
+@query("w08_expanding_statistics", f"WITH {bars_cte()}, b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM bars) SELECT symbol, ts, n, {r('avg(close) OVER o', 'mean_so_far')}, {r('stddev_pop(close) OVER o', 'std_so_far')}, {r('(close - avg(close) OVER o) / nullif(stddev_pop(close) OVER o, 0)', 'z_so_far')} FROM b WINDOW o AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)")
 def _(spark, d):
     o = w.ordered().rowsBetween(w.W.unboundedPreceding, 0)
     mean, sd = F.avg("close").over(o), F.stddev_pop("close").over(o)

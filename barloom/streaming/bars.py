@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barloom.operators.regime import Hmm, densities
+from barloom.operators.regime import Hmm, Weights, forward_filter, online_step
 from barloom.sources.shared import shared_dir
 
 
@@ -31,19 +31,47 @@ def stream_filter(rows: DataFrame, h: Hmm, columns: list[str]) -> DataFrame:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         a = np.array(state.get[0]) if state.exists else None
         pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        b = np.maximum(densities(h, np.nan_to_num(pdf[columns].to_numpy(float))), 1e-300)
-        out = np.empty((len(pdf), k))
-        for t in range(len(pdf)):
-            a = (h.start if a is None else a @ h.move) * b[t]
-            a = a / a.sum()
-            out[t] = a
-        state.update((a.tolist(),))
+        out = forward_filter(h, np.nan_to_num(pdf[columns].to_numpy(float)), a)
+        state.update((out[-1].tolist(),))
         yield pd.DataFrame({"symbol": key[0], "ts": pdf["ts"].to_numpy(), **{f"regime_prob_{i}": out[:, i] for i in range(k)}})
 
     schema = "symbol string, ts timestamp, " + ", ".join(f"regime_prob_{i} double" for i in range(k))
     return rows.groupBy("symbol").applyInPandasWithState(run, schema, "a array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_weights(rows: DataFrame, states: int, limits: Weights = Weights()) -> DataFrame:
+    """Online state weights over a stream of regime probabilities (symbol, ts, regime_prob_0..): `regime.online_weights` with
+    the weights of a symbol kept between batches. Rows of a batch are put in order of time."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = state.get[0] if state.exists else [1.0] * states + [0.0]
+        n, seen = np.array(held[:states]), int(held[states])
+        pdf = pd.concat(list(batches)).sort_values("ts", kind="stable")
+        weights, counts, restored = np.empty((len(pdf), states)), [], []
+        for t, gamma in enumerate(pdf[[f"regime_prob_{i}" for i in range(states)]].to_numpy(float)):
+            n, own = online_step(n, gamma, limits)
+            seen += 1
+            weights[t] = n
+            counts.append(seen)
+            restored.append(",".join(map(str, own)))
+        state.update(([*n.tolist(), float(seen)],))
+        yield pd.DataFrame({"symbol": key[0], "ts": pdf["ts"].to_numpy(), **{f"state_weight_{i}": weights[:, i] for i in range(states)}, "bars_since_start": counts, "restored": restored})
+
+    schema = "symbol string, ts timestamp, " + ", ".join(f"state_weight_{i} double" for i in range(states)) + ", bars_since_start long, restored string"
+    return rows.groupBy("symbol").applyInPandasWithState(run, schema, "a array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def late_ticks(ticks: DataFrame, bars: DataFrame, interval: str = "1 hour") -> DataFrame:
+    """Ticks that a stream's bars don't hold because they came behind the watermark: those whose bar is not there, or has
+    not counted them. ticks and bars are tables (what was read, what was written): symbol, ts, tick; symbol, ts, num_trades.
+
+    Returned per bar: symbol, ts, late (how many), and the whole bar's own count, so that bars and late ticks together are
+    the batch table."""
+    whole = ticks.groupBy("symbol", F.window("ts", interval)["start"].alias("ts")).agg(F.count("*").alias("all_trades"))
+    met = whole.join(bars.select("symbol", "ts", F.col("num_trades").alias("counted")), ["symbol", "ts"], "left")
+    return met.select("symbol", "ts", (F.col("all_trades") - F.coalesce("counted", F.lit(0))).alias("late"), "all_trades").where("late > 0")
+
+
 #: Later than any tick: moves the watermark past the last windows once all ticks are read.
 CLOSING = "2500-01-01 00:00:00"
 
