@@ -1,23 +1,21 @@
-"""Walk-forward model scores behind one interface, and permutation importance.
+"""Walk-forward model scores, seeds, and permutation importance.
 
-A scorer is any MLlib classifier; each fold fits the scaler and the model on its train rows
-and scores val and test rows. The neural scorer of the original pipelines needs packages that
-are not here; an MLlib classifier on the same features stands in.
+Each fold fits the scaler and a logistic regression on its train rows and scores val and test rows; all folds, and
+all seeds of them, are one fit (`logistic`). The neural scorer of the original pipelines needs packages that are
+not here; a regression on the same features stands in.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import flag
+from barloom.operators import logistic
 from barloom.operators import metrics as m
 from barloom.operators.labels import Folds, with_folds
 from barloom.operators.reports import family, timeframe
+from barloom.sources.shared import written
 
 
 def robust_scaled(df: DataFrame, train: DataFrame, columns: list[str], by: str = "fold") -> DataFrame:
@@ -28,28 +26,39 @@ def robust_scaled(df: DataFrame, train: DataFrame, columns: list[str], by: str =
     return df.join(q, by, "left").withColumns({c: F.coalesce((F.col(c) - at(c, 1)) / span(c), F.lit(0.0)) for c in columns}).drop(*[f"_q_{c}" for c in columns])
 
 
-def walk_forward_scores(rows: DataFrame, folds: Folds, columns: list[str], label: str = "label", model: LogisticRegression | None = None, seed: int = 0) -> DataFrame:
-    """rows (with pos) of every fold's val and test ranges plus fold, split and prob_long. Rows are placed and scaled
-    once for all folds; a fold without both classes in training scores 0.5."""
+def walk_forward_scores(rows: DataFrame, folds: Folds, columns: list[str], label: str = "label", ridge: float = 0.01) -> DataFrame:
+    """rows (with pos) of every fold's val and test ranges plus fold, split and prob_long: logistic regressions of all folds
+    in one fit. Rows are placed and scaled once for all folds; a fold without both classes in training scores 0.5."""
     placed = with_folds(rows, folds)
-    scaled = robust_scaled(placed, placed.where("role = 'train'"), columns)
-    vector = VectorAssembler(inputCols=columns, outputCol="_x").transform(scaled).persist(StorageLevel.MEMORY_AND_DISK)
-    classes = vector.where("role = 'train'").groupBy("fold").agg(F.countDistinct(label).alias("n"))
-    # one row a fold, and one model
-    known = {r["fold"]: r["n"] for r in vector.select("fold").distinct().join(classes, "fold", "left").collect()}
-    out = None
-    for fold in sorted(known):
-        mine = vector.where(F.col("fold") == fold)
-        if (known[fold] or 0) < 2:
-            part = mine.where("role <> 'train'").withColumn("prob_long", F.lit(0.5))
-        else:
-            fitted = (model or LogisticRegression(maxIter=20, regParam=0.01)).copy().setFeaturesCol("_x").setLabelCol(label).fit(mine.where("role = 'train'"))
-            part = fitted.transform(mine.where("role <> 'train'")).withColumn("prob_long", F.element_at(vector_to_array("probability"), 2))
-        part = part.select(*[c for c in rows.columns if c not in columns], "fold", F.col("role").alias("split"), "prob_long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = placed.select(*[c for c in rows.columns if c not in columns], "fold", F.col("role").alias("split"), F.lit(0.5).alias("prob_long")).where("split <> 'train'")
-    return out
+    scaled = written(robust_scaled(placed, placed.where("role = 'train'"), columns), "scaled-rows")
+    models = logistic.fit(scaled.where("role = 'train'"), ["fold"], columns, label, ridge=ridge).select("fold", "beta")  # a row a fold
+    out = scaled.where("role <> 'train'").join(models, "fold", "left")
+    prob = F.coalesce(logistic.probability(columns), F.lit(0.5))
+    return out.select(*[c for c in rows.columns if c not in columns], "fold", F.col("role").alias("split"), prob.alias("prob_long"))
+
+
+def seed_scores(rows: DataFrame, folds: Folds, columns: list[str], seeds: int, key: list[str], label: str = "label", ridge: float = 0.01) -> DataFrame:
+    """walk_forward_scores of several seeds: each fits on a bootstrap of a fold's train rows, weights being Poisson numbers
+    of a hash of the row's key and the seed, so that reruns agree. All folds and seeds are one fit."""
+    placed = with_folds(rows, folds)
+    scaled = written(robust_scaled(placed, placed.where("role = 'train'"), columns), "scaled-rows")
+    each = F.explode(F.array(*[F.lit(s) for s in range(seeds)]))
+    train = scaled.where("role = 'train'").withColumn("seed", each).withColumn("_times", logistic.poisson(key, F.col("seed"))).where("_times > 0")
+    models = logistic.fit(train, ["fold", "seed"], columns, label, "_times", ridge).select("fold", "seed", "beta")
+    out = scaled.where("role <> 'train'").withColumn("seed", each).join(models, ["fold", "seed"], "left")
+    prob = F.coalesce(logistic.probability(columns), F.lit(0.5))
+    return out.select(*[c for c in rows.columns if c not in columns], "fold", "seed", F.col("role").alias("split"), prob.alias("prob_long"))
+
+
+def seed_audit(scores: DataFrame, key: list[str], returns: str) -> DataFrame:
+    """Per fold: correlations of its seeds on test rows (mean, sample deviation, extremes) beside that of their mean score."""
+    test = scores.where("split = 'test'")
+    each = m.rank_ic(test, ["fold", "seed"], "prob_long", returns)
+    g = each.groupBy("fold").agg(F.count("*").alias("seeds"), F.avg("rank_ic").alias("mean_ic"), F.stddev_samp("rank_ic").alias("std_ic"), F.min("rank_ic").alias("min_ic"), F.max("rank_ic").alias("max_ic"))
+    mean = test.groupBy(*key, "fold").agg(F.avg("prob_long").alias("prob_long"), F.first(returns).alias(returns), F.stddev_samp("prob_long").alias("_spread"))
+    spread = mean.groupBy("fold").agg(F.avg("_spread").alias("mean_seed_spread"))
+    whole = m.rank_ic(mean, ["fold"], "prob_long", returns).select("fold", F.col("rank_ic").alias("ensemble_ic"))
+    return g.join(whole, "fold").join(spread, "fold")
 
 
 def permutation_importance(df: DataFrame, score, columns: list, by: list[str], repeats: int = 2, target: str = "forward_return", seed: int = 0) -> DataFrame:

@@ -47,11 +47,26 @@ def _(spark, d):
     return w.select("symbol", "ts", *rs("state_weight_0", "state_weight_1", "state_weight_2"), "bars_since_start", "restored")
 
 
+MODEL_COLUMNS = ["log_return", "gk_vol_14", "vwap_dist_atr", "atr_14_pct"]
+MODEL_FOLDS = labels.Folds(200, 60, 60, 120)
+
+
+def model_rows(spark, d):
+    b = labels.triple_barrier(labels.forward_return(ops.price_features(bars(spark, d))), "atr_14")
+    return b.select("symbol", "ts", "pos", "label", "fwd_return_10h", *MODEL_COLUMNS).na.drop(subset=["vwap_dist_atr"])
+
+
+@query("e08_seed_audit")
+def _(spark, d):
+    """Five bootstrap seeds of every fold's model, and the ensemble of them (M13, E8)."""
+    s = scoring.seed_scores(model_rows(spark, d), MODEL_FOLDS, MODEL_COLUMNS, 5, ["symbol", "ts"])
+    a = scoring.seed_audit(s, ["symbol", "ts"], "fwd_return_10h")
+    return a.select("fold", "seeds", *rs("mean_ic", "std_ic", "min_ic", "max_ic", "ensemble_ic", "mean_seed_spread"))
+
+
 @query("m12_walk_forward_scores")
 def _(spark, d):
-    b = labels.triple_barrier(labels.forward_return(ops.price_features(bars(spark, d))), "atr_14")
-    rows = b.select("symbol", "ts", "pos", "label", "fwd_return_10h", "log_return", "gk_vol_14", "vwap_dist_atr", "atr_14_pct").na.drop(subset=["vwap_dist_atr"])
-    s = scoring.walk_forward_scores(rows, labels.Folds(200, 60, 60, 120), ["log_return", "gk_vol_14", "vwap_dist_atr", "atr_14_pct"])
+    s = scoring.walk_forward_scores(model_rows(spark, d), MODEL_FOLDS, MODEL_COLUMNS)
     return s.select("symbol", "ts", "fold", "split", "label", *rs("prob_long"))
 
 
