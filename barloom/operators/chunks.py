@@ -8,7 +8,6 @@ guests (`in_chunks`). No task holds a key's whole history.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.operators import ranks
-from barloom.sources.shared import shared_dir
+from barloom.sources.shared import written
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 CHUNK_SECONDS = 365 * 86400
@@ -45,12 +44,8 @@ def carried(
 
     line: a chunk's values, in time order, to its line; moved: the state that leaves a chunk, from the one that
     enters it (None at first) and the chunk's line; filled: a chunk's outputs from its values and that state."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     chunk = F.floor(F.expr(f"timestampdiff(SECOND, {EPOCH}, cast(`{time}` as timestamp_ntz))") / chunk_seconds).cast("long")
-    cut = df.withColumn("_chunk", chunk)
-    cut.write.parquet(path)  # read twice
-    cut = spark.read.schema(cut.schema).parquet(path)
+    cut = written(df.withColumn("_chunk", chunk), "chunks")  # read twice
     numbers = pa.list_(pa.float64())
 
     def values(table: pa.Table) -> Values:

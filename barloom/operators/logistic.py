@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.sources.shared import written
+from barloom.sources.shared import removed, written
 
 #: The longest Newton step of a coefficient, in deviations of its feature.
 LONGEST = 5.0
@@ -71,7 +71,8 @@ def fit(train: DataFrame, by: list[str], columns: list[str], label: str = "label
         mu = 1 / (1 + F.exp(-z))
         met = met.withColumn("r", w * (y - mu)).withColumn("v", w * mu * (1 - mu))
         sums = met.groupBy(*by).agg(F.sum(w).alias("n"), *[F.sum(F.col("r") * c).alias(f"g{i}") for i, c in enumerate(x)], *[F.sum(F.col("v") * x[i] * x[j]).alias(f"h{k}") for k, (i, j) in enumerate(pairs)])
-        state = written(state.drop("step").join(sums, by).mapInArrow(solve, schema), "logistic-state")
+        before, state = state, written(state.drop("step").join(sums, by).mapInArrow(solve, schema), "logistic-state")
+        removed(before)
         far = state.agg(F.max("step")).first()[0]  # one number
         if far is None or far < tolerance:
             break

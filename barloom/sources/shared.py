@@ -1,7 +1,13 @@
-"""The folder that the driver and all executors see."""
+"""The folder that the driver and all executors see, and the tables that jobs keep there for a while.
+
+All tables of an application are in one folder of its own, which goes when the driver's Python ends or `release` is
+called; a table that a later one replaces can go at once (`removed`).
+"""
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +23,43 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_scratch: dict[str, str] = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    name = spark.sparkContext.applicationId
+    if name not in _scratch:
+        _scratch[name] = f"{shared_dir(spark)}/barloom-{name}-{uuid.uuid4().hex[:8]}"
+        atexit.register(release, spark)
+    return _scratch[name]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables of this application. What still reads them can't be run after that."""
+    with contextlib.suppress(Exception):  # the session may be gone
+        path = _scratch.pop(spark.sparkContext.applicationId, None)
+        if path:
+            _delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, for what is read several times."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """df as a table in the shared folder: it is read several times, and lineage ends at what outlives any executor."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Remove the table that `written` gave as df, once a later one has replaced it."""
+    files = df.inputFiles()
+    folder = files[0].rpartition("/")[0] if files else ""
+    own = scratch(df.sparkSession).rpartition("/")[2]
+    if f"/{own}/" in folder:
+        _delete(df.sparkSession, folder)

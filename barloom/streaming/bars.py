@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.operators.regime import Hmm, Weights, forward_filter, online_step
-from barloom.sources.shared import shared_dir
+from barloom.sources.shared import scratch
 
 
 def stream_bars(ticks: DataFrame, interval: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -81,7 +81,7 @@ def bars_once(spark: SparkSession, sf_dir: str, symbols: int) -> DataFrame:
 
     A closing tick without a symbol comes in with the events; its own window stays open, and what other windows
     hold is written by the file sink, so nothing passes through the driver."""
-    path, folder = f"{sf_dir}/events.parquet", f"{shared_dir(spark)}/stream-bars-{uuid.uuid4().hex}"
+    path, folder = f"{sf_dir}/events.parquet", f"{scratch(spark)}/stream-bars-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     closing = spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.lit(CLOSING).cast(f.dataType).alias("ts") for f in schema])
     closing.write.parquet(f"{folder}/closing")
