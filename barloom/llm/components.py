@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import saved
+from barloom.sources.shared import removed
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +38,8 @@ def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == before or now[0] == 0:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
-        edges = saved(_star(_star(edges, large=True), large=False), "cc")
+        earlier, edges = edges, saved(_star(_star(edges, large=True), large=False), "cc")
+        removed(earlier)
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 

@@ -29,7 +29,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import shared_dir
+from barloom.sources.shared import scratch
 
 WARC_DATE = datetime(2020, 1, 1, tzinfo=timezone.utc)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -261,6 +261,6 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
 
 def archived(pages: DataFrame) -> DataFrame:
     """Write pages to an archive in the shared folder and read its records back."""
-    folder = f"{shared_dir(pages.sparkSession)}/barloom/warc-{uuid.uuid4().hex}"
+    folder = f"{scratch(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write(pages, folder)
     return read(pages.sparkSession, folder)

@@ -450,7 +450,7 @@ def test_sketches_merge_across_parts(spark):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(ORACLES[name])
     names = sorted(c[0] for c in cur.description)
