@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import rounded as R
 from barloom.operators import bars as ops
-from barloom.operators import labels, regime, reports, scoring, wavelet
+from barloom.operators import baumwelch, labels, regime, reports, scoring, wavelet
 from barloom.plans.bar_queries import r, rs
 from barloom.plans.tables import bars, bars_cte, preds
+from barloom.sources.shared import written
 from barloom.streaming.bars import bars_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,10 @@ def query(name: str):
     return add
 
 
+MODEL_COLUMNS = ["log_return", "gk_vol_14", "vwap_dist_atr", "atr_14_pct"]
+MODEL_FOLDS = labels.Folds(200, 60, 60, 120)
+
+
 @query("ud3_wavelet_denoise")
 def _(spark, d):
     return wavelet.with_denoised(bars(spark, d), "close").select("symbol", "ts", *rs("close", "close_denoised"))
@@ -38,6 +43,17 @@ def _(spark, d):
     return f.select("symbol", "ts", *rs("regime_prob_0", "regime_prob_1", "regime_prob_2"))
 
 
+@query("m05_regimes_by_fold")
+def _(spark, d):
+    """A model for each symbol and fold, from all its train rows; val and test rows filtered under it, each afresh (M5, M6)."""
+    p = ops.price_features(ops.flow_features(bars(spark, d)))
+    placed = labels.with_folds(p.select("symbol", "ts", "pos", "log_return", "gk_vol_14"), MODEL_FOLDS).withColumn("key", F.concat_ws(":", "symbol", "fold"))
+    models = written(baumwelch.fit_by_key(placed.where("role = 'train'"), ["log_return", "gk_vol_14"], 3, 3, key="key", chunk_seconds=7 * 86400), "fold-models")
+    rows = placed.where("role <> 'train'").join(models, "key").withColumn("part", F.concat_ws(":", "key", "role"))
+    f = regime.filtered(rows, "model", ["log_return", "gk_vol_14"], 3, key="part", chunk_seconds=7 * 86400)
+    return f.select("symbol", "fold", "role", "ts", *rs("regime_prob_0", "regime_prob_1", "regime_prob_2"))
+
+
 @query("m07_online_state_weights")
 def _(spark, d):
     """Online weights of the filtered regimes, with states restored that starve (M7)."""
@@ -47,10 +63,6 @@ def _(spark, d):
     return w.select("symbol", "ts", *rs("state_weight_0", "state_weight_1", "state_weight_2"), "bars_since_start", "restored")
 
 
-MODEL_COLUMNS = ["log_return", "gk_vol_14", "vwap_dist_atr", "atr_14_pct"]
-MODEL_FOLDS = labels.Folds(200, 60, 60, 120)
-
-
 def model_rows(spark, d):
     b = labels.triple_barrier(labels.forward_return(ops.price_features(bars(spark, d))), "atr_14")
     return b.select("symbol", "ts", "pos", "label", "fwd_return_10h", *MODEL_COLUMNS).na.drop(subset=["vwap_dist_atr"])

@@ -240,3 +240,17 @@ def test_late_ticks_and_bars_are_the_whole(spark):
     bars = spark.createDataFrame([("a", START, 2), ("a", START + dt.timedelta(hours=1), 1)], "symbol string, ts timestamp, num_trades long")
     late = {(r["ts"] - START).total_seconds() / 3600: (r["late"], r["all_trades"]) for r in late_ticks(ticks, bars).collect()}
     assert late == {1.0: (2, 3), 2.0: (1, 1)}
+
+
+@pytest.mark.parametrize("seconds", [50_000, 10**9])
+def test_baum_welch_over_chunks_is_the_fit_of_all_rows(spark, history, seconds):
+    from barloom.operators import baumwelch
+
+    x = history.select("symbol", "ts", (F.log("close") - 4.6).alias("u"), F.when(F.hour("ts") == 3, None).otherwise(F.col("volume") / 50).alias("v"))
+    got = {r["symbol"]: regime.from_numbers(np.array(r["model"])) for r in baumwelch.fit_by_key(x, ["u", "v"], 3, 4, chunk_seconds=seconds).collect()}
+    assert sorted(got) == ["S0", "S1"]  # S2 has too few rows
+    pdf = x.toPandas().sort_values(["symbol", "ts"]).fillna(0.0)
+    for s, h in got.items():
+        want = regime.fit(pdf[pdf.symbol == s][["u", "v"]].to_numpy(), 3, 4)
+        for a, b in ((h.start, want.start), (h.move, want.move), (h.means, want.means), (h.covs, want.covs)):
+            assert np.abs(a - b).max() < 1e-7
