@@ -32,10 +32,11 @@ def probability(columns: list[str], beta: str = "beta") -> Column:
     return 1 / (1 + F.exp(-linear(columns, beta)))
 
 
-def fit(train: DataFrame, by: list[str], columns: list[str], label: str = "label", weight: str | None = None, ridge: float = 0.01, rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
+def fit(train: DataFrame, by: list[str], columns: list[str], label: str = "label", weight: str | None = None, ridge: float = 0.01, rounds: int = 50, tolerance: float = 1e-6) -> DataFrame:
     """by, beta (an array: a coefficient a column, then the intercept), steps, for every key that has both labels.
 
-    weight: how often a row counts (a column; 1 if none). Rows with a null label, weight or column don't count."""
+    Steps end when none is longer than tolerance (in deviations); as they converge quadratically, what is left is about
+    its square. weight: how often a row counts (a column; 1 if none). Rows with a null label, weight or column don't count."""
     p = len(columns)
     x = [F.col(f"x{i}") for i in range(p)] + [F.lit(1.0)]
     rows = train.select(*by, F.col(label).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])

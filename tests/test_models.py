@@ -94,3 +94,25 @@ def test_seeds_are_fits_of_their_own(series):
     again = scoring.seed_scores(series.repartition(5), folds, ["u", "v"], 3, ["symbol", "pos"]).where("split = 'test'").toPandas()
     keys = ["symbol", "pos", "fold", "seed"]
     assert np.abs(pdf.sort_values(keys).prob_long.to_numpy() - again.sort_values(keys).prob_long.to_numpy()).max() < 1e-9
+
+
+def test_permutation_importance_by_hand(spark):
+    """Values dealt out anew within a key by the rank of a hash, columns of a group together."""
+    rng = np.random.default_rng(5)
+    rows = [("p", int(f), i, *map(float, rng.normal(0, 1, 3))) for f in range(2) for i in range(120)]
+    df = spark.createDataFrame(rows, "profile string, fold int, row_pos long, a double, b double, e double").withColumn("forward_return", F.col("a") + 0.5 * F.col("b") + F.col("e"))
+    score = lambda d: d["a"] + d["b"]
+    groups = [("a",), ("b",), ("a", "b")]
+    got = {(r["fold"], r["feature"]): (r["mean_drop"], r["std_drop"]) for r in scoring.permutation_importance(df, score, ["a", "b", ("a", "b")], ["profile", "fold"], repeats=3, seed=7).collect()}
+    hashed = df.withColumns({f"h{r}": F.xxhash64("row_pos", F.lit(7), F.lit(r)) for r in range(3)}).toPandas()
+    ic = lambda s, y: s.rank().corr(y.rank())
+    for fold, part in hashed.groupby("fold"):
+        own = part.sort_values("row_pos").reset_index(drop=True)
+        base = ic(own.a + own.b, own.forward_return)
+        for g in groups:
+            drops = []
+            for r in range(3):
+                dealt = own.sort_values([f"h{r}", "row_pos"]).reset_index(drop=True)
+                moved = own.assign(**{c: dealt[c] for c in g})
+                drops.append(base - ic(moved.a + moved.b, moved.forward_return))
+            assert got[fold, "+".join(g)] == pytest.approx((np.mean(drops), np.std(drops)), abs=1e-9)

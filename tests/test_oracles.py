@@ -36,6 +36,7 @@ def test_matches_sql(spark, db, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, name):
+    """Whole results; what they must be is in test_scale, test_models and test_operators."""
     df = QUERIES[name](spark, SF)
-    assert df.columns
-    df.limit(5).collect()
+    rows = df.collect()
+    assert rows and len(set(rows)) > len(rows) / 2
