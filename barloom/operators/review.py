@@ -75,6 +75,7 @@ def summary(preds: DataFrame, targets: Targets = Targets(), worst: int = 5) -> D
 
 def guarded(s: DataFrame, targets: Targets) -> DataFrame:
     """Summary rows plus the guarded threshold and whether the profile passes with it."""
+    # fixed values: the names of reasons and sources
     why = reports.reasons(
         ("selected_threshold_pred_long_rate_above_guardrail", F.col("test_pred_rate_selected") > targets.most_rate),
         ("selected_threshold_precision_below_minimum", F.col("test_precision_selected") < targets.least_precision),

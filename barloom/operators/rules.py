@@ -61,6 +61,8 @@ def beside_control(df: DataFrame, control: str, metrics: Iterable[str], by: list
     return df.withColumns({f"control_{c}": own(c) for c in metrics})
 
 
+# The sets below are fixed values: reasons, metrics, bounds and their order.
+
 #: A profile's trial against the control before a full run, with the usual bounds.
 TRIAGE = (
     Rule("mean_rank_ic_delta", "mean_rank_ic", ">=", 0.005, "control_"),
