@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,17 +50,43 @@ def release(spark: SparkSession) -> None:
             _delete(spark, path)
 
 
+#: Paths written since each open `only`.
+_open: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: it is read several times, and lineage ends at what outlives any executor."""
     path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def removed(df: DataFrame) -> None:
-    """Remove the table that `written` gave as df, once a later one has replaced it."""
-    files = df.inputFiles()
-    folder = files[0].rpartition("/")[0] if files else ""
-    own = scratch(df.sparkSession).rpartition("/")[2]
-    if f"/{own}/" in folder:
-        _delete(df.sparkSession, folder)
+    for paths in _open:
+        paths.append(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def removed(table: DataFrame) -> None:
+    """Remove the table that `written` gave, once a later one has replaced it."""
+    path = getattr(table, "_scratch_path", None)
+    if path:
+        _delete(table.sparkSession, path)
+
+
+@contextlib.contextmanager
+def only(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """A block whose tables go at its end, but for those that are passed to the function it gives."""
+    paths: list[str] = []
+    kept: set[str] = set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._scratch_path)
+        return table
+
+    _open.append(paths)
+    try:
+        yield keep
+    finally:
+        _open.remove(paths)
+        for path in paths:
+            if path not in kept:
+                _delete(spark, path)
