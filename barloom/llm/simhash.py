@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import saved, words_of
 from barloom.llm.components import across, bucket_components, connected_components, least_and_last, merged, mixed_keys, with_main
+from barloom.sources.shared import only
 
 BITS = 64
 
@@ -155,7 +156,7 @@ def grouped(hashed: DataFrame, distance: int = 4) -> DataFrame:
 #: alike pairs that the anchors may miss.
 WIDE, SMALL, MISS = 256, 16, 1e-5
 #: Keys of more rows than this are searched by what their members have beside a common text.
-DENSE = 32
+DENSE = 128
 #: Members of a large component whose shingles stand for what it has in common.
 HUBS = 8
 #: Members of a large component that what lies outside it is first compared with.
@@ -349,9 +350,19 @@ def first_of_near_copies(docs: DataFrame, likeness: float = 0.8, words_per_shing
     Texts with equal words are one vertex. Null texts, and texts without words, are copies of each other.
     Null ids count as greater than others; of equal ids in a component, and of repeated rows, one row stays;
     an empty table gives no rows; other columns are kept as they are."""
-    spark, p = docs.sparkSession, "_nd"
+    p = "_nd"
     while any(c.startswith(p) for c in docs.columns):
         p = "_" + p
+    with only(docs.sparkSession) as keep:
+        marked, gone = near_copies(docs, p, likeness, words_per_shingle)
+        keep(marked)
+        keep(gone)
+    few = gone.count() <= BROADCAST_ROWS
+    return marked.join(F.broadcast(gone) if few else gone, F.col(f"{p}_row") == F.col("row"), "left_anti").select(*docs.columns)
+
+
+def near_copies(docs: DataFrame, p: str, likeness: float, words_per_shingle: int) -> tuple[DataFrame, DataFrame]:
+    """docs with a number (p_row) and the columns that are searched by, and the numbers (row) of near copies that go, as tables."""
     n_anchors, n_words = anchors_for(likeness), WIDE // BITS
     bits, anchors = [f"{p}_w{i}" for i in range(n_words)], [f"{p}_a{i}" for i in range(n_anchors)]
 
@@ -431,6 +442,4 @@ def first_of_near_copies(docs: DataFrame, likeness: float = 0.8, words_per_shing
 
     # the rows that go, few as a rule
     stays = groups.groupBy("comp").agg(F.min("best").alias("best")).select(F.col("best.row").alias("row"))
-    gone = saved(marked.select(F.col(f"{p}_row").alias("row")).join(stays, "row", "left_anti"), "near-gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return marked.join(F.broadcast(gone) if few else gone, F.col(f"{p}_row") == F.col("row"), "left_anti").select(*docs.columns)
+    return marked, saved(marked.select(F.col(f"{p}_row").alias("row")).join(stays, "row", "left_anti"), "near-gone")
