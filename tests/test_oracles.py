@@ -18,6 +18,10 @@ def db():
     return con
 
 
+#: The smallest table is too short for a fold of these.
+FOLDED = {"e08_seed_audit", "m05_regimes_by_fold", "m12_walk_forward_scores"}
+
+
 def shown(rows):
     return sorted(tuple("" if v is None else f"{v:.5f}" if isinstance(v, float) else str(v) for v in r) for r in rows)
 
@@ -37,6 +41,6 @@ def test_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs_without_sql(spark, name):
     """Whole results; what they must be is in test_scale, test_models and test_operators."""
-    df = QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF if name not in FOLDED else SF.replace("sf0.001", "sf0.01"))
     rows = df.collect()
     assert rows and len(set(rows)) > len(rows) / 2
