@@ -48,7 +48,7 @@ def feature_drift(df: DataFrame, features: list[str], target: float = 0.03, leas
     folds = folds.select("profile", "bad_definition", *[x for k in ("bad", "good") for x in (F.size(f"_{k}").alias(f"{k}_fold_count"), F.array_join(f"_{k}", ",").alias(f"{k}_fold_ids"))])
     rows = df.join(ic.select("profile", "fold", "cohort"), ["profile", "fold"])
     keys = ["profile", "cohort", "feature"]
-    long = reports.unpivoted(rows, ["profile", "cohort", "label"], features).where("v IS NOT NULL")
+    long = ranks.settled(reports.unpivoted(rows, ["profile", "cohort", "label"], features).where("v IS NOT NULL"), "drift-rows")
     stats = long.groupBy(*keys).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.count("*").alias("count"), (F.avg(F.when(F.col("label") == 1, F.col("v"))) - F.avg(F.when(F.col("label") == 0, F.col("v")))).alias("gap"))
     x = stats.join(m.rank_ic(long, keys, "v", "forward_return", least, undefined=None).select(*keys, F.col("rank_ic").alias("ic")), keys, "left")
     of_ = lambda k: x.where(F.col("cohort") == k).select("profile", "feature", *[F.col(c).alias(f"{k}_{c}") for c in ("mean", "std", "count", "gap", "ic")])
