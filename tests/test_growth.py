@@ -72,3 +72,10 @@ def test_correlation_makes_its_rows_once(spark, large, monkeypatch):
         a, b, mid = rank("prob_long"), rank("forward_return"), (len(own) - 1) / 2
         x, y = [a[r["prob_long"]] - mid for r in own], [b[r["forward_return"]] - mid for r in own]
         assert n == len(own) and ic == pytest.approx(sum(i * j for i, j in zip(x, y)) / (sum(i * i for i in x) * sum(j * j for j in y)) ** 0.5, abs=1e-9)
+
+
+def test_blends_are_made_of_one_row_a_key(spark, large):
+    df = scored(spark).withColumn("profile", F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
+    combos = reports.all_blends(["a", "b", "c"], {"w": (0.5, 0.3, 0.2)})
+    plan = reports.blends(df, combos, ["row_pos", "fold"], ["fold"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate")  # blends come after the exchange of rows
