@@ -7,12 +7,13 @@ not here; a regression on the same features stands in.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.scalars import flag
 from barloom.operators import logistic
 from barloom.operators import metrics as m
+from barloom.operators import ranks
 from barloom.operators.labels import Folds, with_folds
 from barloom.operators.reports import family, timeframe
 from barloom.sources.shared import written
@@ -65,19 +66,27 @@ def permutation_importance(df: DataFrame, score, columns: list, by: list[str], r
     """Loss of rank correlation when a column's values are dealt out anew within each key.
 
     score: a function from a DataFrame to a Column. Values are matched by rank under a hash, so that reruns deal
-    alike; columns in a tuple are moved together. All columns and repeats are one pass: a row is exploded into
-    its variants, each variant is ranked twice (its place, and the place it is dealt) and joined to itself once."""
+    alike; columns in a tuple are moved together. A key's rows are numbered once by their place and once a repeat by
+    the hash; a row meets what each repeat deals it, and only then becomes its variants, a column and repeat each."""
     groups = [(g,) if isinstance(g, str) else tuple(g) for g in columns]
     moved_columns = sorted({c for g in groups for c in g})
+    df = ranks.settled(df, "importance-rows")
     base = m.rank_ic(df.withColumn("_s", score(df)), by, "_s", target).withColumnRenamed("rank_ic", "base_ic").drop("n")
-    each = df.withColumn("_v", F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.lit(r).alias("r")) for i in range(len(groups)) for r in range(repeats)])))
-    each = each.withColumns({"_g": F.col("_v.g"), "_r": F.col("_v.r")}).drop("_v")
-    whole = Window.partitionBy(*by, "_g", "_r")
-    own, dealt = F.row_number().over(whole.orderBy("row_pos")), F.row_number().over(whole.orderBy(F.xxhash64("row_pos", F.lit(seed), "_r"), "row_pos"))
-    others = each.select(*by, "_g", "_r", dealt.alias("_i"), *[F.col(c).alias(f"_m_{c}") for c in moved_columns])
-    mixed = each.withColumn("_i", own).join(others, [*by, "_g", "_r", "_i"])
-    takes = lambda c: F.col("_g").isin(*[i for i, g in enumerate(groups) if c in g])
-    mixed = mixed.withColumns({c: F.when(takes(c), F.col(f"_m_{c}")).otherwise(F.col(c)) for c in moved_columns})
+    met = ranks.cumulative(df, by, [F.col("row_pos")], {"_i": F.lit(1)})
+    for r in range(repeats):
+        key = F.xxhash64("row_pos", F.lit(seed), F.lit(r))
+        dealt = ranks.cumulative(df.select(*by, "row_pos", *moved_columns), by, [key, F.col("row_pos")], {"_i": F.lit(1)})
+        dealt = dealt.select(*by, "_i", *[F.col(c).alias(f"_m{r}_{c}") for c in moved_columns])
+        met = met.join(dealt, [*by, "_i"])
+    met = ranks.settled(met, "importance-dealt")
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("g"), F.lit(r).alias("r")) for i in range(len(groups)) for r in range(repeats)]))
+    mixed = met.withColumn("_v", each).withColumns({"_g": F.col("_v.g"), "_r": F.col("_v.r")}).drop("_v")
+    takes = lambda c, r: F.col("_g").isin(*[i for i, g in enumerate(groups) if c in g]) & (F.col("_r") == r)
+    for c in moved_columns:
+        value = F.col(c)
+        for r in range(repeats):
+            value = F.when(takes(c, r), F.col(f"_m{r}_{c}")).otherwise(value)
+        mixed = mixed.withColumn(c, value)
     ic = m.rank_ic(mixed.withColumn("_s", score(mixed)), [*by, "_g", "_r"], "_s", target).drop("n")
     drop = ic.join(base, by).withColumn("drop", F.col("base_ic") - F.col("rank_ic"))
     names = F.array(*[F.lit("+".join(g)) for g in groups])

@@ -84,7 +84,7 @@ def _(spark, d):
 
 @query("m15_permutation_importance")
 def _(spark, d):
-    t = preds(spark, d).where("split = 'test'").withColumn("tax", F.col("4h_tax"))
+    t = preds(spark, d, only=("row_pos", "fold", "split", "forward_return", "f_quantity", "4h_tax")).where("split = 'test'").withColumn("tax", F.col("4h_tax"))
     score = lambda df: df["f_quantity"] / 50 - df["tax"]
     i = scoring.permutation_importance(t, score, ["f_quantity", "tax", ("f_quantity", "tax")], ["profile", "fold"])
     return i.select("profile", "fold", "feature", *rs("mean_drop", "std_drop"))
@@ -92,7 +92,7 @@ def _(spark, d):
 
 @query("d22_group_importance")
 def _(spark, d):
-    t = preds(spark, d).where("split = 'test'")
+    t = preds(spark, d, only=("row_pos", "fold", "split", "forward_return", "f_quantity", "f_price", "4h_tax")).where("split = 'test'")
     score = lambda df: df["f_quantity"] / 50 - df["4h_tax"]
     i = scoring.permutation_importance(t, score, ["f_quantity", "f_price", "4h_tax"], ["profile", "fold"])
     g = scoring.group_importance(i, ["profile"])

@@ -79,3 +79,13 @@ def test_blends_are_made_of_one_row_a_key(spark, large):
     combos = reports.all_blends(["a", "b", "c"], {"w": (0.5, 0.3, 0.2)})
     plan = reports.blends(df, combos, ["row_pos", "fold"], ["fold"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode") < plan.index("Aggregate")  # blends come after the exchange of rows
+
+
+def test_importance_numbers_rows_before_its_variants(spark, large, monkeypatch):
+    score = lambda d: d["f"] / 100 + d["prob_long"]
+    df, seen = counted(spark, scored(spark))
+    got = values(scoring.permutation_importance(df, score, ["f", "prob_long", ("f", "prob_long")], ["profile", "fold"]))
+    assert seen.value == N
+    assert sum(t.count() for name, t in large if name == "ranges" and "row_pos" in t.columns) == 3 * N  # places, and two repeats
+    monkeypatch.setattr(ranks, "LOCAL_BYTES", 64 << 20)
+    assert got == values(scoring.permutation_importance(scored(spark), score, ["f", "prob_long", ("f", "prob_long")], ["profile", "fold"]))
