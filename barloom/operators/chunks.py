@@ -89,19 +89,19 @@ def in_chunks(
     rows: int = CHUNK_ROWS,
     running: dict[str, Column] | None = None,
     key: str = "symbol",
-    time: str = "ts",
+    time: str | list[str] = "ts",
     ranges: int | None = None,
 ) -> DataFrame:
     """build(df), whose windows are over key in the order of time, with a key's rows dealt to chunks of `rows` rows.
 
-    Each chunk gets the `before` rows that precede it and the `after` rows that follow it as guests, which it sees but
+    time: one column, or several where one alone leaves ties. Each chunk gets the `before` rows that precede it and the `after` rows that follow it as guests, which it sees but
     doesn't give back, so `before` must cover what the frames of build reach back to, nested ones added up. build takes
     the chunks for keys, and its result is the same for any chunk length but for columns that depend on all earlier
     rows: those are named in running (name -> what is summed up) and are the sums over the whole history."""
     if before > rows or after > rows:
         raise ValueError("a chunk must be as long as its guests reach")
     running = running or {}
-    numbered = ranks.cumulative(df, [key], [F.col(time)], {"_pos": F.lit(1), **{f"_run_{c}": x for c, x in running.items()}}, ranges=ranges)
+    numbered = ranks.cumulative(df, [key], [F.col(c) for c in ([time] if isinstance(time, str) else time)], {"_pos": F.lit(1), **{f"_run_{c}": x for c, x in running.items()}}, ranges=ranges)
     at, place = F.col("_pos") - 1, F.pmod(F.col("_pos") - 1, F.lit(rows))
     own = F.floor(at / rows)
     homes = F.array_compact(F.array(own, F.when(place >= rows - before, own + 1) if before else F.lit(None).cast("long"), F.when((place < after) & (own > 0), own - 1) if after else F.lit(None).cast("long")))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions import windows as w
 from barloom.functions.scalars import rounded as R
 from barloom.operators import bars as ops
-from barloom.operators import ranks, reports, review
+from barloom.operators import chunks, ranks, reports, review
 from barloom.operators.asof import asof
 from barloom.plans.bar_queries import r, rs
 from barloom.plans.prediction_queries import ALL, BLENDS, P, RANKS, blends_sql
@@ -194,9 +194,12 @@ def _(spark, d):
 
 @query("w16_rolling_label_mean", f"{P} SELECT profile, row_pos, {r('CASE WHEN count(label) OVER o = 168 THEN avg(label) OVER o END', 'label_mean')} FROM preds WINDOW o AS (PARTITION BY profile, fold ORDER BY ts, row_pos ROWS BETWEEN 167 PRECEDING AND CURRENT ROW)")
 def _(spark, d):
-    at = w.W.partitionBy("profile", "fold").orderBy("ts", "row_pos").rowsBetween(-167, 0)
+    at = w.W.partitionBy("key").orderBy("ts", "row_pos").rowsBetween(-167, 0)
     full = F.when(F.count("label").over(at) == 168, F.avg("label").over(at))
-    return preds(spark, d).select("profile", "row_pos", R(full).alias("label_mean"))
+    p = preds(spark, d).select("profile", "row_pos", "ts", "label", F.concat_ws(":", "profile", "fold").alias("key"))
+    build = lambda x: x.withColumn("label_mean", R(full))
+    made = build(p) if ranks.ranges_for(p) == 1 else chunks.in_chunks(p, build, 167, key="key", time=["ts", "row_pos"])
+    return made.select("profile", "row_pos", "label_mean")
 
 
 @query("u05_intersect_except", f"{P3}, a AS (SELECT DISTINCT fold, ts FROM preds WHERE label = 1), b AS (SELECT DISTINCT fold, ts FROM preds WHERE label = 0) SELECT 'both' AS side, fold, ts FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'only_long', fold, ts FROM (SELECT * FROM a EXCEPT SELECT * FROM b)")

@@ -89,3 +89,11 @@ def test_importance_numbers_rows_before_its_variants(spark, large, monkeypatch):
     assert sum(t.count() for name, t in large if name == "ranges" and "row_pos" in t.columns) == 3 * N  # places, and two repeats
     monkeypatch.setattr(ranks, "LOCAL_BYTES", 64 << 20)
     assert got == values(scoring.permutation_importance(scored(spark), score, ["f", "prob_long", ("f", "prob_long")], ["profile", "fold"]))
+
+
+def test_rolling_label_mean_in_chunks(spark, monkeypatch):
+    plain = values(QUERIES["w16_rolling_label_mean"](spark, SF).where("label_mean IS NOT NULL"))
+    monkeypatch.setattr(ranks, "LOCAL_BYTES", 0)
+    deal, rows = chunks.in_chunks, []
+    monkeypatch.setattr(chunks, "in_chunks", lambda *a, **k: rows.append(1) or deal(*a, **(k | {"rows": 200})))
+    assert values(QUERIES["w16_rolling_label_mean"](spark, SF).where("label_mean IS NOT NULL")) == plain and rows
