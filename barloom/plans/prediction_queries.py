@@ -441,7 +441,8 @@ def _(spark, d):
 
 @query("m16_fold_model_means", P3 + f" SELECT row_pos, fold, {r('avg(prob_long)', 'prob_long')}, count(DISTINCT profile) AS models FROM preds GROUP BY row_pos, fold")
 def _(spark, d):
-    return preds(spark, d, ALL).groupBy("row_pos", "fold").agg(R(F.avg("prob_long")).alias("prob_long"), F.countDistinct("profile").alias("models"))
+    models = sum((F.coalesce(F.max(F.when(F.col("profile") == p, 1)), F.lit(0)) for p in ALL), F.lit(0)).cast("long")
+    return preds(spark, d, ALL).groupBy("row_pos", "fold").agg(R(F.avg("prob_long")).alias("prob_long"), models.alias("models"))
 
 
 @query("m17_isotonic_calibration")

@@ -97,3 +97,8 @@ def test_rolling_label_mean_in_chunks(spark, monkeypatch):
     deal, rows = chunks.in_chunks, []
     monkeypatch.setattr(chunks, "in_chunks", lambda *a, **k: rows.append(1) or deal(*a, **(k | {"rows": 200})))
     assert values(QUERIES["w16_rolling_label_mean"](spark, SF).where("label_mean IS NOT NULL")) == plain and rows
+
+
+def test_fold_models_are_counted_in_one_exchange(spark):
+    plan = QUERIES["m16_fold_model_means"](spark, SF)._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Exchange hashpartitioning") == 2  # lines, then rows: no exchange for distinct profiles
