@@ -3,8 +3,8 @@
 With m blocks, two fingerprints that differ in at most d < m bits agree on at least m - d
 whole blocks, so joining on every choice of m - d blocks finds each such pair: the search is
 exact for every m. A larger m costs more keys per fingerprint and makes each key longer;
-`blocks_for` takes the smallest m whose keys are about as many as the fingerprints, so a
-bucket holds about one unrelated fingerprint at any size of the corpus.
+`blocks_for` takes the smallest m whose keys are many times the fingerprints, so that hardly any
+bucket holds an unrelated fingerprint at any size of the corpus.
 
 Equal fingerprints are one vertex, so copies are never expanded into pairs.
 """
@@ -26,6 +26,9 @@ from barloom.llm.components import across, bucket_components, connected_componen
 from barloom.sources.shared import only
 
 BITS = 64
+#: Bits by which keys are longer than fingerprints are many. Strangers that meet in a bucket are fewer by as many powers
+#: of two; with none, their number grows with the square of the corpus until the next m.
+SPARE = 5
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int, seed: int = 42) -> np.ndarray:
@@ -77,9 +80,9 @@ def with_fingerprints(docs: DataFrame, words_per_shingle: int = 4, text: str = "
 
 
 def blocks_for(fingerprints: int, distance: int) -> int:
-    """The smallest m whose keys (of m - distance blocks) number at least about the fingerprints."""
+    """The smallest m whose keys (of m - distance blocks) number at least about 2^SPARE times the fingerprints."""
     for m in range(distance + 1, 2 * distance + 2):
-        if (BITS // m) * (m - distance) >= np.log2(max(fingerprints, 2)):
+        if (BITS // m) * (m - distance) >= np.log2(max(fingerprints, 2)) + SPARE:
             return m
     return 2 * distance + 2
 
