@@ -59,24 +59,31 @@ def mixed_keys(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("size")).where("low < high").select("key", "size")
 
 
-def with_main(rows: DataFrame) -> DataFrame:
-    """rows (key, comp, ...) plus main, the most populous component of the key, and size, its rows; written to a table."""
+def with_main(rows: DataFrame, alone: int | None = None) -> DataFrame:
+    """rows (key, comp, ...) plus main, the most populous component of the key, and size, its rows; written to a table.
+    Keys of one component, in which `across` finds nothing, are left out, but with `alone` those of more rows than that."""
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("key", F.col("m.comp").alias("main"), "size")
-    return saved(rows.drop("size").join(main, "key"), "cc-mixed")
+    main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("comps"))
+    kept = F.col("comps") > 1 if alone is None else (F.col("comps") > 1) | (F.col("size") > alone)
+    return saved(rows.drop("size").join(main.where(kept).select("key", F.col("m.comp").alias("main"), "size"), "key"), "cc-mixed")
 
 
-def across(rows: DataFrame, payload: list[str], close: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
+def across(rows: DataFrame, payload: list[str], close: Callable[[list[Column], list[Column]], Column], searched: str | None = None) -> DataFrame:
     """Close pairs (a, b, comp_a, comp_b, payload of both) that share a key and are of different components.
 
     rows: key, main, node, comp, payload, as `with_main` gives them. In every key the members that are not of its
     most populous component meet all members of other components. A large group is that component wherever it is
-    met, so its members aren't compared with each other, whatever numbers its nodes have."""
-    side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in payload]]
+    met, so its members aren't compared with each other, whatever numbers its nodes have. searched: an array of the
+    groups of a row that are searched for all pairs elsewhere; pairs of one such group are left to that."""
+    carried = [*payload, searched] if searched else payload
+    side = lambda x: [F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in carried]]
     a, b = rows.where("comp != main").select("key", *side("a")), rows.select("key", "main", *side("b"))
     once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
     near = close([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload])
-    return a.join(b, "key").where((F.col("comp_a") != F.col("comp_b")) & once & near).drop("key", "main")
+    met = a.join(b, "key").where((F.col("comp_a") != F.col("comp_b")) & once & near)
+    if searched:
+        met = met.where(~F.coalesce(F.arrays_overlap(f"{searched}_a", f"{searched}_b"), F.lit(False))).drop(f"{searched}_a", f"{searched}_b")
+    return met.drop("key", "main")
 
 
 def merged(named: DataFrame, links: DataFrame) -> DataFrame:

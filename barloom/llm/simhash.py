@@ -413,7 +413,7 @@ def near_copies(docs: DataFrame, p: str, likeness: float, words_per_shingle: int
 
     # what still lies apart: the nearest pair of two components first, then all pairs of those still apart
     every = keyed(named).select("key", "place", "node", "comp", *payload)
-    met = with_main(finer(every.join(mixed_keys(every), "key"), payload[1:], n_anchors))
+    met = with_main(finer(every.join(mixed_keys(every), "key"), payload[1:], n_anchors), DENSE)
     # dense keys go by the component that is the largest of all, so that a group has one name in all its keys
     crowded = met.where(F.col("size") > DENSE).drop("main")
     weights = named.groupBy("comp").agg(F.count("*").alias("weight"))
@@ -424,10 +424,12 @@ def near_copies(docs: DataFrame, p: str, likeness: float, words_per_shingle: int
     roots = saved(connected_components(to_pivots(beside, payload, likeness).toDF("a", "b")), "near-roots")
     named = saved(renamed(named, roots, "comp"), "near-renamed")
     beside = saved(renamed(beside, roots, "comp", "main"), "near-beside-renamed")
-    sparse = with_main(renamed(met.where(F.col("size") <= DENSE).drop("main"), roots, "comp"))
+    # pairs of one dense group are all searched by what they have beside its text
+    groups = dense.groupBy("node").agg(F.collect_set("main").alias("groups"))
+    sparse = with_main(renamed(met.where(F.col("size") <= DENSE).drop("main"), roots, "comp")).join(groups, "node", "left")
     by_token = beside.withColumn("key", F.explode("beside")).withColumn("key", F.xxhash64("main", "key")).drop("beside", "inside", "bits")
     in_p = in_common(beside.where("comp != main"), beside, payload, likeness)
-    pairs = across(sparse, payload, close)
+    pairs = across(sparse, payload, close, "groups")
     for more in (across(by_token, payload, close), in_p):
         pairs = pairs.unionByName(more.select(*pairs.columns))
     d = differing([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload])

@@ -51,7 +51,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     numbered = saved(docs.withColumn(key, F.monotonically_increasing_id()), "mix-numbered")
     taken = mixing.mix(numbered, keep=[key]).where("copies > 0").select(key, F.col("copies").alias(f"{key}_copies"))
     copies = F.col(f"{key}_copies")
-    rows = numbered.join(taken, key).withColumn(f"{key}_copy", F.explode(F.sequence(F.lit(1), F.ceil(copies).cast("int"))))
+    # dealt out by key at any size: the numbers of all documents are too many to be sent to every executor
+    rows = numbered.join(taken.hint("merge"), key).withColumn(f"{key}_copy", F.explode(F.sequence(F.lit(1), F.ceil(copies).cast("int"))))
     share = copies - F.col(f"{key}_copy") + 1
     words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
     part = F.array_join(F.slice(words, F.lit(1), F.greatest(F.lit(0), F.round(share * mixing.word_count(text_of())).cast("int"))), " ")

@@ -1,13 +1,43 @@
 """Joins that once grew faster than their input, and files that stayed after their use."""
 
+import time
 from math import comb
 
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import simhash
+from barloom.llm.components import across, with_main
+from barloom.sources.shared import CLEANUP, written
 
 
 @pytest.mark.parametrize("bits", range(10, 31))
 def test_a_fingerprint_meets_few_strangers(bits):
     m = simhash.blocks_for(1 << bits, 4)
     assert comb(m, m - 4) * 2.0 ** (bits - (64 // m) * (m - 4)) <= 4
+
+
+def test_keys_of_one_component_are_left_out(spark):
+    rows = spark.createDataFrame([(1, n, 7) for n in range(5)] + [(2, n, 7) for n in range(9)] + [(3, 1, 7), (3, 20, 8)], "key long, node long, comp long")
+    assert {r["key"] for r in with_main(rows).collect()} == {3}
+    assert sorted((r["key"], r["size"]) for r in with_main(rows, 6).distinct().groupBy("key", "size").count().collect()) == [(2, 9), (3, 2)]
+
+
+def test_pairs_that_are_searched_elsewhere_are_not_made_again(spark):
+    rows = [(1, 0, n, n, [5] if n < 8 else [6] if n < 10 else None) for n in range(12)]
+    frame = spark.createDataFrame(rows, "key long, main long, node long, comp long, groups array<long>")
+    every = lambda x, y: F.lit(True)
+    pairs = lambda *more: {tuple(sorted((r["a"], r["b"]))) for r in across(frame.select("*", F.lit(1).alias("n")), ["n"], every, *more).collect()}
+    group = {n: n < 8 and 5 or 6 for n in range(10)}
+    assert pairs() == {(a, b) for a in range(12) for b in range(a + 1, 12)}
+    assert pairs("groups") == {(a, b) for a, b in pairs() if group.get(a, -a) != group.get(b, -b)}
+
+
+def test_shuffle_files_go_with_the_query_that_made_them(spark):
+    files = lambda: sum("shuffle_" in str(x) for x in str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()).split(","))
+    before, set_before = files(), spark.conf.get(CLEANUP, None)
+    written(spark.range(10_000).groupBy((F.col("id") % 100).alias("k")).count(), "shuffled")
+    end = time.time() + 10
+    while files() > before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(CLEANUP, None) == set_before
