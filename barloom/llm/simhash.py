@@ -322,6 +322,15 @@ def renamed(df: DataFrame, roots: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
+def searched(keys: DataFrame, named: DataFrame, dense: DataFrame, payload: list[str]) -> DataFrame:
+    """keys (key, node) plus the component of each node by now, its payload and, as groups, the dense groups it is of
+    (null: none), whose pairs are all searched by what they have beside their text. What is known of a node is put
+    together once a node; its keys are joined with that alone."""
+    groups = dense.groupBy("node").agg(F.collect_set("main").alias("groups"))
+    known = named.select("node", "comp", *payload).join(groups, "node", "left")
+    return keys.select("key", "node").join(known, "node")
+
+
 def finer(rows: DataFrame, words: list[str], anchors: int) -> DataFrame:
     """Deal large keys further by blocks of the fingerprint: a key of n rows gets blocks of t = log2(n / 8) bits,
     so that a block holds about eight strangers, and so many blocks that a pair whose bits agree at
@@ -413,20 +422,19 @@ def near_copies(docs: DataFrame, p: str, likeness: float, words_per_shingle: int
 
     # what still lies apart: the nearest pair of two components first, then all pairs of those still apart
     every = keyed(named).select("key", "place", "node", "comp", *payload)
-    met = with_main(finer(every.join(mixed_keys(every), "key"), payload[1:], n_anchors), DENSE)
+    met = with_main(finer(every.join(mixed_keys(every), "key"), payload[1:], n_anchors).select("key", "node", "comp"), DENSE)
     # dense keys go by the component that is the largest of all, so that a group has one name in all its keys
     crowded = met.where(F.col("size") > DENSE).drop("main")
     weights = named.groupBy("comp").agg(F.count("*").alias("weight"))
     largest = crowded.select("key", "comp").distinct().join(weights, "comp").groupBy("key").agg(F.max(F.struct("weight", "comp")).alias("m")).select("key", F.col("m.comp").alias("main"))
-    dense = saved(crowded.join(largest, "key").select("main", "node", "comp", *payload).distinct(), "near-dense")
+    dense = crowded.join(largest, "key").select("main", "node").distinct().join(named.select("node", "comp", *payload), "node")
+    dense = saved(dense.select("main", "node", "comp", *payload), "near-dense")
     beside = beside_main(dense, texts, payload, likeness, words_per_shingle)
     # what is of a large group joins it first; only what is left is compared with all of it
     roots = saved(connected_components(to_pivots(beside, payload, likeness).toDF("a", "b")), "near-roots")
     named = saved(renamed(named, roots, "comp"), "near-renamed")
     beside = saved(renamed(beside, roots, "comp", "main"), "near-beside-renamed")
-    # pairs of one dense group are all searched by what they have beside its text
-    groups = dense.groupBy("node").agg(F.collect_set("main").alias("groups"))
-    sparse = with_main(renamed(met.where(F.col("size") <= DENSE).drop("main"), roots, "comp")).join(groups, "node", "left")
+    sparse = with_main(searched(met.where(F.col("size") <= DENSE), named, dense, payload))
     by_token = beside.withColumn("key", F.explode("beside")).withColumn("key", F.xxhash64("main", "key")).drop("beside", "inside", "bits")
     in_p = in_common(beside.where("comp != main"), beside, payload, likeness)
     pairs = across(sparse, payload, close, "groups")

@@ -33,6 +33,19 @@ def test_pairs_that_are_searched_elsewhere_are_not_made_again(spark):
     assert pairs("groups") == {(a, b) for a, b in pairs() if group.get(a, -a) != group.get(b, -b)}
 
 
+def test_keys_are_joined_once_with_what_is_known_of_their_node(spark):
+    keys = spark.createDataFrame([(k, n) for k in range(4) for n in range(6)], "key long, node long")
+    named = spark.createDataFrame([(n, n // 2, n) for n in range(6)], "node long, comp long, n long")
+    for dense in ([], [(9, 0), (8, 0), (9, 1)]):
+        groups = {n: {g for g, x in dense if x == n} for n in range(6)}
+        got = simhash.searched(keys, named, spark.createDataFrame(dense, "main long, node long"), ["n"])
+        rows = [(r["key"], r["node"], r["comp"], r["n"], set(r["groups"] or [])) for r in got.collect()]
+        assert sorted(rows, key=lambda r: r[:2]) == [(k, n, n // 2, n, groups[n]) for k in range(4) for n in range(6)]
+        # whether there are dense groups or not, and whatever components were joined, rows of keys go through one join
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join ") == 2 and "Join Inner" in plan
+
+
 def test_shuffle_files_go_with_the_query_that_made_them(spark):
     files = lambda: sum("shuffle_" in str(x) for x in str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()).split(","))
     before, set_before = files(), spark.conf.get(CLEANUP, None)
