@@ -47,6 +47,20 @@ def values(df):
     return sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
 
 
+def test_band_totals_move_only_rows_of_cut_values(spark, large):
+    df = scored(spark).withColumn("label", F.when(F.col("row_pos") % 7 > 0, (F.col("row_pos") % 3 == 0).cast("int"))).withColumn("forward_return", F.when(F.col("row_pos") % 5 > 0, F.col("forward_return")))
+    df, seen = counted(spark, df)
+    r = F.col("forward_return")
+    order, by = [F.col("prob_long"), F.col("row_pos")], ["profile", "fold"]
+    got = values(reports.bin_totals(df, by, 10))
+    # rows are made once, and none is moved but those whose value a cut goes through, at most 9 values of 53 a fold
+    assert seen.value == N
+    assert max(t.count() for name, t in large if name != "band-rows") < N / 3
+    plain = ranks.numbered(df, by, order, "_r", "_rows", 1).withColumn("bin", ranks.bin_of(F.col("_r"), 10))
+    want = values(plain.groupBy(*by, "bin").agg(F.count("*"), F.sum("label"), F.sum(r), F.count(r).cast("double"), F.count_if(r > 0).cast("double")))
+    assert got == want and len(got) == 20
+
+
 def test_bins_order_values_not_rows(spark, large):
     df, by, order = scored(spark), ["profile", "fold"], [F.col("prob_long"), F.col("row_pos")]
     got = values(ranks.quantile_bin(df, order, 10, by).select("row_pos", "bin"))
