@@ -13,8 +13,11 @@ threshold, the shard is done. Postings of the terms with the largest bounds are
 the k-th best of these sums, or the best score known so far, is the threshold. More terms follow
 until the bounds of all others stay under it and the candidates are few: postings of those others
 are never read. A document is a candidate if its sum and the block maxima of the terms left out
-reach the threshold, and only candidates are scored, from their own lists of terms. Shards go in waves, each four times
-the last, so all but the first waves prune against a nearly final threshold and return few rows.
+reach the threshold, and only candidates are scored, from their own lists of terms. Where bounds
+leave out few postings, as with the words of a whole text, queries are added up together: the
+impacts of words in many documents are a matrix that meets all their weights at once. Shards go in
+waves, each four times the last, so all but the first waves prune against a nearly final threshold
+and return few rows.
 Merging the shards' lists by score, then doc_id, is exact.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +40,31 @@ K1, B = 1.2, 0.75
 SHARD, BLOCK = 8192, 64
 #: Terms that are added up before there is a threshold of the shard's own.
 FIRST = 24
-QUERY_BLOCK, BLOCK_TERMS = 1 << 14, 1 << 18
+QUERY_BLOCK, BLOCK_TERMS = 1 << 14, 1 << 19
+#: Queries and rarer postings that are added up together, and the most words whose impacts are a matrix.
+TOGETHER, POSTINGS, DENSE = 32, 1 << 18, 512
+#: All postings of a query for one that must be read, from which on it is answered by itself: `top` takes longer for each.
+ALONE = 16
+#: Documents of a shard for one that has a word of the matrix.
+DENSITY = 12
+FIRST_WAVE = 12.0
 DIGITS = 9
-INDEX = "shard long, n int, words long, doc_ids binary, null_ids binary, lengths binary, terms array<bigint>, df array<int>, docs binary, tf binary, by_doc binary"
+INDEX = "shard long, n int, words long, doc_ids binary, null_ids binary, lengths binary, terms array<bigint>, df array<int>, docs binary, tf binary"
 
 
 def term_of(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers of two bytes each where they fit, else four: `unpacked` tells by the length."""
+    return numbers.astype("<u2" if not len(numbers) or numbers.max() < 1 << 16 else "<i4").tobytes()
+
+
+def unpacked(numbers: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(numbers, "<u2" if len(numbers) == 2 * n else "<i4")
+
+
 def build(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """One row a shard; docs: doc_id, text."""
 
@@ -58,18 +78,16 @@ def build(docs: DataFrame, shard: int = SHARD) -> DataFrame:
             t, f = np.concatenate(terms) if terms else np.zeros(0, np.int64), np.concatenate(freqs) if freqs else np.zeros(0, np.int32)
             d = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
             order = np.argsort(t, kind="stable")
-            by_doc = np.empty(len(order), np.int32)
-            by_doc[order] = np.arange(len(order), dtype=np.int32)  # the postings, document by document
             distinct, first = np.unique(t[order], return_index=True)
             df = np.diff(np.r_[first, len(t)])
-            row = [(TaskContext.get().partitionId() << 24) + made, len(ids), int(sum(lengths)), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), np.array(lengths, "<i4").tobytes(), None, None, d[order].astype("<i4").tobytes(), f[order].astype("<i4").tobytes(), by_doc.astype("<i4").tobytes()]
-            arrays = [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.null(), pa.null(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+            row = [(TaskContext.get().partitionId() << 24) + made, len(ids), int(sum(lengths)), np.array([i or 0 for i in ids], "<i8").tobytes(), np.array([i is None for i in ids], np.uint8).tobytes(), np.array(lengths, "<i4").tobytes(), None, None, packed(d[order]), packed(f[order])]
+            arrays = [pa.array([x], k) for x, k in zip(row, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.null(), pa.null(), pa.binary(), pa.binary()), strict=True)]
             at = pa.array([0, len(distinct)], pa.int32())
             arrays[6], arrays[7] = pa.ListArray.from_arrays(at, pa.array(distinct, pa.int64())), pa.ListArray.from_arrays(at, pa.array(df, pa.int32()))
             made += 1
             for x in (ids, terms, freqs, sizes, lengths):
                 x.clear()
-            return pa.RecordBatch.from_arrays(arrays, names=["shard", "n", "words", "doc_ids", "null_ids", "lengths", "terms", "df", "docs", "tf", "by_doc"])
+            return pa.RecordBatch.from_arrays(arrays, names=["shard", "n", "words", "doc_ids", "null_ids", "lengths", "terms", "df", "docs", "tf"])
 
         for batch in batches:
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
@@ -122,23 +140,45 @@ class Shard:
         self.ids, self.null, self.block = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["null_ids"], np.uint8), block
         lengths = np.frombuffer(row["lengths"], "<i4")
         self.terms, df = np.asarray(row["terms"]), np.asarray(row["df"])
-        self.start = np.r_[0, np.cumsum(df)]
-        self.docs, tf = np.frombuffer(row["docs"], "<i4"), np.frombuffer(row["tf"], "<i4").astype(np.float64)
+        self.start = np.r_[0, np.cumsum(df, dtype=np.int64)]
+        self.docs, tf = unpacked(row["docs"], self.start[-1]), unpacked(row["tf"], self.start[-1]).astype(np.float64)
         self.impact = tf * (K1 + 1) / (tf + (K1 * (1 - B + B * lengths / mean_length))[self.docs])
-        self.term_of = np.repeat(np.arange(len(self.terms), dtype=np.int32), df)
-        self.by_doc = np.frombuffer(row["by_doc"], "<i4")
-        self.doc_start = np.r_[0, np.cumsum(np.bincount(self.docs, minlength=len(self.ids)))]
-        blocks = self.docs // block
+        self.most = np.maximum.reduceat(self.impact, self.start[:-1]) if len(df) else np.zeros(0)
+        self.n_blocks = -(-len(self.ids) // block)
+        self.read = 0
+
+    @cached_property
+    def blocks(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Blocks and their largest impacts, term by term, and where each term's begin."""
+        blocks = self.docs // self.block
         edge = np.ones(len(blocks), bool)
         edge[1:] = blocks[1:] != blocks[:-1]
         edge[self.start[:-1]] = True
         cut = np.flatnonzero(edge)
-        self.block_of, self.block_max = blocks[cut], np.maximum.reduceat(self.impact, cut) if len(cut) else np.zeros(0)
-        self.block_start = np.searchsorted(cut, self.start)
-        self.most = np.maximum.reduceat(self.block_max, self.block_start[:-1]) if len(df) else np.zeros(0)
-        self.n_blocks = -(-len(self.ids) // block)
-        self.weight = np.zeros(len(self.terms))  # of the query at hand
-        self.read = 0
+        return blocks[cut], np.maximum.reduceat(self.impact, cut) if len(cut) else np.zeros(0), np.searchsorted(cut, self.start)
+
+    @cached_property
+    def doc_start(self) -> np.ndarray:
+        return np.r_[0, np.cumsum(np.bincount(self.docs, minlength=len(self.ids)))]
+
+    @cached_property
+    def by_doc(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The postings, document by document, each posting's term, and weights of the query at hand."""
+        return np.argsort(self.docs, kind="stable").astype(np.int32), np.repeat(np.arange(len(self.terms), dtype=np.int32), np.diff(self.start)), np.zeros(len(self.terms))
+
+    @cached_property
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each term's row in the matrix, -1 if it has none, and the matrix: impacts of the terms that many documents have."""
+        df = np.diff(self.start)
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        often = often[df[often] * DENSITY > len(self.ids)]
+        at = np.full(len(df), -1, np.int32)
+        at[often] = np.arange(len(often))
+        matrix = np.zeros((len(often), len(self.ids)))
+        for i, t in enumerate(often.tolist()):
+            p = slice(self.start[t], self.start[t + 1])
+            matrix[i, self.docs[p]] = self.impact[p]
+        return at, matrix
 
     def places(self, terms: np.ndarray) -> np.ndarray:
         """Where each term is in this index, -1 if it isn't."""
@@ -157,13 +197,14 @@ class Shard:
 
     def exact(self, docs: np.ndarray, t: np.ndarray, w: np.ndarray) -> np.ndarray:
         """The whole scores of documents, from their own lists of terms."""
-        self.weight[t] = w
+        by_doc, term_of, weight = self.by_doc
+        weight[t] = w
         n = self.doc_start[docs + 1] - self.doc_start[docs]
         start = np.r_[0, np.cumsum(n)]
-        posts = self.by_doc[np.repeat(self.doc_start[docs] - start[:-1], n) + np.arange(start[-1])]
+        posts = by_doc[np.repeat(self.doc_start[docs] - start[:-1], n) + np.arange(start[-1])]
         self.read += len(posts)
-        out = np.add.reduceat(self.weight[self.term_of[posts]] * self.impact[posts], start[:-1])
-        self.weight[t] = 0.0
+        out = np.add.reduceat(weight[term_of[posts]] * self.impact[posts], start[:-1])
+        weight[t] = 0.0
         return np.round(out, DIGITS)
 
     def top(self, t: np.ndarray, w: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -195,8 +236,9 @@ class Shard:
             if n == len(t) or not len(found):
                 break
             # block maxima of the terms left out, summed by block
-            ranges = [slice(a, b) for a, b in zip(self.block_start[t[n:]].tolist(), self.block_start[t[n:] + 1].tolist())]
-            by_block = np.bincount(np.concatenate([self.block_of[r] for r in ranges]), np.concatenate([self.block_max[r] * x for r, x in zip(ranges, w[n:].tolist())]), self.n_blocks)
+            block_of, block_max, block_start = self.blocks
+            ranges = [slice(a, b) for a, b in zip(block_start[t[n:]].tolist(), block_start[t[n:] + 1].tolist())]
+            by_block = np.bincount(np.concatenate([block_of[r] for r in ranges]), np.concatenate([block_max[r] * x for r, x in zip(ranges, w[n:].tolist())]), self.n_blocks)
             found = found[sums[found] + by_block[found // self.block] + slack >= least]
             # candidates' own lists, unless more terms cost less
             if (self.doc_start[found + 1] - self.doc_start[found]).sum() <= left[n]:
@@ -210,6 +252,73 @@ class Shard:
         best = np.lexsort((self.ids[hits], self.null[hits], -scores))[:k]  # ties go by doc_id
         return hits[best], scores[best]
 
+    def prunes(self, q: np.ndarray, t: np.ndarray, w: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each query: whether its terms' bounds reach its threshold at all, and whether those of the terms that must
+        be read leave out most of its postings. q: the query of each term, in order."""
+        bound = w * self.most[t]
+        order = np.lexsort((-bound, q))
+        q, bound, n = q[order], bound[order], np.diff(self.start)[t[order]]
+        whole, postings = np.bincount(q, bound, len(least)), np.bincount(q, n, len(least))
+        before = np.cumsum(bound) - bound
+        rest = whole[q] - (before - np.r_[0, np.cumsum(whole)][q])  # what a term and those after it can still add
+        slack = 10.0**-DIGITS
+        must = np.bincount(q, n * (rest + slack * 2 >= least[q]), len(least))
+        return whole + slack * 2 >= least, (least > 0) & (ALONE * must < postings)
+
+    def best(self, starts: np.ndarray, places: np.ndarray, weights: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query (by number), document and score of what `top` finds for each of many queries; starts: where the terms of
+        each begin in places and weights, and their end."""
+        q = np.repeat(np.arange(len(least)), np.diff(starts))[places >= 0]
+        t, w = places[places >= 0], weights[places >= 0]
+        if not len(t):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        reach, alone = self.prunes(q, t, w, least)
+        out = []
+        for i in np.flatnonzero(reach & alone).tolist():
+            docs, scores = self.top(places[starts[i] : starts[i + 1]], weights[starts[i] : starts[i + 1]], k, float(least[i]))
+            out.append((np.full(len(docs), i), docs, scores))
+        keep = (reach & ~alone)[q]
+        q, t, w = q[keep], t[keep], w[keep]
+        at, _ = self.dense
+        rare = np.where(at[t] < 0, self.start[t + 1] - self.start[t], 0)
+        ids, first = np.unique(q, return_index=True)
+        first, upto = np.r_[first, len(q)], np.r_[0, np.cumsum(rare)]
+        low = 0
+        while low < len(ids):
+            # queries of at most POSTINGS rarer postings, one at least
+            high = int(np.searchsorted(upto[first], upto[first[low]] + POSTINGS, side="right")) - 1
+            high = min(max(high, low + 1), low + TOGETHER, len(ids))
+            part = slice(first[low], first[high])
+            row, docs, scores = self.together(np.searchsorted(ids[low:high], q[part]), t[part], w[part], k, least[ids[low:high]])
+            out.append((ids[low + row], docs, scores))
+            low = high
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def together(self, row: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """`best` of a few queries, of which all postings are added up."""
+        at, matrix = self.dense
+        size, slack = len(self.ids), 10.0**-DIGITS
+        often = at[t] >= 0
+        of = np.zeros((len(least), len(matrix)))
+        of[row[often], at[t[often]]] = w[often]
+        sums = of @ matrix
+        row, w, start, n = row[~often], w[~often], self.start[t[~often]], self.start[t[~often] + 1] - self.start[t[~often]]
+        self.read += int(n.sum()) + int((self.start[t[often] + 1] - self.start[t[often]]).sum())
+        posts = np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+        sums += np.bincount(np.repeat(row * size, n) + self.docs[posts], np.repeat(w, n) * self.impact[posts], len(least) * size).reshape(sums.shape)
+        floor = np.where(least > 0, least - 2 * slack, 0.0)
+        found = (sums > 0) & (sums >= floor[:, None])
+        for i in np.flatnonzero(found.sum(axis=1) > k).tolist():
+            found[i] &= sums[i] >= np.partition(sums[i], -k)[-k] - 2 * slack
+        row, docs = np.nonzero(found)
+        scores = np.round(sums[row, docs], DIGITS)
+        keep = (scores > 0) & (scores >= least[row] - slack)
+        row, docs, scores = row[keep], docs[keep], scores[keep]
+        order = np.lexsort((self.ids[docs], self.null[docs], -scores, row))  # ties go by doc_id
+        row, docs, scores = row[order], docs[order], scores[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[keep], docs[keep], scores[keep]
+
 
 def search(docs: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, query_block: int = QUERY_BLOCK, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """query_id, rank, doc_id, score: for each query row (query_id, text) the k best documents by BM25.
@@ -243,28 +352,27 @@ def _answered(spark, index: DataFrame, wanted: DataFrame, shards: int, mean_leng
     del rows
     ids, starts = np.unique(q, return_index=True)
     n_queries, thresholds = len(ids), np.zeros(len(ids))
-    shared = spark.sparkContext.broadcast((ids, np.r_[starts, len(q)], t, w))
-    del q, t, w
+    terms, at = np.unique(t, return_inverse=True)
+    shared = spark.sparkContext.broadcast((ids, np.r_[starts, len(q)], terms, at.astype(np.int32), w))
+    del q, t, w, terms, at
     order = F.pmod(F.xxhash64(F.lit(5), "shard"), F.lit(1 << 30))
-    hits, low, size = None, 0, 4.0
+    hits, low, size = None, 0, FIRST_WAVE
     best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    parts = ["doc_ids", "null_ids", "lengths", "terms", "df", "docs", "tf", "by_doc"]
+    parts = ["doc_ids", "null_ids", "lengths", "terms", "df", "docs", "tf"]
     while low < 1 << 30:
         high = min(1 << 30, int((1 << 30) * size / max(1, shards)) or 1)
         least = spark.sparkContext.broadcast(thresholds.copy())
 
         def run(batches: Iterator[pa.RecordBatch], least=least) -> Iterator[pa.RecordBatch]:
-            ids, starts, terms, weights = shared.value
+            ids, starts, terms, at, weights = shared.value
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {c: batch.column(c)[i].as_py() for c in parts if c not in ("terms", "df")}
                     row |= {c: batch.column(c)[i].values.to_numpy() for c in ("terms", "df")}
                     s = Shard(row, mean_length)
-                    places = s.places(terms)
-                    out = [s.top(places[a:b], weights[a:b], k, x) for a, b, x in zip(starts[:-1].tolist(), starts[1:].tolist(), least.value.tolist())]
-                    n = [len(d) for d, _ in out]
-                    docs = np.concatenate([d for d, _ in out] or [np.zeros(0, np.int64)])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(s.ids[docs], pa.int64(), mask=s.null[docs].astype(bool)), pa.array(np.concatenate([x for _, x in out] or [np.zeros(0)]), pa.float64())], names=["query", "doc_id", "score"])
+                    q, docs, scores = s.best(starts, s.places(terms)[at], weights, k, least.value)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[q], pa.int64()), pa.array(s.ids[docs], pa.int64(), mask=s.null[docs].astype(bool)), pa.array(scores, pa.float64())], names=["query", "doc_id", "score"])
+                    del s, row
 
         wave = index.where((order >= low) & (order < high)).select(*parts).mapInArrow(run, "query long, doc_id long, score double")
         hits = wave if hits is None else hits.unionByName(wave)

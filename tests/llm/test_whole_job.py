@@ -114,3 +114,28 @@ def test_secrets_out_of_scope_stay_apart(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [len(r["parts"]) for r in secrets.scan(docs).orderBy("doc_id").collect()]
     assert got == [2, 2, 1, 1]
+
+
+def test_search_adds_queries_up_together(spark, monkeypatch):
+    """Many queries at once find what each finds alone; an index takes four bytes a posting, and no more where counts fit."""
+    rng = np.random.default_rng(1)
+    share = 1 / (np.arange(900) + 3.0)
+    docs = [(i, " ".join(rng.choice([f"w{j}" for j in range(900)], 1 + i % 90, p=share / share.sum()))) for i in range(600)]
+    docs += [(600 + i, docs[i][1]) for i in range(40)]
+    row = search.build(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)).first().asDict()
+    postings = sum(row["df"])
+    assert len(row["docs"]) + len(row["tf"]) == 4 * postings and not {"by_doc"} & set(row)
+    assert search.unpacked(search.packed(np.array([1 << 16, 3])), 2).tolist() == [1 << 16, 3]
+    shard = search.Shard(row, 45.0)
+    asked = [np.array([search.term_of(w.encode()) for w in sorted(set(docs[i][1].split()))] + [1]) for i in range(0, 640, 7)]
+    places = [shard.places(a) for a in asked]
+    weights = [np.where(p >= 0, np.log1p(640 / (1 + np.diff(shard.start)[p])), 1.0) for p in places]
+    starts = np.r_[0, np.cumsum([len(p) for p in places])]
+    plain = [shard.top(p, w, 10, 0.0) for p, w in zip(places, weights, strict=True)]
+    for least in (np.zeros(len(asked)), np.array([float(s[-1]) for _, s in plain]), np.full(len(asked), 1e9)):
+        for alone in (search.ALONE, 1):
+            monkeypatch.setattr(search, "ALONE", alone)
+            q, found, scores = shard.best(starts, np.concatenate(places), np.concatenate(weights), 10, least)
+            for i, (d, s) in enumerate(plain):
+                want = d if least[i] < 1e9 else []
+                assert found[q == i].tolist() == list(want) and scores[q == i] == pytest.approx(s[: len(want)], abs=2e-9)
