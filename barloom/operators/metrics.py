@@ -141,6 +141,12 @@ def ks(df: DataFrame, by: list[str], x: str, is_a: Column) -> DataFrame:
     return v.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"))
 
 
+def ks_of(steps: DataFrame, by: list[str]) -> DataFrame:
+    """ks of the scores of longs and others, from a table of score steps."""
+    share = F.try_divide(F.col("cpos"), F.col("all_pos")) - F.try_divide(F.col("cn") - F.col("cpos"), F.col("all_n") - F.col("all_pos"))
+    return steps.groupBy(*by).agg(F.max(F.abs(share)).alias("ks"))
+
+
 def psi(df: DataFrame, by: list[str], x: str, is_expected: Column, bins: int = 10, eps: float = 1e-6) -> DataFrame:
     """Population stability index over bins cut at the expected rows' quantiles; empty bins count eps."""
     qs = [i / bins for i in range(1, bins)]

@@ -58,7 +58,9 @@ def preds(spark: SparkSession, sf_dir: str, profiles: tuple[str, ...] = ("contro
     only: the columns beside profile and score that a query uses several times; large tables are then kept as one
     row a line, from which the profiles' scores are made at each reading."""
     c = F.col
-    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(x).alias(x) for x in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")])
+    # whether the least flag is R, without a string: Spark sorts all rows for the least of strings, and hashes them for numbers
+    returned = F.max(c("l_returnflag") == "R") & ~F.max(c("l_returnflag") < "R")
+    l = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(x).alias(x) for x in ("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")], returned.alias("returned"))
     scores = F.array(*[F.struct(F.lit(p).alias("profile"), (((c("l_partkey") * a + c("l_suppkey") * b + c("l_linenumber") * d) % 10007) / F.lit(10006.0)).alias("prob_long")) for p, (a, b, d) in PROFILES.items() if p in profiles])
     near = [1 / (1 + F.abs(c("l_quantity") - m)) for m in (9, 25, 41)]
     whole = near[0] + near[1] + near[2]
@@ -67,7 +69,7 @@ def preds(spark: SparkSession, sf_dir: str, profiles: tuple[str, ...] = ("contro
         (F.year("l_shipdate") - 1995).alias("fold"),
         F.when(c("l_linenumber") % 2 == 0, "val").otherwise("test").alias("split"),
         c("l_shipdate").cast("timestamp_ntz").alias("ts"),
-        (c("l_returnflag") == "R").cast("int").alias("label"),
+        c("returned").cast("int").alias("label"),
         ((c("l_discount") - 0.05) / 10).alias("forward_return"),
         *[(x / whole).alias(f"regime_prob_{i}") for i, x in enumerate(near)],
         c("l_quantity").alias("f_quantity"), c("l_extendedprice").alias("f_price"), c("l_tax").alias("4h_tax"),
