@@ -23,9 +23,9 @@ def above(x: Column, bound: float) -> Column:
     return flag(F.round(x, 12) > bound)
 
 
-def steps_of(preds: DataFrame, more: list[str] | None = None) -> DataFrame:
-    """Score steps with returns by profile, fold, split (and more), as a table."""
-    return written(m.score_steps(preds, [*KEYS, "split", *(more or [])], returns="forward_return"), "policy-steps")
+def steps_of(preds: DataFrame) -> DataFrame:
+    """Score steps with returns by profile, fold and split, as a table."""
+    return written(m.score_steps(preds, [*KEYS, "split"], returns="forward_return"), "policy-steps")
 
 
 def threshold_grid(preds: DataFrame, caps: tuple[float, ...] = CAPS, least_precision: float = 0.30) -> DataFrame:
@@ -169,11 +169,18 @@ def validation_choice(steps: DataFrame, by: list[str], most_rate: float, least_p
     return best.select(*by, (-F.col("m.t")).alias("threshold"), F.col("m.f1").alias("source_f1"), (F.col("m.kind") == 2).alias("constraint_satisfied"))
 
 
-def regime_thresholds(preds: DataFrame, regimes: int, official: DataFrame, least_val: int = 80, least_test: int = 40, least_longs: int = 5, most_rate: float = 0.70, least_precision: float = 0.30, gates=rules.REGIME_FOLD) -> DataFrame:
+def regime_counts(preds: DataFrame, regimes: int) -> DataFrame:
+    """Score counts with returns by profile, fold, split and dominant regime, as a table: the one pass over the rows."""
+    return written(m.score_counts(preds.withColumn("regime", m.dominant("regime_prob_", regimes)), [*KEYS, "split", "regime"], returns="forward_return"), "regime-counts")
+
+
+def regime_thresholds(preds: DataFrame, regimes: int, official: DataFrame, least_val: int = 80, least_test: int = 40, least_longs: int = 5, most_rate: float = 0.70, least_precision: float = 0.30, gates=rules.REGIME_FOLD, counts: DataFrame | None = None) -> DataFrame:
     """Per profile and fold: a threshold for each regime with enough val rows, val longs and test rows, the official one
-    for the others; figures on val and test rows, and the reasons against it. official: `review.threshold_diagnostics`."""
+    for the others; figures on val and test rows, and the reasons against it. official: `review.threshold_diagnostics`;
+    counts: `regime_counts` of preds, made if not given."""
     by = [*KEYS, "regime"]
-    steps = steps_of(preds.where("split IN ('val', 'test')").withColumn("regime", m.dominant("regime_prob_", regimes)), ["regime"])
+    counts = regime_counts(preds, regimes) if counts is None else counts
+    steps = written(m.steps_of_counts(counts.where("split IN ('val', 'test')"), [*KEYS, "split", "regime"]), "policy-steps")
     val, test = steps.where("split = 'val'"), steps.where("split = 'test'")
     n = steps.groupBy(*by).agg(*[F.coalesce(F.max(F.when(F.col("split") == s, F.col(c))), F.lit(0)).alias(f"{s}_{c}") for s in ("val", "test") for c in ("all_n", "all_pos")])
     enough = n.where((F.col("val_all_n") >= least_val) & (F.col("test_all_n") >= least_test) & (F.col("val_all_pos") >= least_longs)).select(*by)

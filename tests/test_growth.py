@@ -6,9 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import chunks, policies, ranks, reports, scoring
+from barloom.operators import chunks, policies, ranks, reports, review, scoring
 from barloom.operators import metrics as m
-from barloom.plans import QUERIES, tables
+from barloom.plans import QUERIES, policy_queries, tables
 from barloom.sources import shared
 
 SF = "/root/testdata/sf0.001"
@@ -147,3 +147,20 @@ def test_reliability_passes_val_rows_once_for_scores(spark, monkeypatch):
     on, off = x[x[:, 1] == 1, 0], x[x[:, 1] == 0, 0]
     ks = max(abs((on >= t).mean() - (off >= t).mean()) for t in x[:, 0])
     assert [got[c] for c in ("val_score_gap", "val_label_rate", "val_prob_std", "val_pred_rate_050", "val_score_ks")] == pytest.approx([on.mean() - off.mean(), x[:, 1].mean(), x[:, 0].std(), (x[:, 0] >= 0.5).mean(), ks], abs=1e-12)
+
+
+def test_regime_thresholds_pass_rows_once(spark, large, monkeypatch):
+    """The official thresholds and those of regimes come from one table of counts."""
+    i = F.col("id")
+    df = scored(spark).withColumn("id", F.col("row_pos")).withColumn("split", F.when(i % 5 < 2, "val").otherwise("test")).withColumns({f"regime_prob_{k}": ((i * (k + 2)) % 7).cast("double") for k in range(3)})
+    rows, seen = counted(spark, df.select("profile", "fold", "split", "prob_long", "label", "forward_return", *[f"regime_prob_{k}" for k in range(3)]))
+    monkeypatch.setattr(policy_queries, "rows", lambda *_: rows)
+    got = values(policy_queries.regime_folds(spark, SF))
+    assert seen.value == N
+    steps = m.score_steps(df, ["profile", "fold", "split"])
+    again = m.steps_of_counts(policies.regime_counts(df, 3).select("profile", "fold", "split", "regime", "threshold", "n", "pos"), ["profile", "fold", "split"])
+    assert values(again.select(*steps.columns)) == values(steps)
+    targets = policy_queries.TARGETS
+    official = review.threshold_diagnostics(df, targets.most_rate, targets.least_precision)
+    plain = policies.regime_thresholds(df, 3, official, most_rate=0.7, least_precision=0.2, gates=policy_queries.REGIME_FOLD, **policy_queries.LEAST_ROWS)
+    assert len(got) == 2 and got == values(plain)
