@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.scalars import finite
 from barloom.sources.shared import removed, written
 
 #: The longest Newton step of a coefficient, in deviations of its feature.
@@ -36,10 +37,12 @@ def fit(train: DataFrame, by: list[str], columns: list[str], label: str = "label
     """by, beta (an array: a coefficient a column, then the intercept), steps, for every key that has both labels.
 
     Steps end when none is longer than tolerance (in deviations); as they converge quadratically, what is left is about
-    its square. weight: how often a row counts (a column; 1 if none). Rows with a null label, weight or column don't count."""
+    its square. weight: how often a row counts (a column; 1 if none). Rows whose label, weight or a column is null or
+    not finite don't count: one of them would leave its key no sums, and the solver fails on those."""
     p = len(columns)
     x = [F.col(f"x{i}") for i in range(p)] + [F.lit(1.0)]
     rows = train.select(*by, F.col(label).cast("double").alias("y"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    rows = rows.withColumns({c: finite(F.col(c)) for c in rows.columns if c not in by})
     rows = written(rows.na.drop(subset=["y", "w", *[f"x{i}" for i in range(p)]]).where("w > 0"), "logistic-rows")
     w, y = F.col("w"), F.col("y")
     moments = [F.sum(w * c).alias(f"s{i}") for i, c in enumerate(x[:-1])] + [F.sum(w * c * c).alias(f"q{i}") for i, c in enumerate(x[:-1])]

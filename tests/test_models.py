@@ -116,3 +116,13 @@ def test_permutation_importance_by_hand(spark):
                 moved = own.assign(**{c: dealt[c] for c in g})
                 drops.append(base - ic(moved.a + moved.b, moved.forward_return))
             assert got[fold, "+".join(g)] == pytest.approx((np.mean(drops), np.std(drops)), abs=1e-9)
+
+
+def test_infinite_features_do_not_end_a_fit(spark):
+    """A row with an infinite feature counts as little as one with a null; its key and the others have their models."""
+    rows = [(k, int((i * 7 + k) % 5 < 2 + i % 2), float(i % 11), float(i * 3 % 7)) for k in range(2) for i in range(60)]
+    plain = spark.createDataFrame(rows, "fold int, label int, a double, b double")
+    odd = spark.createDataFrame([(0, 1, float("inf"), 1.0), (0, 0, 1.0, float("-inf")), (0, 1, float("nan"), 2.0), (0, 1, None, 2.0)], plain.schema)
+    beta = lambda df: [r["beta"] for r in logistic.fit(df, ["fold"], ["a", "b"]).orderBy("fold").collect()]
+    want, got = beta(plain), beta(plain.unionByName(odd))
+    assert len(got) == 2 and [x for b in got for x in b] == pytest.approx([x for b in want for x in b], abs=1e-9)
