@@ -3,6 +3,10 @@
 Every step is one group minimum and one join over the edges, so the graph stays distributed
 and a hub's neighbours are spread by partial aggregation and skew-split joins. Each round is
 written to the shared folder, which cuts lineage and survives a lost executor.
+
+Spark sizes a table by its files: rows that explode makes count as the row they come from, and what files
+hold in few bytes is large in memory. Joins of rows that grow with the corpus are dealt out by `shuffled`, so that
+no such size makes Spark send one side through the driver.
 """
 
 from __future__ import annotations
@@ -16,12 +20,17 @@ from barloom.llm.common import saved
 from barloom.sources.shared import removed
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that deals out both sides by key, whatever sizes Spark takes them for."""
+    return df.hint("merge")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v), u > v. Large: link each node's larger neighbours to its least neighbour;
     small: link its smaller neighbours to the least of them."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-    met = both.join(least, "u")
+    met = both.join(shuffled(least), "u")
     if large:
         out = met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
@@ -50,7 +59,7 @@ def least_and_last(keyed: DataFrame, payload: list[str], close: Callable[[list[C
     order = F.lit(0).cast("long") if seed is None else F.xxhash64(F.lit(seed), "key", "node")
     own = F.struct(order.alias("_o"), "node", *payload)
     ends = keyed.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo.node != hi.node")
-    met = keyed.join(ends, "key").select("node", *payload, F.explode(F.array("lo", "hi")).alias("end"))
+    met = keyed.join(shuffled(ends), "key").select("node", *payload, F.explode(F.array("lo", "hi")).alias("end"))
     return met.where((F.col("node") != F.col("end.node")) & close([F.col(c) for c in payload], [F.col("end")[c] for c in payload]))
 
 
@@ -65,7 +74,7 @@ def with_main(rows: DataFrame, alone: int | None = None) -> DataFrame:
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size"), F.count("*").alias("comps"))
     kept = F.col("comps") > 1 if alone is None else (F.col("comps") > 1) | (F.col("size") > alone)
-    return saved(rows.drop("size").join(main.where(kept).select("key", F.col("m.comp").alias("main"), "size"), "key"), "cc-mixed")
+    return saved(rows.drop("size").join(shuffled(main.where(kept).select("key", F.col("m.comp").alias("main"), "size")), "key"), "cc-mixed")
 
 
 def across(rows: DataFrame, payload: list[str], close: Callable[[list[Column], list[Column]], Column], searched: str | None = None) -> DataFrame:
@@ -80,7 +89,7 @@ def across(rows: DataFrame, payload: list[str], close: Callable[[list[Column], l
     a, b = rows.where("comp != main").select("key", *side("a")), rows.select("key", "main", *side("b"))
     once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
     near = close([F.col(f"{c}_a") for c in payload], [F.col(f"{c}_b") for c in payload])
-    met = a.join(b, "key").where((F.col("comp_a") != F.col("comp_b")) & once & near)
+    met = a.join(shuffled(b), "key").where((F.col("comp_a") != F.col("comp_b")) & once & near)
     if searched:
         met = met.where(~F.coalesce(F.arrays_overlap(f"{searched}_a", f"{searched}_b"), F.lit(False))).drop(f"{searched}_a", f"{searched}_b")
     return met.drop("key", "main")
@@ -89,7 +98,7 @@ def across(rows: DataFrame, payload: list[str], close: Callable[[list[Column], l
 def merged(named: DataFrame, links: DataFrame) -> DataFrame:
     """named (node, comp, ...) with comp replaced by the least comp reachable over links (comp_a, comp_b)."""
     roots = connected_components(links.select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b")))
-    return named.join(roots.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
+    return named.join(shuffled(roots.withColumnRenamed("node", "comp")), "comp", "left").withColumn("comp", F.coalesce("root", "comp")).drop("root")
 
 
 def bucket_components(vertices: DataFrame, keyed: Callable[[DataFrame], DataFrame], payload: list[str], close: Callable[[list[Column], list[Column]], Column]) -> DataFrame:
@@ -100,6 +109,6 @@ def bucket_components(vertices: DataFrame, keyed: Callable[[DataFrame], DataFram
     Then only buckets that still hold several components are searched. What shares a component is linked
     already and all other close pairs are found, so the components are exact."""
     star = saved(least_and_last(keyed(vertices), payload, close).select(F.greatest("node", "end.node").alias("a"), F.least("node", "end.node").alias("b")).distinct(), "cc-star")
-    named = saved(vertices.join(connected_components(star), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "cc-named")
+    named = saved(vertices.join(shuffled(connected_components(star)), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root"), "cc-named")
     every = keyed(named).select("key", "node", "comp", *payload)
-    return merged(named.select("node", "comp"), across(with_main(every.join(mixed_keys(every), "key")), payload, close).select("comp_a", "comp_b"))
+    return merged(named.select("node", "comp"), across(with_main(every.join(shuffled(mixed_keys(every)), "key")), payload, close).select("comp_a", "comp_b"))

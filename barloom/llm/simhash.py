@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import saved, words_of
-from barloom.llm.components import across, bucket_components, connected_components, least_and_last, merged, mixed_keys, with_main
+from barloom.llm.components import across, bucket_components, connected_components, least_and_last, merged, mixed_keys, shuffled, with_main
 from barloom.sources.shared import only
 
 BITS = 64
@@ -124,7 +124,7 @@ def links(fps: DataFrame, distance: int = 4, m: int | None = None) -> DataFrame:
     first: Column = F.lit(None)
     for k in reversed(range(len(choices))):
         first = F.when(_all(agree, choices[k]), F.lit(k)).otherwise(first)
-    return a.join(b, ["choice", "block"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= distance) & (F.col("choice") == first)).select("a", "b")
+    return a.join(shuffled(b), ["choice", "block"]).where((F.col("a") < F.col("b")) & (F.bit_count(x) <= distance) & (F.col("choice") == first)).select("a", "b")
 
 
 def _all(agree: list[Column], choice: tuple[int, ...]) -> Column:
@@ -147,10 +147,10 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 4, distance: int =
 def grouped(hashed: DataFrame, distance: int = 4) -> DataFrame:
     """hashed (doc_id, fp, ...) plus component_id."""
     vertices = saved(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-vertices")
-    rooted = vertices.join(components(vertices.select("fp"), distance), "fp").select("fp", "first_id", "root")
+    rooted = vertices.join(shuffled(components(vertices.select("fp"), distance)), "fp").select("fp", "first_id", "root")
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return hashed.join(named, "fp")
+    named = rooted.join(shuffled(least), "root").select("fp", "component_id")
+    return hashed.join(shuffled(named), "fp")
 
 
 # --- near copies at a likeness of shingle sets ---------------------------------------------------
@@ -301,7 +301,7 @@ def in_common(rows: DataFrame, partners: DataFrame, payload: list[str], likeness
     shared = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda total, x: total + x)
     once = (F.col("comp_b") == F.col("main")) | (F.col("a") < F.col("b"))
     meets = (F.col("of") == F.col("main")) & (F.col("of_bucket") == F.col("bucket")) & (F.col("comp_a") != F.col("comp_b")) & once
-    met = a.join(b, meets & (F.least("inside_a", "inside_b") >= needed) & (shared >= needed))
+    met = a.join(shuffled(b), meets & (F.least("inside_a", "inside_b") >= needed) & (shared >= needed))
     return met.drop("of", "of_bucket", "main", "bucket", "inside_a", "inside_b", "bits_a", "bits_b")
 
 
@@ -327,8 +327,8 @@ def searched(keys: DataFrame, named: DataFrame, dense: DataFrame, payload: list[
     (null: none), whose pairs are all searched by what they have beside their text. What is known of a node is put
     together once a node; its keys are joined with that alone."""
     groups = dense.groupBy("node").agg(F.collect_set("main").alias("groups"))
-    known = named.select("node", "comp", *payload).join(groups, "node", "left")
-    return keys.select("key", "node").join(known, "node")
+    known = named.select("node", "comp", *payload).join(shuffled(groups), "node", "left")
+    return keys.select("key", "node").join(shuffled(known), "node")
 
 
 def finer(rows: DataFrame, words: list[str], anchors: int) -> DataFrame:
@@ -422,7 +422,7 @@ def near_copies(docs: DataFrame, p: str, likeness: float, words_per_shingle: int
 
     # what still lies apart: the nearest pair of two components first, then all pairs of those still apart
     every = keyed(named).select("key", "place", "node", "comp", *payload)
-    met = with_main(finer(every.join(mixed_keys(every), "key"), payload[1:], n_anchors).select("key", "node", "comp"), DENSE)
+    met = with_main(finer(every.join(shuffled(mixed_keys(every)), "key"), payload[1:], n_anchors).select("key", "node", "comp"), DENSE)
     # dense keys go by the component that is the largest of all, so that a group has one name in all its keys
     crowded = met.where(F.col("size") > DENSE).drop("main")
     weights = named.groupBy("comp").agg(F.count("*").alias("weight"))

@@ -6,7 +6,7 @@ from math import comb
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import simhash
+from barloom.llm import components, simhash
 from barloom.llm.components import across, with_main
 from barloom.sources.shared import CLEANUP, written
 
@@ -54,3 +54,38 @@ def test_shuffle_files_go_with_the_query_that_made_them(spark):
     while files() > before and time.time() < end:
         time.sleep(0.2)
     assert files() <= before and spark.conf.get(CLEANUP, None) == set_before
+
+
+def test_rows_that_explode_makes_are_not_sent_to_all(spark, monkeypatch):
+    # files of under 10 MB, which Spark would send through the driver with all the keys that explode makes of each row
+    texts = [f"{' '.join(f'w{i // 3}x{j}' for j in range(60))} end{i % 3}" for i in range(60)]
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "small-docs")
+    plans = []
+
+    def planned(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return written(df, name)
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "saved", planned)
+    found = simhash.near_duplicates(docs)
+    plans.append(("found", found._jdf.queryExecution().executedPlan().toString()))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == brute(texts)
+    joins = [name for name, plan in plans if "Join" in plan]
+    assert {"cc-star", "cc-named", "cc-mixed", "found"} <= set(joins)
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+    # the pipeline shares the joins by key
+    del plans[:]
+    assert {r["doc_id"] for r in simhash.first_of_near_copies(docs).collect()} == set(range(0, 60, 3))
+    assert not [name for name, plan in plans if name in ("cc-mixed", "cc", "near-pairs") and "Broadcast" in plan]
+
+
+def brute(texts):
+    fps = [simhash.fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4 and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    return dict(enumerate(root))
