@@ -139,3 +139,44 @@ def test_search_adds_queries_up_together(spark, monkeypatch):
             for i, (d, s) in enumerate(plain):
                 want = d if least[i] < 1e9 else []
                 assert found[q == i].tolist() == list(want) and scores[q == i] == pytest.approx(s[: len(want)], abs=2e-9)
+
+
+def test_search_parts_documents_by_their_words(spark, monkeypatch):
+    """Documents with few words in common get indexes of their own; in those of others a query reads few postings."""
+    rng = np.random.default_rng(2)
+    share = 1 / (np.arange(400) + 3.0)
+    words = {v: np.array([f"{v}{j}" for j in range(400)]) for v in "ab"}
+    common = [f"c{j}" for j in range(6)]
+    text = lambda v, n: [*rng.choice(words[v], n, p=share / share.sum()), *rng.choice(common, 4)]
+    docs = [text("ab"[i % 3 == 0], 40) for i in range(900)]
+    for name, value in (("LEAST_PARTED", 256), ("LEAST_PART", 64)):
+        monkeypatch.setattr(search, name, value)
+    parts = search.parts_of([np.array([search.term_of(w.encode()) for w in set(d)]) for d in docs])
+    assert sorted(sorted(set(p % 3 == 0)) for p in parts) == [[False], [True]] and sorted(np.concatenate(parts)) == list(range(900))
+    assert len(search.parts_of([np.array([1, 2])] * 500)) == len(search.parts_of([np.zeros(0, np.int64)] * 500)) == 1  # nothing to part by
+
+    row = search.build(spark.createDataFrame([(i, " ".join(docs[i])) for i in range(900) if i % 3], "doc_id long, text string").coalesce(1)).first().asDict()
+    shard = search.Shard(row, 44.0)
+    asked = [np.array([search.term_of(w.encode()) for w in sorted(set(docs[i]))]) for i in range(0, 900, 9)]
+    places = [shard.places(a) for a in asked]
+    places = [p[p >= 0] for p in places]
+    weights = [np.log1p(900 / (1 + np.diff(shard.start)[p])) for p in places]
+    by_weight = [np.argsort(-w) for w in weights]
+    places, weights = [p[o] for p, o in zip(places, by_weight)], [w[o] for w, o in zip(weights, by_weight)]
+    starts = np.r_[0, np.cumsum([len(p) for p in places])]
+    plain = [shard.top(p, w, 10, 0.0) for p, w in zip(places, weights, strict=True)]
+    for least in (0.0, 0.5, 1.0, 1.2):  # shares of the queries' best scores
+        floor = np.array([least * s[0] for _, s in plain])
+        q, found, scores = shard.best(starts, np.concatenate(places), np.concatenate(weights), 10, floor)
+        for i, (d, s) in enumerate(plain):
+            want = [x for x, y in zip(d, s) if y >= floor[i] - 1e-9]
+            assert found[q == i].tolist() == want and scores[q == i] == pytest.approx(s[: len(want)], abs=2e-9)
+    # a threshold from documents of the query's own language: a few postings of its rarer words are read
+    df = np.diff(shard.start)
+    asked = [np.r_[np.flatnonzero(df < 40)[i : i + 5], np.argsort(-df)[:6]] for i in range(20)]
+    starts, places, weights = 11 * np.arange(21), np.concatenate(asked), np.tile(np.r_[np.full(5, 6.0), np.full(6, 0.3)], 20)
+    plain = [shard.top(p, weights[:11], 10, 20.0) for p in asked]
+    shard.read = 0
+    q, found, scores = shard.best(starts, places, weights, 10, np.full(20, 20.0))
+    assert [found[q == i].tolist() for i in range(20)] == [d.tolist() for d, _ in plain] and len(found)
+    assert shard.read <= df[places].sum() / 4
