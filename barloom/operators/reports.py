@@ -321,7 +321,7 @@ def side_by_side(preds: DataFrame, profiles: list[str], keys: list[str], rank_by
     profile in `more` also its columns named there. One row a key, whatever the profiles are blended to."""
     more = more or {}
     extra = sorted({c for cs in more.values() for c in cs})
-    some = ranks.settled(preds.where(F.col("profile").isin(*profiles)).select("profile", *keys, "prob_long", *extra), "blend-rows")
+    some = ranks.settled(preds.where(F.col("profile").isin(*profiles)).select("profile", *dict.fromkeys([*keys, *rank_by]), "prob_long", *extra), "blend-rows")
     ranked = ranks.average_rank(some, ["profile", *rank_by], "prob_long", "_rank", share=True)
     of = lambda p, c: F.when(F.col("profile") == p, F.col(c) if isinstance(c, str) else c)
     aggs = [x for i, p in enumerate(profiles) for x in (F.count(of(p, F.lit(1))).cast("int").alias(f"n_{i}"), F.max(of(p, "prob_long")).alias(f"prob_{i}"), F.max(of(p, "_rank")).alias(f"rank_{i}"))]

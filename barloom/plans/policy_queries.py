@@ -49,8 +49,8 @@ def rows(spark, d, *more):
     return preds(spark, d, ALL, only=(*USED, *more))
 
 
-def test_rows(spark, d):
-    return rows(spark, d).where("split = 'test'")
+def test_rows(spark, d, *more):
+    return rows(spark, d, *more).where("split = 'test'")
 
 
 QCUT = "CASE WHEN n = 1 THEN 0 ELSE greatest(ceil((rn - 1) * least(10, n) / (n - 1)) - 1, 0) END::INT"
@@ -237,7 +237,7 @@ SELECT profile, feature, CASE WHEN feature = 'f_quantity' THEN 'other' WHEN feat
   {r('least(coalesce(abs(drift_effect), 0), 3) + least(coalesce(abs(ic_delta), 0), 2) + 0.5 * least(coalesce(abs(gap_delta), 0), 2) + CASE WHEN ic_reversal THEN 1 ELSE 0 END + CASE WHEN gap_reversal THEN 0.75 ELSE 0 END + CASE WHEN drift_flag THEN 0.5 ELSE 0 END', 'suspect_score')},
   CASE WHEN ic_reversal AND gap_reversal THEN 'feature_signal_and_label_gap_reversal' WHEN ic_reversal THEN 'feature_return_ic_reversal' WHEN gap_reversal THEN 'feature_label_gap_reversal' WHEN drift_flag THEN 'bad_fold_distribution_drift' WHEN round(ic_delta, 9) < -0.08 THEN 'bad_fold_feature_return_ic_degrades' ELSE 'monitor' END AS issue FROM dr JOIN df USING (profile)""")
 def _(spark, d):
-    x = drift.feature_drift(test_rows(spark, d), FEATURES, TARGET)
+    x = drift.feature_drift(test_rows(spark, d, *FEATURES), FEATURES, TARGET)
     n = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
     return x.select("profile", "feature", "family", "bad_definition", *n("bad_fold_count", "good_fold_count"), "bad_fold_ids", "good_fold_ids", *n("bad_count", "good_count"), *rs("bad_mean", "good_mean", "bad_std", "good_std", "drift_effect", "bad_ic", "good_ic", "ic_delta", "bad_gap", "good_gap", "gap_delta"), "ic_reversal", "gap_reversal", "drift_flag", *rs("suspect_score"), "issue")
 
